@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.operators import cohort, reports
+from ledgerlens.functions import kpi
+from ledgerlens.operators import cohort, export, measures, reports, rfm, stats, worksheet
 from ledgerlens.params import ReportParams
 from ledgerlens.session import configure
 from ledgerlens.sources.star import Star, events_as_transactions, star_from_tpch
@@ -27,6 +28,9 @@ EVENTS_AS_OF = dt.date(2024, 1, 31)
 R03_WINDOW_DAYS = 248
 R03_RECENT_DAYS = 64
 R09A_AS_OF = dt.date(1996, 1, 15)
+# One flagship product on two channels over 90 days is a few rows in the test
+# data; the registered A/B test reads a year.
+P2_DAYS = 365
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -140,3 +144,208 @@ def _r12(s: Star, spark, sf_dir):
 @register("p5_cohort_grid")
 def _p5(s: Star, spark, sf_dir):
     return cohort.cohort_grid(s.transactions)
+
+
+# ------------------------------------------------------------------ P series
+@register("p1_zscore_anomalies")
+def _p1(s: Star, spark, sf_dir):
+    return stats.zscore_anomalies(s.transactions)
+
+
+@register("p1b_complete_months")
+def _p1b(s: Star, spark, sf_dir):
+    return stats.complete_months(s.transactions)
+
+
+@register("p2_ab_test_success_rate")
+def _p2(s: Star, spark, sf_dir):
+    return stats.ab_test_success_rate(
+        s.transactions, P.control_channel, P.treatment_channel, P.flagship_product, P.as_of, days=P2_DAYS
+    )
+
+
+@register("p3a_rfm_features")
+def _p3a(s: Star, spark, sf_dir):
+    return rfm.rfm_features(s.transactions, s.customers, P.as_of)
+
+
+@register("p3bc_rfm_scores")
+def _p3bc(s: Star, spark, sf_dir):
+    return rfm.rfm_scores(rfm.rfm_features(s.transactions, s.customers, P.as_of))
+
+
+@register("p3d_rfm_summary")
+def _p3d(s: Star, spark, sf_dir):
+    return rfm.rfm_summary(rfm.rfm_scores(rfm.rfm_features(s.transactions, s.customers, P.as_of)))
+
+
+@register("p3d_revenue_at_risk")
+def _p3d_risk(s: Star, spark, sf_dir):
+    return rfm.revenue_at_risk(rfm.rfm_scores(rfm.rfm_features(s.transactions, s.customers, P.as_of)))
+
+
+@register("p4_linear_forecast")
+def _p4(s: Star, spark, sf_dir):
+    return stats.linear_forecast(s.transactions, P.as_of)
+
+
+@register("p6a_monthly_kpis")
+def _p6a(s: Star, spark, sf_dir):
+    return export.monthly_kpis(s.transactions)
+
+
+@register("p6b_failure_summary")
+def _p6b(s: Star, spark, sf_dir):
+    return export.failure_summary(s.transactions)
+
+
+@register("p6c_agent_summary")
+def _p6c(s: Star, spark, sf_dir):
+    return export.agent_summary(s.transactions, s.agents, P.as_of, P.agency_product)
+
+
+@register("p6d_corridor_performance")
+def _p6d(s: Star, spark, sf_dir):
+    return export.corridor_performance(s.transactions, P.remit_product)
+
+
+@register("p6e_customer_segments")
+def _p6e(s: Star, spark, sf_dir):
+    return export.customer_segments(s.transactions, s.customers)
+
+
+# ------------------------------------------------------------------ X series
+@register("x1_last_month_volume")
+def _x1(s: Star, spark, sf_dir):
+    return worksheet.last_month_volume(s.transactions, P.as_of, P.home_subsidiary)
+
+
+@register("x2_last_month_success_rate")
+def _x2(s: Star, spark, sf_dir):
+    return worksheet.last_month_success_rate(s.transactions, P.as_of)
+
+
+@register("x3_volume_rag")
+def _x3(s: Star, spark, sf_dir):
+    return worksheet.volume_rag(s.transactions, s.kpi_targets, P.as_of)
+
+
+@register("x4_top_failures")
+def _x4(s: Star, spark, sf_dir):
+    return worksheet.top_failures(s.transactions, P.as_of, n=5)
+
+
+@register("x5_channel_product_sr_matrix")
+def _x5(s: Star, spark, sf_dir):
+    return worksheet.channel_product_sr_matrix(s.transactions, list(P.products))
+
+
+@register("x6_mom_arrow")
+def _x6(s: Star, spark, sf_dir):
+    return worksheet.mom_arrow(s.transactions, P.as_of)
+
+
+@register("x7_float_utilisation")
+def _x7(s: Star, spark, sf_dir):
+    return worksheet.float_utilisation(s.transactions, s.agents, P.as_of)
+
+
+@register("x8_corridor_month_matrix")
+def _x8(s: Star, spark, sf_dir):
+    return worksheet.corridor_month_matrix(s.transactions, P.remit_product)
+
+
+@register("x9_ytd_running_total")
+def _x9(s: Star, spark, sf_dir):
+    return worksheet.ytd_running_total(s.transactions, P.as_of, P.home_subsidiary)
+
+
+@register("x10_rolling_3m_success_rate")
+def _x10(s: Star, spark, sf_dir):
+    k = export.monthly_kpis(s.transactions).select("Month", "PRODUCT", "SUBSIDIARY", "SuccessRate")
+    r = worksheet.rolling_mean(k, "SuccessRate", "Month", ["PRODUCT", "SUBSIDIARY"], rows=3, out="_r")
+    return r.withColumn("Rolling3M_SR", kpi.rnd("_r", 2)).drop("_r")
+
+
+# ------------------------------------------------------------------ M series
+def _monthly(s: Star, by: list[str]):
+    return measures.monthly_measures(s.transactions, by)
+
+
+@register("m01_m09_base_measures")
+def _m01(s: Star, spark, sf_dir):
+    return _monthly(s, ["PRODUCT"])
+
+
+@register("m10_m21_prior_period_growth")
+def _m10(s: Star, spark, sf_dir):
+    return measures.prior_period_measures(_monthly(s, ["PRODUCT", "SUBSIDIARY"]), ["PRODUCT", "SUBSIDIARY"])
+
+
+@register("m22_m26_attainment_rag")
+def _m22(s: Star, spark, sf_dir):
+    return measures.attainment_measures(_monthly(s, ["PRODUCT", "SUBSIDIARY"]), s.kpi_targets)
+
+
+@register("m27_m29_rolling_3m")
+def _m27(s: Star, spark, sf_dir):
+    r = measures.rolling_measures(_monthly(s, ["PRODUCT", "SUBSIDIARY"]), ["PRODUCT", "SUBSIDIARY"])
+    # windowed means of doubles depend on summation order in the last bits: compare at 6 dp
+    for c in ("rolling_3m_avg_success_rate", "rolling_3m_avg_transactions", "sr_vs_rolling_3m"):
+        r = r.withColumn(c, kpi.rnd(c, 6))
+    return r
+
+
+@register("m30_m32_ytd")
+def _m30(s: Star, spark, sf_dir):
+    return measures.ytd_measures(_monthly(s, ["PRODUCT"]), ["PRODUCT"])
+
+
+@register("m33_m34_active_agents")
+def _m33(s: Star, spark, sf_dir):
+    return measures.agent_activity_measures(measures.with_month(s.transactions), [measures.MONTH], P.agency_product)
+
+
+@register("m35_float_utilisation_ratio")
+def _m35(s: Star, spark, sf_dir):
+    return measures.float_utilisation_ratio(s.transactions, s.agents)
+
+
+@register("m36_cross_border_volume")
+def _m36(s: Star, spark, sf_dir):
+    return measures.cross_border_volume(measures.with_month(s.transactions), [measures.MONTH], P.remit_product)
+
+
+@register("m37_corridor_column")
+def _m37(s: Star, spark, sf_dir):
+    t = s.transactions.filter(F.col("PRODUCT") == F.lit(P.remit_product))
+    return t.groupBy(measures.corridor_column().alias("corridor")).agg(
+        F.count(F.lit(1)).alias("total_transactions"), F.sum("TXN_AMOUNT_USD").alias("total_value_usd")
+    )
+
+
+@register("m38_new_customers")
+def _m38(s: Star, spark, sf_dir):
+    return measures.new_customers(s.transactions)
+
+
+@register("m39_m40_product_revenue_rank")
+def _m39(s: Star, spark, sf_dir):
+    b = measures.revenue_per_customer(measures.base_measures(s.transactions, ["PRODUCT"]))
+    return measures.dense_rank_desc(b, "total_transactions", "product_rank_by_volume").select(
+        "PRODUCT", "total_transactions", "total_value_usd", "unique_customers", "revenue_per_customer_usd",
+        "product_rank_by_volume",
+    )
+
+
+@register("m41_subsidiary_rank_by_value")
+def _m41(s: Star, spark, sf_dir):
+    b = measures.base_measures(measures.with_month(s.transactions), [measures.MONTH, "SUBSIDIARY"])
+    return measures.dense_rank_desc(b, "total_value_usd", "subsidiary_rank_by_value", within=[measures.MONTH]).select(
+        measures.MONTH, "SUBSIDIARY", "total_value_usd", "subsidiary_rank_by_value"
+    )
+
+
+@register("m42_report_title")
+def _m42(s: Star, spark, sf_dir):
+    return measures.report_title_for(s.transactions)
