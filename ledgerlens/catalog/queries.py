@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions import kpi
-from ledgerlens.operators import cohort, export, measures, reports, rfm, stats, worksheet
+from ledgerlens.operators import cohort, dashboards, export, measures, reports, rfm, stats, worksheet
 from ledgerlens.params import ReportParams
 from ledgerlens.session import configure
 from ledgerlens.sources.star import Star, events_as_transactions, star_from_tpch
@@ -349,3 +349,74 @@ def _m41(s: Star, spark, sf_dir):
 @register("m42_report_title")
 def _m42(s: Star, spark, sf_dir):
     return measures.report_title_for(s.transactions)
+
+
+# ------------------------------------------------------------------ D series
+@register("d1_kpi_cards")
+def _d1a(s: Star, spark, sf_dir):
+    return dashboards.kpi_cards(s.transactions, P.as_of)
+
+
+@register("d1_product_table")
+def _d1b(s: Star, spark, sf_dir):
+    return dashboards.product_table(s.transactions, s.kpi_targets, P.as_of)
+
+
+@register("d2_month_product_matrix")
+def _d2a(s: Star, spark, sf_dir):
+    return dashboards.month_product_matrix(s.transactions, list(P.products))
+
+
+@register("d2_channel_share")
+def _d2b(s: Star, spark, sf_dir):
+    return dashboards.channel_share(s.transactions)
+
+
+@register("d2_product_status")
+def _d2c(s: Star, spark, sf_dir):
+    return dashboards.product_status(s.transactions)
+
+
+@register("d3_failure_overview")
+def _d3a(s: Star, spark, sf_dir):
+    return dashboards.failure_overview(s.transactions)
+
+
+@register("d3_failures_by_description")
+def _d3b(s: Star, spark, sf_dir):
+    return dashboards.failures_by_description(s.transactions)
+
+
+@register("d3_failed_value_by_category")
+def _d3c(s: Star, spark, sf_dir):
+    return dashboards.failed_value_by_category(s.transactions)
+
+
+@register("d3_failure_rate_by_month_channel")
+def _d3d(s: Star, spark, sf_dir):
+    return dashboards.failure_rate_by_month_channel(s.transactions)
+
+
+@register("d4_destination_volume")
+def _d4a(s: Star, spark, sf_dir):
+    return dashboards.destination_volume(s.transactions, P.remit_product)
+
+
+@register("d4_corridor_table")
+def _d4b(s: Star, spark, sf_dir):
+    return dashboards.corridor_table(s.transactions, P.remit_product)
+
+
+@register("d5_agent_cards")
+def _d5a(s: Star, spark, sf_dir):
+    return dashboards.agent_cards(s.transactions, P.agency_product)
+
+
+@register("d5_region_totals")
+def _d5b(s: Star, spark, sf_dir):
+    return dashboards.region_totals(s.transactions, s.agents, P.agency_product)
+
+
+@register("d5_county_value")
+def _d5c(s: Star, spark, sf_dir):
+    return dashboards.county_value(s.transactions, s.agents, P.agency_product)
