@@ -19,7 +19,7 @@ from ledgerlens.functions import kpi
 from ledgerlens.operators import cohort, dashboards, export, measures, reports, rfm, stats, worksheet
 from ledgerlens.params import ReportParams
 from ledgerlens.session import configure
-from ledgerlens.sources.star import Star, events_as_transactions, star_from_tpch
+from ledgerlens.sources.star import Star, events_as_transactions, materialized_star, star_from_tpch
 
 P = ReportParams()
 EVENTS_AS_OF = dt.date(2024, 1, 31)
@@ -49,8 +49,17 @@ def normalise(df: DataFrame) -> DataFrame:
 
 
 def _star(spark: SparkSession, sf_dir: str) -> Star:
+    """The star for ``sf_dir``: derived from the TPC-H-like tables, materialised once.
+
+    With ``ledgerlens.star.materialize`` on (the default) the derived fact is
+    written month-partitioned under the session's shared checkpoint folder and
+    reused by every report, as a production fact table would be; off, every
+    report re-derives it from the source tables.
+    """
     configure(spark)
-    return star_from_tpch(spark, sf_dir)
+    if spark.conf.get("ledgerlens.star.materialize", "true").lower() != "true":
+        return star_from_tpch(spark, sf_dir)
+    return materialized_star(spark, sf_dir)
 
 
 def register(name: str):

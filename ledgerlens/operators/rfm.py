@@ -19,14 +19,6 @@ from ledgerlens.plans.ordered import quantile_scalars
 D = "TRANSACTION_DATE"
 QUINTILES = [0.2, 0.4, 0.6, 0.8]
 
-# Segment rules (fixed values of the report), tested in this order.
-SEGMENT_RULES = (
-    ("Champions", "RFM >= 13"),
-    ("Loyal", "R >= 4"),
-    ("Potential Loyalists", "R >= 3"),
-    ("At Risk", "R = 2"),
-    ("Lost", "otherwise"),
-)
 AT_RISK_SEGMENTS = ("At Risk", "Lost")
 
 
@@ -71,6 +63,7 @@ def quintile_score(value: Column, bounds: list[Column], reverse: bool = False) -
 
 
 def rfm_segment(r: Column, rfm: Column) -> Column:
+    """Segment rules (fixed values of the report), tested in this order."""
     return (
         F.when(rfm >= 13, "Champions")
         .when(r >= 4, "Loyal")
@@ -82,9 +75,8 @@ def rfm_segment(r: Column, rfm: Column) -> Column:
 
 def rfm_scores(features: DataFrame) -> DataFrame:
     """Add R, F, M quintile scores, their sum and the RFM segment."""
-    rb = quantile_scalars(features, "recency", QUINTILES)
-    fb = quantile_scalars(features, "frequency", QUINTILES)
-    mb = quantile_scalars(features, "monetary", QUINTILES)
+    b = quantile_scalars(features, ["recency", "frequency", "monetary"], QUINTILES)
+    rb, fb, mb = b["recency"], b["frequency"], b["monetary"]
     s = features.select(
         "*",
         quintile_score(F.col("recency"), rb, reverse=True).alias("R"),

@@ -57,35 +57,62 @@ def global_index(df: DataFrame, order_cols: list[str | Column], out: str = "_idx
     )
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], num_partitions: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], num_partitions: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles (numpy/pandas default, SQL ``quantile_cont``) computed distributed.
 
-    Returns one row per probability: ``(q, value)``. Only the two order
-    statistics around each position are selected; nothing is collected.
+    All columns are ranked in one pass: values are stacked as (column id,
+    value), globally indexed in (column id, value) order, and each column's
+    positions are offset by the number of values of the columns before it.
+    Only the two order statistics around each position are selected; nothing
+    is collected. Returns ``(column, q, value)`` rows; NULL values are ignored.
     """
-    v = df.select(F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    idx = global_index(v, ["_v"], num_partitions=num_partitions)
-    total = idx.select(F.count(F.lit(1))).scalar()
-    pos = (
-        df.sparkSession.createDataFrame([(float(p),) for p in probs], "q double")
-        .withColumn("_h", (total - 1).cast("double") * F.col("q"))
-        .withColumn("_lo", F.floor("_h").cast("bigint"))
-        .withColumn("_hi", F.ceil("_h").cast("bigint"))
-        .withColumn("_frac", F.col("_h") - F.col("_lo"))
+    stacked = (
+        df.select(
+            F.explode(
+                F.array(*[F.struct(F.lit(i).alias("_f"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)])
+            ).alias("_s")
+        )
+        .select("_s._f", "_s._v")
+        .filter(F.col("_v").isNotNull())
+    )
+    idx = global_index(stacked, ["_f", "_v"], num_partitions=num_partitions)
+    per_col = idx.groupBy("_f").agg(F.count(F.lit(1)).alias("_n"))  # one row per column
+    starts = per_col.select(
+        "_f",
+        "_n",
+        F.coalesce(F.sum("_n").over(Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        .alias("_start"),
     )
-    # at most two rows per probability are kept from the indexed data
-    picks = idx.join(
-        F.broadcast(pos.select("q", F.explode(F.array("_lo", "_hi")).alias("_idx")).distinct()), "_idx"
+    pos = (
+        starts.select("_f", "_n", "_start", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
+        .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("q"))
+        .withColumn("_lo", F.col("_start") + F.floor("_h").cast("bigint"))
+        .withColumn("_hi", F.col("_start") + F.ceil("_h").cast("bigint"))
+        .withColumn("_frac", F.col("_h") - F.floor("_h"))
     )
-    vals = picks.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("_idx", "_v"))).alias("_m"))
-    return pos.join(vals, "q").select(
+    # at most two rows per (column, probability) are kept from the indexed data
+    wanted = pos.select(F.explode(F.array("_lo", "_hi")).alias("_idx")).distinct()
+    picks = idx.join(F.broadcast(wanted), "_idx").select("_idx", "_v")
+    lo = picks.select(F.col("_idx").alias("_lo"), F.col("_v").alias("_vlo"))
+    hi = picks.select(F.col("_idx").alias("_hi"), F.col("_v").alias("_vhi"))
+    names = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_f") + 1)
+    return pos.join(lo, "_lo").join(hi, "_hi").select(
+        names.alias("column"),
         "q",
-        (F.element_at("_m", F.col("_lo")) + F.col("_frac") * (F.element_at("_m", F.col("_hi")) - F.element_at("_m", F.col("_lo"))))
-        .alias("value"),
+        (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("value"),
     )
 
 
-def quantile_scalars(df: DataFrame, value: str, probs: list[float]) -> list[Column]:
-    """The quantiles of ``exact_quantiles`` as scalar-subquery columns, in ``probs`` order."""
-    q = exact_quantiles(df, value, probs)
-    return [q.filter(F.col("q") == F.lit(float(p))).select("value").scalar() for p in probs]
+def quantile_scalars(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[Column]]:
+    """Quantiles of several columns as scalar-subquery columns: ``{column: [q1, q2, ...]}``.
+
+    One subquery returns every quantile as a map; each threshold is a lookup
+    into it, and Spark evaluates the identical subquery once per query.
+    """
+    q = exact_quantiles(df, cols, probs)
+    key = F.concat_ws(":", F.col("column"), F.col("q").cast("string"))
+    table = q.agg(F.map_from_entries(F.collect_list(F.struct(key, F.col("value"))))).scalar()
+    return {
+        c: [F.element_at(table, F.concat_ws(":", F.lit(c), F.lit(float(p)).cast("string"))) for p in probs]
+        for c in cols
+    }
