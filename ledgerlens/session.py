@@ -49,6 +49,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not configured:
         # Only reached in local tests: a cluster names a shared folder.
         configured = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
+
+
+def shared_root(spark: SparkSession) -> str:
+    """Folder for tables this library writes: ``ledgerlens.star.root``, else the checkpoint folder."""
+    root = spark.conf.get("ledgerlens.star.root", None) or spark.conf.get("spark.checkpoint.dir", None)
+    return (root or ensure_checkpoint_dir(spark)).rstrip("/")

@@ -274,17 +274,16 @@ def _read_star(spark: SparkSession, path: str) -> Star:
 def materialized_star(spark: SparkSession, sf_dir: str) -> Star:
     """Derive the star from ``sf_dir`` once and keep it under the shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir`` (the cluster's shared
-    storage). A rerun with unchanged sources reads the written tables; a
+    The folder comes from ``ledgerlens.star.root`` or ``spark.checkpoint.dir``
+    (the cluster's shared storage). A rerun with unchanged sources reads the written tables; a
     missing or half-written table (the dimension tables are written last)
     makes the load fail and the star is rebuilt.
     """
     from pyspark.errors import AnalysisException
 
-    from ledgerlens.session import ensure_checkpoint_dir
+    from ledgerlens.session import shared_root
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
-    path = f"{root.rstrip('/')}/ledgerlens-star/{_source_fingerprint(sf_dir)}"
+    path = f"{shared_root(spark)}/ledgerlens-star/{_source_fingerprint(sf_dir)}"
     try:
         return _read_star(spark, path)
     except AnalysisException:
