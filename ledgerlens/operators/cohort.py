@@ -1,11 +1,12 @@
 """Cohort retention (R09a, R09b) and the wide cohort grid (P5).
 
-Plan: reduce successful transactions to distinct (customer, activity month)
--- partial aggregation on the map side, so a customer with millions of rows
-contributes one row per month -- then take each customer's first month with a
-window partitioned by customer (bounded by the number of months), and count
-customers per (cohort, offset). The cohort size is the offset-0 count, since
-every customer is active in their own cohort month; no second join is needed.
+Plan: one aggregation per customer collects the set of months in which the
+customer succeeded (map-side partial sets, so a customer with millions of rows
+ships at most one value per month, and there is a single shuffle by
+customer); the smallest month is the cohort, and exploding the set gives one
+row per (customer, active month). Customers are then counted per (cohort,
+offset). The cohort size is the offset-0 count, since every customer is
+active in their own cohort month; no second join is needed.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ from ledgerlens.params import add_months, month_start
 
 
 def _retention_counts(txns: DataFrame) -> DataFrame:
-    act = (
+    months = (
         txns.filter(kpi.status_is(kpi.SUCCESS) & F.col("CUSTOMER_ID").isNotNull())
-        .select("CUSTOMER_ID", kpi.month_date("TRANSACTION_DATE").alias("activity_month"))
-        .distinct()
+        .groupBy("CUSTOMER_ID")
+        .agg(F.collect_set(kpi.month_date("TRANSACTION_DATE")).alias("_months"))
     )
-    w = Window.partitionBy("CUSTOMER_ID")
-    act = act.withColumn("cohort_month", F.min("activity_month").over(w)).withColumn(
+    act = months.select(
+        F.array_min("_months").alias("cohort_month"), F.explode("_months").alias("activity_month")
+    ).withColumn(
         "month_offset",
         (kpi.month_index("activity_month") - kpi.month_index("cohort_month")).cast("bigint"),
     )

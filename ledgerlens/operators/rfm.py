@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import kpi
-from ledgerlens.plans.ordered import quantile_scalars
+from ledgerlens.plans.ordered import quantile_key, quantile_map
 
 D = "TRANSACTION_DATE"
 QUINTILES = [0.2, 0.4, 0.6, 0.8]
@@ -26,21 +26,19 @@ def rfm_features(txns: DataFrame, customers: DataFrame, as_of: dt.date, days: in
     """Recency (whole days before the window's last transaction), frequency, monetary, breadth, CRM segment.
 
     Recency floors elapsed seconds / 86400, as a timedelta's ``.days`` does.
+    Transactions are aggregated per customer before the join with the customer
+    dimension (whose keys are unique), so the join sees one row per customer;
+    the snapshot is the latest transaction among the joined customers.
     """
     start = as_of - dt.timedelta(days=days)
-    f = (
-        txns.filter(kpi.status_is(kpi.SUCCESS) & kpi.in_range(D, start))
-        .join(customers.select("CUSTOMER_ID", F.col("SEGMENT").alias("CRM_SEGMENT")), "CUSTOMER_ID")
-        .withColumn("_ts", F.col(D).cast("timestamp_ntz"))
-    )
-    snap = f.select(F.max("_ts")).scalar()
+    f = txns.filter(kpi.status_is(kpi.SUCCESS) & kpi.in_range(D, start)).withColumn("_ts", F.col(D).cast("timestamp_ntz"))
     per = f.groupBy("CUSTOMER_ID").agg(
         F.max("_ts").alias("_last"),
         F.count(F.lit(1)).alias("frequency"),
         F.sum("TXN_AMOUNT_USD").alias("monetary"),
         F.countDistinct("PRODUCT").alias("products_used"),
-        F.min("CRM_SEGMENT").alias("crm_segment"),
-    )
+    ).join(customers.select("CUSTOMER_ID", F.col("SEGMENT").alias("crm_segment")), "CUSTOMER_ID")
+    snap = per.select(F.max("_last")).scalar()
     secs = F.timestamp_diff("SECOND", F.col("_last"), snap)
     return per.select(
         "CUSTOMER_ID",
@@ -75,14 +73,15 @@ def rfm_segment(r: Column, rfm: Column) -> Column:
 
 def rfm_scores(features: DataFrame) -> DataFrame:
     """Add R, F, M quintile scores, their sum and the RFM segment."""
-    b = quantile_scalars(features, ["recency", "frequency", "monetary"], QUINTILES)
-    rb, fb, mb = b["recency"], b["frequency"], b["monetary"]
-    s = features.select(
+    cols = ["recency", "frequency", "monetary"]
+    f = features.withColumn("_q", quantile_map(features, cols, QUINTILES))
+    rb, fb, mb = ([F.element_at(F.col("_q"), quantile_key(c, p)) for p in QUINTILES] for c in cols)
+    s = f.select(
         "*",
         quintile_score(F.col("recency"), rb, reverse=True).alias("R"),
         quintile_score(F.col("frequency"), fb).alias("F"),
         quintile_score(F.col("monetary"), mb).alias("M"),
-    ).withColumn("RFM", F.col("R") + F.col("F") + F.col("M"))
+    ).drop("_q").withColumn("RFM", F.col("R") + F.col("F") + F.col("M"))
     return s.withColumn("RFM_SEGMENT", rfm_segment(F.col("R"), F.col("RFM")))
 
 

@@ -103,16 +103,16 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], num_part
     )
 
 
-def quantile_scalars(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[Column]]:
-    """Quantiles of several columns as scalar-subquery columns: ``{column: [q1, q2, ...]}``.
+def quantile_key(column: str, p: float) -> Column:
+    return F.concat_ws(":", F.lit(column), F.lit(float(p)).cast("string"))
 
-    One subquery returns every quantile as a map; each threshold is a lookup
-    into it, and Spark evaluates the identical subquery once per query.
+
+def quantile_map(df: DataFrame, cols: list[str], probs: list[float]) -> Column:
+    """All quantiles of ``exact_quantiles`` as one scalar subquery: a map keyed ``column:q``.
+
+    Bind it once with ``withColumn`` and look thresholds up with
+    ``element_at(col, quantile_key(column, p))`` so the subquery runs once.
     """
     q = exact_quantiles(df, cols, probs)
     key = F.concat_ws(":", F.col("column"), F.col("q").cast("string"))
-    table = q.agg(F.map_from_entries(F.collect_list(F.struct(key, F.col("value"))))).scalar()
-    return {
-        c: [F.element_at(table, F.concat_ws(":", F.lit(c), F.lit(float(p)).cast("string"))) for p in probs]
-        for c in cols
-    }
+    return q.agg(F.map_from_entries(F.collect_list(F.struct(key, F.col("value"))))).scalar()
