@@ -67,26 +67,29 @@ def monthly_measures(txns: DataFrame, by: list[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- M10-M21
+def _shifted(value: str, by: list[str], months: int) -> Column:
+    """The value of the same group exactly ``months`` calendar months earlier (NULL when absent).
+
+    A range frame on the month index selects at most one row, so this is a
+    calendar shift, not a LAG to the previous present month, and it needs no
+    self-join: one window partitioned by the group over the monthly aggregate.
+    """
+    w = Window.partitionBy(*by).orderBy(kpi.month_index(MONTH)).rangeBetween(-months, -months)
+    return F.max(value).over(w)
+
+
 def prior_period_measures(monthly: DataFrame, by: list[str]) -> DataFrame:
     """LM / LY values by calendar shift and the growth measures built on them."""
-    keys = [MONTH, *by]
-    lm = monthly.select(
-        *by,
-        F.add_months(MONTH, 1).alias(MONTH),
-        F.col("total_transactions").alias("transactions_lm"),
-        F.col("total_value_usd").alias("value_usd_lm"),
-        F.col("success_rate_pct").alias("_sr_lm"),
-        F.col("unique_customers").alias("customers_lm"),
-    )
-    ly = monthly.select(
-        *by,
-        F.add_months(MONTH, 12).alias(MONTH),
-        F.col("total_transactions").alias("transactions_ly"),
-        F.col("total_value_usd").alias("value_usd_ly"),
+    j = monthly.select(
+        "*",
+        _shifted("total_transactions", by, 1).alias("transactions_lm"),
+        _shifted("total_value_usd", by, 1).alias("value_usd_lm"),
+        _shifted("unique_customers", by, 1).alias("customers_lm"),
+        _shifted("total_transactions", by, 12).alias("transactions_ly"),
+        _shifted("total_value_usd", by, 12).alias("value_usd_ly"),
+        # Success Rate LM is DIVIDE(.., .., 0): an empty prior month gives 0, not blank
+        F.coalesce(_shifted("success_rate_pct", by, 1), F.lit(0.0)).alias("success_rate_lm"),
     )
-    j = monthly.join(lm, keys, "left").join(ly, keys, "left")
-    # Success Rate LM is DIVIDE(.., .., 0): an empty prior month gives 0, not blank
-    j = j.withColumn("success_rate_lm", F.coalesce("_sr_lm", F.lit(0.0))).drop("_sr_lm")
     g = (
         j.withColumn("mom_volume_growth_pct", _divb(F.col("total_transactions") - F.col("transactions_lm"), "transactions_lm") * F.lit(100.0))
         .withColumn("yoy_volume_growth_pct", _divb(F.col("total_transactions") - F.col("transactions_ly"), "transactions_ly") * F.lit(100.0))
@@ -180,8 +183,7 @@ def ytd_measures(monthly: DataFrame, by: list[str]) -> DataFrame:
         F.sum("total_transactions").over(w).alias("ytd_transactions"),
         F.sum("total_value_usd").over(w).alias("ytd_value_usd"),
     )
-    py = y.select(*by, F.add_months(MONTH, 12).alias(MONTH), F.col("ytd_transactions").alias("_py"))
-    j = y.join(py, [MONTH, *by], "left")
+    j = y.withColumn("_py", _shifted("ytd_transactions", by, 12))
     return j.select(
         MONTH,
         *by,

@@ -284,10 +284,17 @@ def materialized_star(spark: SparkSession, sf_dir: str) -> Star:
     from ledgerlens.session import shared_root
 
     path = f"{shared_root(spark)}/ledgerlens-star/{_source_fingerprint(sf_dir)}"
-    try:
-        return _read_star(spark, path)
-    except AnalysisException:
-        return materialize(star_from_tpch(spark, sf_dir), path)
+    key = (id(spark), path)
+    if key not in _LOADED:
+        try:
+            _LOADED[key] = _read_star(spark, path)
+        except AnalysisException:
+            _LOADED[key] = materialize(star_from_tpch(spark, sf_dir), path)
+    return _LOADED[key]
+
+
+# loaded stars per (session, folder): lazy DataFrames, so reuse only skips file listing
+_LOADED: dict[tuple[int, str], Star] = {}
 
 
 def materialize(star: Star, path: str) -> Star:
