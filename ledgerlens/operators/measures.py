@@ -138,6 +138,24 @@ def attainment_measures(monthly: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- calendar
+def date_table(txns: DataFrame) -> DataFrame:
+    """The day calendar the time-intelligence measures assume: every date from the first to the
+    last transaction with its month (``Date``, ``MonthYear``, ``Year``, ``Month``).
+
+    The bounds are one global aggregate; ``sequence`` expands them on one row,
+    so the calendar's size is the number of days, independent of the fact size.
+    """
+    b = txns.agg(F.min(kpi.txn_date(D)).alias("_lo"), F.max(kpi.txn_date(D)).alias("_hi"))
+    days = b.select(F.explode(F.sequence("_lo", "_hi")).alias("Date"))
+    return days.select(
+        "Date",
+        F.date_format("Date", "MMM yyyy").alias("MonthYear"),
+        F.year("Date").alias("Year"),
+        F.month("Date").alias("Month"),
+    )
+
+
 # ---------------------------------------------------------------- spine
 def month_spine(monthly: DataFrame, by: list[str]) -> DataFrame:
     """Every calendar month between the first and last month of the data, for every ``by`` group.

@@ -35,6 +35,7 @@ def configure(spark: SparkSession) -> SparkSession:
     """Session settings every report relies on; safe to call on any session."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     ensure_checkpoint_dir(spark)
     return spark
 

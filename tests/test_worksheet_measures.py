@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from ledgerlens.operators import dashboards, export, measures, worksheet
 from ledgerlens.sources import schemas
 
@@ -122,11 +124,8 @@ def test_m26_sr_rag_uses_best_target_of_any_month(txns, frame):
     assert r.volume_attainment_pct == 2000.0 and r.volume_rag == "GREEN" and r.volume_rag_numeric == 1
 
 
-def test_m42_title():
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    t = spark.range(1).select(measures.report_title(__import__("pyspark.sql.functions", fromlist=["lit"]).lit(AS_OF)).alias("t"))
+def test_m42_title(spark):
+    t = spark.range(1).select(measures.report_title(F.lit(AS_OF)).alias("t"))
     assert t.collect()[0].t == "Payments Performance — May 2024"
 
 
@@ -151,3 +150,9 @@ def test_d2_channel_share_sums_to_100(txns):
     data = [{"CHANNEL": c} for c in ("A", "A", "B", "C")]
     out = dashboards.channel_share(txns(data)).collect()
     assert abs(sum(r.share_pct for r in out) - 100.0) < 1e-9
+
+
+def test_date_table_covers_every_day(txns):
+    data = [{"TRANSACTION_DATE": dt.date(2024, 1, 30)}, {"TRANSACTION_DATE": dt.date(2024, 3, 2)}]
+    cal = measures.date_table(txns(data)).collect()
+    assert len(cal) == 33 and cal[0].MonthYear == "Jan 2024"
