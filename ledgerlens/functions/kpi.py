@@ -150,3 +150,23 @@ def in_range(c: str, start, end=None) -> Column:
     if end is not None:
         cond = cond & (d < F.lit(end))
     return cond
+
+
+def date_window(df, start=None, end=None, c: str = "TRANSACTION_DATE"):
+    """Rows with ``start <= c < end``; on a month-partitioned fact also the implied month range.
+
+    A fact written by ``sources.star.materialize`` carries the ``TXN_MONTH``
+    partition column (``yyyy-MM`` of the date). The month predicate is implied
+    by the date range, so adding it never changes the result, but it lets
+    Spark prune whole month folders before any file is opened.
+    """
+    import datetime as _dt
+
+    out = df.filter(in_range(c, start, end))
+    if "TXN_MONTH" in df.columns:
+        if start is not None:
+            out = out.filter(F.col("TXN_MONTH") >= F.lit(start.strftime("%Y-%m")))
+        if end is not None:
+            last = end - _dt.timedelta(days=1) if not isinstance(end, _dt.datetime) else end
+            out = out.filter(F.col("TXN_MONTH") <= F.lit(last.strftime("%Y-%m")))
+    return out

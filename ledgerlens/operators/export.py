@@ -46,11 +46,8 @@ def agent_summary(txns: DataFrame, agents: DataFrame, as_of: dt.date, product: s
     """Last-month agent sheet (lighter R04); ordered by region as in the original."""
     start, end = prior_month_bounds(as_of)
     per = (
-        txns.filter(
-            (F.col("PRODUCT") == F.lit(product))
-            & F.col("AGENT_ID").isNotNull()
-            & (F.col("AGENT_ID") != "")
-            & kpi.in_range(D, start, end)
+        kpi.date_window(txns, start, end).filter(
+            (F.col("PRODUCT") == F.lit(product)) & F.col("AGENT_ID").isNotNull() & (F.col("AGENT_ID") != "")
         )
         .groupBy("AGENT_ID")
         .agg(

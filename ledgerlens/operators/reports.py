@@ -105,7 +105,7 @@ def kpi_rag(
     start, end = prior_month_bounds(as_of)
     norm = lambda c: F.upper(F.trim(F.col(c)))
     actuals = (
-        txns.filter(kpi.in_range(D, start, end))
+        kpi.date_window(txns, start, end)
         .groupBy(
             norm("PRODUCT").alias("PRODUCT"),
             norm("SUBSIDIARY").alias("SUBSIDIARY"),
@@ -183,11 +183,7 @@ def failure_spikes(
     recent_start = as_of - dt.timedelta(days=recent_days)
     start = as_of - dt.timedelta(days=window_days)
     recent = F.col(D) >= F.lit(recent_start)
-    f = txns.filter(
-        kpi.status_is(kpi.FAILED)
-        & kpi.non_blank("FAILURE_DESCRIPTION")
-        & kpi.in_range(D, start)
-    )
+    f = kpi.date_window(txns, start).filter(kpi.status_is(kpi.FAILED) & kpi.non_blank("FAILURE_DESCRIPTION"))
     p = f.groupBy(
         F.col("CHANNEL").alias("channel"),
         F.col("CHANNEL_TYPE").alias("channel_type"),
@@ -245,9 +241,7 @@ def agent_scorecard(
     """
     start, end = prior_month_bounds(as_of)
     start = add_months(end, -months)
-    f = txns.filter(
-        (F.col("PRODUCT") == F.lit(product)) & kpi.in_range(D, start, end) & kpi.non_blank("AGENT_ID")
-    )
+    f = kpi.date_window(txns, start, end).filter((F.col("PRODUCT") == F.lit(product)) & kpi.non_blank("AGENT_ID"))
     per_agent = f.groupBy("AGENT_ID").agg(
         F.count(F.lit(1)).alias("total_txns"),
         kpi.successes().alias("successful_txns"),
@@ -305,10 +299,8 @@ def corridor_analysis(txns: DataFrame, as_of: dt.date, product: str, months: int
     """
     end = month_start(as_of)
     start = add_months(end, -months)
-    f = txns.filter(
-        (F.col("PRODUCT") == F.lit(product))
-        & ~F.col("SOURCE_COUNTRY").eqNullSafe(F.col("DEST_COUNTRY"))
-        & kpi.in_range(D, start, end)
+    f = kpi.date_window(txns, start, end).filter(
+        (F.col("PRODUCT") == F.lit(product)) & ~F.col("SOURCE_COUNTRY").eqNullSafe(F.col("DEST_COUNTRY"))
     )
     local = F.coalesce("TXN_AMOUNT_LOCAL", F.lit(0))
     c = f.groupBy(
@@ -403,7 +395,7 @@ def segment_revenue(txns: DataFrame, customers: DataFrame, as_of: dt.date, month
     pairs, not transactions.
     """
     start = month_start(add_months(as_of, -months))
-    f = txns.filter(kpi.status_is(kpi.SUCCESS) & kpi.in_range(D, start))
+    f = kpi.date_window(txns, start).filter(kpi.status_is(kpi.SUCCESS))
     pairs = f.groupBy("CUSTOMER_ID", "PRODUCT").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.coalesce("TXN_AMOUNT_USD", F.lit(0))).alias("usd"),
@@ -438,7 +430,7 @@ def channel_product_matrix(txns: DataFrame, as_of: dt.date, months: int = 3) ->
     """Channel x product success, speed, value and fee, with two rankings."""
     start = month_start(add_months(as_of, -months))
     secs = F.col("PROCESSING_TIME_SECS")
-    cp = txns.filter(kpi.in_range(D, start)).groupBy(
+    cp = kpi.date_window(txns, start).groupBy(
         F.col("CHANNEL").alias("channel"), F.col("CHANNEL_TYPE").alias("channel_type"), F.col("PRODUCT").alias("product")
     ).agg(
         F.count(F.lit(1)).alias("total_txns"),
@@ -473,7 +465,7 @@ def subsidiary_benchmark(txns: DataFrame, as_of: dt.date, remit_product: str, mo
     ``remit_txns`` uses ``<>`` (NULL countries are not counted), as the report does.
     """
     start = add_months(as_of, -months)
-    f = txns.filter(kpi.in_range(D, start))
+    f = kpi.date_window(txns, start)
     remit = (F.col("PRODUCT") == F.lit(remit_product)) & (F.col("SOURCE_COUNTRY") != F.col("DEST_COUNTRY"))
     return f.groupBy("SUBSIDIARY", "COUNTRY").agg(
         F.count(F.lit(1)).alias("total_txns"),
@@ -498,7 +490,7 @@ def fee_profitability(txns: DataFrame, fx: DataFrame, as_of: dt.date) -> DataFra
     a duplicate rate row would double the fees, exactly as the SQL join would.
     """
     start, end = prior_month_bounds(as_of)
-    f = txns.filter(kpi.status_is(kpi.SUCCESS) & kpi.in_range(D, start, end)).withColumn(
+    f = kpi.date_window(txns, start, end).filter(kpi.status_is(kpi.SUCCESS)).withColumn(
         "_m", kpi.month_date(D)
     )
     r = F.broadcast(
@@ -557,7 +549,7 @@ def day_label(ts) -> F.Column:
 def activity_heatmap(txns: DataFrame, as_of: dt.date, months: int = 3) -> DataFrame:
     """Day-of-week x hour volume, success rate, value and speed since the month ``months`` back."""
     start = month_start(add_months(as_of, -months))
-    f = txns.filter(kpi.in_range(D, start))
+    f = kpi.date_window(txns, start)
     return (
         f.groupBy(day_label(F.col(D)).alias("day_of_week"), F.hour(D).cast("bigint").alias("hour_of_day"))
         .agg(

@@ -31,7 +31,7 @@ def rfm_features(txns: DataFrame, customers: DataFrame, as_of: dt.date, days: in
     the snapshot is the latest transaction among the joined customers.
     """
     start = as_of - dt.timedelta(days=days)
-    f = txns.filter(kpi.status_is(kpi.SUCCESS) & kpi.in_range(D, start)).withColumn("_ts", F.col(D).cast("timestamp_ntz"))
+    f = kpi.date_window(txns, start).filter(kpi.status_is(kpi.SUCCESS)).withColumn("_ts", F.col(D).cast("timestamp_ntz"))
     per = f.groupBy("CUSTOMER_ID").agg(
         F.max("_ts").alias("_last"),
         F.count(F.lit(1)).alias("frequency"),

@@ -104,9 +104,7 @@ def ab_test_success_rate(
     One global aggregate with conditional counts produces the single result row.
     """
     start = as_of - dt.timedelta(days=days)
-    f = txns.filter(
-        F.col("CHANNEL").isin(control, treatment) & (F.col("PRODUCT") == F.lit(product)) & kpi.in_range(D, start)
-    )
+    f = kpi.date_window(txns, start).filter(F.col("CHANNEL").isin(control, treatment) & (F.col("PRODUCT") == F.lit(product)))
     is_c, is_t = F.col("CHANNEL") == F.lit(control), F.col("CHANNEL") == F.lit(treatment)
     ok = kpi.status_is(kpi.SUCCESS)
     a = f.agg(
@@ -155,7 +153,7 @@ def linear_forecast(
     clipped at 0. One output row per series x step.
     """
     cur = month_start(as_of).strftime("%Y-%m")
-    m = monthly_volume(txns.filter(F.col(D) < F.lit(month_start(as_of))), list(series)).filter(F.col("month") < cur)
+    m = monthly_volume(kpi.date_window(txns, None, month_start(as_of)), list(series)).filter(F.col("month") < cur)
     w_desc = Window.partitionBy(*series).orderBy(F.col("month").desc())
     tail = m.withColumn("_r", F.row_number().over(w_desc)).filter(F.col("_r") <= history)
     w_all = Window.partitionBy(*series)

@@ -28,7 +28,7 @@ def _last_month(txns: DataFrame, as_of: dt.date, back: int = 1) -> DataFrame:
     start, end = prior_month_bounds(as_of)
     if back > 1:
         start, end = add_months(start, -(back - 1)), add_months(end, -(back - 1))
-    return txns.filter(kpi.in_range(D, start, end))
+    return kpi.date_window(txns, start, end)
 
 
 def _row_set(txns: DataFrame, keys: list[str]) -> DataFrame:
@@ -123,7 +123,7 @@ def mom_arrow(txns: DataFrame, as_of: dt.date) -> DataFrame:
     """Per product: last vs previous full month volume, growth (0 on error) and arrow text."""
     s1, e1 = prior_month_bounds(as_of)
     s2 = add_months(s1, -1)
-    f = txns.filter(kpi.in_range(D, s2, e1))
+    f = kpi.date_window(txns, s2, e1)
     cur = F.col(D) >= F.lit(s1)
     c = f.groupBy("PRODUCT").agg(kpi.count_when(cur).alias("curr"), kpi.count_when(~cur).alias("prev"))
     r = _row_set(txns, ["PRODUCT"]).join(c, "PRODUCT", "left").select(
@@ -200,8 +200,8 @@ def ytd_running_total(
     by ``order_cols``; rows equal on all of them are interchangeable.
     """
     start, end = dt.date(as_of.year, 1, 1), dt.date(as_of.year + 1, 1, 1)
-    f = txns.filter(
-        (F.col("SUBSIDIARY") == F.lit(subsidiary)) & kpi.status_is(kpi.SUCCESS) & kpi.in_range(D, start, end)
+    f = kpi.date_window(txns, start, end).filter(
+        (F.col("SUBSIDIARY") == F.lit(subsidiary)) & kpi.status_is(kpi.SUCCESS)
     ).withColumn("_day", kpi.txn_date(D))
     days = f.groupBy("_day").agg(F.sum("TXN_AMOUNT_USD").alias("_day_total"))
     before = days.select(

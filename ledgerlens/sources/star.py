@@ -266,7 +266,8 @@ def _source_fingerprint(sf_dir: str) -> str:
 def _read_star(spark: SparkSession, path: str) -> Star:
     r = spark.read.format("parquet")
     return Star(
-        transactions=r.load(f"{path}/transactions").drop("TXN_MONTH"),
+        # TXN_MONTH (the partition column) stays: date windows add it for pruning
+        transactions=r.load(f"{path}/transactions"),
         agents=r.load(f"{path}/agents"),
         customers=r.load(f"{path}/customers"),
         kpi_targets=r.load(f"{path}/kpi_targets"),
@@ -325,7 +326,7 @@ def _write_fact(txns: DataFrame, path: str) -> DataFrame:
         .partitionBy("TXN_MONTH")
         .parquet(f"{path}/transactions")
     )
-    return txns.sparkSession.read.parquet(f"{path}/transactions").drop("TXN_MONTH")
+    return txns.sparkSession.read.parquet(f"{path}/transactions")
 
 
 def _write_dims(star: Star, path: str) -> Star:

@@ -34,6 +34,13 @@ def test_date_range_reaches_parquet_scan(star):
     assert "PushedFilters" in plan and "TRANSACTION_DATE" in plan.split("PushedFilters")[1][:400]
 
 
+def test_month_partitions_pruned(star):
+    df = reports.fee_profitability(star.transactions, star.forex_rates, dt.date(2001, 11, 4))
+    plan = physical_plan(df)
+    pf = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "TXN_MONTH" in pf
+
+
 def test_column_pruning(star):
     df = reports.activity_heatmap(star.transactions, dt.date(2001, 11, 4))
     scan = [ln for ln in physical_plan(df).splitlines() if "ReadSchema" in ln]
