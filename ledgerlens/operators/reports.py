@@ -176,7 +176,7 @@ def failure_spikes(
 ) -> DataFrame:
     """Failures in the recent period vs the average prior period, per channel/product/failure.
 
-    The reference's two-step aggregate (per period, then pivot) collapses into
+    The original two-step aggregate (per period, then pivot) collapses into
     one aggregate with conditional sums. Thresholds are tested exactly as
     ``this * k > prior * spike`` (no rounding of ``prior / k``).
     """
