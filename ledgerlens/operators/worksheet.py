@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import kpi
 from ledgerlens.params import add_months, prior_month_bounds
+from ledgerlens.plans.ordered import running_sum
 
 D = "TRANSACTION_DATE"
 
@@ -194,29 +195,16 @@ def ytd_running_total(
 ) -> DataFrame:
     """Row-level running sum of successful USD value this year, in date then ``order_cols`` order.
 
-    Two-level scan so no task holds a whole subsidiary-year: day totals get a
-    running sum over at most 366 rows per subsidiary-year, and the in-day
-    running sum is a window partitioned by day. The row order is made total
-    by ``order_cols``; rows equal on all of them are interchangeable.
+    The scan runs distributed (``plans.ordered.running_sum``): no task holds a
+    whole subsidiary-year or day. The row order is made total by
+    ``order_cols``; rows equal on all of them are interchangeable.
     """
     start, end = dt.date(as_of.year, 1, 1), dt.date(as_of.year + 1, 1, 1)
     f = kpi.date_window(txns, start, end).filter(
         (F.col("SUBSIDIARY") == F.lit(subsidiary)) & kpi.status_is(kpi.SUCCESS)
-    ).withColumn("_day", kpi.txn_date(D))
-    days = f.groupBy("_day").agg(F.sum("TXN_AMOUNT_USD").alias("_day_total"))
-    before = days.select(
-        "_day",
-        F.coalesce(
-            F.sum("_day_total").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_before"),
-    )
-    w = Window.partitionBy("_day").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    within = f.withColumn("_in_day", F.sum("TXN_AMOUNT_USD").over(w))
-    return within.join(before, "_day").select(
-        F.col("_day").alias("txn_date"),
-        *order_cols,
-        kpi.rnd(F.col("_before") + F.col("_in_day"), 4).alias("ytd_usd"),
-    )
+    ).select(kpi.txn_date(D).alias("txn_date"), *order_cols)
+    r = running_sum(f, "TXN_AMOUNT_USD", [], ["txn_date", *order_cols], "_ytd")
+    return r.select("txn_date", *order_cols, kpi.rnd("_ytd", 4).alias("ytd_usd"))
 
 
 # ---------------------------------------------------------------- X10

@@ -116,3 +116,35 @@ def quantile_map(df: DataFrame, cols: list[str], probs: list[float]) -> Column:
     q = exact_quantiles(df, cols, probs)
     key = F.concat_ws(":", F.col("column"), F.col("q").cast("string"))
     return q.agg(F.map_from_entries(F.collect_list(F.struct(key, F.col("value"))))).scalar()
+
+
+def running_sum(df: DataFrame, value: str, group_cols: list[str], order_cols: list[str], out: str,
+                num_partitions: int | None = None) -> DataFrame:
+    """Running sum of ``value`` within each group in ``order_cols`` order, without per-group tasks.
+
+    The rows are range-partitioned on (group, order) -- a group holding a
+    third of all rows spans many partitions -- and checkpointed so partition
+    numbers are fixed. Each partition computes local running sums; the totals
+    of every (partition, group) -- at most partitions + groups rows -- give the
+    offset of each partition's slice of a group. Rows equal on every order
+    column are summed in an unspecified order (their output rows are then
+    interchangeable only if the rows themselves are).
+    """
+    n = _partitions(df, num_partitions)
+    keys = [*group_cols, *order_cols]
+    ranged = (
+        df.repartitionByRange(n, *keys)
+        .sortWithinPartitions(*keys)
+        .withColumn("_pid", F.spark_partition_id())
+        .checkpoint(eager=True)
+    )
+    local_w = Window.partitionBy("_pid", *group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn("_local", F.sum(value).over(local_w))
+    totals = ranged.groupBy("_pid", *group_cols).agg(F.sum(value).alias("_t"))
+    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", *group_cols, F.sum("_t").over(before).alias("_off"))
+    return (
+        local.join(F.broadcast(offsets), ["_pid", *group_cols])
+        .withColumn(out, F.col("_local") + F.coalesce(F.col("_off"), F.lit(0)))
+        .drop("_pid", "_local", "_off")
+    )

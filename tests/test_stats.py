@@ -124,3 +124,16 @@ def test_rfm_segments_and_revenue_at_risk(spark, txns, frame):
     assert risk.revenue_at_risk == expect
     summary = {r.RFM_SEGMENT: r for r in rfm.rfm_summary(scored).collect()}
     assert sum(r.customers for r in summary.values()) == 10
+
+
+def test_running_sum_with_hot_group_spanning_partitions(spark):
+    from ledgerlens.plans.ordered import running_sum
+
+    # group "hot" holds most rows, so it spans several range partitions
+    rows = [("hot" if i % 10 else f"g{i % 3}", i, float(i % 17)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, o long, v double")
+    got = {(r.g, r.o): r.rs for r in running_sum(df, "v", ["g"], ["o"], "rs", num_partitions=9).collect()}
+    acc: dict[str, float] = {}
+    for g, o, v in sorted(rows, key=lambda t: (t[0], t[1])):
+        acc[g] = acc.get(g, 0.0) + v
+        assert got[(g, o)] == acc[g]
