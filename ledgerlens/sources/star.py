@@ -286,15 +286,16 @@ def materialized_star(spark: SparkSession, sf_dir: str) -> Star:
     from ledgerlens.session import shared_root
 
     path = f"{shared_root(spark)}/ledgerlens-star/{_source_fingerprint(sf_dir)}"
-    key = (id(spark), path)
+    key = (spark.sparkContext.applicationId, id(spark), path)
     with _LOCK:
         return _load_or_build(spark, sf_dir, path, key)
 
 
-def _load_or_build(spark: SparkSession, sf_dir: str, path: str, key: tuple[int, str]) -> Star:
+def _load_or_build(spark: SparkSession, sf_dir: str, path: str, key: tuple) -> Star:
     from pyspark.errors import AnalysisException
 
-    if key not in _LOADED:
+    cached = _LOADED.get(key)
+    if cached is None or cached.transactions.sparkSession is not spark:
         try:
             _LOADED[key] = _read_star(spark, path)
         except AnalysisException:
@@ -312,8 +313,8 @@ def _load_or_build(spark: SparkSession, sf_dir: str, path: str, key: tuple[int,
     return _LOADED[key]
 
 
-# loaded stars per (session, folder): lazy DataFrames, so reuse only skips file listing
-_LOADED: dict[tuple[int, str], Star] = {}
+# loaded stars per (application, session, folder): lazy DataFrames, so reuse only skips file listing
+_LOADED: dict[tuple, Star] = {}
 _LOCK = threading.Lock()
 
 
