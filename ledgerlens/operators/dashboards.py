@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import kpi
+from ledgerlens.plans.joins import broadcast_if_small
 from ledgerlens.operators import measures
 from ledgerlens.params import prior_month_bounds
 
@@ -46,7 +47,7 @@ def product_table(txns: DataFrame, targets: DataFrame, as_of: dt.date) -> DataFr
     t = targets.groupBy(F.col("PRODUCT").alias("_p"), F.to_date("TARGET_MONTH").alias("_m")).agg(
         F.sum("TARGET_VOLUME").alias("_tv")
     )
-    j = p.join(F.broadcast(t), (F.col("PRODUCT") == F.col("_p")) & (F.col(M) == F.col("_m")), "left")
+    j = p.join(broadcast_if_small(t), (F.col("PRODUCT") == F.col("_p")) & (F.col(M) == F.col("_m")), "left")
     att = F.coalesce(kpi.ratio("total_transactions", "_tv"), F.lit(0.0)) * F.lit(100.0)
     return j.select(
         "PRODUCT",

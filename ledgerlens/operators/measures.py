@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import kpi
+from ledgerlens.plans.joins import broadcast_if_small
 
 D = "TRANSACTION_DATE"
 MONTH = "month"
@@ -105,7 +106,7 @@ def attainment_measures(monthly: DataFrame, targets: DataFrame) -> DataFrame:
     """Volume/value attainment vs the month's target, RAGs, and SR RAG vs the best target of any month.
 
     ``monthly`` must be keyed by (month, PRODUCT, SUBSIDIARY). Targets are
-    product x subsidiary x month, bounded by the catalogue: broadcast.
+    product x subsidiary x month: broadcast after a bounded size check.
     """
     t = targets.groupBy(
         F.col("PRODUCT").alias("_p"), F.col("SUBSIDIARY_NAME").alias("_s"), F.to_date("TARGET_MONTH").alias("_m")
@@ -114,10 +115,10 @@ def attainment_measures(monthly: DataFrame, targets: DataFrame) -> DataFrame:
         F.max("TARGET_SUCCESS_RATE").alias("target_success_rate")
     )
     j = monthly.join(
-        F.broadcast(t),
+        broadcast_if_small(t),
         (F.col("PRODUCT") == F.col("_p")) & (F.col("SUBSIDIARY") == F.col("_s")) & (F.col(MONTH) == F.col("_m")),
         "left",
-    ).join(F.broadcast(sr), (F.col("PRODUCT") == F.col("_p2")) & (F.col("SUBSIDIARY") == F.col("_s2")), "left")
+    ).join(broadcast_if_small(sr), (F.col("PRODUCT") == F.col("_p2")) & (F.col("SUBSIDIARY") == F.col("_s2")), "left")
     vol = _div0("total_transactions", "target_volume") * F.lit(100.0)
     val = _div0("total_value_usd", "target_value_usd") * F.lit(100.0)
     tsr = F.coalesce(F.col("target_success_rate").cast("double"), F.lit(0.0))  # blank compares as 0

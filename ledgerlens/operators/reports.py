@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import kpi
+from ledgerlens.plans.joins import broadcast_if_small
 from ledgerlens.params import add_months, month_start, prior_month_bounds
 
 D = "TRANSACTION_DATE"
@@ -99,8 +100,8 @@ def kpi_rag(
     Keys are normalised with ``UPPER(TRIM())`` on both sides. ``missing_target``
     is ``drop`` (inner join, the SQL report) or ``red`` (left join; the
     worksheet form, where a missing target counts as RED).
-    Targets are product x subsidiary x month, a size bounded by the business
-    catalogue, so they are broadcast.
+    Targets are product x subsidiary x month; they are broadcast when a
+    bounded row count confirms they are small, else joined by shuffle.
     """
     start, end = prior_month_bounds(as_of)
     norm = lambda c: F.upper(F.trim(F.col(c)))
@@ -120,7 +121,7 @@ def kpi_rag(
             F.countDistinct(F.when(kpi.non_blank("AGENT_ID"), norm("AGENT_ID"))).alias("active_agents"),
         )
     )
-    k = F.broadcast(
+    k = broadcast_if_small(
         targets.select(
             norm("PRODUCT").alias("k_product"),
             norm("SUBSIDIARY_NAME").alias("k_subsidiary"),
@@ -486,14 +487,14 @@ def fee_profitability(txns: DataFrame, fx: DataFrame, as_of: dt.date) -> DataFra
     """Prior-month success fees per product/subsidiary/currency in local and USD, ranked in subsidiary.
 
     The month equality of the report is rewritten as a date range so it is
-    pushed to the scan. FX rates are subsidiary x month (bounded), broadcast;
+    pushed to the scan. FX rates (subsidiary x month) are broadcast after a size check;
     a duplicate rate row would double the fees, exactly as the SQL join would.
     """
     start, end = prior_month_bounds(as_of)
     f = kpi.date_window(txns, start, end).filter(kpi.status_is(kpi.SUCCESS)).withColumn(
         "_m", kpi.month_date(D)
     )
-    r = F.broadcast(
+    r = broadcast_if_small(
         fx.select(
             F.col("SUBSIDIARY_NAME").alias("_sub"),
             F.trunc(F.to_date("RATE_MONTH"), "month").alias("_rm"),

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import kpi
+from ledgerlens.plans.joins import broadcast_if_small
 from ledgerlens.params import add_months, prior_month_bounds
 from ledgerlens.plans.ordered import running_sum
 
@@ -78,7 +79,7 @@ def volume_rag(txns: DataFrame, targets: DataFrame, as_of: dt.date) -> DataFrame
         F.min_by("TARGET_VOLUME", "TARGET_MONTH").alias("target")
     )
     rows = _row_set(txns, ["PRODUCT", "SUBSIDIARY"]).join(c, ["PRODUCT", "SUBSIDIARY"], "left")
-    j = rows.join(F.broadcast(t), F.concat("PRODUCT", "SUBSIDIARY") == F.col("_key"), "left")
+    j = rows.join(broadcast_if_small(t), F.concat("PRODUCT", "SUBSIDIARY") == F.col("_key"), "left")
     att = F.coalesce(kpi.ratio(F.coalesce("actual", F.lit(0)), F.coalesce("target", F.lit(0))), F.lit(0.0))
     return j.select(
         "PRODUCT",

@@ -50,6 +50,7 @@ def global_index(df: DataFrame, order_cols: list[str | Column], out: str = "_idx
             F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias("_off"),
     )
+    # offsets has one row per partition (bounded by n): a proven-small broadcast
     return (
         ranged.join(F.broadcast(offsets), "_pid")
         .withColumn(out, F.col("_local") + F.col("_off"))
@@ -92,6 +93,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], num_part
     )
     # at most two rows per (column, probability) are kept from the indexed data
     wanted = pos.select(F.explode(F.array("_lo", "_hi")).alias("_idx")).distinct()
+    # wanted has at most 2 x columns x probabilities rows: a proven-small broadcast
     picks = idx.join(F.broadcast(wanted), "_idx").select("_idx", "_v")
     lo = picks.select(F.col("_idx").alias("_lo"), F.col("_v").alias("_vlo"))
     hi = picks.select(F.col("_idx").alias("_hi"), F.col("_v").alias("_vhi"))
@@ -143,6 +145,7 @@ def running_sum(df: DataFrame, value: str, group_cols: list[str], order_cols: li
     totals = ranged.groupBy("_pid", *group_cols).agg(F.sum(value).alias("_t"))
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", *group_cols, F.sum("_t").over(before).alias("_off"))
+    # offsets: at most partitions + groups rows
     return (
         local.join(F.broadcast(offsets), ["_pid", *group_cols])
         .withColumn(out, F.col("_local") + F.coalesce(F.col("_off"), F.lit(0)))

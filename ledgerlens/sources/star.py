@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.plans.joins import broadcast_if_small
 from ledgerlens.sources import schemas
 
 
@@ -57,9 +58,10 @@ def _failure_case(code: Column, pick: int) -> Column:
 def transactions_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One transaction per lineitem; dimension attributes from order/customer/part/supplier.
 
-    nation and region are fixed-size (25 and 5 rows in every scale factor), so
-    they are broadcast; customer, part and supplier grow with the data and are
-    left to AQE, which broadcasts them only when their runtime size is small.
+    nation and region are fixed-size (25 and 5 rows in every scale factor) and
+    are broadcast after a bounded size check; customer, part and supplier grow
+    with the data and are left to AQE, which broadcasts them only when their
+    runtime size is small (and splits skewed partitions of the shuffle joins).
     """
     li = read_tpch(spark, sf_dir, "lineitem")
     orders = read_tpch(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
@@ -68,15 +70,15 @@ def transactions_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = (
         read_tpch(spark, sf_dir, "customer")
         .select("c_custkey", "c_nationkey")
-        .join(F.broadcast(nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("c_nation"),
+        .join(broadcast_if_small(nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("c_nation"),
                                         F.col("n_regionkey").alias("c_regionkey"))), "c_nationkey")
-        .join(F.broadcast(region.select(F.col("r_regionkey").alias("c_regionkey"), F.col("r_name").alias("c_region"))),
+        .join(broadcast_if_small(region.select(F.col("r_regionkey").alias("c_regionkey"), F.col("r_name").alias("c_region"))),
               "c_regionkey")
     )
     supp = (
         read_tpch(spark, sf_dir, "supplier")
         .select("s_suppkey", "s_nationkey")
-        .join(F.broadcast(nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("s_nation"))),
+        .join(broadcast_if_small(nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("s_nation"))),
               "s_nationkey")
     )
     part = read_tpch(spark, sf_dir, "part").select("p_partkey", "p_type")
@@ -135,8 +137,8 @@ def agents_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = read_tpch(spark, sf_dir, "region")
     return (
         read_tpch(spark, sf_dir, "supplier")
-        .join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+        .join(broadcast_if_small(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(broadcast_if_small(region), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
             F.concat(F.lit("AG"), F.col("s_suppkey").cast("string")).alias("AGENT_ID"),
             F.col("s_name").alias("AGENT_NAME"),
@@ -154,8 +156,8 @@ def customers_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = read_tpch(spark, sf_dir, "region")
     return (
         read_tpch(spark, sf_dir, "customer")
-        .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+        .join(broadcast_if_small(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(broadcast_if_small(region), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
             F.col("c_custkey").alias("CUSTOMER_ID"),
             F.col("c_mktsegment").alias("SEGMENT"),
