@@ -232,6 +232,46 @@ def events_as_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def conform(df: DataFrame, schema) -> DataFrame:
+    """Cast a table to the star's schema once, at the source.
+
+    Text dates and amounts (the original casts ``"TRANSACTION_DATE"::DATE`` at
+    every use) become typed columns; ``try_cast`` turns a malformed value into
+    NULL instead of failing the job under ANSI mode. Missing optional columns
+    are added as NULL.
+    """
+    cols = []
+    for f in schema.fields:
+        if f.name in df.columns:
+            c = F.col(f"`{f.name}`")
+            src = df.schema[f.name].dataType
+            cols.append((c if src == f.dataType else c.try_cast(f.dataType)).alias(f.name))
+        else:
+            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
+    return df.select(*cols)
+
+
+def star_from_catalog(spark: SparkSession, names: dict[str, str] | None = None, database: str | None = None) -> Star:
+    """Read the star from catalog tables or views (Hive/Delta tables, JDBC-backed views, ...).
+
+    ``names`` maps star table names to catalog names (default: the same name,
+    optionally qualified by ``database``); each table is conformed to its schema.
+    """
+    names = names or {}
+
+    def table(name: str) -> DataFrame:
+        full = names.get(name) or (f"{database}.{name}" if database else name)
+        return conform(spark.table(full), schemas.TABLES[name])
+
+    return Star(
+        transactions=table("transactions"),
+        agents=table("agents"),
+        customers=table("customers"),
+        kpi_targets=table("kpi_targets"),
+        forex_rates=table("forex_rates"),
+    )
+
+
 def star_from_files(spark: SparkSession, base: str, fmt: str = "csv") -> Star:
     """Read a real star: one file or folder per table, explicit schemas, no inference."""
 

@@ -43,3 +43,22 @@ def test_materialize_partitions_by_month(spark, txns, frame, tmp_path):
     ]
     assert m.transactions.count() == 4
     assert [c for c in m.transactions.columns if c != "TXN_MONTH"] == schemas.TRANSACTIONS.fieldNames()
+
+
+def test_conform_text_columns_and_catalog_views(spark):
+    from ledgerlens.sources.star import star_from_catalog
+
+    raw = spark.createDataFrame(
+        [("2024-05-03 10:30:00", "P", "SUCCESS", "12.50", "7"), ("not a date", "P", "FAILED", "x", None)],
+        "TRANSACTION_DATE string, PRODUCT string, STATUS string, TXN_AMOUNT_USD string, CUSTOMER_ID string",
+    )
+    raw.createOrReplaceTempView("transactions")
+    for name, schema in schemas.TABLES.items():
+        if name != "transactions":
+            spark.createDataFrame([], schema).createOrReplaceTempView(name)
+    star = star_from_catalog(spark)
+    rows = star.transactions.orderBy("STATUS").collect()
+    assert star.transactions.schema == schemas.TRANSACTIONS
+    assert rows[1].TRANSACTION_DATE == dt.datetime(2024, 5, 3, 10, 30) and rows[1].TXN_AMOUNT_USD == Decimal("12.5000")
+    assert rows[0].TRANSACTION_DATE is None and rows[0].TXN_AMOUNT_USD is None  # malformed -> NULL, no failure
+    assert rows[1].CUSTOMER_ID == 7 and rows[1].AGENT_ID is None  # missing column added as NULL
