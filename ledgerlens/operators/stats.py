@@ -32,14 +32,20 @@ def zscore_anomalies(
     window: int = 5,
     min_periods: int = 3,
     threshold: float = 1.3,
+    min_days: int | None = None,
 ) -> DataFrame:
     """Months whose volume deviates from the trailing mean by more than ``threshold`` sample SDs.
 
     The rolling frame includes the current month (as pandas ``rolling`` does);
     z is rounded to 2 dp before the strict ``abs(z) > threshold`` test; a zero
     SD gives no z. Sorted by ``abs(z)`` descending (the report prints the top 10).
+    ``min_days`` drops partial months (fewer distinct dates) before the
+    windows, the filter the original recommends for its partial-month drops.
     """
     m = monthly_volume(txns, list(series))
+    if min_days is not None:
+        full = complete_months(txns, min_days).filter("is_complete").select("month")
+        m = m.join(full, "month", "left_semi")
     w = Window.partitionBy(*series).orderBy("month").rowsBetween(-(window - 1), 0)
     n = F.count("total_txns").over(w)
     mean = F.when(n >= min_periods, F.avg("total_txns").over(w))

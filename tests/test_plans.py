@@ -57,3 +57,11 @@ def test_agent_scorecard_joins_after_aggregation(star):
     # the join consumes the per-agent aggregate: an aggregate sits below the join on the fact side
     join_at = max(plan.find("SortMergeJoin"), plan.find("BroadcastHashJoin"), plan.find("ShuffledHashJoin"))
     assert join_at >= 0 and "HashAggregate" in plan[join_at:]
+
+
+@pytest.mark.parametrize("name", ["r04_agent_scorecard", "r07_segment_revenue", "p3a_rfm_features", "r09b_cohort_retention_all"])
+def test_partial_aggregation_before_first_shuffle(spark, name):
+    """Map-side combine: a hot key ships one partial row per task, not its raw rows."""
+    plan = physical_plan(E.queries()[name](spark, SF), "simple")
+    leaves = plan.split("Exchange hashpartitioning")[-1]  # the part of the plan next to the scan
+    assert "partial_" in leaves or "HashAggregate(keys=[" in leaves

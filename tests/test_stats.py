@@ -137,3 +137,12 @@ def test_running_sum_with_hot_group_spanning_partitions(spark):
     for g, o, v in sorted(rows, key=lambda t: (t[0], t[1])):
         acc[g] = acc.get(g, 0.0) + v
         assert got[(g, o)] == acc[g]
+
+
+def test_zscore_skips_partial_months_on_request(txns):
+    data = []
+    for m in range(1, 6):
+        data += [{"TRANSACTION_DATE": dt.date(2024, m, d)} for d in range(1, 29)] * 2
+    data += [{"TRANSACTION_DATE": dt.date(2024, 6, 1)}]  # partial month: a big DROP
+    assert [r.month for r in stats.zscore_anomalies(txns(data)).collect()] == ["2024-06"]
+    assert stats.zscore_anomalies(txns(data), min_days=28).count() == 0
