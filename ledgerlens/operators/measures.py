@@ -40,7 +40,7 @@ def with_month(txns: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- M01-M09
-def base_measures(txns: DataFrame, by: list[str], count_blank_customer: bool = False) -> DataFrame:
+def base_measures(txns: DataFrame, by: list[str], count_blank_customer: bool = True) -> DataFrame:
     """Totals, success/failure counts and rates, value, fees, minutes and distinct customers per ``by``.
 
     ``count_blank_customer`` adds one to the distinct count when a NULL

@@ -156,3 +156,9 @@ def test_date_table_covers_every_day(txns):
     data = [{"TRANSACTION_DATE": dt.date(2024, 1, 30)}, {"TRANSACTION_DATE": dt.date(2024, 3, 2)}]
     cal = measures.date_table(txns(data)).collect()
     assert len(cal) == 33 and cal[0].MonthYear == "Jan 2024"
+
+
+def test_m09_distinct_count_counts_blank_once(txns):
+    data = [{"CUSTOMER_ID": c} for c in (1, 1, 2, None, None)]
+    assert measures.base_measures(txns(data), []).collect()[0].unique_customers == 3
+    assert measures.base_measures(txns(data), [], count_blank_customer=False).collect()[0].unique_customers == 2
