@@ -71,11 +71,24 @@ def rfm_segment(r: Column, rfm: Column) -> Column:
     )
 
 
-def rfm_scores(features: DataFrame) -> DataFrame:
-    """Add R, F, M quintile scores, their sum and the RFM segment."""
+def rfm_scores(features: DataFrame, exact: bool = True, accuracy: int = 100_000) -> DataFrame:
+    """Add R, F, M quintile scores, their sum and the RFM segment.
+
+    ``exact`` uses linear-interpolated quantiles (the original's pandas
+    ``quantile``) from a distributed global index; ``exact=False`` uses one
+    ``percentile_approx`` pass (bounded-memory sketches, boundaries are data
+    values within ``1/accuracy`` rank error) for very large customer bases.
+    """
     cols = ["recency", "frequency", "monetary"]
-    f = features.withColumn("_q", quantile_map(features, cols, QUINTILES))
-    rb, fb, mb = ([F.element_at(F.col("_q"), quantile_key(c, p)) for p in QUINTILES] for c in cols)
+    if exact:
+        f = features.withColumn("_q", quantile_map(features, cols, QUINTILES))
+        rb, fb, mb = ([F.element_at(F.col("_q"), quantile_key(c, p)) for p in QUINTILES] for c in cols)
+    else:
+        sketch = features.agg(
+            F.struct(*[F.percentile_approx(F.col(c).cast("double"), QUINTILES, accuracy).alias(c) for c in cols])
+        ).scalar()
+        f = features.withColumn("_q", sketch)
+        rb, fb, mb = ([F.col("_q")[c][i] for i in range(len(QUINTILES))] for c in cols)
     s = f.select(
         "*",
         quintile_score(F.col("recency"), rb, reverse=True).alias("R"),

@@ -146,3 +146,16 @@ def test_zscore_skips_partial_months_on_request(txns):
     data += [{"TRANSACTION_DATE": dt.date(2024, 6, 1)}]  # partial month: a big DROP
     assert [r.month for r in stats.zscore_anomalies(txns(data)).collect()] == ["2024-06"]
     assert stats.zscore_anomalies(txns(data), min_days=28).count() == 0
+
+
+def test_rfm_approximate_quintiles_close_to_exact(spark, txns, frame):
+    customers = frame([(i, "RETAIL", "S1") for i in range(40)], schemas.CUSTOMERS)
+    data = []
+    for i in range(40):
+        data += [{"CUSTOMER_ID": i, "TRANSACTION_DATE": dt.date(2024, 6, 1) - dt.timedelta(days=i % 9),
+                  "TXN_AMOUNT_USD": 3 * i + 1}] * (1 + i % 5)
+    feats = rfm.rfm_features(txns(data), customers, AS_OF)
+    exact = {r.CUSTOMER_ID: r.RFM for r in rfm.rfm_scores(feats).collect()}
+    approx = {r.CUSTOMER_ID: r.RFM for r in rfm.rfm_scores(feats, exact=False).collect()}
+    assert exact.keys() == approx.keys()
+    assert sum(abs(exact[k] - approx[k]) for k in exact) <= len(exact)  # boundary cases only
