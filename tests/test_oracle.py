@@ -43,13 +43,18 @@ def test_every_query_has_an_oracle():
     assert not missing
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
-    res = con.execute(E.oracle_sql()[name])
-    ocols = [d[0] for d in res.description]
+    rel = con.sql(E.oracle_sql()[name])
+    ocols = rel.columns
     assert sorted(df.columns) == sorted(ocols)
-    assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(ocols, res.fetchall())
+    spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    assert spark_types == {c: str(t) for c, t in zip(ocols, rel.types)}
+    assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(ocols, rel.fetchall())
 
 
 def test_entry_smoke(spark):
