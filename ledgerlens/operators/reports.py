@@ -88,6 +88,20 @@ def monthly_product_performance(
     )
 
 
+def category_conflicts(txns: DataFrame) -> DataFrame:
+    """Products seen with more than one category.
+
+    R01 groups by category but runs LAG per (product, subsidiary); the growth
+    columns are only meaningful when the category is a function of the
+    product, which this check verifies (an empty result means it holds).
+    """
+    return (
+        txns.groupBy("PRODUCT")
+        .agg(F.countDistinct("PRODUCT_CATEGORY").alias("categories"), F.collect_set("PRODUCT_CATEGORY").alias("seen"))
+        .filter(F.col("categories") > 1)
+    )
+
+
 # ---------------------------------------------------------------- R02
 def kpi_rag(
     txns: DataFrame,

@@ -170,3 +170,10 @@ def test_success_plus_failed_le_total(txns):
     data = [{"STATUS": s} for s in ("SUCCESS", "FAILED", "REVERSED")]
     r = rows(reports.monthly_product_performance(txns(data), AS_OF, None))[0]
     assert r["successful_txns"] + r["failed_txns"] <= r["total_txns"] == 3
+
+
+def test_category_is_a_function_of_product(txns):
+    ok = txns([{"PRODUCT": "A", "PRODUCT_CATEGORY": "X"}, {"PRODUCT": "B", "PRODUCT_CATEGORY": "Y"}])
+    assert reports.category_conflicts(ok).count() == 0
+    bad = txns([{"PRODUCT": "A", "PRODUCT_CATEGORY": "X"}, {"PRODUCT": "A", "PRODUCT_CATEGORY": "Y"}])
+    assert [r.PRODUCT for r in reports.category_conflicts(bad).collect()] == ["A"]
