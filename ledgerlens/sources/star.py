@@ -295,8 +295,9 @@ def _source_fingerprint(sf_dir: str) -> str:
     import os
 
     h = hashlib.sha1(os.path.abspath(sf_dir).encode())
-    with open(__file__, "rb") as f:  # a change to the derivation invalidates written stars
-        h.update(f.read())
+    for code in (__file__, schemas.__file__):  # a change to the derivation invalidates written stars
+        with open(code, "rb") as f:
+            h.update(f.read())
     for name in ("lineitem", "orders", "customer", "nation", "region", "part", "supplier"):
         p = f"{sf_dir}/{name}.parquet"
         if os.path.exists(p):
