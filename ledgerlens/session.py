@@ -42,11 +42,14 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only if unset."""
-    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server side owns the context and its checkpoint folder
+        return configured or ""
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         # Only reached in local tests: a cluster names a shared folder.
         configured = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
@@ -54,6 +57,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def application_id(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # Spark Connect
+        return spark.conf.get("spark.app.id", None) or "connect"
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder for tables this library writes: ``ledgerlens.star.root``, else the checkpoint folder."""
     root = spark.conf.get("ledgerlens.star.root", None) or spark.conf.get("spark.checkpoint.dir", None)

@@ -326,10 +326,10 @@ def materialized_star(spark: SparkSession, sf_dir: str) -> Star:
     missing or half-written table (the dimension tables are written last)
     makes the load fail and the star is rebuilt.
     """
-    from ledgerlens.session import shared_root
+    from ledgerlens.session import application_id, shared_root
 
     path = f"{shared_root(spark)}/ledgerlens-star/{_source_fingerprint(sf_dir)}"
-    key = (spark.sparkContext.applicationId, id(spark), path)
+    key = (application_id(spark), id(spark), path)
     with _LOCK:
         return _load_or_build(spark, sf_dir, path, key)
 
