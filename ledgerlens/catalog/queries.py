@@ -429,3 +429,22 @@ def _d5b(s: Star, spark, sf_dir):
 @register("d5_county_value")
 def _d5c(s: Star, spark, sf_dir):
     return dashboards.county_value(s.transactions, s.agents, P.agency_product)
+
+
+# ------------------------------------------------------------------ original default windows
+@register("r03_failure_spikes_default_window")
+def _r03_default(s: Star, spark, sf_dir):
+    """R03 with the report's own 28-day window and 7-day recent period."""
+    return reports.failure_spikes(s.transactions, P.as_of)
+
+
+@register("r04_agent_scorecard_12m")
+def _r04_12m(s: Star, spark, sf_dir):
+    """R04 over the twelve months before as_of instead of one."""
+    return reports.agent_scorecard(s.transactions, s.agents, P.as_of, P.agency_product, months=12)
+
+
+@register("p2_ab_test_default_window")
+def _p2_default(s: Star, spark, sf_dir):
+    """P2 with the script's own 90-day window."""
+    return stats.ab_test_success_rate(s.transactions, P.control_channel, P.treatment_channel, P.flagship_product, P.as_of)
