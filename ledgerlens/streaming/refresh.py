@@ -25,8 +25,13 @@ from ledgerlens.sources import schemas
 
 
 def read_fact(spark: SparkSession, fact_path: str) -> DataFrame:
-    """The accumulated fact table (batch and month folders are partition columns, dropped)."""
-    return spark.read.parquet(fact_path).drop("batch", "TXN_MONTH")
+    """The accumulated fact table.
+
+    ``batch`` and ``TXN_MONTH`` are partition folders; the month column stays,
+    so a report's date window prunes the months it does not need and each
+    hourly refresh reads only its window, not the whole history.
+    """
+    return spark.read.parquet(fact_path).drop("batch")
 
 
 def refresh_on_arrival(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from ledgerlens.operators import reports
+from ledgerlens.plans.inspect import physical_plan
 from ledgerlens.streaming.refresh import read_fact, refresh_on_arrival
 
 AS_OF = dt.date(2024, 6, 10)
@@ -27,3 +28,5 @@ def test_refresh_processes_new_files_once(spark, txns, tmp_path):
     q.awaitTermination(120)
     assert read_fact(spark, fact).count() == 5  # the first file is not ingested twice
     assert spark.read.parquet(out).collect()[0].this_week == 5
+    plan = physical_plan(reports.failure_spikes(read_fact(spark, fact), AS_OF))
+    assert "TXN_MONTH" in plan.split("PartitionFilters: [")[1].split("]")[0]  # the refresh prunes old months
