@@ -62,3 +62,27 @@ def test_conform_text_columns_and_catalog_views(spark):
     assert rows[1].TRANSACTION_DATE == dt.datetime(2024, 5, 3, 10, 30) and rows[1].TXN_AMOUNT_USD == Decimal("12.5000")
     assert rows[0].TRANSACTION_DATE is None and rows[0].TXN_AMOUNT_USD is None  # malformed -> NULL, no failure
     assert rows[1].CUSTOMER_ID == 7 and rows[1].AGENT_ID is None  # missing column added as NULL
+
+
+def test_check_star_finds_duplicate_dimension_keys(spark, txns, frame):
+    from ledgerlens.sources.checks import check_star
+
+    star = Star(
+        transactions=txns([{}]),
+        agents=frame([("AG1", "a", "GOLD", "R", "K", 1), ("AG1", "b", "GOLD", "R", "K", 2)], schemas.AGENTS),
+        customers=frame([(1, "RETAIL", "S1")], schemas.CUSTOMERS),
+        kpi_targets=frame([], schemas.KPI_TARGETS),
+        forex_rates=frame([("S1", dt.date(2024, 5, 1), Decimal("0.01")), ("S1", dt.date(2024, 5, 1), Decimal("0.02"))], schemas.FOREX_RATES),
+    )
+    got = {(r.table, r.key, r.rows) for r in check_star(star).collect()}
+    assert got == {("agents", "AG1", 2), ("forex_rates", "S1|2024-05-01", 2)}
+
+
+def test_test_star_is_sound(spark):
+    import os
+
+    from ledgerlens.sources.checks import check_star
+    from ledgerlens.sources.star import materialized_star
+
+    if os.path.exists("/root/testdata/sf0.001"):
+        assert check_star(materialized_star(spark, "/root/testdata/sf0.001")).count() == 0
