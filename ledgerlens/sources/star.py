@@ -342,20 +342,35 @@ def _load_or_build(spark: SparkSession, sf_dir: str, path: str, key: tuple) -> S
         try:
             _LOADED[key] = _read_star(spark, path)
         except AnalysisException:
-            # targets and FX rates are derived from the fact: derive them from the
-            # written fact, so the source join runs once
-            fact = _write_fact(transactions_from_tpch(spark, sf_dir), path)
-            star = Star(
-                transactions=fact,
-                agents=agents_from_tpch(spark, sf_dir),
-                customers=customers_from_tpch(spark, sf_dir),
-                kpi_targets=kpi_targets_from_transactions(fact),
-                forex_rates=forex_from_transactions(fact),
-            )
-            _LOADED[key] = _write_dims(star, path)
+            _LOADED[key] = _build(spark, sf_dir, path)
     return _LOADED[key]
 
 
+def _build(spark: SparkSession, sf_dir: str, path: str) -> Star:
+    """Write the derived star. Independent writes run as concurrent Spark jobs.
+
+    The fact and the two source dimensions are written side by side; targets
+    and FX rates are derived from the *written* fact (so the source join runs
+    once) and written after it. A half-written table fails the next load, which
+    rebuilds the star.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    def save(df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        fact_job = pool.submit(_write_fact, transactions_from_tpch(spark, sf_dir), path)
+        dims = [pool.submit(save, agents_from_tpch(spark, sf_dir), "agents"),
+                pool.submit(save, customers_from_tpch(spark, sf_dir), "customers")]
+        fact = fact_job.result()
+        dims += [pool.submit(save, kpi_targets_from_transactions(fact), "kpi_targets"),
+                 pool.submit(save, forex_from_transactions(fact), "forex_rates")]
+        for d in dims:
+            d.result()
+    return _read_star(spark, path)
+
+
 # loaded stars per (application, session, folder): lazy DataFrames, so reuse only skips file listing
 _LOADED: dict[tuple, Star] = {}
 _LOCK = threading.Lock()
