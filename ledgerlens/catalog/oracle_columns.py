@@ -1,0 +1,478 @@
+"""Output columns and DuckDB types of each oracle query (generated by scripts/gen_oracle_columns.py)."""
+
+COLUMNS = {'d1_kpi_cards': [('month', 'DATE'),
+                  ('total_transactions', 'BIGINT'),
+                  ('success_rate_pct', 'DOUBLE'),
+                  ('total_value_usd', 'DOUBLE'),
+                  ('unique_customers', 'BIGINT'),
+                  ('mom_arrow', 'VARCHAR'),
+                  ('yoy_volume_growth_pct', 'DOUBLE')],
+ 'd1_product_table': [('PRODUCT', 'VARCHAR'),
+                      ('total_transactions', 'BIGINT'),
+                      ('success_rate_pct', 'DOUBLE'),
+                      ('mom_arrow', 'VARCHAR'),
+                      ('volume_rag', 'VARCHAR')],
+ 'd2_channel_share': [('CHANNEL', 'VARCHAR'), ('total_transactions', 'BIGINT'), ('share_pct', 'DOUBLE')],
+ 'd2_month_product_matrix': [('month', 'VARCHAR'),
+                             ('ECONOMY', 'BIGINT'),
+                             ('LARGE', 'BIGINT'),
+                             ('MEDIUM', 'BIGINT'),
+                             ('PROMO', 'BIGINT'),
+                             ('SMALL', 'BIGINT'),
+                             ('STANDARD', 'BIGINT')],
+ 'd2_product_status': [('PRODUCT', 'VARCHAR'), ('STATUS', 'VARCHAR'), ('total_transactions', 'BIGINT')],
+ 'd3_failed_value_by_category': [('FAILURE_CATEGORY', 'VARCHAR'), ('failed_value_usd', 'DOUBLE')],
+ 'd3_failure_overview': [('failure_rate_pct', 'DOUBLE'), ('total_failed_value_usd', 'DOUBLE')],
+ 'd3_failure_rate_by_month_channel': [('month', 'VARCHAR'),
+                                      ('CHANNEL', 'VARCHAR'),
+                                      ('total_transactions', 'BIGINT'),
+                                      ('failure_rate_pct', 'DOUBLE')],
+ 'd3_failures_by_description': [('FAILURE_DESCRIPTION', 'VARCHAR'), ('failed_transactions', 'BIGINT')],
+ 'd4_corridor_table': [('corridor', 'VARCHAR'),
+                       ('total_transactions', 'BIGINT'),
+                       ('success_rate_pct', 'DOUBLE'),
+                       ('value_usd', 'DOUBLE'),
+                       ('avg_fee_rate_pct', 'DOUBLE'),
+                       ('avg_proc_mins', 'DOUBLE'),
+                       ('unique_senders', 'BIGINT')],
+ 'd4_destination_volume': [('DEST_COUNTRY', 'VARCHAR'), ('cross_border_volume_usd', 'DOUBLE')],
+ 'd5_agent_cards': [('active_agents', 'BIGINT'),
+                    ('txns_per_active_agent', 'DOUBLE'),
+                    ('total_commission_local', 'DOUBLE')],
+ 'd5_county_value': [('COUNTY', 'VARCHAR'), ('total_value_local', 'DOUBLE')],
+ 'd5_region_totals': [('REGION', 'VARCHAR'), ('total_transactions', 'BIGINT'), ('agents', 'BIGINT')],
+ 'm01_m09_base_measures': [('month', 'DATE'),
+                           ('PRODUCT', 'VARCHAR'),
+                           ('total_transactions', 'BIGINT'),
+                           ('successful_transactions', 'BIGINT'),
+                           ('failed_transactions', 'BIGINT'),
+                           ('total_value_usd', 'DOUBLE'),
+                           ('total_fee_revenue_local', 'DOUBLE'),
+                           ('avg_processing_time_mins', 'DOUBLE'),
+                           ('unique_customers', 'BIGINT'),
+                           ('success_rate_pct', 'DOUBLE'),
+                           ('failure_rate_pct', 'DOUBLE')],
+ 'm10_m21_prior_period_growth': [('month', 'DATE'),
+                                 ('PRODUCT', 'VARCHAR'),
+                                 ('SUBSIDIARY', 'VARCHAR'),
+                                 ('total_transactions', 'BIGINT'),
+                                 ('successful_transactions', 'BIGINT'),
+                                 ('failed_transactions', 'BIGINT'),
+                                 ('total_value_usd', 'DOUBLE'),
+                                 ('total_fee_revenue_local', 'DOUBLE'),
+                                 ('avg_processing_time_mins', 'DOUBLE'),
+                                 ('unique_customers', 'BIGINT'),
+                                 ('success_rate_pct', 'DOUBLE'),
+                                 ('failure_rate_pct', 'DOUBLE'),
+                                 ('transactions_lm', 'BIGINT'),
+                                 ('value_usd_lm', 'DOUBLE'),
+                                 ('customers_lm', 'BIGINT'),
+                                 ('transactions_ly', 'BIGINT'),
+                                 ('value_usd_ly', 'DOUBLE'),
+                                 ('success_rate_lm', 'DOUBLE'),
+                                 ('mom_volume_growth_pct', 'DOUBLE'),
+                                 ('yoy_volume_growth_pct', 'DOUBLE'),
+                                 ('mom_value_growth_pct', 'DOUBLE'),
+                                 ('mom_success_rate_change_pp', 'DOUBLE'),
+                                 ('mom_customer_growth_pct', 'DOUBLE'),
+                                 ('mom_arrow', 'VARCHAR')],
+ 'm22_m26_attainment_rag': [('month', 'DATE'),
+                            ('PRODUCT', 'VARCHAR'),
+                            ('SUBSIDIARY', 'VARCHAR'),
+                            ('total_transactions', 'BIGINT'),
+                            ('total_value_usd', 'DOUBLE'),
+                            ('success_rate_pct', 'DOUBLE'),
+                            ('target_volume', 'BIGINT'),
+                            ('target_value_usd', 'DOUBLE'),
+                            ('target_success_rate', 'DOUBLE'),
+                            ('volume_attainment_pct', 'DOUBLE'),
+                            ('value_attainment_pct', 'DOUBLE'),
+                            ('volume_rag', 'VARCHAR'),
+                            ('volume_rag_numeric', 'BIGINT'),
+                            ('success_rate_rag', 'VARCHAR')],
+ 'm27_m29_rolling_3m': [('month', 'DATE'),
+                        ('PRODUCT', 'VARCHAR'),
+                        ('SUBSIDIARY', 'VARCHAR'),
+                        ('total_transactions', 'BIGINT'),
+                        ('success_rate_pct', 'DOUBLE'),
+                        ('rolling_3m_avg_success_rate', 'DOUBLE'),
+                        ('rolling_3m_avg_transactions', 'DOUBLE'),
+                        ('sr_vs_rolling_3m', 'DOUBLE')],
+ 'm30_m32_ytd': [('month', 'DATE'),
+                 ('PRODUCT', 'VARCHAR'),
+                 ('ytd_transactions', 'BIGINT'),
+                 ('ytd_value_usd', 'DOUBLE'),
+                 ('ytd_vs_prior_year_pct', 'DOUBLE')],
+ 'm33_m34_active_agents': [('month', 'DATE'),
+                           ('active_agents', 'BIGINT'),
+                           ('successful_transactions', 'BIGINT'),
+                           ('txns_per_active_agent', 'DOUBLE')],
+ 'm35_float_utilisation_ratio': [('AGENT_ID', 'VARCHAR'),
+                                 ('value_local', 'DOUBLE'),
+                                 ('float_limit', 'BIGINT'),
+                                 ('float_utilisation_ratio', 'DOUBLE')],
+ 'm36_cross_border_volume': [('month', 'DATE'), ('cross_border_volume_usd', 'DOUBLE')],
+ 'm37_corridor_column': [('corridor', 'VARCHAR'), ('total_transactions', 'BIGINT'), ('total_value_usd', 'DOUBLE')],
+ 'm38_new_customers': [('month', 'DATE'), ('new_customers', 'BIGINT')],
+ 'm39_m40_product_revenue_rank': [('PRODUCT', 'VARCHAR'),
+                                  ('total_transactions', 'BIGINT'),
+                                  ('total_value_usd', 'DOUBLE'),
+                                  ('unique_customers', 'BIGINT'),
+                                  ('revenue_per_customer_usd', 'DOUBLE'),
+                                  ('product_rank_by_volume', 'BIGINT')],
+ 'm41_subsidiary_rank_by_value': [('month', 'DATE'),
+                                  ('SUBSIDIARY', 'VARCHAR'),
+                                  ('total_value_usd', 'DOUBLE'),
+                                  ('subsidiary_rank_by_value', 'BIGINT')],
+ 'm42_report_title': [('last_txn_date', 'DATE'), ('report_title', 'VARCHAR')],
+ 'p1_zscore_anomalies': [('month', 'VARCHAR'),
+                         ('PRODUCT', 'VARCHAR'),
+                         ('SUBSIDIARY', 'VARCHAR'),
+                         ('total_txns', 'BIGINT'),
+                         ('roll_mean', 'DOUBLE'),
+                         ('z_score', 'DOUBLE'),
+                         ('direction', 'VARCHAR')],
+ 'p1b_complete_months': [('month', 'VARCHAR'),
+                         ('day_count', 'BIGINT'),
+                         ('total_txns', 'BIGINT'),
+                         ('is_complete', 'BOOLEAN')],
+ 'p2_ab_test_default_window': [('control', 'VARCHAR'),
+                               ('treatment', 'VARCHAR'),
+                               ('n_control', 'BIGINT'),
+                               ('s_control', 'BIGINT'),
+                               ('n_treatment', 'BIGINT'),
+                               ('s_treatment', 'BIGINT'),
+                               ('control_sr_pct', 'DOUBLE'),
+                               ('treatment_sr_pct', 'DOUBLE'),
+                               ('lift_pp', 'DOUBLE'),
+                               ('z', 'DOUBLE'),
+                               ('p_value', 'DOUBLE'),
+                               ('significant', 'BOOLEAN')],
+ 'p2_ab_test_success_rate': [('control', 'VARCHAR'),
+                             ('treatment', 'VARCHAR'),
+                             ('n_control', 'BIGINT'),
+                             ('s_control', 'BIGINT'),
+                             ('n_treatment', 'BIGINT'),
+                             ('s_treatment', 'BIGINT'),
+                             ('control_sr_pct', 'DOUBLE'),
+                             ('treatment_sr_pct', 'DOUBLE'),
+                             ('lift_pp', 'DOUBLE'),
+                             ('z', 'DOUBLE'),
+                             ('p_value', 'DOUBLE'),
+                             ('significant', 'BOOLEAN')],
+ 'p3a_rfm_features': [('CUSTOMER_ID', 'BIGINT'),
+                      ('recency', 'BIGINT'),
+                      ('frequency', 'BIGINT'),
+                      ('monetary', 'DOUBLE'),
+                      ('products_used', 'BIGINT'),
+                      ('crm_segment', 'VARCHAR')],
+ 'p3bc_rfm_scores': [('CUSTOMER_ID', 'BIGINT'),
+                     ('recency', 'BIGINT'),
+                     ('frequency', 'BIGINT'),
+                     ('monetary', 'DOUBLE'),
+                     ('products_used', 'BIGINT'),
+                     ('crm_segment', 'VARCHAR'),
+                     ('R', 'BIGINT'),
+                     ('F', 'BIGINT'),
+                     ('M', 'BIGINT'),
+                     ('RFM', 'BIGINT'),
+                     ('RFM_SEGMENT', 'VARCHAR')],
+ 'p3d_revenue_at_risk': [('revenue_at_risk', 'DOUBLE'), ('customers_at_risk', 'BIGINT')],
+ 'p3d_rfm_summary': [('RFM_SEGMENT', 'VARCHAR'),
+                     ('customers', 'BIGINT'),
+                     ('avg_recency', 'DOUBLE'),
+                     ('avg_frequency', 'DOUBLE'),
+                     ('avg_monetary', 'DOUBLE'),
+                     ('total_revenue', 'DOUBLE'),
+                     ('avg_products', 'DOUBLE')],
+ 'p4_linear_forecast': [('PRODUCT', 'VARCHAR'),
+                        ('SUBSIDIARY', 'VARCHAR'),
+                        ('month', 'VARCHAR'),
+                        ('step', 'BIGINT'),
+                        ('forecast', 'BIGINT'),
+                        ('lower_95', 'BIGINT'),
+                        ('upper_95', 'BIGINT'),
+                        ('slope', 'DOUBLE'),
+                        ('r2', 'DOUBLE'),
+                        ('n_months', 'BIGINT')],
+ 'p5_cohort_grid': [('cohort_month', 'VARCHAR'),
+                    ('cohort_size', 'BIGINT'),
+                    ('m0', 'DOUBLE'),
+                    ('m1', 'DOUBLE'),
+                    ('m2', 'DOUBLE'),
+                    ('m3', 'DOUBLE'),
+                    ('m4', 'DOUBLE'),
+                    ('m5', 'DOUBLE'),
+                    ('m6', 'DOUBLE')],
+ 'p6a_monthly_kpis': [('Month', 'VARCHAR'),
+                      ('PRODUCT', 'VARCHAR'),
+                      ('SUBSIDIARY', 'VARCHAR'),
+                      ('TotalTxns', 'BIGINT'),
+                      ('Successful', 'BIGINT'),
+                      ('SuccessRate', 'DOUBLE'),
+                      ('ValueUSD', 'DOUBLE'),
+                      ('UniqueCustomers', 'BIGINT')],
+ 'p6b_failure_summary': [('PRODUCT', 'VARCHAR'),
+                         ('CHANNEL', 'VARCHAR'),
+                         ('FAILURE_DESCRIPTION', 'VARCHAR'),
+                         ('FAILURE_CATEGORY', 'VARCHAR'),
+                         ('FailureCount', 'BIGINT'),
+                         ('FailedValueUSD', 'DOUBLE')],
+ 'p6c_agent_summary': [('AGENT_ID', 'VARCHAR'),
+                       ('AGENT_TIER', 'VARCHAR'),
+                       ('REGION', 'VARCHAR'),
+                       ('COUNTY', 'VARCHAR'),
+                       ('TotalTxns', 'BIGINT'),
+                       ('SR', 'DOUBLE'),
+                       ('ValueKES', 'DOUBLE'),
+                       ('Customers', 'BIGINT'),
+                       ('FloatFails', 'BIGINT')],
+ 'p6d_corridor_performance': [('Corridor', 'VARCHAR'),
+                              ('Month', 'VARCHAR'),
+                              ('Txns', 'BIGINT'),
+                              ('ValueUSD', 'DOUBLE'),
+                              ('SR', 'DOUBLE')],
+ 'p6e_customer_segments': [('SEGMENT', 'VARCHAR'), ('Customers', 'BIGINT'), ('RevPerCust', 'DOUBLE'), ('SR', 'DOUBLE')],
+ 'r01_monthly_product_performance': [('txn_month', 'VARCHAR'),
+                                     ('PRODUCT', 'VARCHAR'),
+                                     ('SUBSIDIARY', 'VARCHAR'),
+                                     ('PRODUCT_CATEGORY', 'VARCHAR'),
+                                     ('total_txns', 'BIGINT'),
+                                     ('successful_txns', 'BIGINT'),
+                                     ('failed_txns', 'BIGINT'),
+                                     ('success_rate_pct', 'DOUBLE'),
+                                     ('failure_rate_pct', 'DOUBLE'),
+                                     ('value_usd', 'DOUBLE'),
+                                     ('avg_txn_local', 'DOUBLE'),
+                                     ('avg_proc_secs', 'DOUBLE'),
+                                     ('unique_customers', 'BIGINT'),
+                                     ('mom_vol_pct', 'DOUBLE'),
+                                     ('yoy_vol_pct', 'DOUBLE'),
+                                     ('mom_val_pct', 'DOUBLE'),
+                                     ('mom_customer_growth', 'DOUBLE'),
+                                     ('sr_change_pp', 'DOUBLE'),
+                                     ('fee_to_value_ratio', 'DOUBLE'),
+                                     ('sla_status', 'VARCHAR')],
+ 'r01_monthly_product_performance_all_subsidiaries': [('txn_month', 'VARCHAR'),
+                                                      ('PRODUCT', 'VARCHAR'),
+                                                      ('SUBSIDIARY', 'VARCHAR'),
+                                                      ('PRODUCT_CATEGORY', 'VARCHAR'),
+                                                      ('total_txns', 'BIGINT'),
+                                                      ('successful_txns', 'BIGINT'),
+                                                      ('failed_txns', 'BIGINT'),
+                                                      ('success_rate_pct', 'DOUBLE'),
+                                                      ('failure_rate_pct', 'DOUBLE'),
+                                                      ('value_usd', 'DOUBLE'),
+                                                      ('avg_txn_local', 'DOUBLE'),
+                                                      ('avg_proc_secs', 'DOUBLE'),
+                                                      ('unique_customers', 'BIGINT'),
+                                                      ('mom_vol_pct', 'DOUBLE'),
+                                                      ('yoy_vol_pct', 'DOUBLE'),
+                                                      ('mom_val_pct', 'DOUBLE'),
+                                                      ('mom_customer_growth', 'DOUBLE'),
+                                                      ('sr_change_pp', 'DOUBLE'),
+                                                      ('fee_to_value_ratio', 'DOUBLE'),
+                                                      ('sla_status', 'VARCHAR')],
+ 'r02_kpi_rag': [('PRODUCT', 'VARCHAR'),
+                 ('SUBSIDIARY', 'VARCHAR'),
+                 ('actual_vol', 'BIGINT'),
+                 ('TARGET_VOLUME', 'BIGINT'),
+                 ('vol_attainment_pct', 'DOUBLE'),
+                 ('vol_rag', 'VARCHAR'),
+                 ('actual_val_usd', 'DOUBLE'),
+                 ('target_val_usd', 'DOUBLE'),
+                 ('val_attainment_pct', 'DOUBLE'),
+                 ('val_rag', 'VARCHAR'),
+                 ('actual_sr', 'DOUBLE'),
+                 ('TARGET_SUCCESS_RATE', 'DOUBLE'),
+                 ('sr_rag', 'VARCHAR'),
+                 ('actual_custs', 'BIGINT'),
+                 ('TARGET_ACTIVE_CUSTOMERS', 'BIGINT'),
+                 ('cust_attainment_pct', 'DOUBLE'),
+                 ('active_agents', 'BIGINT')],
+ 'r03_failure_spikes': [('channel', 'VARCHAR'),
+                        ('channel_type', 'VARCHAR'),
+                        ('product', 'VARCHAR'),
+                        ('failure_description', 'VARCHAR'),
+                        ('failure_category', 'VARCHAR'),
+                        ('this_week', 'BIGINT'),
+                        ('avg_prior_wk', 'DOUBLE'),
+                        ('failed_val_local', 'DOUBLE'),
+                        ('failed_val_usd', 'DOUBLE'),
+                        ('trend_flag', 'VARCHAR'),
+                        ('wow_pct', 'DOUBLE')],
+ 'r03_failure_spikes_default_window': [('channel', 'VARCHAR'),
+                                       ('channel_type', 'VARCHAR'),
+                                       ('product', 'VARCHAR'),
+                                       ('failure_description', 'VARCHAR'),
+                                       ('failure_category', 'VARCHAR'),
+                                       ('this_week', 'BIGINT'),
+                                       ('avg_prior_wk', 'DOUBLE'),
+                                       ('failed_val_local', 'DOUBLE'),
+                                       ('failed_val_usd', 'DOUBLE'),
+                                       ('trend_flag', 'VARCHAR'),
+                                       ('wow_pct', 'DOUBLE')],
+ 'r04_agent_scorecard': [('AGENT_ID', 'VARCHAR'),
+                         ('AGENT_TIER', 'VARCHAR'),
+                         ('REGION', 'VARCHAR'),
+                         ('COUNTY', 'VARCHAR'),
+                         ('total_txns', 'BIGINT'),
+                         ('successful_txns', 'BIGINT'),
+                         ('failed_txns', 'BIGINT'),
+                         ('success_rate', 'DOUBLE'),
+                         ('total_value_kes', 'DOUBLE'),
+                         ('total_value_usd', 'DOUBLE'),
+                         ('commission_kes', 'DOUBLE'),
+                         ('unique_customers', 'BIGINT'),
+                         ('active_days', 'BIGINT'),
+                         ('float_failures', 'BIGINT'),
+                         ('float_util_ratio', 'DOUBLE'),
+                         ('commission_rate_pct', 'DOUBLE'),
+                         ('avg_proc_secs', 'DOUBLE'),
+                         ('band', 'VARCHAR'),
+                         ('float_risk', 'VARCHAR'),
+                         ('dormancy', 'VARCHAR')],
+ 'r04_agent_scorecard_12m': [('AGENT_ID', 'VARCHAR'),
+                             ('AGENT_TIER', 'VARCHAR'),
+                             ('REGION', 'VARCHAR'),
+                             ('COUNTY', 'VARCHAR'),
+                             ('total_txns', 'BIGINT'),
+                             ('successful_txns', 'BIGINT'),
+                             ('failed_txns', 'BIGINT'),
+                             ('success_rate', 'DOUBLE'),
+                             ('total_value_kes', 'DOUBLE'),
+                             ('total_value_usd', 'DOUBLE'),
+                             ('commission_kes', 'DOUBLE'),
+                             ('unique_customers', 'BIGINT'),
+                             ('active_days', 'BIGINT'),
+                             ('float_failures', 'BIGINT'),
+                             ('float_util_ratio', 'DOUBLE'),
+                             ('commission_rate_pct', 'DOUBLE'),
+                             ('avg_proc_secs', 'DOUBLE'),
+                             ('band', 'VARCHAR'),
+                             ('float_risk', 'VARCHAR'),
+                             ('dormancy', 'VARCHAR')],
+ 'r05_corridor_analysis': [('corridor', 'VARCHAR'),
+                           ('txn_month', 'DATE'),
+                           ('total_txns', 'BIGINT'),
+                           ('successful_txns', 'BIGINT'),
+                           ('failed_txns', 'BIGINT'),
+                           ('success_rate_pct', 'DOUBLE'),
+                           ('value_usd', 'DOUBLE'),
+                           ('avg_txn_local', 'DOUBLE'),
+                           ('avg_proc_mins', 'DOUBLE'),
+                           ('avg_fee_rate_pct', 'DOUBLE'),
+                           ('unique_senders', 'BIGINT'),
+                           ('prev_mo_txns', 'BIGINT'),
+                           ('mom_growth_pct', 'DOUBLE'),
+                           ('rank_by_value', 'BIGINT')],
+ 'r06_rolling_success_rate': [('txn_month', 'DATE'),
+                              ('PRODUCT', 'VARCHAR'),
+                              ('SUBSIDIARY', 'VARCHAR'),
+                              ('total', 'BIGINT'),
+                              ('monthly_sr', 'DOUBLE'),
+                              ('value_usd', 'DOUBLE'),
+                              ('rolling_3m_sr', 'DOUBLE'),
+                              ('sr_change_pp', 'DOUBLE'),
+                              ('sr_volatility_6m', 'DOUBLE')],
+ 'r07_segment_revenue': [('SEGMENT', 'VARCHAR'),
+                         ('customer_count', 'BIGINT'),
+                         ('total_txns', 'BIGINT'),
+                         ('txns_per_customer', 'DOUBLE'),
+                         ('total_rev_usd', 'DOUBLE'),
+                         ('rev_per_customer_usd', 'DOUBLE'),
+                         ('avg_txn_usd', 'DOUBLE'),
+                         ('success_rate_pct', 'DOUBLE'),
+                         ('products_used', 'BIGINT'),
+                         ('avg_fee_per_cust', 'DOUBLE')],
+ 'r08_channel_product_matrix': [('channel', 'VARCHAR'),
+                                ('channel_type', 'VARCHAR'),
+                                ('product', 'VARCHAR'),
+                                ('total_txns', 'BIGINT'),
+                                ('successful_txns', 'BIGINT'),
+                                ('success_rate', 'DOUBLE'),
+                                ('avg_proc_secs', 'DOUBLE'),
+                                ('avg_fail_proc_secs', 'DOUBLE'),
+                                ('value_usd', 'DOUBLE'),
+                                ('avg_fee', 'DOUBLE'),
+                                ('worst_sr_rank', 'BIGINT'),
+                                ('vol_rank_in_product', 'BIGINT')],
+ 'r09a_cohort_retention': [('cohort_month', 'DATE'),
+                           ('cohort_n', 'BIGINT'),
+                           ('month_offset', 'BIGINT'),
+                           ('retained', 'BIGINT'),
+                           ('retention_rate_pct', 'DOUBLE')],
+ 'r09b_cohort_retention_all': [('cohort_month', 'DATE'),
+                               ('cohort_n', 'BIGINT'),
+                               ('month_offset', 'BIGINT'),
+                               ('retained', 'BIGINT'),
+                               ('retention_rate_pct', 'DOUBLE')],
+ 'r10_subsidiary_benchmark': [('SUBSIDIARY', 'VARCHAR'),
+                              ('COUNTRY', 'VARCHAR'),
+                              ('total_txns', 'BIGINT'),
+                              ('successful_txns', 'BIGINT'),
+                              ('total_value_usd', 'DOUBLE'),
+                              ('avg_txn_usd', 'DOUBLE'),
+                              ('active_customers', 'BIGINT'),
+                              ('products_offered', 'BIGINT'),
+                              ('channels_used', 'BIGINT'),
+                              ('success_rate', 'DOUBLE'),
+                              ('avg_proc_secs', 'DOUBLE'),
+                              ('remit_txns', 'BIGINT')],
+ 'r11_fee_profitability': [('PRODUCT', 'VARCHAR'),
+                           ('SUBSIDIARY', 'VARCHAR'),
+                           ('CURRENCY', 'VARCHAR'),
+                           ('total_txns', 'BIGINT'),
+                           ('paid_txns', 'BIGINT'),
+                           ('total_fees_local', 'DOUBLE'),
+                           ('total_fees_usd', 'DOUBLE'),
+                           ('avg_fee_local', 'DOUBLE'),
+                           ('avg_fee_rate_pct', 'DOUBLE'),
+                           ('fee_rank', 'BIGINT')],
+ 'r12_activity_heatmap': [('day_of_week', 'VARCHAR'),
+                          ('hour_of_day', 'BIGINT'),
+                          ('total_txns', 'BIGINT'),
+                          ('successful_txns', 'BIGINT'),
+                          ('success_rate_pct', 'DOUBLE'),
+                          ('avg_value_usd', 'DOUBLE'),
+                          ('avg_proc_secs', 'DOUBLE')],
+ 'x10_rolling_3m_success_rate': [('Month', 'VARCHAR'),
+                                 ('PRODUCT', 'VARCHAR'),
+                                 ('SUBSIDIARY', 'VARCHAR'),
+                                 ('SuccessRate', 'DOUBLE'),
+                                 ('Rolling3M_SR', 'DOUBLE')],
+ 'x1_last_month_volume': [('PRODUCT', 'VARCHAR'), ('last_month_txns', 'BIGINT')],
+ 'x2_last_month_success_rate': [('PRODUCT', 'VARCHAR'),
+                                ('SUBSIDIARY', 'VARCHAR'),
+                                ('last_month_txns', 'BIGINT'),
+                                ('success_rate', 'DOUBLE')],
+ 'x3_volume_rag': [('PRODUCT', 'VARCHAR'),
+                   ('SUBSIDIARY', 'VARCHAR'),
+                   ('actual', 'BIGINT'),
+                   ('target', 'BIGINT'),
+                   ('attainment', 'DOUBLE'),
+                   ('rag', 'VARCHAR')],
+ 'x4_top_failures': [('FAILURE_DESCRIPTION', 'VARCHAR'), ('failures', 'BIGINT')],
+ 'x5_channel_product_sr_matrix': [('CHANNEL', 'VARCHAR'),
+                                  ('ECONOMY', 'DOUBLE'),
+                                  ('LARGE', 'DOUBLE'),
+                                  ('MEDIUM', 'DOUBLE'),
+                                  ('PROMO', 'DOUBLE'),
+                                  ('SMALL', 'DOUBLE'),
+                                  ('STANDARD', 'DOUBLE')],
+ 'x6_mom_arrow': [('PRODUCT', 'VARCHAR'),
+                  ('curr_txns', 'BIGINT'),
+                  ('prev_txns', 'BIGINT'),
+                  ('mom_pct', 'DOUBLE'),
+                  ('mom_arrow', 'VARCHAR')],
+ 'x7_float_utilisation': [('AGENT_ID', 'VARCHAR'),
+                          ('value_local', 'DOUBLE'),
+                          ('float_limit', 'BIGINT'),
+                          ('float_utilisation', 'DOUBLE')],
+ 'x8_corridor_month_matrix': [('TXN_MONTH', 'VARCHAR'), ('corridor', 'VARCHAR'), ('value_usd', 'DOUBLE')],
+ 'x9_ytd_running_total': [('txn_date', 'DATE'),
+                          ('TXN_AMOUNT_USD', 'DOUBLE'),
+                          ('CUSTOMER_ID', 'BIGINT'),
+                          ('PRODUCT', 'VARCHAR'),
+                          ('CHANNEL', 'VARCHAR'),
+                          ('ytd_usd', 'DOUBLE')]}

@@ -1,0 +1,40 @@
+"""Regenerate ledgerlens/catalog/oracle_columns.py: output columns and types of every oracle query.
+
+usage: python scripts/gen_oracle_columns.py [sf_dir]
+"""
+
+from __future__ import annotations
+
+import os
+import pprint
+import sys
+
+import duckdb
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from ledgerlens.catalog.oracle import ORACLE  # noqa: E402
+
+TABLES = "region nation customer supplier part orders lineitem events".split()
+
+
+def main() -> None:
+    sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    cols = {}
+    for name, sql in ORACLE.items():
+        rel = con.sql(sql)
+        cols[name] = [(c, str(t)) for c, t in zip(rel.columns, rel.types)]
+    out = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "ledgerlens", "catalog", "oracle_columns.py")
+    with open(out, "w") as f:
+        f.write('"""Output columns and DuckDB types of each oracle query (generated by scripts/gen_oracle_columns.py)."""\n\n')
+        f.write("COLUMNS = ")
+        f.write(pprint.pformat(cols, width=120, sort_dicts=True))
+        f.write("\n")
+    print(out)
+
+
+if __name__ == "__main__":
+    main()

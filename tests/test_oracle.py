@@ -38,6 +38,15 @@ def _rows(cols, records):
     return sorted((tuple(_canon(r[i]) for i in order) for r in records), key=lambda t: tuple("" if x is None else x for x in t))
 
 
+def test_oracle_column_map_is_current(con):
+    from ledgerlens.catalog.oracle import ORACLE
+    from ledgerlens.catalog.oracle_columns import COLUMNS
+
+    for name, sql in ORACLE.items():
+        rel = con.sql(sql)
+        assert [(c, str(t)) for c, t in zip(rel.columns, rel.types)] == COLUMNS[name], name
+
+
 def test_every_query_has_an_oracle():
     missing = set(E.queries()) - set(E.oracle_sql())
     assert not missing
