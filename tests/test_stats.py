@@ -159,3 +159,26 @@ def test_rfm_approximate_quintiles_close_to_exact(spark, txns, frame):
     approx = {r.CUSTOMER_ID: r.RFM for r in rfm.rfm_scores(feats, exact=False).collect()}
     assert exact.keys() == approx.keys()
     assert sum(abs(exact[k] - approx[k]) for k in exact) <= len(exact)  # boundary cases only
+
+
+def test_revenue_at_risk_golden_sum(spark):
+    # the published segment totals: At Risk 2,545,050.5 + Lost 183,480.2 = 2,728,530.7
+    from decimal import Decimal as Dec
+
+    scored = spark.createDataFrame(
+        [("At Risk", Dec("2545050.5")), ("Lost", Dec("183480.2")), ("Loyal", Dec("5428957.5")), ("Champions", Dec("2833216.5"))],
+        "RFM_SEGMENT string, monetary decimal(20,4)",
+    )
+    r = rfm.revenue_at_risk(scored).collect()[0]
+    assert r.revenue_at_risk == 2728530.7 and r.customers_at_risk == 2
+
+
+def test_calendar_helpers_match_spark(spark):
+    from ledgerlens.params import add_months, prior_month_bounds
+
+    days = [dt.date(2024, 1, 31), dt.date(2024, 3, 31), dt.date(2023, 12, 15), dt.date(2024, 2, 29)]
+    for d in days:
+        for n in (-13, -12, -3, -1, 1, 12):
+            spark_val = spark.range(1).select(F.add_months(F.lit(d), n).alias("v")).collect()[0].v
+            assert add_months(d, n) == spark_val, (d, n)
+    assert prior_month_bounds(dt.date(2024, 1, 10)) == (dt.date(2023, 12, 1), dt.date(2024, 1, 1))
