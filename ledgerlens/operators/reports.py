@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import kpi
 from ledgerlens.plans.joins import broadcast_if_small
+from ledgerlens.plans.ordered import ntile
 from ledgerlens.params import add_months, month_start, prior_month_bounds
 
 D = "TRANSACTION_DATE"
@@ -252,7 +253,8 @@ def agent_scorecard(
     and only the per-agent result is joined to the agent dimension, so the
     join input is one row per agent rather than one per transaction. The join
     is inner: agents without activity do not appear (as in the report).
-    ``NTILE`` ties are broken by AGENT_ID.
+    ``NTILE`` ties are broken by AGENT_ID; the quartiles are computed with the
+    distributed ``plans.ordered.ntile`` rather than a window per region.
     """
     start, end = prior_month_bounds(as_of)
     start = add_months(end, -months)
@@ -272,8 +274,8 @@ def agent_scorecard(
     )
     a = agents.select("AGENT_ID", "AGENT_NAME", "AGENT_TIER", "REGION", "COUNTY", "FLOAT_LIMIT_KES")
     stats = per_agent.join(a, "AGENT_ID").filter(F.col("total_txns") > 0)
-    w = Window.partitionBy("REGION").orderBy(F.col("total_txns").desc(), F.col("AGENT_ID").asc())
-    ranked = stats.withColumn("perf_quartile", F.ntile(4).over(w))
+    # NTILE per region, distributed: a region holding most agents spans many tasks
+    ranked = ntile(stats, 4, ["REGION"], [F.col("total_txns").desc(), F.col("AGENT_ID").asc()], "perf_quartile")
     ff = F.col("float_failures")
     return ranked.select(
         "AGENT_ID",

@@ -120,18 +120,19 @@ def quantile_map(df: DataFrame, cols: list[str], probs: list[float]) -> Column:
     return q.agg(F.map_from_entries(F.collect_list(F.struct(key, F.col("value"))))).scalar()
 
 
-def running_sum(df: DataFrame, value: str, group_cols: list[str], order_cols: list[str], out: str,
-                num_partitions: int | None = None) -> DataFrame:
-    """Running sum of ``value`` within each group in ``order_cols`` order, without per-group tasks.
-
-    The rows are range-partitioned on (group, order) -- a group holding a
-    third of all rows spans many partitions -- and checkpointed so partition
-    numbers are fixed. Each partition computes local running sums; the totals
-    of every (partition, group) -- at most partitions + groups rows -- give the
-    offset of each partition's slice of a group. Rows equal on every order
-    column are summed in an unspecified order (their output rows are then
-    interchangeable only if the rows themselves are).
+def _prefix_scan(df: DataFrame, value: str, group_cols: list[str], order_cols: list[str | Column],
+                 num_partitions: int | None) -> DataFrame:
+    """Rows of ``df`` with ``_local`` (running sum of ``value`` inside their range partition and
+    group), ``_off`` (sum of the group's rows in earlier partitions) and ``_gtotal`` (group total).
+
+    Range partitioning on (group, order) lets a group holding a third of all
+    rows span many tasks. The partitioned data is checkpointed so partition
+    numbers are fixed. The offsets table has one row per (partition, group)
+    pair present -- at most partitions + groups rows -- and is broadcast only
+    after a size check.
     """
+    from ledgerlens.plans.joins import broadcast_if_small
+
     n = _partitions(df, num_partitions)
     keys = [*group_cols, *order_cols]
     ranged = (
@@ -144,10 +145,41 @@ def running_sum(df: DataFrame, value: str, group_cols: list[str], order_cols: li
     local = ranged.withColumn("_local", F.sum(value).over(local_w))
     totals = ranged.groupBy("_pid", *group_cols).agg(F.sum(value).alias("_t"))
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *group_cols, F.sum("_t").over(before).alias("_off"))
-    # offsets: at most partitions + groups rows
-    return (
-        local.join(F.broadcast(offsets), ["_pid", *group_cols])
-        .withColumn(out, F.col("_local") + F.coalesce(F.col("_off"), F.lit(0)))
-        .drop("_pid", "_local", "_off")
+    offsets = totals.select(
+        F.col("_pid").alias("_opid"),
+        *[F.col(g).alias(f"_og_{g}") for g in group_cols],
+        F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"),
+        F.sum("_t").over(Window.partitionBy(*group_cols)).alias("_gtotal"),
     )
+    cond = F.col("_pid") == F.col("_opid")
+    for g in group_cols:  # NULL is a group of its own, as in a window partition
+        cond = cond & F.col(g).eqNullSafe(F.col(f"_og_{g}"))
+    return local.join(broadcast_if_small(offsets), cond).drop("_pid", "_opid", *[f"_og_{g}" for g in group_cols])
+
+
+def running_sum(df: DataFrame, value: str, group_cols: list[str], order_cols: list[str | Column], out: str,
+                num_partitions: int | None = None) -> DataFrame:
+    """Running sum of ``value`` within each group in ``order_cols`` order, without per-group tasks.
+
+    Rows equal on every order column are summed in an unspecified order (their
+    output rows are then interchangeable only if the rows themselves are).
+    """
+    scan = _prefix_scan(df, value, group_cols, order_cols, num_partitions)
+    return scan.withColumn(out, F.col("_local") + F.col("_off")).drop("_local", "_off", "_gtotal")
+
+
+def ntile(df: DataFrame, buckets: int, group_cols: list[str], order_cols: list[str | Column], out: str,
+          num_partitions: int | None = None) -> DataFrame:
+    """``NTILE(buckets) OVER (PARTITION BY group ORDER BY order_cols)`` without one task per group.
+
+    The position is a distributed running count and the group size comes from
+    the same scan. As in SQL, the first ``n mod buckets`` buckets hold one row
+    more than the others. Give ``order_cols`` a total order (end with a key).
+    """
+    scan = _prefix_scan(df.withColumn("_one", F.lit(1)), "_one", group_cols, order_cols, num_partitions)
+    p, n = F.col("_local") + F.col("_off"), F.col("_gtotal")
+    q = F.floor(n / F.lit(buckets))
+    r = n - q * F.lit(buckets)
+    big = r * (q + 1)
+    bucket = F.when(p <= big, F.floor((p - 1) / (q + 1)) + 1).otherwise(r + F.floor((p - 1 - big) / q) + 1)
+    return scan.withColumn(out, bucket.cast("int")).drop("_one", "_local", "_off", "_gtotal")

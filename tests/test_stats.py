@@ -182,3 +182,17 @@ def test_calendar_helpers_match_spark(spark):
             spark_val = spark.range(1).select(F.add_months(F.lit(d), n).alias("v")).collect()[0].v
             assert add_months(d, n) == spark_val, (d, n)
     assert prior_month_bounds(dt.date(2024, 1, 10)) == (dt.date(2023, 12, 1), dt.date(2024, 1, 1))
+
+
+@pytest.mark.parametrize("parts", [1, 5, 13])
+def test_distributed_ntile_matches_window_ntile(spark, parts):
+    from pyspark.sql import Window
+
+    from ledgerlens.plans.ordered import ntile
+
+    rows = [("big" if i % 7 else ("s" if i % 2 else None), i % 23, i) for i in range(700)] + [("tiny", 1, 9999)]
+    df = spark.createDataFrame(rows, "g string, v long, k long")
+    order = [F.col("v").desc(), F.col("k").asc()]
+    want = {r.k: r.t for r in df.withColumn("t", F.ntile(4).over(Window.partitionBy("g").orderBy(*order))).collect()}
+    got = {r.k: r.t for r in ntile(df, 4, ["g"], order, "t", num_partitions=parts).collect()}
+    assert got == want
