@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlens.operators import cohort, dashboards, export, measures, reports, rfm, stats, worksheet
 from ledgerlens.params import ReportParams
 from ledgerlens.session import configure
+from ledgerlens.sources.checks import check_star
 from ledgerlens.sources.star import Star, star_from_catalog, star_from_files, star_from_tpch
 
 Report = Callable[[Star, ReportParams], DataFrame]
@@ -52,7 +53,24 @@ REPORTS: dict[str, tuple[str, Report]] = {
     "x8": ("corridor x month matrix", lambda s, p: worksheet.corridor_month_matrix(s.transactions, p.remit_product)),
     "m-growth": ("prior-period measures", lambda s, p: measures.prior_period_measures(measures.monthly_measures(s.transactions, ["PRODUCT", "SUBSIDIARY"]), ["PRODUCT", "SUBSIDIARY"])),
     "m-ytd": ("YTD measures", lambda s, p: measures.ytd_measures(measures.monthly_measures(s.transactions, ["PRODUCT"]), ["PRODUCT"])),
+    "x1": ("last-month volume per product", lambda s, p: worksheet.last_month_volume(s.transactions, p.as_of, p.home_subsidiary)),
+    "x2": ("last-month success rate", lambda s, p: worksheet.last_month_success_rate(s.transactions, p.as_of)),
+    "x3": ("volume RAG vs target lookup", lambda s, p: worksheet.volume_rag(s.transactions, s.kpi_targets, p.as_of)),
+    "x4": ("top 5 failures last month", lambda s, p: worksheet.top_failures(s.transactions, p.as_of)),
+    "x7": ("agent float utilisation", lambda s, p: worksheet.float_utilisation(s.transactions, s.agents, p.as_of)),
+    "x9": ("YTD running total", lambda s, p: worksheet.ytd_running_total(s.transactions, p.as_of, p.home_subsidiary)),
+    "m-base": ("base measures by month x product", lambda s, p: measures.monthly_measures(s.transactions, ["PRODUCT"])),
+    "m-attainment": ("attainment and RAG measures", lambda s, p: measures.attainment_measures(measures.monthly_measures(s.transactions, ["PRODUCT", "SUBSIDIARY"]), s.kpi_targets)),
+    "m-rolling": ("rolling 3-month measures", lambda s, p: measures.rolling_measures(measures.monthly_measures(s.transactions, ["PRODUCT", "SUBSIDIARY"]), ["PRODUCT", "SUBSIDIARY"])),
+    "m-agents": ("active agents by month", lambda s, p: measures.agent_activity_measures(measures.with_month(s.transactions), [measures.MONTH], p.agency_product)),
+    "m-new-customers": ("new customers by month", lambda s, p: measures.new_customers(s.transactions)),
+    "calendar": ("day calendar of the fact", lambda s, p: measures.date_table(s.transactions)),
     "d1": ("executive KPI cards", lambda s, p: dashboards.kpi_cards(s.transactions, p.as_of)),
+    "d2": ("channel share", lambda s, p: dashboards.channel_share(s.transactions)),
+    "d3": ("failure rate by month x channel", lambda s, p: dashboards.failure_rate_by_month_channel(s.transactions)),
+    "d4": ("corridor table", lambda s, p: dashboards.corridor_table(s.transactions, p.remit_product)),
+    "d5": ("agent region totals", lambda s, p: dashboards.region_totals(s.transactions, s.agents, p.agency_product)),
+    "check": ("duplicate dimension keys (empty = sound)", lambda s, p: check_star(s)),
 }
 
 
