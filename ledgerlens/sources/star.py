@@ -2,9 +2,10 @@
 
 ``Star`` is what every operator consumes. ``star_from_tpch`` derives it from
 the synthetic TPC-H-like tables used for tests and benches (mapping in
-FIXTURES.md); ``star_from_files`` reads a real star (CSV or Parquet) with the
-explicit schemas, and ``materialize`` writes the fact table partitioned by
-month so later reports prune partitions and push date filters into the scan.
+FIXTURES.md); ``star_from_files`` and ``star_from_catalog`` read a real star
+(CSV/Parquet files or catalog tables) with the explicit schemas, and
+``materialize`` writes the fact table partitioned by month so later reports
+prune partitions and push date filters into the scan.
 """
 
 from __future__ import annotations
@@ -322,9 +323,9 @@ def materialized_star(spark: SparkSession, sf_dir: str) -> Star:
     """Derive the star from ``sf_dir`` once and keep it under the shared checkpoint folder.
 
     The folder comes from ``ledgerlens.star.root`` or ``spark.checkpoint.dir``
-    (the cluster's shared storage). A rerun with unchanged sources reads the written tables; a
-    missing or half-written table (the dimension tables are written last)
-    makes the load fail and the star is rebuilt.
+    (the cluster's shared storage). A rerun with unchanged sources and code
+    reads the written tables; a missing or half-written table makes the load
+    fail and the star is rebuilt.
     """
     from ledgerlens.session import application_id, shared_root
 
