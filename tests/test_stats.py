@@ -196,3 +196,20 @@ def test_distributed_ntile_matches_window_ntile(spark, parts):
     want = {r.k: r.t for r in df.withColumn("t", F.ntile(4).over(Window.partitionBy("g").orderBy(*order))).collect()}
     got = {r.k: r.t for r in ntile(df, 4, ["g"], order, "t", num_partitions=parts).collect()}
     assert got == want
+
+
+def test_single_month_series_has_no_forecast_and_no_anomaly(txns):
+    data = [{"TRANSACTION_DATE": dt.date(2024, 3, 1), "SUBSIDIARY": "ONE"}] * 5
+    data += [{"TRANSACTION_DATE": dt.date(2024, m, 1), "SUBSIDIARY": "MANY"} for m in (1, 2, 3, 4) for _ in range(m)]
+    f = stats.linear_forecast(txns(data), AS_OF).collect()
+    assert {r.SUBSIDIARY for r in f} == {"MANY"}  # one month: no line to fit
+    assert stats.zscore_anomalies(txns(data), threshold=0.0).filter("SUBSIDIARY = 'ONE'").count() == 0
+
+
+def test_four_point_zscore_bound(txns):
+    # with n points |z| <= (n-1)/sqrt(n): 1.5 for four points, reached by 1, 1, 1, big
+    data = []
+    for m, n in enumerate([1, 1, 1, 1000], start=1):
+        data += [{"TRANSACTION_DATE": dt.date(2024, m, 1)}] * n
+    out = stats.zscore_anomalies(txns(data)).collect()
+    assert len(out) == 1 and out[0].z_score == 1.5
