@@ -92,6 +92,7 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--out", help="output folder (one folder per dataset for 'pack')")
     ap.add_argument("--format", default="parquet", help="output format: parquet or csv")
     ap.add_argument("--show", type=int, default=0, help="print this many rows instead of writing")
+    ap.add_argument("--explain", action="store_true", help="print the formatted physical plan and exit")
     a = ap.parse_args(argv)
 
     if a.report == "list":
@@ -126,6 +127,9 @@ def main(argv: list[str] | None = None) -> int:
                 df.show(a.show, truncate=False)
         return 0
     df = REPORTS[a.report][1](star, params)
+    if a.explain:
+        df.explain("formatted")
+        return 0
     if a.out:
         w = df.write.mode("overwrite").format(a.format)
         (w.option("header", True) if a.format == "csv" else w).save(a.out)
