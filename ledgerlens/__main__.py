@@ -67,6 +67,7 @@ REPORTS: dict[str, tuple[str, Report]] = {
     "calendar": ("day calendar of the fact", lambda s, p: measures.date_table(s.transactions)),
     "d1": ("executive KPI cards", lambda s, p: dashboards.kpi_cards(s.transactions, p.as_of)),
     "d2": ("channel share", lambda s, p: dashboards.channel_share(s.transactions)),
+    "d2-matrix": ("month x product volume matrix", lambda s, p: dashboards.month_product_matrix(s.transactions, list(p.products))),
     "d3": ("failure rate by month x channel", lambda s, p: dashboards.failure_rate_by_month_channel(s.transactions)),
     "d4": ("corridor table", lambda s, p: dashboards.corridor_table(s.transactions, p.remit_product)),
     "d5": ("agent region totals", lambda s, p: dashboards.region_totals(s.transactions, s.agents, p.agency_product)),
@@ -89,6 +90,7 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--as-of", type=dt.date.fromisoformat, default=ReportParams().as_of)
     for role in ("home_subsidiary", "agency_product", "remit_product", "flagship_product", "control_channel", "treatment_channel"):
         ap.add_argument("--" + role.replace("_", "-"), default=getattr(ReportParams(), role))
+    ap.add_argument("--products", help="comma-separated product columns for the wide matrices (default: from the data)")
     ap.add_argument("--out", help="output folder (one folder per dataset for 'pack')")
     ap.add_argument("--format", default="parquet", help="output format: parquet or csv")
     ap.add_argument("--show", type=int, default=0, help="print this many rows instead of writing")
@@ -112,10 +114,21 @@ def main(argv: list[str] | None = None) -> int:
         star = star_from_tpch(spark, a.tpch)
     else:
         ap.error("give --star, --catalog-db or --tpch")
+    if a.products:
+        products = tuple(p.strip() for p in a.products.split(","))
+    elif a.report in ("x5", "d2-matrix"):
+        # a wide result needs its columns before the job runs: the product
+        # catalogue, capped so an unexpected key never floods the driver
+        found = [r.PRODUCT for r in star.transactions.select("PRODUCT").distinct().limit(1001).collect()]
+        if len(found) > 1000:
+            ap.error("more than 1000 products: pass --products")
+        products = tuple(sorted(x for x in found if x is not None))
+    else:
+        products = ReportParams().products
     params = ReportParams(
         as_of=a.as_of, home_subsidiary=a.home_subsidiary, agency_product=a.agency_product,
         remit_product=a.remit_product, flagship_product=a.flagship_product,
-        control_channel=a.control_channel, treatment_channel=a.treatment_channel,
+        control_channel=a.control_channel, treatment_channel=a.treatment_channel, products=products,
     )
     if a.report == "pack":
         datasets = _pack(star, params)
