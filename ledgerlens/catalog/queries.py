@@ -4,7 +4,7 @@ Every entry reads the given tables in full (no row caps or id subsets); only
 top-k reports keep their limit, because the limit is the feature.
 Output columns are canonicalised for the comparison with the DuckDB oracle:
 numbers as DOUBLE (exact for these counts and rounded values), dates as ISO
-text, strings and booleans unchanged -- identical whether results are
+text, booleans as ``true``/``false`` text, strings unchanged -- identical whether results are
 compared as Python values or as pandas columns. The operators themselves
 return natural types (BIGINT counts, DATE months, DECIMAL amounts).
 """
@@ -45,7 +45,7 @@ def normalise(df: DataFrame) -> DataFrame:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DecimalType, T.FloatType, T.IntegerType, T.ShortType, T.ByteType, T.LongType)):
             c = c.cast("double")
-        elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
             c = c.cast("string")
         cols.append(c.alias(f.name))
     return df.select(*cols)
