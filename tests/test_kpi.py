@@ -46,3 +46,18 @@ def test_arrow_text_and_bands(spark):
     excl = [r.a for r in df.select(kpi.arrow("g", weak_inclusive=False).alias("a")).collect()]
     assert incl == ["▲▲ 10.0%", "▲ 0.1%", "▼ 0.0%", "▼ 10.0%", "▼▼ 10.1%", "—"]
     assert excl[3] == "▼▼ 10.0%"
+
+
+def test_rounding_parity_with_duckdb(spark):
+    import duckdb
+
+    rng = random.Random(11)
+    xs = [rng.uniform(-1e6, 1e6) for _ in range(400)] + [rng.randrange(-10**6, 10**6) / 1000 for _ in range(400)]
+    xs += [100.0 * a / b for a in range(1, 40) for b in range(1, 40)]  # percentages of small counts
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT UNNEST($1::DOUBLE[]) AS x, UNNEST(range(len($1))) AS i", [xs])
+    for n in (0, 1, 2, 3, 4):
+        spark_vals = [r.v for r in df.select(kpi.rnd("x", n).alias("v")).collect()]
+        duck_vals = [r[0] for r in con.execute(f"SELECT CAST(ROUND(CAST(x AS DECIMAL(28,8)), {n}) AS DOUBLE) FROM t ORDER BY i").fetchall()]
+        assert spark_vals == duck_vals, n
