@@ -61,3 +61,21 @@ def test_rounding_parity_with_duckdb(spark):
         spark_vals = [r.v for r in df.select(kpi.rnd("x", n).alias("v")).collect()]
         duck_vals = [r[0] for r in con.execute(f"SELECT CAST(ROUND(CAST(x AS DECIMAL(28,8)), {n}) AS DOUBLE) FROM t ORDER BY i").fetchall()]
         assert spark_vals == duck_vals, n
+
+
+def test_ratio_parity_with_duckdb(spark):
+    import duckdb
+
+    rng = random.Random(5)
+    pairs = [(rng.randrange(0, 10**7), rng.randrange(0, 10**5)) for _ in range(600)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    got = [r.v for r in df.select(kpi.rnd(kpi.pct("a", "b"), 2).alias("v")).collect()]
+    con = duckdb.connect()
+    con.execute(
+        "CREATE TABLE p AS SELECT UNNEST($1::BIGINT[]) AS a, UNNEST($2::BIGINT[]) AS b, UNNEST(range(len($1))) AS i",
+        [[a for a, _ in pairs], [b for _, b in pairs]],
+    )
+    want = [r[0] for r in con.execute(
+        "SELECT CAST(ROUND(CAST(100.0 * CAST(a AS DOUBLE) / NULLIF(CAST(b AS DOUBLE), 0) AS DECIMAL(28,8)), 2) AS DOUBLE) "
+        "FROM p ORDER BY i").fetchall()]
+    assert got == want
