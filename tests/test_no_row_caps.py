@@ -21,3 +21,19 @@ def test_limit_only_where_it_is_the_feature():
             func = re.findall(r"^def (\w+)", src[: m.start()], flags=re.M)[-1]
             found.add((str(path.relative_to(root)), func))
     assert found <= ALLOWED, found - ALLOWED
+
+
+FORBIDDEN = (r"\budf\(", r"pandas_udf", r"applyInPandas", r"mapInPandas", r"\.rdd\b", r"localCheckpoint", r"crossJoin")
+
+
+def test_no_python_udfs_rdds_or_cross_joins_in_the_library():
+    root = pathlib.Path(__file__).resolve().parents[1] / "ledgerlens"
+    hits = []
+    for path in root.rglob("*.py"):
+        src = path.read_text()
+        for pat in FORBIDDEN:
+            if re.search(pat, src):
+                hits.append((str(path.relative_to(root)), pat))
+        if ".collect()" in src and path.name != "__main__.py":
+            hits.append((str(path.relative_to(root)), "collect"))
+    assert not hits, hits
