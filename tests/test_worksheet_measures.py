@@ -162,3 +162,26 @@ def test_m09_distinct_count_counts_blank_once(txns):
     data = [{"CUSTOMER_ID": c} for c in (1, 1, 2, None, None)]
     assert measures.base_measures(txns(data), []).collect()[0].unique_customers == 3
     assert measures.base_measures(txns(data), [], count_blank_customer=False).collect()[0].unique_customers == 2
+
+
+def test_d1_cards_measure_arrow_and_blank_yoy(txns):
+    data = [{"TRANSACTION_DATE": dt.date(2024, 4, 3)}] * 10 + [{"TRANSACTION_DATE": dt.date(2024, 5, 3)}] * 9
+    r = dashboards.kpi_cards(txns(data), AS_OF).collect()[0]
+    assert r.total_transactions == 9 and r.mom_arrow == "▼▼ 10.0%" and r.yoy_volume_growth_pct is None
+
+
+def test_d4_corridor_table_excludes_null_ends(txns):
+    data = [
+        {"PRODUCT": "R", "SOURCE_COUNTRY": "A", "DEST_COUNTRY": "B"},
+        {"PRODUCT": "R", "SOURCE_COUNTRY": None, "DEST_COUNTRY": "B"},
+        {"PRODUCT": "R", "SOURCE_COUNTRY": "A", "DEST_COUNTRY": "A"},
+    ]
+    out = dashboards.corridor_table(txns(data), "R").collect()
+    assert [(r.corridor, r.total_transactions) for r in out] == [("A->B", 1)]
+
+
+def test_d5_region_totals_per_agent_then_region(txns, frame):
+    agents = frame([("AG1", "a", "GOLD", "R1", "K1", 1), ("AG2", "b", "GOLD", "R1", "K2", 1)], schemas.AGENTS)
+    data = [{"PRODUCT": "AG", "AGENT_ID": "AG1"}] * 3 + [{"PRODUCT": "AG", "AGENT_ID": "AG2"}] + [{"PRODUCT": "AG", "AGENT_ID": ""}]
+    r = dashboards.region_totals(txns(data), agents, "AG").collect()[0]
+    assert (r.REGION, r.total_transactions, r.agents) == ("R1", 4, 2)
