@@ -87,7 +87,8 @@ def main(argv: list[str] | None = None) -> int:
     src.add_argument("--catalog-db", help="database holding the star tables")
     src.add_argument("--tpch", help="folder of the TPC-H-like test tables")
     ap.add_argument("--star-format", default="parquet", help="csv or parquet (with --star)")
-    ap.add_argument("--as-of", type=dt.date.fromisoformat, default=ReportParams().as_of)
+    ap.add_argument("--as-of", type=dt.date.fromisoformat, default=dt.date.today(),
+                    help="report date (default: today, as the original reports use the wall clock)")
     for role in ("home_subsidiary", "agency_product", "remit_product", "flagship_product", "control_channel", "treatment_channel"):
         ap.add_argument("--" + role.replace("_", "-"), default=getattr(ReportParams(), role))
     ap.add_argument("--products", help="comma-separated product columns for the wide matrices (default: from the data)")
