@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import huffman
+from ledgerlens.llm import huffman, simhash
 
 QUERIES = {
+    "op10_simhash": simhash.op10_simhash,
     "op9_token_binary": huffman.op9_token_binary,
 }
 SQL: dict[str, str] = {}
