@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import huffman, simhash
+from ledgerlens.llm import decontam, huffman, simhash
 
 QUERIES = {
     "op10_simhash": simhash.op10_simhash,
+    "op8_decontamination": decontam.op8_decontamination,
     "op9_token_binary": huffman.op9_token_binary,
 }
 SQL: dict[str, str] = {}
