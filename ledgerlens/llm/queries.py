@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import decontam, huffman, simhash
+from ledgerlens.llm import decontam, huffman, mixing, quality, simhash
 
 QUERIES = {
-    "op10_simhash": simhash.op10_simhash,
+    "op2_mixing": mixing.op2_mixing,
+    "op6_quality": quality.op6_quality,
     "op8_decontamination": decontam.op8_decontamination,
     "op9_token_binary": huffman.op9_token_binary,
+    "op10_simhash": simhash.op10_simhash,
 }
 SQL: dict[str, str] = {}
