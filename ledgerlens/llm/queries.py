@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import decontam, huffman, mixing, quality, simhash
+from ledgerlens.llm import decontam, html_text, huffman, mixing, quality, simhash
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op6_quality": quality.op6_quality,
+    "op7_html_text": html_text.op7_html_text,
     "op8_decontamination": decontam.op8_decontamination,
     "op9_token_binary": huffman.op9_token_binary,
     "op10_simhash": simhash.op10_simhash,
