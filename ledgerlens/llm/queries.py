@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import decontam, html_text, huffman, langid, licenses, mixing, quality, simhash
+from ledgerlens.llm import decontam, html_text, huffman, langid, licenses, mixing, nndescent, quality, simhash
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_language": langid.op3_language,
+    "op4_embeddings": nndescent.op4_embeddings,
     "op5_licenses": licenses.op5_licenses,
     "op6_quality": quality.op6_quality,
     "op7_html_text": html_text.op7_html_text,
