@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import decontam, html_text, huffman, langid, licenses, mixing, nndescent, quality, simhash
+from ledgerlens.llm import decontam, html_text, huffman, langid, licenses, mixing, ngram, nndescent, quality, simhash
 
 QUERIES = {
+    "op1_lm_score": ngram.op1_lm_score,
     "op2_mixing": mixing.op2_mixing,
     "op3_language": langid.op3_language,
     "op4_embeddings": nndescent.op4_embeddings,
