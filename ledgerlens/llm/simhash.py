@@ -31,6 +31,10 @@ SEED = 42
 HOT = 4096
 #: fingerprints compared together by a task
 WINDOW = 1 << 16
+#: pairs held before they are folded into the task's forest
+PORTION = 200_000
+#: bytes of text whose shingles are hashed at once
+SLICE = 1 << 20
 
 
 def fingerprints(texts: pa.Array, width: int = 3) -> np.ndarray:
@@ -61,7 +65,7 @@ def fingerprint_table(documents: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed 64-bit number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, "text"):
+        for b in text_slices(batches, "text", SLICE):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fingerprints(b.column("text"), width).view(np.int64))], ["doc_id", "fp"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
@@ -77,18 +81,18 @@ def _part(fp: Column, block: tuple[int, int]) -> Column:
     return F.shiftrightunsigned(fp, block[0]).bitwiseAND(F.lit((1 << block[1]) - 1))
 
 
-def _near_pairs(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of fingerprints of the same group (rows sorted by it) at most ``radius`` bits apart."""
+def _near_pairs(fp: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) of fingerprints of the same group (rows sorted by it) at most ``radius`` bits apart, in portions."""
     n = len(fp)
     if n < 2:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return
     end = np.concatenate([np.flatnonzero(group[1:] != group[:-1]) + 1, [n]])
     last = end[np.searchsorted(end, np.arange(n), side="right")]  # first row after the group
     bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     planes = np.stack([bits_of(bits[:, p]) for p in range(64)])
     planes = np.concatenate([planes, np.zeros((64, 1), dtype=np.uint64)], axis=1)
     room = last - np.arange(n) - 1  # partners after this row
-    found_i, found_j = [], []
+    found_i, found_j, found = [], [], 0
     for d in range(1, int(room.max(initial=0)) + 1):
         live = bits_of(room >= d)[: (n + 63) // 64]
         at = np.flatnonzero(live)
@@ -116,9 +120,12 @@ def _near_pairs(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndar
             i = at[row] * 64 + bit
             found_i.append(i)
             found_j.append(i + d)
-    if not found_i:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate(found_i), np.concatenate(found_j)
+            found += len(i)
+            if found >= PORTION:
+                yield np.concatenate(found_i), np.concatenate(found_j)
+                found_i, found_j, found = [], [], 0
+    if found_i:
+        yield np.concatenate(found_i), np.concatenate(found_j)
 
 
 def _linker(radius: int):
@@ -128,15 +135,17 @@ def _linker(radius: int):
         held = [np.zeros(0, dtype=np.int64)] * 3
         a = b = np.zeros(0, dtype=np.int64)
 
-        def link(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        def link(rows: list[np.ndarray]) -> None:
+            nonlocal a, b
             bucket, part, fp = rows
             change = np.ones(len(fp), dtype=bool)
             change[1:] = (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])
             group = np.cumsum(change)
             size = np.bincount(group)[group]
             some = size > 1
-            i, j = _near_pairs(fp[some].view(np.uint64), group[some], radius)
-            return fp[some][i], fp[some][j]
+            fp = fp[some]
+            for i, j in _near_pairs(fp.view(np.uint64), group[some], radius):
+                a, b = spanning(np.concatenate([a, fp[i]]), np.concatenate([b, fp[j]]))
 
         for batch in batches:
             held = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("bucket", "part", "fp"))]
@@ -146,11 +155,9 @@ def _linker(radius: int):
             if not len(change):
                 continue
             cut = change[-1]  # the last bucket may go on in the next batch
-            x, y = link([h[:cut] for h in held])
-            a, b = spanning(np.concatenate([a, x]), np.concatenate([b, y]))
+            link([h[:cut] for h in held])
             held = [h[cut:] for h in held]
-        x, y = link(held)
-        a, b = spanning(np.concatenate([a, x]), np.concatenate([b, y]))
+        link(held)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
@@ -198,21 +205,23 @@ def keep_one(documents: DataFrame, width: int = 3, radius: int = 2) -> DataFrame
     ids = groups.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     out = documents.join(kept, documents["doc_id"] == F.col("kept_id"), "left_semi")
+    if ids["n"] != ids["d"]:
+        out = out.dropDuplicates(["doc_id"])
     nameless = groups.where("component_id is null").select("fp").distinct()
-    if nameless.limit(1).count():  # groups in which no row has an id
+    if not nameless.isEmpty():  # groups in which no row has an id
         lone = fingerprint_rows(documents.where("doc_id is null"), width).join(nameless, "fp", "left_semi").dropDuplicates(["fp"])
-        out = out.unionByName(lone.select(*columns))
-    return out.dropDuplicates(["doc_id"]) if ids["n"] != ids["d"] else out
+        out = out.unionByName(lone.select("row.*"))
+    return out
 
 
 def fingerprint_rows(documents: DataFrame, width: int = 3) -> DataFrame:
-    """All columns and ``fp``."""
+    """(row, fp): all columns in a struct."""
 
     @F.pandas_udf("long")
     def mark(texts: pd.Series) -> pd.Series:
         return pd.Series(fingerprints(pa.array(texts, pa.large_string(), from_pandas=True), width).view(np.int64))
 
-    return documents.withColumn("fp", mark("text"))
+    return documents.select(F.struct("*").alias("row"), mark("text").alias("fp"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
