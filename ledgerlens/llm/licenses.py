@@ -59,7 +59,7 @@ PASSAGES = [
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright"]),
 ]
 
-ANCHORS = 4
+ANCHORS = 8
 COVERAGE = 0.8
 
 

@@ -108,6 +108,8 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, per_class: int =
     sample = samples[0].unionByName(samples[1]).unionByName(samples[2])  # at most 2 * per_class + calibration rows
     rows = documents.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(sample), "id").select("role", "quality", "text")
     row = rows.repartition(1).mapInArrow(_fit, "good binary, bad binary, w array<double>").first()
+    if row is None:
+        return {"good": b"", "bad": b"", "w": [0.0] * 4}
     return {"good": bytes(row["good"]), "bad": bytes(row["bad"]), "w": list(row["w"])}
 
 
