@@ -22,13 +22,14 @@ from ledgerlens.functions import kpi
 from ledgerlens.operators import cohort, dashboards, export, measures, reports, rfm, stats, worksheet
 from ledgerlens.params import ReportParams
 from ledgerlens.session import configure
+from ledgerlens.sources.rollup import rollup
 from ledgerlens.sources.star import Star, events_as_transactions, materialized_star, star_from_tpch
 
 P = ReportParams()
 EVENTS_AS_OF = dt.date(2024, 1, 31)
 # The 28-day failure window holds only a handful of rows in the synthetic data
 # (its last month is partial), so the registered R03 uses a wider window.
-R03_WINDOW_DAYS = 248
+R03_WINDOW_DAYS = 256  # four periods of 64 days: one recent, three prior
 R03_RECENT_DAYS = 64
 R09A_AS_OF = dt.date(1996, 1, 15)
 # One flagship product on two channels over 90 days is a few rows in the test
@@ -81,12 +82,19 @@ def register(name: str):
 # ------------------------------------------------------------------ R series
 @register("r01_monthly_product_performance")
 def _r01(s: Star, spark, sf_dir):
-    return reports.monthly_product_performance(s.transactions, P.as_of, P.home_subsidiary, months=3)
+    return reports.monthly_product_performance(s.transactions, P.as_of, P.home_subsidiary, months=3, monthly=rollup(s, "product_category"))
 
 
 @register("r01_monthly_product_performance_all_subsidiaries")
 def _r01_all(s: Star, spark, sf_dir):
-    return reports.monthly_product_performance(s.transactions, P.as_of, None, months=12)
+    return reports.monthly_product_performance(s.transactions, P.as_of, None, months=12, monthly=rollup(s, "product_category"))
+
+
+@register("r02_kpi_rag_missing_target")
+def _r02_red(s: Star, spark, sf_dir):
+    """R02 where a pair without a target is RED, over targets that leave out one pair."""
+    targets = s.kpi_targets.filter(~((F.col("PRODUCT") == P.remit_product) & (F.col("SUBSIDIARY_NAME") == P.home_subsidiary)))
+    return reports.kpi_rag(s.transactions, targets, P.as_of, missing_target="red")
 
 
 @register("r02_kpi_rag")
@@ -113,7 +121,7 @@ def _r05(s: Star, spark, sf_dir):
 
 @register("r06_rolling_success_rate")
 def _r06(s: Star, spark, sf_dir):
-    return reports.rolling_success_rate(s.transactions, P.as_of)
+    return reports.rolling_success_rate(s.transactions, P.as_of, monthly=rollup(s, "product_subsidiary"))
 
 
 @register("r07_segment_revenue")
@@ -161,7 +169,7 @@ def _p5(s: Star, spark, sf_dir):
 # ------------------------------------------------------------------ P series
 @register("p1_zscore_anomalies")
 def _p1(s: Star, spark, sf_dir):
-    return stats.zscore_anomalies(s.transactions)
+    return stats.zscore_anomalies(s.transactions, monthly=rollup(s, "product_subsidiary"))
 
 
 @register("p1b_complete_months")
@@ -198,12 +206,12 @@ def _p3d_risk(s: Star, spark, sf_dir):
 
 @register("p4_linear_forecast")
 def _p4(s: Star, spark, sf_dir):
-    return stats.linear_forecast(s.transactions, P.as_of)
+    return stats.linear_forecast(s.transactions, P.as_of, monthly=rollup(s, "product_subsidiary"))
 
 
 @register("p6a_monthly_kpis")
 def _p6a(s: Star, spark, sf_dir):
-    return export.monthly_kpis(s.transactions)
+    return export.monthly_kpis(s.transactions, rollup(s, "product_subsidiary"))
 
 
 @register("p6b_failure_summary")
@@ -229,17 +237,17 @@ def _p6e(s: Star, spark, sf_dir):
 # ------------------------------------------------------------------ X series
 @register("x1_last_month_volume")
 def _x1(s: Star, spark, sf_dir):
-    return worksheet.last_month_volume(s.transactions, P.as_of, P.home_subsidiary)
+    return worksheet.last_month_volume(s.transactions, P.as_of, P.home_subsidiary, labels=rollup(s, "product"))
 
 
 @register("x2_last_month_success_rate")
 def _x2(s: Star, spark, sf_dir):
-    return worksheet.last_month_success_rate(s.transactions, P.as_of)
+    return worksheet.last_month_success_rate(s.transactions, P.as_of, labels=rollup(s, "product_subsidiary"))
 
 
 @register("x3_volume_rag")
 def _x3(s: Star, spark, sf_dir):
-    return worksheet.volume_rag(s.transactions, s.kpi_targets, P.as_of)
+    return worksheet.volume_rag(s.transactions, s.kpi_targets, P.as_of, labels=rollup(s, "product_subsidiary"))
 
 
 @register("x4_top_failures")
@@ -252,9 +260,15 @@ def _x5(s: Star, spark, sf_dir):
     return worksheet.channel_product_sr_matrix(s.transactions, list(P.products))
 
 
+@register("x5_channel_product_sr")
+def _x5_long(s: Star, spark, sf_dir):
+    """X5 in long form: every channel and product of the data."""
+    return worksheet.channel_product_sr(s.transactions)
+
+
 @register("x6_mom_arrow")
 def _x6(s: Star, spark, sf_dir):
-    return worksheet.mom_arrow(s.transactions, P.as_of)
+    return worksheet.mom_arrow(s.transactions, P.as_of, labels=rollup(s, "product"))
 
 
 @register("x7_float_utilisation")
@@ -267,6 +281,12 @@ def _x8(s: Star, spark, sf_dir):
     return worksheet.corridor_month_matrix(s.transactions, P.remit_product)
 
 
+@register("x8_corridor_month_grid")
+def _x8_grid(s: Star, spark, sf_dir):
+    """X8 with the zeros of the spilled matrix."""
+    return worksheet.corridor_month_grid(worksheet.corridor_month_matrix(s.transactions, P.remit_product))
+
+
 @register("x9_ytd_running_total")
 def _x9(s: Star, spark, sf_dir):
     return worksheet.ytd_running_total(s.transactions, P.as_of, P.home_subsidiary)
@@ -274,14 +294,15 @@ def _x9(s: Star, spark, sf_dir):
 
 @register("x10_rolling_3m_success_rate")
 def _x10(s: Star, spark, sf_dir):
-    k = export.monthly_kpis(s.transactions).select("Month", "PRODUCT", "SUBSIDIARY", "SuccessRate")
+    k = export.monthly_kpis(s.transactions, rollup(s, "product_subsidiary")).select("Month", "PRODUCT", "SUBSIDIARY", "SuccessRate")
     r = worksheet.rolling_mean(k, "SuccessRate", "Month", ["PRODUCT", "SUBSIDIARY"], rows=3, out="_r")
     return r.withColumn("Rolling3M_SR", kpi.rnd("_r", 2)).drop("_r")
 
 
 # ------------------------------------------------------------------ M series
 def _monthly(s: Star, by: list[str]):
-    return measures.monthly_measures(s.transactions, by)
+    """The base measures per month, from the kept rollup."""
+    return rollup(s, "_".join(by).lower() or "all").drop("known_customers")
 
 
 @register("m01_m09_base_measures")
@@ -294,11 +315,27 @@ def _m10(s: Star, spark, sf_dir):
     return measures.prior_period_measures(_monthly(s, ["PRODUCT", "SUBSIDIARY"]), ["PRODUCT", "SUBSIDIARY"])
 
 
+FINE = ["PRODUCT", "SUBSIDIARY", "COUNTRY", "CHANNEL"]
+
+
+@register("m10_m21_prior_period_growth_fine")
+def _m10_fine(s: Star, spark, sf_dir):
+    """A grain with gaps: groups that have no transactions in some months."""
+    return measures.prior_period_measures(_monthly(s, FINE), FINE)
+
+
 @register("m22_m26_attainment_rag")
 def _m22(s: Star, spark, sf_dir):
     return measures.attainment_measures(_monthly(s, ["PRODUCT", "SUBSIDIARY"]), s.kpi_targets)
 
 
+@register("m22_m26_attainment_without_sales")
+def _m22_gap(s: Star, spark, sf_dir):
+    """Targets of the home subsidiary only sold by others: every target of it is missed."""
+    sold = _monthly(s, ["PRODUCT", "SUBSIDIARY"]).filter(F.col("SUBSIDIARY") != P.home_subsidiary)
+    return measures.attainment_measures(sold, s.kpi_targets)
+
+
 @register("m27_m29_rolling_3m")
 def _m27(s: Star, spark, sf_dir):
     r = measures.rolling_measures(_monthly(s, ["PRODUCT", "SUBSIDIARY"]), ["PRODUCT", "SUBSIDIARY"])
@@ -330,8 +367,7 @@ def _m36(s: Star, spark, sf_dir):
 
 @register("m37_corridor_column")
 def _m37(s: Star, spark, sf_dir):
-    t = s.transactions.filter(F.col("PRODUCT") == F.lit(P.remit_product))
-    return t.groupBy(measures.corridor_column().alias("corridor")).agg(
+    return s.transactions.groupBy(measures.corridor_column().alias("corridor")).agg(
         F.count(F.lit(1)).alias("total_transactions"), F.sum("TXN_AMOUNT_USD").alias("total_value_usd")
     )
 
@@ -358,6 +394,17 @@ def _m41(s: Star, spark, sf_dir):
     )
 
 
+@register("m41_subsidiary_rank_all")
+def _m41_all(s: Star, spark, sf_dir):
+    """The rank over all history (also the bar of dashboard page 1)."""
+    return dashboards.subsidiary_value(s.transactions)
+
+
+@register("calendar")
+def _calendar(s: Star, spark, sf_dir):
+    return measures.date_table(s.transactions)
+
+
 @register("m42_report_title")
 def _m42(s: Star, spark, sf_dir):
     return measures.report_title_for(s.transactions)
@@ -379,6 +426,16 @@ def _d2a(s: Star, spark, sf_dir):
     return dashboards.month_product_matrix(s.transactions, list(P.products))
 
 
+@register("d2_month_product")
+def _d2_long(s: Star, spark, sf_dir):
+    return dashboards.month_product(s.transactions)
+
+
+@register("d2_product_scatter")
+def _d2_scatter(s: Star, spark, sf_dir):
+    return dashboards.product_scatter(s.transactions)
+
+
 @register("d2_channel_share")
 def _d2b(s: Star, spark, sf_dir):
     return dashboards.channel_share(s.transactions)
@@ -414,6 +471,11 @@ def _d4a(s: Star, spark, sf_dir):
     return dashboards.destination_volume(s.transactions, P.remit_product)
 
 
+@register("d4_corridor_cards")
+def _d4c(s: Star, spark, sf_dir):
+    return dashboards.corridor_cards(s.transactions, P.remit_product)
+
+
 @register("d4_corridor_table")
 def _d4b(s: Star, spark, sf_dir):
     return dashboards.corridor_table(s.transactions, P.remit_product)

@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import kpi
-from ledgerlens.plans.joins import broadcast_if_small
 from ledgerlens.operators import measures
-from ledgerlens.params import prior_month_bounds
+from ledgerlens.operators.worksheet import listed_only
+from ledgerlens.params import add_months, prior_month_bounds
 
 D = "TRANSACTION_DATE"
 M = measures.MONTH
@@ -25,8 +25,9 @@ M = measures.MONTH
 # ---------------------------------------------------------------- D1 executive
 def kpi_cards(txns: DataFrame, as_of: dt.date) -> DataFrame:
     """One row for the last full month: volume, success rate, value, customers, MoM arrow, YoY growth."""
-    start, _ = prior_month_bounds(as_of)
-    monthly = measures.monthly_measures(txns, [])
+    start, end = prior_month_bounds(as_of)
+    # the month, the one before and the one a year before
+    monthly = measures.monthly_measures(kpi.date_window(txns, add_months(start, -12), end), [])
     p = measures.prior_period_measures(monthly, [])
     return p.filter(F.col(M) == F.lit(start)).select(
         M,
@@ -40,32 +41,54 @@ def kpi_cards(txns: DataFrame, as_of: dt.date) -> DataFrame:
 
 
 def product_table(txns: DataFrame, targets: DataFrame, as_of: dt.date) -> DataFrame:
-    """Per product, last full month: volume, success rate, MoM arrow and volume RAG vs the summed targets."""
-    start, _ = prior_month_bounds(as_of)
-    monthly = measures.monthly_measures(txns, ["PRODUCT"])
+    """Per product, last full month: volume, success rate, MoM arrow and volume RAG vs the summed targets.
+
+    Products with transactions now, a month or a year ago, or with a target for
+    the month; one without sales has blank volume, rate 0 and RED.
+    """
+    start, end = prior_month_bounds(as_of)
+    monthly = measures.monthly_measures(kpi.date_window(txns, add_months(start, -12), end), ["PRODUCT"])
     p = measures.prior_period_measures(monthly, ["PRODUCT"]).filter(F.col(M) == F.lit(start))
-    t = targets.groupBy(F.col("PRODUCT").alias("_p"), F.to_date("TARGET_MONTH").alias("_m")).agg(
-        F.sum("TARGET_VOLUME").alias("_tv")
-    )
-    j = p.join(broadcast_if_small(t), (F.col("PRODUCT") == F.col("_p")) & (F.col(M) == F.col("_m")), "left")
+    t = targets.filter(F.to_date("TARGET_MONTH") == F.lit(start)).groupBy(F.col("PRODUCT").alias("_p")).agg(F.sum("TARGET_VOLUME").alias("_tv"))
+    j = p.join(t, F.col("PRODUCT") == F.col("_p"), "full")
     att = F.coalesce(kpi.ratio("total_transactions", "_tv"), F.lit(0.0)) * F.lit(100.0)
     return j.select(
-        "PRODUCT",
+        F.coalesce("PRODUCT", "_p").alias("PRODUCT"),
         "total_transactions",
-        kpi.rnd("success_rate_pct", 2).alias("success_rate_pct"),
-        "mom_arrow",
+        kpi.rnd(F.coalesce("success_rate_pct", F.lit(0.0)), 2).alias("success_rate_pct"),
+        F.coalesce("mom_arrow", F.lit(measures.EM_DASH)).alias("mom_arrow"),
         F.when(att >= 95, "GREEN").when(att >= 80, "AMBER").otherwise("RED").alias("volume_rag"),
     )
 
 
+def subsidiary_value(txns: DataFrame) -> DataFrame:
+    """Subsidiary x total value over all history, with its dense rank (bar coloured by rank)."""
+    b = txns.groupBy("SUBSIDIARY").agg(F.sum("TXN_AMOUNT_USD").alias("total_value_usd"))
+    return measures.dense_rank_desc(b, "total_value_usd", "subsidiary_rank_by_value")
+
+
 # ---------------------------------------------------------------- D2 product & channel
+def month_product(txns: DataFrame) -> DataFrame:
+    """Product x month: volume and success rate (the matrix and the combo chart), every product of the data."""
+    return txns.groupBy(kpi.month_key(D).alias("month"), "PRODUCT").agg(
+        F.count(F.lit(1)).alias("total_transactions"),
+        kpi.rnd(kpi.pct(kpi.successes(), F.count(F.lit(1))), 2).alias("success_rate_pct"),
+    )
+
+
 def month_product_matrix(txns: DataFrame, products: list[str]) -> DataFrame:
-    """Month rows x product columns of transaction counts (explicit product list; empty -> 0)."""
-    return (
-        txns.groupBy(kpi.month_key(D).alias("month"))
-        .pivot("PRODUCT", products)
-        .agg(F.count(F.lit(1)))
-        .fillna(0, subset=products)
+    """Month rows x product columns of transaction counts (explicit product list, an unlisted product fails; empty -> 0)."""
+    cells = [kpi.count_when(F.col("PRODUCT") == F.lit(p)) for p in products]
+    cells = [(listed_only(products, c) if i == 0 else c).alias(p) for i, (p, c) in enumerate(zip(products, cells))]
+    return txns.groupBy(kpi.month_key(D).alias("month")).agg(*cells)
+
+
+def product_scatter(txns: DataFrame) -> DataFrame:
+    """Per product over all history: volume, success rate and value (scatter)."""
+    return txns.groupBy("PRODUCT").agg(
+        F.count(F.lit(1)).alias("total_transactions"),
+        kpi.rnd(kpi.pct(kpi.successes(), F.count(F.lit(1))), 2).alias("success_rate_pct"),
+        kpi.rnd(F.sum("TXN_AMOUNT_USD"), 2).alias("total_value_usd"),
     )
 
 
@@ -126,6 +149,14 @@ def destination_volume(txns: DataFrame, remit_product: str) -> DataFrame:
     )
 
 
+def corridor_cards(txns: DataFrame, remit_product: str) -> DataFrame:
+    """Cards: total cross-border volume and unique senders of the remittance product."""
+    return _cross_border(txns, remit_product).agg(
+        kpi.rnd(F.coalesce(F.sum("TXN_AMOUNT_USD"), F.lit(0)), 2).alias("cross_border_volume_usd"),
+        F.countDistinct("CUSTOMER_ID").alias("unique_senders"),
+    )
+
+
 def corridor_table(txns: DataFrame, remit_product: str) -> DataFrame:
     """Corridor | txns | SR % | value | avg fee rate % | avg minutes | unique senders, all history."""
     local = F.col("TXN_AMOUNT_LOCAL")
@@ -143,14 +174,12 @@ def corridor_table(txns: DataFrame, remit_product: str) -> DataFrame:
 # ---------------------------------------------------------------- D5 agents
 def agent_cards(txns: DataFrame, agency_product: str) -> DataFrame:
     """Cards: active agents, successful transactions per active agent, total commission (agency fees)."""
-    a = measures.agent_activity_measures(txns, [], agency_product)
-    c = txns.filter(F.col("PRODUCT") == F.lit(agency_product)).agg(
-        kpi.rnd(F.coalesce(F.sum("FEE_AMOUNT_LOCAL"), F.lit(0)), 2).alias("total_commission_local")
-    )
+    fees = F.sum(F.when(F.col("PRODUCT") == F.lit(agency_product), F.col("FEE_AMOUNT_LOCAL")))
+    a = measures.agent_activity_measures(txns, [], agency_product, [fees.alias("_fees")])
     return a.select(
         "active_agents",
         kpi.rnd("txns_per_active_agent", 2).alias("txns_per_active_agent"),
-        c.select("total_commission_local").scalar().alias("total_commission_local"),
+        kpi.rnd(F.coalesce("_fees", F.lit(0)), 2).alias("total_commission_local"),
     )
 
 

@@ -18,8 +18,20 @@ from ledgerlens.params import prior_month_bounds
 D = "TRANSACTION_DATE"
 
 
-def monthly_kpis(txns: DataFrame) -> DataFrame:
-    """Month x product x subsidiary volume, success rate (1 dp), value (0 dp), customers."""
+def monthly_kpis(txns: DataFrame, monthly: DataFrame | None = None) -> DataFrame:
+    """Month x product x subsidiary volume, success rate (1 dp), value (0 dp), customers.
+
+    ``monthly`` is the kept rollup of the base measures (with ``known_customers``) by product and subsidiary.
+    """
+    if monthly is not None:
+        return monthly.select(
+            F.date_format("month", "yyyy-MM").alias("Month"), "PRODUCT", "SUBSIDIARY",
+            F.col("total_transactions").alias("TotalTxns"),
+            F.col("successful_transactions").alias("Successful"),
+            kpi.rnd(kpi.pct("successful_transactions", "total_transactions"), 1).alias("SuccessRate"),
+            kpi.rnd("total_value_usd", 0).alias("ValueUSD"),
+            F.col("known_customers").alias("UniqueCustomers"),
+        ).orderBy(F.col("Month").desc(), F.col("TotalTxns").desc())
     return txns.groupBy(kpi.month_key(D).alias("Month"), "PRODUCT", "SUBSIDIARY").agg(
         F.count(F.lit(1)).alias("TotalTxns"),
         kpi.successes().alias("Successful"),

@@ -40,13 +40,14 @@ def with_month(txns: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- M01-M09
-def base_measures(txns: DataFrame, by: list[str], count_blank_customer: bool = True) -> DataFrame:
+def base_measures(txns: DataFrame, by: list[str], count_blank_customer: bool = True, known_customers: bool = False) -> DataFrame:
     """Totals, success/failure counts and rates, value, fees, minutes and distinct customers per ``by``.
 
     ``count_blank_customer`` adds one to the distinct count when a NULL
-    customer is present (DISTINCTCOUNT counts BLANK as a value).
+    customer is present (DISTINCTCOUNT counts BLANK as a value);
+    ``known_customers`` adds a column with the count that leaves it out.
     """
-    uniq = F.countDistinct("CUSTOMER_ID")
+    known = uniq = F.countDistinct("CUSTOMER_ID")
     if count_blank_customer:
         uniq = uniq + F.max(F.when(F.col("CUSTOMER_ID").isNull(), 1).otherwise(0))
     g = txns.groupBy(*by).agg(
@@ -57,14 +58,15 @@ def base_measures(txns: DataFrame, by: list[str], count_blank_customer: bool = T
         F.sum("FEE_AMOUNT_LOCAL").alias("total_fee_revenue_local"),
         (kpi.avg_exact("PROCESSING_TIME_SECS") / F.lit(60.0)).alias("avg_processing_time_mins"),
         uniq.alias("unique_customers"),
+        *([known.alias("known_customers")] if known_customers else []),
     )
     return g.withColumn("success_rate_pct", _div0("successful_transactions", "total_transactions") * F.lit(100.0)).withColumn(
         "failure_rate_pct", _div0("failed_transactions", "total_transactions") * F.lit(100.0)
     )
 
 
-def monthly_measures(txns: DataFrame, by: list[str]) -> DataFrame:
-    return base_measures(with_month(txns), [MONTH, *by])
+def monthly_measures(txns: DataFrame, by: list[str], known_customers: bool = False) -> DataFrame:
+    return base_measures(with_month(txns), [MONTH, *by], known_customers=known_customers)
 
 
 # ---------------------------------------------------------------- M10-M21
@@ -80,23 +82,45 @@ def _shifted(value: str, by: list[str], months: int) -> Column:
 
 
 def prior_period_measures(monthly: DataFrame, by: list[str]) -> DataFrame:
-    """LM / LY values by calendar shift and the growth measures built on them."""
-    j = monthly.select(
-        "*",
-        _shifted("total_transactions", by, 1).alias("transactions_lm"),
-        _shifted("total_value_usd", by, 1).alias("value_usd_lm"),
-        _shifted("unique_customers", by, 1).alias("customers_lm"),
-        _shifted("total_transactions", by, 12).alias("transactions_ly"),
-        _shifted("total_value_usd", by, 12).alias("value_usd_ly"),
-        # Success Rate LM is DIVIDE(.., .., 0): an empty prior month gives 0, not blank
-        F.coalesce(_shifted("success_rate_pct", by, 1), F.lit(0.0)).alias("success_rate_lm"),
-    )
+    """LM / LY values by calendar shift and the growth measures built on them.
+
+    A row exists for every month of the data's calendar in which a group has a
+    value now, a month ago or a year ago: a group that stops selling shows
+    blank counts, rates of 0 and a growth of -100 %. Each monthly row is dealt
+    to the three months it counts for, and one aggregate per (month, group)
+    puts them together: no self-join, no window.
+    """
+    values = [c for c in monthly.columns if c not in (MONTH, *by)]
+    ends = monthly.select(F.max(MONTH)).scalar()
+    dealt = monthly.select(
+        *by, F.struct(*values).alias("_v"), F.explode(F.array(*[F.lit(k) for k in (0, 1, 12)])).alias("_k"), F.col(MONTH).alias("_from")
+    ).withColumn(MONTH, F.add_months("_from", F.col("_k")))
+
+    def ago(months: int) -> Column:
+        return F.max(F.when(F.col("_k") == months, F.col("_v")))
+
+    met = dealt.filter(F.col(MONTH) <= ends).groupBy(MONTH, *by).agg(ago(0).alias("_now"), ago(1).alias("_lm"), ago(12).alias("_ly"))
+    rates = ("success_rate_pct", "failure_rate_pct")  # DIVIDE(.., .., 0): 0, not blank, without transactions
+    now = [(F.coalesce(F.col(f"_now.{c}"), F.lit(0.0)) if c in rates else F.col(f"_now.{c}")).alias(c) for c in values]
+    j = met.select(
+        MONTH, *by, *now,
+        F.col("_lm.total_transactions").alias("transactions_lm"),
+        F.col("_lm.total_value_usd").alias("value_usd_lm"),
+        F.col("_lm.unique_customers").alias("customers_lm"),
+        F.col("_ly.total_transactions").alias("transactions_ly"),
+        F.col("_ly.total_value_usd").alias("value_usd_ly"),
+        F.coalesce("_lm.success_rate_pct", F.lit(0.0)).alias("success_rate_lm"),
+    )
+
+    def growth(value: str, prior: str) -> Column:
+        return _divb(F.coalesce(F.col(value), F.lit(0)) - F.col(prior), prior) * F.lit(100.0)  # blank counts as 0 in a difference
+
     g = (
-        j.withColumn("mom_volume_growth_pct", _divb(F.col("total_transactions") - F.col("transactions_lm"), "transactions_lm") * F.lit(100.0))
-        .withColumn("yoy_volume_growth_pct", _divb(F.col("total_transactions") - F.col("transactions_ly"), "transactions_ly") * F.lit(100.0))
-        .withColumn("mom_value_growth_pct", _divb(F.col("total_value_usd") - F.col("value_usd_lm"), "value_usd_lm") * F.lit(100.0))
+        j.withColumn("mom_volume_growth_pct", growth("total_transactions", "transactions_lm"))
+        .withColumn("yoy_volume_growth_pct", growth("total_transactions", "transactions_ly"))
+        .withColumn("mom_value_growth_pct", growth("total_value_usd", "value_usd_lm"))
         .withColumn("mom_success_rate_change_pp", F.col("success_rate_pct") - F.col("success_rate_lm"))
-        .withColumn("mom_customer_growth_pct", _divb(F.col("unique_customers") - F.col("customers_lm"), "customers_lm") * F.lit(100.0))
+        .withColumn("mom_customer_growth_pct", growth("unique_customers", "customers_lm"))
     )
     return g.withColumn("mom_arrow", kpi.arrow("mom_volume_growth_pct", weak_inclusive=False, blank=EM_DASH))
 
@@ -105,8 +129,9 @@ def prior_period_measures(monthly: DataFrame, by: list[str]) -> DataFrame:
 def attainment_measures(monthly: DataFrame, targets: DataFrame) -> DataFrame:
     """Volume/value attainment vs the month's target, RAGs, and SR RAG vs the best target of any month.
 
-    ``monthly`` must be keyed by (month, PRODUCT, SUBSIDIARY). Targets are
-    product x subsidiary x month: broadcast after a bounded size check.
+    ``monthly`` must be keyed by (month, PRODUCT, SUBSIDIARY). A month with
+    transactions but no target and a target without transactions both have a
+    row (attainment 0, RED), hence the full join.
     """
     t = targets.groupBy(
         F.col("PRODUCT").alias("_p"), F.col("SUBSIDIARY_NAME").alias("_s"), F.to_date("TARGET_MONTH").alias("_m")
@@ -115,10 +140,13 @@ def attainment_measures(monthly: DataFrame, targets: DataFrame) -> DataFrame:
         F.max("TARGET_SUCCESS_RATE").alias("target_success_rate")
     )
     j = monthly.join(
-        broadcast_if_small(t),
-        (F.col("PRODUCT") == F.col("_p")) & (F.col("SUBSIDIARY") == F.col("_s")) & (F.col(MONTH) == F.col("_m")),
-        "left",
-    ).join(broadcast_if_small(sr), (F.col("PRODUCT") == F.col("_p2")) & (F.col("SUBSIDIARY") == F.col("_s2")), "left")
+        t, (F.col("PRODUCT") == F.col("_p")) & (F.col("SUBSIDIARY") == F.col("_s")) & (F.col(MONTH) == F.col("_m")), "full"
+    )
+    j = j.withColumns({
+        MONTH: F.coalesce(MONTH, "_m"), "PRODUCT": F.coalesce("PRODUCT", "_p"), "SUBSIDIARY": F.coalesce("SUBSIDIARY", "_s"),
+        "success_rate_pct": F.coalesce("success_rate_pct", F.lit(0.0)),
+    })
+    j = j.join(broadcast_if_small(sr), (F.col("PRODUCT") == F.col("_p2")) & (F.col("SUBSIDIARY") == F.col("_s2")), "left")
     vol = _div0("total_transactions", "target_volume") * F.lit(100.0)
     val = _div0("total_value_usd", "target_value_usd") * F.lit(100.0)
     tsr = F.coalesce(F.col("target_success_rate").cast("double"), F.lit(0.0))  # blank compares as 0
@@ -213,14 +241,18 @@ def ytd_measures(monthly: DataFrame, by: list[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- M33-M35
-def agent_activity_measures(txns: DataFrame, by: list[str], agency_product: str) -> DataFrame:
-    """Active agents (successful agency transactions, non-blank agent) and successful txns per agent."""
+def agent_activity_measures(txns: DataFrame, by: list[str], agency_product: str, more: list[Column] | None = None) -> DataFrame:
+    """Active agents (successful agency transactions, non-blank agent) and successful txns per agent.
+
+    ``more`` aggregates go into the same pass.
+    """
     active = kpi.status_is(kpi.SUCCESS) & F.col("AGENT_ID").isNotNull() & (F.col("AGENT_ID") != "") & (
         F.col("PRODUCT") == F.lit(agency_product)
     )
     g = txns.groupBy(*by).agg(
         F.countDistinct(F.when(active, F.col("AGENT_ID"))).alias("active_agents"),
         kpi.successes().alias("successful_transactions"),
+        *(more or []),
     )
     return g.withColumn("txns_per_active_agent", _div0("successful_transactions", "active_agents"))
 

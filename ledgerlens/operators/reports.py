@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import kpi
+from ledgerlens.operators import measures
 from ledgerlens.plans.joins import broadcast_if_small
 from ledgerlens.plans.ordered import ntile
 from ledgerlens.params import add_months, month_start, prior_month_bounds
@@ -22,31 +23,39 @@ D = "TRANSACTION_DATE"
 
 
 # ---------------------------------------------------------------- R01
+def product_months(txns: DataFrame) -> DataFrame:
+    """The monthly aggregate R01 runs on (a month never needs another month's rows)."""
+    return txns.groupBy(
+        kpi.month_key(D).alias("txn_month"), "PRODUCT", "SUBSIDIARY", "PRODUCT_CATEGORY"
+    ).agg(
+        F.count(F.lit(1)).alias("total_txns"),
+        kpi.successes().alias("successful_txns"),
+        kpi.failures().alias("failed_txns"),
+        F.sum("TXN_AMOUNT_USD").alias("value_usd"),
+        kpi.avg_exact("TXN_AMOUNT_LOCAL").alias("avg_txn_local"),
+        kpi.avg_exact("PROCESSING_TIME_SECS").alias("avg_proc_secs"),
+        F.sum("FEE_AMOUNT_LOCAL").alias("total_fees_local"),
+        F.countDistinct("CUSTOMER_ID").alias("unique_customers"),
+    )
+
+
 def monthly_product_performance(
     txns: DataFrame,
     as_of: dt.date,
     subsidiary: str | None,
     months: int = 3,
     sla_pct: float = 95.0,
+    monthly: DataFrame | None = None,
 ) -> DataFrame:
     """Month x product x subsidiary x category P&L with MoM/YoY growth and SLA flag.
 
     LAG runs over the full monthly history (row-based: the previous *present*
     month); the month and subsidiary filters apply afterwards. Catalyst pushes
     the subsidiary predicate below the window because it is a partition key.
+    ``monthly`` is the kept rollup of ``product_months``; without it the
+    history is aggregated here.
     """
-    monthly = txns.groupBy(
-        kpi.month_key(D).alias("txn_month"), "PRODUCT", "SUBSIDIARY", "PRODUCT_CATEGORY"
-    ).agg(
-        F.count(F.lit(1)).alias("total_txns"),
-        kpi.successes().alias("successful_txns"),
-        kpi.failures().alias("failed_txns"),
-        F.sum("TXN_AMOUNT_USD").alias("value_usd"),
-        kpi.avg_exact("TXN_AMOUNT_LOCAL").alias("avg_txn_local"),
-        kpi.avg_exact("PROCESSING_TIME_SECS").alias("avg_proc_secs"),
-        F.sum("FEE_AMOUNT_LOCAL").alias("total_fees_local"),
-        F.countDistinct("CUSTOMER_ID").alias("unique_customers"),
-    )
+    monthly = product_months(txns) if monthly is None else monthly
     w = Window.partitionBy("PRODUCT", "SUBSIDIARY").orderBy("txn_month")
     sr = kpi.pct("successful_txns", "total_txns")
     g = (
@@ -186,7 +195,6 @@ def failure_spikes(
     as_of: dt.date,
     window_days: int = 28,
     recent_days: int = 7,
-    prior_periods: int = 3,
     spike: str = "1.5",
     improve: str = "0.7",
 ) -> DataFrame:
@@ -194,8 +202,13 @@ def failure_spikes(
 
     The original two-step aggregate (per period, then pivot) collapses into
     one aggregate with conditional sums. Thresholds are tested exactly as
-    ``this * k > prior * spike`` (no rounding of ``prior / k``).
+    ``this * k > prior * spike`` (no rounding of ``prior / k``). ``k``, the
+    number of prior periods, is what the window holds besides the recent one
+    (28 and 7 days: 3); a window that is no whole number of periods is refused.
     """
+    prior_periods, rest = divmod(window_days - recent_days, recent_days)
+    if prior_periods < 1 or rest:
+        raise ValueError(f"a window of {window_days} days is no whole number of {recent_days}-day periods")
     recent_start = as_of - dt.timedelta(days=recent_days)
     start = as_of - dt.timedelta(days=window_days)
     recent = F.col(D) >= F.lit(recent_start)
@@ -365,16 +378,20 @@ def rolling_success_rate(
     months: int = 5,
     avg_rows: int = 3,
     vol_rows: int = 6,
+    monthly: DataFrame | None = None,
 ) -> DataFrame:
     """Monthly success rate (2 dp) with its rolling mean, change and max-min volatility.
 
     Windows run on the already rounded monthly rate, over rows (present
-    months), and the month filter applies after the windows.
+    months), and the month filter applies after the windows. ``monthly`` is the
+    kept rollup of the base measures by product and subsidiary.
     """
-    m = txns.groupBy(kpi.month_date(D).alias("txn_month"), "PRODUCT", "SUBSIDIARY").agg(
-        F.count(F.lit(1)).alias("total"),
-        kpi.successes().alias("success"),
-        kpi.round_dec(F.sum(F.coalesce("TXN_AMOUNT_USD", F.lit(0))), 2).alias("value_usd"),
+    monthly = measures.monthly_measures(txns, ["PRODUCT", "SUBSIDIARY"]) if monthly is None else monthly
+    m = monthly.select(
+        F.col(measures.MONTH).alias("txn_month"), "PRODUCT", "SUBSIDIARY",
+        F.col("total_transactions").alias("total"),
+        F.col("successful_transactions").alias("success"),
+        kpi.round_dec(F.coalesce("total_value_usd", F.lit(0)), 2).alias("value_usd"),
     ).withColumn("sr", kpi.round_dec(kpi.pct("success", "total"), 2))
     w = Window.partitionBy("PRODUCT", "SUBSIDIARY").orderBy("txn_month")
     e = (
@@ -482,9 +499,10 @@ def subsidiary_benchmark(
     """Subsidiary x country KPIs over a rolling ``months`` window (day-level start).
 
     ``remit_txns`` uses ``<>`` (NULL countries are not counted), as the report does.
-    The three exact distinct counts are planned with Spark's Expand rewrite
-    (rows x 4 before the dedupe); ``approx=True`` uses HyperLogLog++ sketches
-    instead (one pass, about 1 % relative error).
+    Products and channels are bounded catalogues, so their distinct values are
+    collected as sets in the same pass; customers are the one real distinct
+    count (no Expand of the rows). ``approx=True`` counts customers with a
+    HyperLogLog++ sketch instead (about 1 % relative error).
     """
     start = add_months(as_of, -months)
     f = kpi.date_window(txns, start)
@@ -496,8 +514,8 @@ def subsidiary_benchmark(
         kpi.rnd(F.sum("TXN_AMOUNT_USD"), 2).alias("total_value_usd"),
         kpi.rnd(kpi.avg_exact("TXN_AMOUNT_USD"), 2).alias("avg_txn_usd"),
         distinct("CUSTOMER_ID").alias("active_customers"),
-        distinct("PRODUCT").alias("products_offered"),
-        distinct("CHANNEL").alias("channels_used"),
+        F.size(F.collect_set("PRODUCT")).cast("bigint").alias("products_offered"),
+        F.size(F.collect_set("CHANNEL")).cast("bigint").alias("channels_used"),
         kpi.rnd(kpi.pct(kpi.successes(), F.count(F.lit(1))), 2).alias("success_rate"),
         kpi.rnd(kpi.avg_exact("PROCESSING_TIME_SECS"), 1).alias("avg_proc_secs"),
         kpi.count_when(F.coalesce(remit, F.lit(False))).alias("remit_txns"),

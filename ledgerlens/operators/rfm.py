@@ -1,9 +1,10 @@
 """RFM segmentation (P3a-P3d).
 
-Per-customer features are one aggregate; the snapshot date and the global
-quintile boundaries are scalar subqueries (no cross join, nothing collected),
-and the boundaries are exact linear-interpolated quantiles computed with a
-range-partitioned global index rather than a one-task ``percentile``.
+Per-customer features are one aggregate of the window, checkpointed (one row
+per customer): the snapshot date, the scores and the quintile boundaries read
+that table, not the transactions again. Boundaries are exact linear-interpolated
+quantiles over distinct values with counts, so the commonest frequency is one
+row, whoever many customers share it.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import kpi
 from ledgerlens.plans.ordered import quantile_key, quantile_map
+from ledgerlens.session import ensure_checkpoint_dir
 
 D = "TRANSACTION_DATE"
 QUINTILES = [0.2, 0.4, 0.6, 0.8]
@@ -28,7 +30,8 @@ def rfm_features(txns: DataFrame, customers: DataFrame, as_of: dt.date, days: in
     Recency floors elapsed seconds / 86400, as a timedelta's ``.days`` does.
     Transactions are aggregated per customer before the join with the customer
     dimension (whose keys are unique), so the join sees one row per customer;
-    the snapshot is the latest transaction among the joined customers.
+    the snapshot is the latest transaction among the joined customers, read from
+    the checkpointed per-customer table.
     """
     start = as_of - dt.timedelta(days=days)
     f = kpi.date_window(txns, start).filter(kpi.status_is(kpi.SUCCESS)).withColumn("_ts", F.col(D).cast("timestamp_ntz"))
@@ -38,6 +41,8 @@ def rfm_features(txns: DataFrame, customers: DataFrame, as_of: dt.date, days: in
         F.sum("TXN_AMOUNT_USD").alias("monetary"),
         F.countDistinct("PRODUCT").alias("products_used"),
     ).join(customers.select("CUSTOMER_ID", F.col("SEGMENT").alias("crm_segment")), "CUSTOMER_ID")
+    ensure_checkpoint_dir(txns.sparkSession)
+    per = per.checkpoint(eager=True)
     snap = per.select(F.max("_last")).scalar()
     secs = F.timestamp_diff("SECOND", F.col("_last"), snap)
     return per.select(

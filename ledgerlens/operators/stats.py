@@ -20,8 +20,10 @@ from ledgerlens.params import month_start
 D = "TRANSACTION_DATE"
 
 
-def monthly_volume(txns: DataFrame, series: list[str]) -> DataFrame:
-    """``month`` (yyyy-MM) x series keys -> ``total_txns``."""
+def monthly_volume(txns: DataFrame, series: list[str], monthly: DataFrame | None = None) -> DataFrame:
+    """``month`` (yyyy-MM) x series keys -> ``total_txns``; ``monthly`` is a kept rollup of the base measures by ``series``."""
+    if monthly is not None:
+        return monthly.select(F.date_format("month", "yyyy-MM").alias("month"), *series, F.col("total_transactions").alias("total_txns"))
     return txns.groupBy(kpi.month_key(D).alias("month"), *series).agg(F.count(F.lit(1)).alias("total_txns"))
 
 
@@ -33,6 +35,7 @@ def zscore_anomalies(
     min_periods: int = 3,
     threshold: float = 1.3,
     min_days: int | None = None,
+    monthly: DataFrame | None = None,
 ) -> DataFrame:
     """Months whose volume deviates from the trailing mean by more than ``threshold`` sample SDs.
 
@@ -42,7 +45,7 @@ def zscore_anomalies(
     ``min_days`` drops partial months (fewer distinct dates) before the
     windows, the filter the original recommends for its partial-month drops.
     """
-    m = monthly_volume(txns, list(series))
+    m = monthly_volume(txns, list(series), monthly)
     if min_days is not None:
         full = complete_months(txns, min_days).filter("is_complete").select("month")
         m = m.join(full, "month", "left_semi")
@@ -150,6 +153,7 @@ def linear_forecast(
     history: int = 10,
     horizon: int = 3,
     z: float = 1.96,
+    monthly: DataFrame | None = None,
 ) -> DataFrame:
     """OLS trend on the last ``history`` complete months of each series, ``horizon`` months ahead.
 
@@ -159,7 +163,7 @@ def linear_forecast(
     clipped at 0. One output row per series x step.
     """
     cur = month_start(as_of).strftime("%Y-%m")
-    m = monthly_volume(kpi.date_window(txns, None, month_start(as_of)), list(series)).filter(F.col("month") < cur)
+    m = monthly_volume(kpi.date_window(txns, None, month_start(as_of)), list(series), monthly).filter(F.col("month") < cur)
     w_desc = Window.partitionBy(*series).orderBy(F.col("month").desc())
     tail = m.withColumn("_r", F.row_number().over(w_desc)).filter(F.col("_r") <= history)
     w_all = Window.partitionBy(*series)

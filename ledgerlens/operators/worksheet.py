@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import kpi
@@ -33,32 +33,39 @@ def _last_month(txns: DataFrame, as_of: dt.date, back: int = 1) -> DataFrame:
     return kpi.date_window(txns, start, end)
 
 
-def _row_set(txns: DataFrame, keys: list[str]) -> DataFrame:
-    """The worksheet's row labels: every key combination present in the history."""
-    return txns.select(*keys).distinct()
+def _in_month(start: dt.date) -> Column:
+    return (F.col(D) >= F.lit(start)) & (F.col(D) < F.lit(add_months(start, 1)))
+
+
+# The row labels of X1-X3 and X6 are all keys of the history, so these reports
+# are one aggregate of it with the months as conditions, not a second scan. Over
+# a long history pass the monthly rollup's labels as ``labels`` instead: then
+# only the months of the formula are read.
+def _labelled(txns: DataFrame, labels: DataFrame | None, keys: list[str], start: dt.date, end: dt.date, aggs: list[Column]) -> DataFrame:
+    if labels is None:
+        return txns.groupBy(*keys).agg(*aggs)
+    c = kpi.date_window(txns, start, end).groupBy(*keys).agg(*aggs)
+    same = [labels[k].eqNullSafe(c[k]) for k in keys]
+    return labels.select(*keys).distinct().join(c, same, "left").select(*[labels[k] for k in keys], *[c[x] for x in c.columns if x not in keys])
 
 
 # ---------------------------------------------------------------- X1
-def last_month_volume(txns: DataFrame, as_of: dt.date, subsidiary: str) -> DataFrame:
+def last_month_volume(txns: DataFrame, as_of: dt.date, subsidiary: str, labels: DataFrame | None = None) -> DataFrame:
     """Per product: transactions of ``subsidiary`` in the last full month (0 when none)."""
-    c = (
-        _last_month(txns, as_of)
-        .filter(F.col("SUBSIDIARY") == F.lit(subsidiary))
-        .groupBy("PRODUCT")
-        .agg(F.count(F.lit(1)).alias("last_month_txns"))
-    )
-    return _row_set(txns, ["PRODUCT"]).join(c, "PRODUCT", "left").select(
+    start, end = prior_month_bounds(as_of)
+    n = kpi.count_when(_in_month(start) & (F.col("SUBSIDIARY") == F.lit(subsidiary))).alias("last_month_txns")
+    return _labelled(txns, labels, ["PRODUCT"], start, end, [n]).select(
         "PRODUCT", F.coalesce("last_month_txns", F.lit(0)).cast("bigint").alias("last_month_txns")
     )
 
 
 # ---------------------------------------------------------------- X2
-def last_month_success_rate(txns: DataFrame, as_of: dt.date) -> DataFrame:
+def last_month_success_rate(txns: DataFrame, as_of: dt.date, labels: DataFrame | None = None) -> DataFrame:
     """Per product x subsidiary: success share of last month's transactions; no rows -> 0."""
-    c = _last_month(txns, as_of).groupBy("PRODUCT", "SUBSIDIARY").agg(
-        F.count(F.lit(1)).alias("n"), kpi.successes().alias("s")
-    )
-    return _row_set(txns, ["PRODUCT", "SUBSIDIARY"]).join(c, ["PRODUCT", "SUBSIDIARY"], "left").select(
+    start, end = prior_month_bounds(as_of)
+    month = _in_month(start)
+    aggs = [kpi.count_when(month).alias("n"), kpi.count_when(month & kpi.status_is(kpi.SUCCESS)).alias("s")]
+    return _labelled(txns, labels, ["PRODUCT", "SUBSIDIARY"], start, end, aggs).select(
         "PRODUCT",
         "SUBSIDIARY",
         F.coalesce("n", F.lit(0)).cast("bigint").alias("last_month_txns"),
@@ -67,18 +74,18 @@ def last_month_success_rate(txns: DataFrame, as_of: dt.date) -> DataFrame:
 
 
 # ---------------------------------------------------------------- X3
-def volume_rag(txns: DataFrame, targets: DataFrame, as_of: dt.date) -> DataFrame:
+def volume_rag(txns: DataFrame, targets: DataFrame, as_of: dt.date, labels: DataFrame | None = None) -> DataFrame:
     """Last-month volume vs target looked up on the concatenated product & subsidiary key.
 
     A missing target counts as 0, so attainment is 0 and the status RED. With
     several target months for one key the earliest month is taken (the lookup
     returns the first match).
     """
-    c = _last_month(txns, as_of).groupBy("PRODUCT", "SUBSIDIARY").agg(F.count(F.lit(1)).alias("actual"))
+    start, end = prior_month_bounds(as_of)
+    rows = _labelled(txns, labels, ["PRODUCT", "SUBSIDIARY"], start, end, [kpi.count_when(_in_month(start)).alias("actual")])
     t = targets.groupBy(F.concat("PRODUCT", "SUBSIDIARY_NAME").alias("_key")).agg(
         F.min_by("TARGET_VOLUME", "TARGET_MONTH").alias("target")
     )
-    rows = _row_set(txns, ["PRODUCT", "SUBSIDIARY"]).join(c, ["PRODUCT", "SUBSIDIARY"], "left")
     j = rows.join(broadcast_if_small(t), F.concat("PRODUCT", "SUBSIDIARY") == F.col("_key"), "left")
     att = F.coalesce(kpi.ratio(F.coalesce("actual", F.lit(0)), F.coalesce("target", F.lit(0))), F.lit(0.0))
     return j.select(
@@ -105,30 +112,43 @@ def top_failures(txns: DataFrame, as_of: dt.date, n: int = 5) -> DataFrame:
 
 
 # ---------------------------------------------------------------- X5
+def channel_product_sr(txns: DataFrame) -> DataFrame:
+    """Channel x product success share over all history, long form: every pair that occurs, whatever the products."""
+    return txns.groupBy("CHANNEL", "PRODUCT").agg(
+        F.count(F.lit(1)).alias("total_transactions"), kpi.ratio(kpi.successes(), F.count(F.lit(1))).alias("success_rate")
+    )
+
+
+def listed_only(products: list[str], value: Column) -> Column:
+    """``value`` of a wide aggregate, which fails if a row's product is not among the columns (instead of losing it)."""
+    extra = F.min(F.when(~F.coalesce(F.col("PRODUCT").isin(*products), F.lit(False)), F.coalesce("PRODUCT", F.lit("NULL"))))
+    return F.when(extra.isNotNull(), F.raise_error(F.concat(F.lit("product without a column: "), extra))).otherwise(value)
+
+
 def channel_product_sr_matrix(txns: DataFrame, products: list[str]) -> DataFrame:
     """Channel rows x product columns of success share over all history; empty cell -> 0.
 
     The product columns are an explicit list (the schema of a wide result must
     be known before the job runs); each cell is a conditional aggregate, so the
-    whole matrix is one pass with map-side partial aggregation.
+    whole matrix is one pass with map-side partial aggregation. A product that
+    is not listed makes the job fail; the long form has no list.
     """
     ok = kpi.status_is(kpi.SUCCESS)
     aggs = []
     for p in products:
         is_p = F.col("PRODUCT") == F.lit(p)
-        aggs.append(F.coalesce(kpi.ratio(kpi.count_when(is_p & ok), kpi.count_when(is_p)), F.lit(0.0)).alias(p))
+        cell = F.coalesce(kpi.ratio(kpi.count_when(is_p & ok), kpi.count_when(is_p)), F.lit(0.0))
+        aggs.append((cell if aggs else listed_only(products, cell)).alias(p))
     return txns.groupBy("CHANNEL").agg(*aggs)
 
 
 # ---------------------------------------------------------------- X6
-def mom_arrow(txns: DataFrame, as_of: dt.date) -> DataFrame:
+def mom_arrow(txns: DataFrame, as_of: dt.date, labels: DataFrame | None = None) -> DataFrame:
     """Per product: last vs previous full month volume, growth (0 on error) and arrow text."""
     s1, e1 = prior_month_bounds(as_of)
     s2 = add_months(s1, -1)
-    f = kpi.date_window(txns, s2, e1)
-    cur = F.col(D) >= F.lit(s1)
-    c = f.groupBy("PRODUCT").agg(kpi.count_when(cur).alias("curr"), kpi.count_when(~cur).alias("prev"))
-    r = _row_set(txns, ["PRODUCT"]).join(c, "PRODUCT", "left").select(
+    aggs = [kpi.count_when(_in_month(s1)).alias("curr"), kpi.count_when(_in_month(s2)).alias("prev")]
+    r = _labelled(txns, labels, ["PRODUCT"], s2, e1, aggs).select(
         "PRODUCT",
         F.coalesce("curr", F.lit(0)).cast("bigint").alias("curr_txns"),
         F.coalesce("prev", F.lit(0)).cast("bigint").alias("prev_txns"),
@@ -139,18 +159,18 @@ def mom_arrow(txns: DataFrame, as_of: dt.date) -> DataFrame:
 
 # ---------------------------------------------------------------- X7
 def float_utilisation(txns: DataFrame, agents: DataFrame, as_of: dt.date) -> DataFrame:
-    """Per agent seen in transactions: last-month local value (any product) / float limit.
+    """Per agent of the agent table or with transactions last month: local value (any product) / float limit.
 
-    An agent missing from the agent table gets limit 1; a zero limit gives
-    NULL (the worksheet shows "N/A").
+    The rows are the worksheet's agent list, with 0 for an agent without
+    transactions. An agent missing from that list gets limit 1; a zero limit
+    gives NULL (the worksheet shows "N/A"). Only last month is read.
     """
-    ids = txns.filter(kpi.non_blank("AGENT_ID")).select("AGENT_ID").distinct()
     v = _last_month(txns, as_of).filter(kpi.non_blank("AGENT_ID")).groupBy("AGENT_ID").agg(
         F.sum("TXN_AMOUNT_LOCAL").alias("value_local")
     )
-    lim = agents.select("AGENT_ID", "FLOAT_LIMIT_KES")
-    j = ids.join(v, "AGENT_ID", "left").join(lim, "AGENT_ID", "left")
-    limit = F.coalesce("FLOAT_LIMIT_KES", F.lit(1))
+    lim = agents.filter(kpi.non_blank("AGENT_ID")).select("AGENT_ID", "FLOAT_LIMIT_KES")
+    j = lim.join(v, "AGENT_ID", "full")
+    limit = F.coalesce("FLOAT_LIMIT_KES", F.lit(1))  # a blank limit counts as no entry
     value = F.coalesce("value_local", F.lit(0))
     return j.select(
         "AGENT_ID",
@@ -167,24 +187,41 @@ def corridor_month_matrix(txns: DataFrame, product: str, restrict_product: bool
     Corridors and months come from the remittance product's cross-border rows
     (``<>``, so NULL ends are excluded); the cells sum *all* products on those
     corridors and months, as the worksheet does, unless ``restrict_product``.
-    The two label sets are small distinct sets used as semi-join filters.
+    One aggregate of the fact per (month, corridor) carries the value and
+    whether a remittance row is in it; the label sets are windows over that.
     """
     t = with_txn_month(txns).withColumn("corridor", F.concat("SOURCE_COUNTRY", F.lit("->"), "DEST_COUNTRY"))
-    remit = t.filter((F.col("PRODUCT") == F.lit(product)) & (F.col("SOURCE_COUNTRY") != F.col("DEST_COUNTRY")))
-    corridors = remit.select("corridor").distinct()
-    months = remit.select("TXN_MONTH").distinct()
-    cells = t.filter(F.col("PRODUCT") == F.lit(product)) if restrict_product else t
-    return (
-        cells.join(corridors, "corridor", "left_semi")
-        .join(months, "TXN_MONTH", "left_semi")
-        .groupBy("TXN_MONTH", "corridor")
-        .agg(kpi.rnd(F.sum("TXN_AMOUNT_USD"), 2).alias("value_usd"))
+    mine = F.col("PRODUCT") == F.lit(product)
+    remit = mine & (F.col("SOURCE_COUNTRY") != F.col("DEST_COUNTRY"))
+    counted = mine if restrict_product else F.lit(True)
+    cells = t.filter(F.col("corridor").isNotNull()).groupBy("TXN_MONTH", "corridor").agg(
+        F.sum(F.when(counted, F.col("TXN_AMOUNT_USD"))).alias("_value"),
+        kpi.count_when(counted).alias("_rows"),
+        F.max(F.when(remit, 1).otherwise(0)).alias("_remit"),
     )
+    in_corridor = F.max("_remit").over(Window.partitionBy("corridor"))
+    in_month = F.max("_remit").over(Window.partitionBy("TXN_MONTH"))
+    kept = cells.withColumn("_c", in_corridor).withColumn("_m", in_month).filter("_c = 1 AND _m = 1 AND _rows > 0")
+    return kept.select("TXN_MONTH", "corridor", kpi.rnd("_value", 2).alias("value_usd"))
+
+
+def corridor_month_grid(long: DataFrame) -> DataFrame:
+    """The spilled matrix with its zeros, long form: every month x every corridor of ``corridor_month_matrix``.
+
+    Each corridor's months are collected from the distinct months (a calendar's
+    worth, not transactions), so the grid needs no list of columns.
+    """
+    months = long.select(F.sort_array(F.collect_set("TXN_MONTH")).alias("months"))
+    corridors = long.groupBy("corridor").agg(F.map_from_entries(F.collect_list(F.struct("TXN_MONTH", "value_usd"))).alias("_v"))
+    spread = corridors.withColumn("TXN_MONTH", F.explode(months.scalar()))
+    return spread.select("TXN_MONTH", "corridor", F.coalesce(F.element_at("_v", F.col("TXN_MONTH")), F.lit(0.0)).alias("value_usd"))
 
 
 def pivot_corridors(long: DataFrame, corridors: list[str]) -> DataFrame:
-    """The spilled matrix: one row per month, one column per listed corridor, 0 where empty."""
-    return long.groupBy("TXN_MONTH").pivot("corridor", corridors).agg(F.first("value_usd")).fillna(0.0)
+    """The spilled matrix: one row per month, one column per corridor, 0 where empty; a corridor that is not listed fails."""
+    extra = F.when(~F.col("corridor").isin(*corridors), F.raise_error(F.concat(F.lit("corridor without a column: "), "corridor")))
+    checked = long.withColumn("corridor", F.coalesce(extra.cast("string"), "corridor"))
+    return checked.groupBy("TXN_MONTH").pivot("corridor", corridors).agg(F.first("value_usd")).fillna(0.0)
 
 
 # ---------------------------------------------------------------- X9

@@ -2,10 +2,12 @@
 
 A global rank or quantile written as ``row_number().over(Window.orderBy(x))`` or
 ``percentile(x)`` moves every row (or every distinct value) into one task.
-Here the data is range-partitioned on the sort key instead, so a hot value
-range is split across tasks; each task numbers its rows locally, and the
-per-partition row counts -- one row per partition, a size fixed by the
-partition count -- give each partition its global offset.
+Here the data is range-partitioned on the sort key instead; each task sums its
+rows locally, and the per-partition totals -- one row per partition and group --
+give each partition its offset. Range partitioning keeps equal keys together,
+so the key must be total (rows) or pre-aggregated to one row per key (values):
+``exact_quantiles`` counts equal values first, ``ntile`` and ``running_sum``
+take an order that ends with a key.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition index above bit 33
 
 
@@ -61,47 +64,46 @@ def global_index(df: DataFrame, order_cols: list[str | Column], out: str = "_idx
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], num_partitions: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles (numpy/pandas default, SQL ``quantile_cont``) computed distributed.
 
-    All columns are ranked in one pass: values are stacked as (column id,
-    value), globally indexed in (column id, value) order, and each column's
-    positions are offset by the number of values of the columns before it.
-    Only the two order statistics around each position are selected; nothing
-    is collected. Returns ``(column, q, value)`` rows; NULL values are ignored.
+    All columns are handled in one pass: values are stacked as (column id,
+    value) and counted per distinct value first, with map-side combine, so a
+    value that most rows share is one row. A running count over the distinct
+    values then gives the range of positions each one fills, and the order
+    statistics around a quantile's position are the values whose range holds
+    them; nothing is collected. Returns ``(column, q, value)`` rows; NULL values
+    are ignored.
     """
-    stacked = (
-        df.select(
-            F.explode(
-                F.array(*[F.struct(F.lit(i).alias("_f"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)])
-            ).alias("_s")
+    stacked = df.select(
+        F.explode(
+            F.array(*[F.struct(F.lit(i).alias("_f"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)])
+        ).alias("_s")
+    ).select("_s._f", "_s._v")
+    counted = stacked.filter(F.col("_v").isNotNull()).groupBy("_f", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    scan = _prefix_scan(counted, "_c", ["_f"], ["_v"], num_partitions)
+    upto = F.col("_local") + F.col("_off")
+    ranks = scan.select("_f", "_v", (upto - F.col("_c")).alias("_from"), upto.alias("_to"), F.col("_gtotal").alias("_n"))
+    # the positions wanted are a short literal array, so each distinct value picks its own
+    wanted = F.array(*[
+        F.struct(
+            F.lit(float(p)).alias("q"),
+            ((F.col("_n") - 1).cast("double") * F.lit(float(p))).alias("h"),
         )
-        .select("_s._f", "_s._v")
-        .filter(F.col("_v").isNotNull())
-    )
-    idx = global_index(stacked, ["_f", "_v"], num_partitions=num_partitions)
-    per_col = idx.groupBy("_f").agg(F.count(F.lit(1)).alias("_n"))  # one row per column
-    starts = per_col.select(
-        "_f",
-        "_n",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        .alias("_start"),
+        for p in probs
+    ])
+    def holds(position: Column) -> Column:
+        return (position >= F.col("_from")) & (position < F.col("_to"))
+
+    picked = ranks.select("_f", "_v", "_from", "_to", F.explode(wanted).alias("w")).filter(
+        holds(F.floor("w.h")) | holds(F.ceil("w.h"))
     )
-    pos = (
-        starts.select("_f", "_n", "_start", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
-        .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("q"))
-        .withColumn("_lo", F.col("_start") + F.floor("_h").cast("bigint"))
-        .withColumn("_hi", F.col("_start") + F.ceil("_h").cast("bigint"))
-        .withColumn("_frac", F.col("_h") - F.floor("_h"))
+    h = F.col("w.h")
+    ends = picked.groupBy("_f", F.col("w.q").alias("q")).agg(
+        F.max(F.when(holds(F.floor(h)), F.col("_v"))).alias("_vlo"),
+        F.max(F.when(holds(F.ceil(h)), F.col("_v"))).alias("_vhi"),
+        F.max(h - F.floor(h)).alias("_frac"),
     )
-    # at most two rows per (column, probability) are kept from the indexed data
-    wanted = pos.select(F.explode(F.array("_lo", "_hi")).alias("_idx")).distinct()
-    # wanted has at most 2 x columns x probabilities rows: a proven-small broadcast
-    picks = idx.join(F.broadcast(wanted), "_idx").select("_idx", "_v")
-    lo = picks.select(F.col("_idx").alias("_lo"), F.col("_v").alias("_vlo"))
-    hi = picks.select(F.col("_idx").alias("_hi"), F.col("_v").alias("_vhi"))
     names = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_f") + 1)
-    return pos.join(lo, "_lo").join(hi, "_hi").select(
-        names.alias("column"),
-        "q",
-        (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("value"),
+    return ends.select(
+        names.alias("column"), "q", (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("value")
     )
 
 

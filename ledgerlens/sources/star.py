@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 import threading
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +28,7 @@ class Star:
     customers: DataFrame
     kpi_targets: DataFrame
     forex_rates: DataFrame
+    folder: str | None = None  # where a materialised star lies; its rollups are kept there
 
 
 # Fixed values of the synthetic mapping (FIXTURES.md section 2).
@@ -233,26 +234,69 @@ def events_as_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def conform(df: DataFrame, schema) -> DataFrame:
-    """Cast a table to the star's schema once, at the source.
+class StarError(ValueError):
+    """A source table cannot be read as its star table."""
 
-    Text dates and amounts (the original casts ``"TRANSACTION_DATE"::DATE`` at
-    every use) become typed columns; ``try_cast`` turns a malformed value into
-    NULL instead of failing the job under ANSI mode. Missing optional columns
-    are added as NULL.
+
+def _unreadable(df: DataFrame, f) -> Column | None:
+    """Condition: the source has a value that does not convert to the column's type (None if types agree)."""
+    src = df.schema[f.name].dataType
+    if src == f.dataType:
+        return None
+    c = F.col(f"`{f.name}`")
+    given = c.isNotNull() & (F.trim(c) != "") if src.typeName() in ("string", "varchar", "char") else c.isNotNull()
+    return given & c.try_cast(f.dataType).isNull()
+
+
+def conform(df: DataFrame, schema, table: str = "table", absent: tuple[str, ...] = (), bad: str = "fail") -> DataFrame:
+    """Cast a table to the star's schema once, at the source; the same rule for files and catalog tables.
+
+    Columns are taken by name. A missing column is an error unless named in
+    ``absent`` (then it is NULL). Text dates and amounts become typed columns;
+    blank text is NULL. A value that does not convert makes the job fail with
+    the column and the value (``bad="fail"``), or drops its row
+    (``bad="drop"``); ``rejects`` counts such values beforehand.
     """
-    cols = []
+    if bad not in ("fail", "drop"):
+        raise ValueError(f"bad must be 'fail' or 'drop', not {bad!r}")
+    missing = [f.name for f in schema.fields if f.name not in df.columns and f.name not in absent]
+    if missing:
+        raise StarError(f"{table} lacks the columns {', '.join(missing)}")
+    cols, sound = [], None
     for f in schema.fields:
-        if f.name in df.columns:
-            c = F.col(f"`{f.name}`")
-            src = df.schema[f.name].dataType
-            cols.append((c if src == f.dataType else c.try_cast(f.dataType)).alias(f.name))
-        else:
+        if f.name not in df.columns:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+            continue
+        c, wrong = F.col(f"`{f.name}`"), _unreadable(df, f)
+        if wrong is None:
+            cols.append(c.alias(f.name))
+        elif bad == "drop":
+            sound = ~wrong if sound is None else sound & ~wrong
+            cols.append(c.try_cast(f.dataType).alias(f.name))
+        else:
+            message = F.concat(F.lit(f"{table}.{f.name} cannot be read: "), c.cast("string"))
+            cols.append(F.when(wrong, F.raise_error(message)).otherwise(c.try_cast(f.dataType)).alias(f.name))
+    return (df if sound is None else df.filter(sound)).select(*cols)
+
+
+def rejects(df: DataFrame, schema, table: str = "table") -> DataFrame:
+    """(table, column, rejected, example): values that do not convert to the schema, one row per column that has any."""
+    cols = [(f.name, w) for f in schema.fields if f.name in df.columns and (w := _unreadable(df, f)) is not None]
+    aggs = [
+        F.struct(
+            F.lit(table).alias("table"), F.lit(n).alias("column"), F.count_if(w).alias("rejected"),
+            F.min(F.when(w, F.col(f"`{n}`").cast("string"))).alias("example"),
+        )
+        for n, w in cols
+    ]
+    kind = "array<struct<table:string,column:string,rejected:bigint,example:string>>"
+    found = df.agg((F.array(*aggs) if aggs else F.array().cast(kind)).alias("r"))
+    return found.select(F.explode("r").alias("r")).select("r.*").filter(F.col("rejected") > 0)
 
 
-def star_from_catalog(spark: SparkSession, names: dict[str, str] | None = None, database: str | None = None) -> Star:
+def star_from_catalog(
+    spark: SparkSession, names: dict[str, str] | None = None, database: str | None = None, absent: tuple[str, ...] = (), bad: str = "fail"
+) -> Star:
     """Read the star from catalog tables or views (Hive/Delta tables, JDBC-backed views, ...).
 
     ``names`` maps star table names to catalog names (default: the same name,
@@ -262,7 +306,7 @@ def star_from_catalog(spark: SparkSession, names: dict[str, str] | None = None,
 
     def table(name: str) -> DataFrame:
         full = names.get(name) or (f"{database}.{name}" if database else name)
-        return conform(spark.table(full), schemas.TABLES[name])
+        return conform(spark.table(full), schemas.TABLES[name], name, absent, bad)
 
     return Star(
         transactions=table("transactions"),
@@ -273,14 +317,18 @@ def star_from_catalog(spark: SparkSession, names: dict[str, str] | None = None,
     )
 
 
-def star_from_files(spark: SparkSession, base: str, fmt: str = "csv") -> Star:
-    """Read a real star: one file or folder per table, explicit schemas, no inference."""
+def read_files(spark: SparkSession, base: str, name: str, fmt: str = "csv") -> DataFrame:
+    """One source table as it is: CSV by header, all text (every file's header must agree); other formats with their types."""
+    if fmt == "csv":
+        return spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(f"{base}/{name}.csv")
+    return spark.read.format(fmt).load(f"{base}/{name}")
+
+
+def star_from_files(spark: SparkSession, base: str, fmt: str = "csv", absent: tuple[str, ...] = (), bad: str = "fail") -> Star:
+    """Read a real star: one file or folder per table, columns by name, each table conformed to its schema."""
 
     def read(name: str) -> DataFrame:
-        reader = spark.read.schema(schemas.TABLES[name])
-        if fmt == "csv":
-            return reader.option("header", True).option("mode", "FAILFAST").csv(f"{base}/{name}.csv")
-        return reader.format(fmt).load(f"{base}/{name}")
+        return conform(read_files(spark, base, name, fmt), schemas.TABLES[name], name, absent, bad)
 
     return Star(
         transactions=read("transactions"),
@@ -291,22 +339,31 @@ def star_from_files(spark: SparkSession, base: str, fmt: str = "csv") -> Star:
     )
 
 
-def _source_fingerprint(sf_dir: str) -> str:
+def _source_fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Identity of the source files and of this derivation.
+
+    Files are listed by Spark (names, lengths, modification times; no content
+    is read), so any store Spark can read is seen, and the listing is folded to
+    one row on the executors.
+    """
     import hashlib
-    import os
 
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+    places = [f"{sf_dir}/{name}.parquet" for name in SOURCE_TABLES]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(places)
+    # the name below the source folder: the same files by another path are the same star
+    name = F.regexp_extract("path", r"([^/]+\.parquet(?:/.*)?)$", 1)
+    mark = F.xxhash64(name, "length", "modificationTime")
+    seen = files.agg(F.count("*").alias("n"), F.sum("length").alias("b"), F.sum(mark.cast("decimal(38,0)")).alias("h")).first()
+    h = hashlib.sha1(f"{sf_dir}|{seen['n']}|{seen['b']}|{seen['h']}".encode())
     for code in (__file__, schemas.__file__):  # a change to the derivation invalidates written stars
         with open(code, "rb") as f:
             h.update(f.read())
-    for name in ("lineitem", "orders", "customer", "nation", "region", "part", "supplier"):
-        p = f"{sf_dir}/{name}.parquet"
-        if os.path.exists(p):
-            st = os.stat(p)
-            h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
     return h.hexdigest()[:16]
 
 
+SOURCE_TABLES = ("lineitem", "orders", "customer", "nation", "region", "part", "supplier")
+
+
 def _read_star(spark: SparkSession, path: str) -> Star:
     r = spark.read.format("parquet")
     return Star(
@@ -324,36 +381,53 @@ def materialized_star(spark: SparkSession, sf_dir: str) -> Star:
 
     The folder comes from ``ledgerlens.star.root`` or ``spark.checkpoint.dir``
     (the cluster's shared storage). A rerun with unchanged sources and code
-    reads the written tables; a missing or half-written table makes the load
-    fail and the star is rebuilt.
+    reads the written tables (see ``published``).
     """
     from ledgerlens.session import application_id, shared_root
 
-    path = f"{shared_root(spark)}/ledgerlens-star/{_source_fingerprint(sf_dir)}"
+    path = f"{shared_root(spark)}/ledgerlens-star/{_source_fingerprint(spark, sf_dir)}"
     key = (application_id(spark), id(spark), path)
     with _LOCK:
-        return _load_or_build(spark, sf_dir, path, key)
+        star = _LOADED.get(key)
+        if star is None or star.transactions.sparkSession is not spark:
+            folder = published(spark, path, lambda place: _build(spark, sf_dir, place))
+            star = _LOADED[key] = replace(_read_star(spark, folder), folder=folder)
+        return star
 
 
-def _load_or_build(spark: SparkSession, sf_dir: str, path: str, key: tuple) -> Star:
+def published(spark: SparkSession, path: str, build) -> str:
+    """The folder of a finished version under ``path``, building one with ``build(folder)`` if there is none.
+
+    A builder writes to a folder of its own and names it in ``path/ready`` only
+    when every table in it is complete, so a half-written version is never read
+    and two builders at once do not touch each other's files; if both finish,
+    all readers take the one whose name sorts first.
+    """
+    import uuid
+
     from pyspark.errors import AnalysisException
 
-    cached = _LOADED.get(key)
-    if cached is None or cached.transactions.sparkSession is not spark:
+    def ready() -> str | None:
         try:
-            _LOADED[key] = _read_star(spark, path)
-        except AnalysisException:
-            _LOADED[key] = _build(spark, sf_dir, path)
-    return _LOADED[key]
+            return spark.read.schema("value string").text(f"{path}/ready").agg(F.min("value")).first()[0]
+        except AnalysisException:  # nothing published yet
+            return None
+
+    done = ready()
+    if done is None:
+        name = f"v-{uuid.uuid4().hex}"
+        build(f"{path}/{name}")
+        spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("append").text(f"{path}/ready")
+        done = ready()
+    return f"{path}/{done}"
 
 
-def _build(spark: SparkSession, sf_dir: str, path: str) -> Star:
+def _build(spark: SparkSession, sf_dir: str, path: str) -> None:
     """Write the derived star. Independent writes run as concurrent Spark jobs.
 
     The fact and the two source dimensions are written side by side; targets
     and FX rates are derived from the *written* fact (so the source join runs
-    once) and written after it. A half-written table fails the next load, which
-    rebuilds the star.
+    once) and written after it.
     """
     from concurrent.futures import ThreadPoolExecutor
 
@@ -369,12 +443,11 @@ def _build(spark: SparkSession, sf_dir: str, path: str) -> Star:
                  pool.submit(save, forex_from_transactions(fact), "forex_rates")]
         for d in dims:
             d.result()
-    return _read_star(spark, path)
 
 
 # loaded stars per (application, session, folder): lazy DataFrames, so reuse only skips file listing
 _LOADED: dict[tuple, Star] = {}
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()
 
 
 def _write_fact(txns: DataFrame, path: str) -> DataFrame:

@@ -7,15 +7,18 @@ import re
 
 ALLOWED = {
     ("operators/worksheet.py", "top_failures"),  # X4: the top-5 report itself
-    ("plans/joins.py", "broadcast_if_small"),  # bounded size check, not a row cap on results
-    ("__main__.py", "main"),  # CLI: capped product list for the wide matrices' columns
 }
 
 
+def modules(root: pathlib.Path) -> list[pathlib.Path]:
+    """The report library; the training-data subpackage has its own rules and tests."""
+    return [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts]
+
+
 def test_limit_only_where_it_is_the_feature():
     root = pathlib.Path(__file__).resolve().parents[1] / "ledgerlens"
     found = set()
-    for path in root.rglob("*.py"):
+    for path in modules(root):
         src = path.read_text()
         for m in re.finditer(r"\.limit\(", src):
             func = re.findall(r"^def (\w+)", src[: m.start()], flags=re.M)[-1]
@@ -29,11 +32,11 @@ FORBIDDEN = (r"\budf\(", r"pandas_udf", r"applyInPandas", r"mapInPandas", r"\.rd
 def test_no_python_udfs_rdds_or_cross_joins_in_the_library():
     root = pathlib.Path(__file__).resolve().parents[1] / "ledgerlens"
     hits = []
-    for path in root.rglob("*.py"):
+    for path in modules(root):
         src = path.read_text()
         for pat in FORBIDDEN:
             if re.search(pat, src):
                 hits.append((str(path.relative_to(root)), pat))
-        if ".collect()" in src and path.name != "__main__.py":
+        if ".collect()" in src:
             hits.append((str(path.relative_to(root)), "collect"))
     assert not hits, hits
