@@ -48,7 +48,27 @@ REPORTS: dict[str, tuple[str, Report]] = {
     "p3-summary": ("RFM segment summary", lambda s, p: rfm.rfm_summary(rfm.rfm_scores(rfm.rfm_features(s.transactions, s.customers, p.as_of)))),
     "p4": ("volume forecast", lambda s, p: stats.linear_forecast(s.transactions, p.as_of)),
     "p5": ("cohort grid", lambda s, p: cohort.cohort_grid(s.transactions)),
-    "x5": ("channel x product success matrix", lambda s, p: worksheet.channel_product_sr_matrix(s.transactions, list(p.products))),
+    "x5": ("channel x product success rate", lambda s, p: worksheet.channel_product_sr(s.transactions)),
+    "x5-wide": ("channel x product success matrix", lambda s, p: worksheet.channel_product_sr_matrix(s.transactions, list(p.products))),
+    "x8-grid": ("corridor x month matrix with zeros", lambda s, p: worksheet.corridor_month_grid(worksheet.corridor_month_matrix(s.transactions, p.remit_product))),
+    "x10": ("rolling 3-month success rate", lambda s, p: worksheet.rolling_mean(export.monthly_kpis(s.transactions), "SuccessRate", "Month", ["PRODUCT", "SUBSIDIARY"])),
+    "p1b": ("complete months", lambda s, p: stats.complete_months(s.transactions)),
+    "p3-risk": ("revenue at risk", lambda s, p: rfm.revenue_at_risk(rfm.rfm_scores(rfm.rfm_features(s.transactions, s.customers, p.as_of)))),
+    "m-float": ("float utilisation ratio per agent", lambda s, p: measures.float_utilisation_ratio(s.transactions, s.agents)),
+    "m-cross-border": ("cross-border volume by month", lambda s, p: measures.cross_border_volume(measures.with_month(s.transactions), [measures.MONTH], p.remit_product)),
+    "m-product-rank": ("product rank by volume, revenue per customer", lambda s, p: measures.dense_rank_desc(measures.revenue_per_customer(measures.base_measures(s.transactions, ["PRODUCT"])), "total_transactions", "product_rank_by_volume")),
+    "m-title": ("report title", lambda s, p: measures.report_title_for(s.transactions, p.as_of)),
+    "d1-products": ("product table of page 1", lambda s, p: dashboards.product_table(s.transactions, s.kpi_targets, p.as_of)),
+    "d1-subsidiaries": ("subsidiary x value with rank", lambda s, p: dashboards.subsidiary_value(s.transactions)),
+    "d2-status": ("product x status", lambda s, p: dashboards.product_status(s.transactions)),
+    "d2-scatter": ("product scatter", lambda s, p: dashboards.product_scatter(s.transactions)),
+    "d3-overview": ("failure cards", lambda s, p: dashboards.failure_overview(s.transactions)),
+    "d3-descriptions": ("failures by description", lambda s, p: dashboards.failures_by_description(s.transactions)),
+    "d3-categories": ("failed value by category", lambda s, p: dashboards.failed_value_by_category(s.transactions)),
+    "d4-destinations": ("cross-border value by destination", lambda s, p: dashboards.destination_volume(s.transactions, p.remit_product)),
+    "d4-cards": ("corridor cards", lambda s, p: dashboards.corridor_cards(s.transactions, p.remit_product)),
+    "d5-cards": ("agent cards", lambda s, p: dashboards.agent_cards(s.transactions, p.agency_product)),
+    "d5-counties": ("agency value by county", lambda s, p: dashboards.county_value(s.transactions, s.agents, p.agency_product)),
     "x6": ("MoM arrows", lambda s, p: worksheet.mom_arrow(s.transactions, p.as_of)),
     "x8": ("corridor x month matrix", lambda s, p: worksheet.corridor_month_matrix(s.transactions, p.remit_product)),
     "m-growth": ("prior-period measures", lambda s, p: measures.prior_period_measures(measures.monthly_measures(s.transactions, ["PRODUCT", "SUBSIDIARY"]), ["PRODUCT", "SUBSIDIARY"])),
@@ -67,7 +87,8 @@ REPORTS: dict[str, tuple[str, Report]] = {
     "calendar": ("day calendar of the fact", lambda s, p: measures.date_table(s.transactions)),
     "d1": ("executive KPI cards", lambda s, p: dashboards.kpi_cards(s.transactions, p.as_of)),
     "d2": ("channel share", lambda s, p: dashboards.channel_share(s.transactions)),
-    "d2-matrix": ("month x product volume matrix", lambda s, p: dashboards.month_product_matrix(s.transactions, list(p.products))),
+    "d2-matrix": ("month x product volume and success rate", lambda s, p: dashboards.month_product(s.transactions)),
+    "d2-matrix-wide": ("month x product volume matrix", lambda s, p: dashboards.month_product_matrix(s.transactions, list(p.products))),
     "d3": ("failure rate by month x channel", lambda s, p: dashboards.failure_rate_by_month_channel(s.transactions)),
     "d4": ("corridor table", lambda s, p: dashboards.corridor_table(s.transactions, p.remit_product)),
     "d5": ("agent region totals", lambda s, p: dashboards.region_totals(s.transactions, s.agents, p.agency_product)),
@@ -91,7 +112,7 @@ def main(argv: list[str] | None = None) -> int:
                     help="report date (default: today, as the original reports use the wall clock)")
     for role in ("home_subsidiary", "agency_product", "remit_product", "flagship_product", "control_channel", "treatment_channel"):
         ap.add_argument("--" + role.replace("_", "-"), default=getattr(ReportParams(), role))
-    ap.add_argument("--products", help="comma-separated product columns for the wide matrices (default: from the data)")
+    ap.add_argument("--products", help="comma-separated product columns of the wide matrices")
     ap.add_argument("--out", help="output folder (one folder per dataset for 'pack')")
     ap.add_argument("--format", default="parquet", help="output format: parquet or csv")
     ap.add_argument("--show", type=int, default=0, help="print this many rows instead of writing")
@@ -115,17 +136,10 @@ def main(argv: list[str] | None = None) -> int:
         star = star_from_tpch(spark, a.tpch)
     else:
         ap.error("give --star, --catalog-db or --tpch")
-    if a.products:
-        products = tuple(p.strip() for p in a.products.split(","))
-    elif a.report in ("x5", "d2-matrix"):
-        # a wide result needs its columns before the job runs: the product
-        # catalogue, capped so an unexpected key never floods the driver
-        found = [r.PRODUCT for r in star.transactions.select("PRODUCT").distinct().limit(1001).collect()]
-        if len(found) > 1000:
-            ap.error("more than 1000 products: pass --products")
-        products = tuple(sorted(x for x in found if x is not None))
-    else:
-        products = ReportParams().products
+    # a wide matrix needs its columns before the job runs; the long forms (x5, d2-matrix) take the products from the data
+    products = tuple(p.strip() for p in a.products.split(",")) if a.products else ReportParams().products
+    if a.report.endswith("-wide") and not a.products:
+        ap.error(f"{a.report} needs --products; {a.report.removesuffix('-wide')} has one row per product instead")
     params = ReportParams(
         as_of=a.as_of, home_subsidiary=a.home_subsidiary, agency_product=a.agency_product,
         remit_product=a.remit_product, flagship_product=a.flagship_product,

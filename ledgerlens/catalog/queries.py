@@ -12,6 +12,7 @@ return natural types (BIGINT counts, DATE months, DECIMAL amounts).
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,10 @@ from pyspark.sql import types as T
 from ledgerlens.functions import kpi
 from ledgerlens.operators import cohort, dashboards, export, measures, reports, rfm, stats, worksheet
 from ledgerlens.params import ReportParams
-from ledgerlens.session import configure
+from ledgerlens.session import configure, shared_root
+from ledgerlens.sources import schemas
 from ledgerlens.sources.rollup import rollup
-from ledgerlens.sources.star import Star, events_as_transactions, materialized_star, star_from_tpch
+from ledgerlens.sources.star import Star, conform, events_as_transactions, materialized_star, star_from_files, star_from_tpch
 
 P = ReportParams()
 EVENTS_AS_OF = dt.date(2024, 1, 31)
@@ -496,6 +498,30 @@ def _d5c(s: Star, spark, sf_dir):
     return dashboards.county_value(s.transactions, s.agents, P.agency_product)
 
 
+# ------------------------------------------------------------------ sources and sinks
+def _own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared root."""
+    return f"{shared_root(spark)}/ledgerlens-{name}-{uuid.uuid4().hex}"
+
+
+@register("csv_star_subsidiary_benchmark")
+def _csv_star(s: Star, spark, sf_dir):
+    """R10 over the whole star written as CSV (columns in reverse order) and read back by header."""
+    base = _own_folder(spark, "csv")
+    for name, schema in schemas.TABLES.items():
+        columns = schema.fieldNames()[::-1]
+        getattr(s, name).select(*columns).write.option("header", True).csv(f"{base}/{name}.csv")
+    return reports.subsidiary_benchmark(star_from_files(spark, base, "csv").transactions, P.as_of, P.remit_product)
+
+
+@register("p6_pack_csv_monthly_kpis")
+def _pack_csv(s: Star, spark, sf_dir):
+    """The export pack written as CSV; its monthly sheet read back."""
+    pack = export.report_pack(s.transactions, s.agents, s.customers, P.as_of, P.agency_product, P.remit_product)
+    paths = export.write_pack(pack, _own_folder(spark, "pack"), fmt="csv")
+    return conform(spark.read.option("header", True).csv(paths["Monthly_KPIs"]), pack["Monthly_KPIs"].schema, "Monthly_KPIs")
+
+
 # ------------------------------------------------------------------ original default windows
 @register("r03_failure_spikes_default_window")
 def _r03_default(s: Star, spark, sf_dir):

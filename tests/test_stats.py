@@ -213,3 +213,16 @@ def test_four_point_zscore_bound(txns):
         data += [{"TRANSACTION_DATE": dt.date(2024, m, 1)}] * n
     out = stats.zscore_anomalies(txns(data)).collect()
     assert len(out) == 1 and out[0].z_score == 1.5
+
+
+def test_quantiles_of_a_hot_value_stay_spread(spark):
+    """80 % of the rows share a value: the ranked table has one row for it, and no task gets the rows."""
+    from pyspark.sql import functions as F
+
+    rows = [(7,)] * 16_000 + [(i,) for i in range(4_000)]
+    df = spark.createDataFrame(rows, "v long").repartition(8)
+    out = {r.q: r.value for r in exact_quantiles(df, ["v"], [0.2, 0.5, 0.9], num_partitions=8).collect()}
+    expected = np.quantile([r[0] for r in rows], [0.2, 0.5, 0.9])
+    assert [out[q] for q in (0.2, 0.5, 0.9)] == list(expected)
+    counted = df.groupBy("v").agg(F.count("*").alias("c"))
+    assert counted.count() == 4_000

@@ -75,6 +75,11 @@ def test_m10_calendar_shift_not_lag(txns):
     mar = out[dt.date(2024, 3, 1)]
     assert mar.transactions_lm is None and mar.mom_volume_growth_pct is None and mar.mom_arrow == "—"
     assert mar.success_rate_lm == 0.0 and mar.mom_success_rate_change_pp == 100.0  # empty prior month SR is 0
+    feb = out[dt.date(2024, 2, 1)]  # nothing sold: blank, and all of January lost
+    assert feb.total_transactions is None and feb.transactions_lm == 4 and feb.mom_volume_growth_pct == -100.0
+    assert feb.success_rate_pct == 0.0 and feb.mom_success_rate_change_pp == -100.0 and feb.mom_customer_growth_pct == -100.0
+    assert feb.mom_value_growth_pct == -100.0 and feb.mom_arrow == "▼▼ 100.0%"
+    assert set(out) == {dt.date(2024, m, 1) for m in (1, 2, 3)}  # no month beyond the calendar
 
 
 def test_m21_arrow_exclusive_lower_band(txns):
@@ -124,6 +129,51 @@ def test_m26_sr_rag_uses_best_target_of_any_month(txns, frame):
     assert r.volume_attainment_pct == 2000.0 and r.volume_rag == "GREEN" and r.volume_rag_numeric == 1
 
 
+def test_m22_target_without_sales_is_red(txns, frame):
+    targets = frame([("P9", "S1", dt.date(2024, 1, 1), 5, Decimal("1.00"), Decimal("90.00"), 1)], schemas.KPI_TARGETS)
+    monthly = measures.monthly_measures(txns([{"TRANSACTION_DATE": dt.date(2024, 1, 3)}]), ["PRODUCT", "SUBSIDIARY"])
+    out = {r.PRODUCT: r for r in measures.attainment_measures(monthly, targets).collect()}
+    assert out["P1"].target_volume is None and out["P1"].volume_rag == "RED"
+    assert out["P9"].total_transactions is None and out["P9"].volume_attainment_pct == 0.0
+    assert (out["P9"].volume_rag, out["P9"].success_rate_rag) == ("RED", "RED")
+
+
+def test_wide_matrices_refuse_unlisted_products(txns):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    t = txns([{"PRODUCT": p} for p in ("A", "B", "NEW")])
+    assert worksheet.channel_product_sr(t).count() == 3 and dashboards.month_product(t).count() == 3
+    for wide in (worksheet.channel_product_sr_matrix, dashboards.month_product_matrix):
+        assert wide(t, ["A", "B", "NEW"]).count() == 1
+        with pytest.raises(PySparkException, match="product without a column: NEW"):
+            wide(t, ["A", "B"]).collect()
+
+
+def test_x8_grid_has_the_zeros(txns):
+    data = [{"PRODUCT": "R", "SOURCE_COUNTRY": "A", "DEST_COUNTRY": d, "TRANSACTION_DATE": m, "TXN_AMOUNT_USD": 2} for d, m in (("B", MAY), ("C", APR))]
+    long = worksheet.corridor_month_matrix(txns(data), "R")
+    grid = {(r.TXN_MONTH, r.corridor): r.value_usd for r in worksheet.corridor_month_grid(long).collect()}
+    assert grid == {("2024-04", "A->B"): 0.0, ("2024-05", "A->B"): 2.0, ("2024-04", "A->C"): 2.0, ("2024-05", "A->C"): 0.0}
+
+
+def test_x7_rows_are_the_agent_list(txns, frame):
+    agents = frame([("AG1", "a", "GOLD", "R", "K", 10), ("AG2", "b", "GOLD", "R", "K", 10)], schemas.AGENTS)
+    out = {r.AGENT_ID: r.value_local for r in worksheet.float_utilisation(txns([{"AGENT_ID": "AG1", "TRANSACTION_DATE": MAY}]), agents, AS_OF).collect()}
+    assert out == {"AG1": 100.0, "AG2": 0.0}
+
+
+def test_labels_give_the_same_rows(txns, frame):
+    data = [{"PRODUCT": p, "TRANSACTION_DATE": d} for p, d in (("A", MAY), ("A", APR), ("B", dt.date(2024, 1, 1)))]
+    t, targets = txns(data), frame([], schemas.KPI_TARGETS)
+    labels = measures.monthly_measures(t, ["PRODUCT", "SUBSIDIARY"])
+    for f in (
+        lambda x: worksheet.last_month_volume(t, AS_OF, "S1", labels=x), lambda x: worksheet.last_month_success_rate(t, AS_OF, labels=x),
+        lambda x: worksheet.volume_rag(t, targets, AS_OF, labels=x), lambda x: worksheet.mom_arrow(t, AS_OF, labels=x),
+    ):
+        assert sorted(map(tuple, f(labels).collect())) == sorted(map(tuple, f(None).collect()))
+
+
 def test_m42_title(spark):
     t = spark.range(1).select(measures.report_title(F.lit(AS_OF)).alias("t"))
     assert t.collect()[0].t == "Payments Performance — May 2024"
