@@ -288,6 +288,33 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, width: int = W
     return documents.mapInArrow(run, documents.schema)
 
 
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+#: the same result from every window of every document, for DuckDB
+OP8_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (
+    SELECT DISTINCT item_id, list_slice(w, i, i + {WINDOW - 1}) AS g, least(len(w), {WINDOW}) AS n
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+),
+places AS (SELECT rid, n, i, list_slice(w, i, i + n - 1) AS g
+    FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT n FROM win))),
+occ AS (SELECT p.rid, p.i, p.n, win.item_id FROM places p JOIN win ON win.g = p.g),
+hit AS (SELECT rid, count(DISTINCT i + k) AS n_hit FROM (SELECT rid, i, unnest(range(0, n)) AS k FROM occ) GROUP BY rid),
+its AS (
+    SELECT rid, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS h
+    FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM occ WHERE item_id IS NOT NULL) GROUP BY rid
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(hit.n_hit, 0) AS n_hit, coalesce(its.n_items, 0) AS n_items,
+    coalesce(its.h, sha256('')) AS items_sha256, coalesce(hit.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON hit.rid = d.rid LEFT JOIN its ON its.rid = d.rid
+"""
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(

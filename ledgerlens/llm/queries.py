@@ -16,4 +16,4 @@ QUERIES = {
     "op9_token_binary": huffman.op9_token_binary,
     "op10_simhash": simhash.op10_simhash,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_decontamination": decontam.OP8_SQL}

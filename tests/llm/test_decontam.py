@@ -84,3 +84,15 @@ def test_odd_rows(spark, documents):
     assert sorted(r.doc_id for r in clean.collect()) == [i for i, x in enumerate(expected) if not x[1]]
     assert decontam.contamination(frame, items.limit(0)).where("n_hit > 0").count() == 0
     assert decontam.contamination(frame.limit(0), items).count() == 0
+
+
+def test_query_equals_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    result = decontam.op8_decontamination(spark, sf)
+    sql = con.execute(decontam.OP8_SQL)
+    columns = [c[0] for c in sql.description]
+    assert sorted(map(tuple, sql.fetchall())) == sorted(map(tuple, result.select(*columns).collect()))
