@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import io
+import re
 
 from pyspark.sql import DataFrame
 
@@ -18,7 +19,7 @@ def physical_plan(df: DataFrame, mode: str = "formatted") -> str:
     return buf.getvalue()
 
 
-def python_nodes(df: DataFrame) -> list[str]:
-    """Physical operators that run Python per row or per batch."""
-    plan = physical_plan(df)
-    return [n for n in PYTHON_NODES if n in plan]
+def fact_scans(df: DataFrame, table: str = "transactions") -> int:
+    """How often the plan reads the files of a table (subqueries included, reused exchanges not counted)."""
+    scans = re.findall(r"\(\d+\) Scan parquet[^\n]*\n(?:[^\n]+\n)*?Location: [^\n]*", physical_plan(df))
+    return sum(f"/{table}" in s.rsplit("Location:", 1)[1] for s in scans)
