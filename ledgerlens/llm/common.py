@@ -41,6 +41,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the text of a slice stays near ``limit`` bytes (a longer row is a slice of its own)."""
+    pa.set_cpu_count(1)  # a task is one core; more threads only hold memory of their own
     for batch in batches:
         n = batch.num_rows
         if n == 0:
@@ -50,6 +51,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLI
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), n]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 class Words:

@@ -26,13 +26,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import map_file, pack_arrays, put_file, ragged, shared_path, stored, text_slices, unpack_arrays
+from ledgerlens.llm.common import map_file, pack_arrays, put_file, shared_path, stored, text_slices, unpack_arrays
 
 MAX_BITS = 16
 BLOCK = 1024
-FILE_IDS = 4 << 20
+RUN = 128
+FILE_IDS = 2 << 20
 #: entries of the per-process cache of pieces
-CACHE = 600_000
+CACHE = 800_000
+#: bytes of text tokenised at once
+SLICE = 5 << 20
+#: pieces joined by line breaks for one call of the tokenizer
+JOINED = 2000
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -76,7 +81,23 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 
 def encode_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """The ids' codes as one bit stream (most significant bit first) and the bit offset of every ``block`` ids."""
+    """The ids' codes as a bit stream (most significant bit first) and the bit offset of every ``block`` ids.
+
+    The stream is made of runs of ``RUN`` blocks, each padded to a whole number of 32-bit words, so that temporary arrays
+    stay small.
+    """
+    parts, offsets, at = [], [], 0
+    for k in range(0, len(ids), RUN * block):
+        data, first = _encode_run(ids[k : k + RUN * block], lengths, codes, block)
+        parts.append(data)
+        offsets.append(first + np.uint64(at))
+        at += 8 * len(data)
+    if not parts:
+        return np.zeros(4, dtype=np.uint8), np.zeros(0, dtype=np.uint64)
+    return np.concatenate(parts), np.concatenate(offsets)
+
+
+def _encode_run(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     size = lengths[ids].astype(np.int64)
     end = np.cumsum(size)
     at = end - size
@@ -110,7 +131,7 @@ def decode_bits(data: np.ndarray, offsets: np.ndarray, n: int, lengths: np.ndarr
         key = (window[at >> 3] >> (8 - (at & 7)).astype(np.uint32)) & 0xFFFF
         out[i, : len(at)] = symbol[key]
         at = at + step[key]
-    return out.T.reshape(-1)[np.arange(n)] if out.shape[0] == block else out[:n, 0]
+    return out.T.reshape(-1)[:n]
 
 
 def file_bytes(docs: np.ndarray, nulls: np.ndarray, sizes: np.ndarray, start: int, ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> bytes:
@@ -154,37 +175,64 @@ class Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str, dict[str, int]] = {" ": {}, "": {}}
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.starts = np.zeros(1 << 14, dtype=np.int64)
-        self.sizes = np.zeros(1 << 14, dtype=np.int64)
-        self.filled = 0
+        self.starts = np.zeros(1 << 14, dtype=np.int32)
+        self.sizes = np.zeros(1 << 14, dtype=np.int32)
+        self.filled = self.rows_filled = 0
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def rows(self, pieces: list[str]) -> np.ndarray:
-        """Row of each piece in (starts, sizes)."""
-        known = self.known
-        if len(known) + len(pieces) > CACHE + len(pieces) // 2 and len(known) > CACHE // 2:
-            self.clear()
-            known = self.known
-        new = [p for p in pieces if p not in known]
-        if new:
-            found = self.whole(new)
-            size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            n, at = len(known), self.filled
+    def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of short texts that are a word with or without a space before it: a line break between two such
+        texts is always a token of its own, so many go through the tokenizer at once."""
+        if not hasattr(self, "line"):
+            self.line = self.whole(["\n"])[0]
+        ids, sizes = [], []
+        for k in range(0, len(texts), JOINED):
+            part = texts[k : k + JOINED]
+            found = np.array(self.whole(["\n".join(part)])[0], dtype=np.uint32)
+            at = np.flatnonzero(found == self.line[0])
+            if len(self.line) == 1 and len(at) == len(part) - 1:
+                ids.append(np.delete(found, at))
+                sizes.append(np.diff(np.concatenate([[-1], at, [len(found)]])) - 1)
+            else:
+                alone = self.whole(part)
+                ids.append(np.fromiter((i for x in alone for i in x), dtype=np.uint32))
+                sizes.append(np.fromiter(map(len, alone), dtype=np.int64, count=len(alone)))
+        return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
+
+    def rows(self, pieces: list[str], lead: str) -> np.ndarray:
+        """Row of each piece in (starts, sizes); ``lead`` (a space or nothing) stands before every piece."""
+        known = self.known[lead]
+        find = known.get
+        row = np.array([find(p, -1) for p in pieces], dtype=np.int64)
+        missing = np.flatnonzero(row < 0)
+        if len(missing):
+            new = [lead + pieces[i] for i in missing.tolist()]
+            plain = [p for p in new if (w := p[1:] if lead else p) and w.split() == [w]]
+            if len(plain) < len(new):
+                chosen = set(plain)
+                other = [p for p in new if p not in chosen]
+                found = self.whole(other)
+            else:
+                other, found = [], []
+            first, first_sizes = self.each(plain)
+            size = np.concatenate([first_sizes, np.fromiter(map(len, found), dtype=np.int64, count=len(found))])
+            n, at, total = self.rows_filled, self.filled, int(size.sum())
             while n + len(new) > len(self.sizes):
                 self.starts, self.sizes = np.concatenate([self.starts, self.starts * 0]), np.concatenate([self.sizes, self.sizes * 0])
-            total = int(size.sum())
             while at + total > len(self.ids):
                 self.ids = np.concatenate([self.ids, self.ids * 0])
-            self.ids[at : at + total] = np.fromiter((i for x in found for i in x), dtype=np.uint32, count=total)
+            self.ids[at : at + total] = np.concatenate([first, np.fromiter((i for x in found for i in x), dtype=np.uint32)])
             self.starts[n : n + len(new)] = at + np.cumsum(size) - size
             self.sizes[n : n + len(new)] = size
-            self.filled = at + total
-            known.update(zip(new, range(n, n + len(new))))
-        return np.fromiter(map(known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+            self.filled, self.rows_filled = at + total, n + len(new)
+            cut = len(lead)
+            known.update(zip((p[cut:] for p in plain + other), range(n, n + len(new))))
+            row[missing] = [known[pieces[i]] for i in missing.tolist()]
+        return row
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets); each text closed by ``end``."""
@@ -196,37 +244,61 @@ class Pieces:
         first = np.zeros(len(flat), dtype=bool)
         first[(np.cumsum(per_text) - per_text)[per_text > 0]] = True
         coded = flat.dictionary_encode()
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        code = coded.indices.to_numpy(zero_copy_only=False)
         values = coded.dictionary.to_pylist()
         n = len(values)
-        open_space = np.fromiter((not v or v[0].isspace() for v in values), dtype=bool, count=n)
-        ends_space = np.fromiter((not v or v[-1].isspace() for v in values), dtype=bool, count=n)
-        inside = np.zeros(len(code), dtype=bool)
-        inside[1:] = ends_space[code[:-1]] & open_space[code[1:]] & ~first[1:]
-        # an empty first piece followed by a word is a text that starts with one space: no run to split
+        open_space, ends_space = _space_borders(coded.dictionary, values)
         bounds = np.concatenate([[0], np.cumsum(per_text)])
-        seen = np.concatenate([[0], np.cumsum(inside)])
-        odd = seen[bounds[1:]] > seen[bounds[:-1]]
-        initial = np.unique(code[first & (np.repeat(~odd, per_text))])
-        pieces = [" " + v for v in values] + [values[i] for i in initial]
-        row = self.rows(pieces)
-        lead = np.zeros(n, dtype=np.int64)
-        lead[initial] = np.arange(len(initial)) + n
-        at = row[np.where(first, lead[code], code)]
-        start, size = self.starts[at], self.sizes[at]
+        odd = np.zeros(len(texts), dtype=bool)
+        if open_space.any() and ends_space.any():
+            inside = np.flatnonzero(open_space[code[1:]] & ends_space[code[:-1]] & ~first[1:]) + 1
+            odd[np.searchsorted(bounds, inside, side="right") - 1] = True
+        if self.rows_filled > CACHE:
+            self.clear()
+        row = self.rows(values, " ")
+        firsts = np.flatnonzero(first)
+        initial = np.unique(code[firsts])
+        opening = np.zeros(n, dtype=np.int64)
+        opening[initial] = self.rows([values[i] for i in initial.tolist()], "")
+        at = row[code]
+        at[firsts] = opening[code[firsts]]
+        size = self.sizes[at]
         if odd.any():
-            size = np.where(np.repeat(odd, per_text), 0, size)
-        ids = self.ids[ragged(start, size)]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        length = ends[bounds[1:]] - ends[bounds[:-1]]
+            size[np.repeat(odd, per_text)] = 0
+        ends = np.cumsum(size, dtype=np.int32)  # a slice is far from 2**31 ids
+        length = np.diff(np.concatenate([[0], ends])[bounds]).astype(np.int64)
+        place = np.repeat(self.starts[at] - (ends - size), size)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = np.take(self.ids, place)
         if odd.any():
             found = self.whole([texts[int(i)].as_py() for i in np.flatnonzero(odd)])
             extra = np.fromiter((i for x in found for i in x), dtype=np.uint32)
             where = np.repeat((np.cumsum(length) - length)[odd], [len(x) for x in found])
             ids = np.insert(ids, where, extra)
             length[odd] = [len(x) for x in found]
-        ids = np.insert(ids, np.cumsum(length), np.uint32(end))
-        return ids, np.concatenate([[0], np.cumsum(length + 1)])
+        offsets = np.concatenate([[0], np.cumsum(length + 1)])
+        out = np.empty(len(ids) + len(texts), dtype=np.uint32)
+        body = np.ones(len(out), dtype=bool)
+        body[offsets[1:] - 1] = False
+        out[body] = ids
+        out[offsets[1:] - 1] = end
+        return out, offsets
+
+
+def _space_borders(column: pa.Array, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each value is empty or starts (ends) with white space; only bytes that may be white space are looked at."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, dtype=np.uint8) if data is not None and at[-1] > 0 else np.zeros(1, dtype=np.uint8)
+    out = []
+    for place, end in ((at[:-1], 0), (at[1:] - 1, -1)):
+        byte = raw[np.clip(place, 0, len(raw) - 1)]
+        maybe = (at[1:] == at[:-1]) | (byte <= 32) | (byte >= 127)
+        space = np.zeros(len(values), dtype=bool)
+        for i in np.flatnonzero(maybe).tolist():
+            space[i] = not values[i] or values[i][end].isspace()
+        out.append(space)
+    return out[0], out[1]
 
 
 def pieces(path: str) -> Pieces:
@@ -235,13 +307,25 @@ def pieces(path: str) -> Pieces:
     return _state[path]
 
 
-def _squeezed(ids: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(ids.astype(np.uint16 if ids.max(initial=0) < 1 << 16 else np.uint32).tobytes())
+def _squeezer():
+    """Function that compresses an array of ids (16 bits each where they fit)."""
+    compress = zstandard.ZstdCompressor(level=1).compress
+
+    def run(ids: np.ndarray) -> bytes:
+        return compress(ids.astype(np.uint16 if ids.max(initial=0) < 1 << 16 else np.uint32).tobytes())
+
+    return run
+
+
+def _reader():
+    """Function that gives back the ids."""
+    decompress = zstandard.ZstdDecompressor().decompress
 
+    def run(blob: bytes, n: int) -> np.ndarray:
+        raw = decompress(blob)
+        return np.frombuffer(raw, dtype=np.uint16 if len(raw) == 2 * n else np.uint32)
 
-def _ids(blob: bytes, n: int) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    return np.frombuffer(raw, dtype=np.uint16 if len(raw) == 2 * n else np.uint32).astype(np.int64)
+    return run
 
 
 def tokenised(documents: DataFrame, tokenizer: str, end: int, bounds: list[int]) -> DataFrame:
@@ -249,13 +333,13 @@ def tokenised(documents: DataFrame, tokenizer: str, end: int, bounds: list[int])
     edges = np.array(bounds, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(tokenizer)
-        for b in text_slices(batches, "text"):
+        p, squeeze = pieces(tokenizer), _squeezer()
+        for b in text_slices(batches, "text", SLICE):
             ids, at = p.encode(b.column("text"), end)
             doc = b.column("doc_id")
             span = np.searchsorted(edges, pc.fill_null(doc, np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
             yield pa.RecordBatch.from_arrays(
-                [doc, pa.array(span.astype(np.int32)), pa.array(np.diff(at)), pa.array([_squeezed(ids[x:y]) for x, y in zip(at, at[1:])], pa.binary())],
+                [doc, pa.array(span.astype(np.int32)), pa.array(np.diff(at)), pa.array([squeeze(ids[x:y]) for x, y in zip(at, at[1:])], pa.binary())],
                 ["doc_id", "span", "n_tokens", "ids"],
             )
 
@@ -266,10 +350,12 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
     """Occurrences of each id over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, dtype=np.int64)
+        total, read = np.zeros(1 << 16, dtype=np.int64), _reader()
         for b in batches:
-            for blob, n in zip(b.column("ids").to_pylist(), b.column("n_tokens").to_pylist()):
-                c = np.bincount(_ids(blob, n))
+            for k in range(0, b.num_rows, 200):
+                part = b.slice(k, 200)
+                ids = np.concatenate([read(blob, n) for blob, n in zip(part.column("ids").to_pylist(), part.column("n_tokens").to_pylist())])
+                c = np.bincount(ids)
                 if len(c) > len(total):
                     total = np.concatenate([total, np.zeros(len(c) - len(total), dtype=np.int64)])
                 total[: len(c)] += c
@@ -299,6 +385,7 @@ def encode_documents(documents: DataFrame, tokenizer: str, end: int = 2) -> tupl
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span, held, count, start, number = None, [], 0, 0, 0
+        read = _reader()
 
         def close() -> list[tuple]:
             nonlocal held, count, start, number
@@ -319,7 +406,7 @@ def encode_documents(documents: DataFrame, tokenizer: str, end: int = 2) -> tupl
                 if s != span:
                     done += close()
                     span, start, number = s, first[s], 0
-                held.append((doc, _ids(blob, n)))
+                held.append((doc, read(blob, n)))
                 count += n
                 if count >= FILE_IDS:
                     done += close()
