@@ -3,9 +3,10 @@
 Every entry reads the given tables in full (no row caps or id subsets); only
 top-k reports keep their limit, because the limit is the feature.
 Output columns are canonicalised for the comparison with the DuckDB oracle:
-numbers as DOUBLE (exact for these counts and rounded values), dates as ISO
-text, booleans as ``true``/``false`` text, strings unchanged -- identical whether results are
-compared as Python values or as pandas columns. The operators themselves
+counts as BIGINT (as DOUBLE where they may be blank), amounts and rates as DOUBLE, dates as ISO text (the two engines
+hand DECIMAL and DATE to pandas as different types), booleans and strings
+unchanged -- identical whether results are compared as Python values or as
+pandas columns. The operators themselves
 return natural types (BIGINT counts, DATE months, DECIMAL amounts).
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.catalog.oracle import BLANKABLE
 from ledgerlens.functions import kpi
 from ledgerlens.operators import cohort, dashboards, export, measures, reports, rfm, stats, worksheet
 from ledgerlens.params import ReportParams
@@ -46,9 +48,11 @@ def normalise(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DecimalType, T.FloatType, T.IntegerType, T.ShortType, T.ByteType, T.LongType)):
+        if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType, T.LongType)):
+            c = c.cast("double" if f.name in BLANKABLE else "bigint")
+        elif isinstance(f.dataType, (T.DecimalType, T.FloatType)):
             c = c.cast("double")
-        elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
+        elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             c = c.cast("string")
         cols.append(c.alias(f.name))
     return df.select(*cols)
