@@ -203,12 +203,13 @@ def failure_spikes(
     The original two-step aggregate (per period, then pivot) collapses into
     one aggregate with conditional sums. Thresholds are tested exactly as
     ``this * k > prior * spike`` (no rounding of ``prior / k``). ``k``, the
-    number of prior periods, is what the window holds besides the recent one
-    (28 and 7 days: 3); a window that is no whole number of periods is refused.
+    number of prior periods, is what the window holds besides the recent one:
+    3 for 28 and 7 days, and the exact fraction for other windows, so the
+    tests multiply by the days on both sides.
     """
-    prior_periods, rest = divmod(window_days - recent_days, recent_days)
-    if prior_periods < 1 or rest:
-        raise ValueError(f"a window of {window_days} days is no whole number of {recent_days}-day periods")
+    prior_days = window_days - recent_days
+    if recent_days < 1 or prior_days < 1:
+        raise ValueError(f"a window of {window_days} days holds nothing before its last {recent_days}")
     recent_start = as_of - dt.timedelta(days=recent_days)
     start = as_of - dt.timedelta(days=window_days)
     recent = F.col(D) >= F.lit(recent_start)
@@ -225,9 +226,9 @@ def failure_spikes(
         F.sum(F.when(recent, F.coalesce("TXN_AMOUNT_LOCAL", F.lit(0)))).alias("tw_val_local"),
         F.sum(F.when(recent, F.coalesce("TXN_AMOUNT_USD", F.lit(0)))).alias("tw_val_usd"),
     )
-    k = F.lit(prior_periods)
-    tw, pw = F.col("this_week"), F.col("prior_3wk")
-    avg_prior = kpi.as_double(pw) / F.lit(float(prior_periods))
+    # counts scaled to the same number of days
+    tw, pw = F.col("this_week") * F.lit(prior_days), F.col("prior_3wk") * F.lit(recent_days)
+    avg_prior = kpi.as_double(pw) / F.lit(float(prior_days))
     return (
         p.filter(tw > 0)
         .select(
@@ -241,11 +242,11 @@ def failure_spikes(
             kpi.rnd(F.coalesce("tw_val_local", F.lit(0)), 2).alias("failed_val_local"),
             kpi.rnd(F.coalesce(kpi.round_dec("tw_val_usd", 2), F.lit(0)), 2).alias("failed_val_usd"),
             F.when(pw == 0, "NEW")
-            .when(tw * k > pw * kpi.dec(spike), "SPIKING")
-            .when(tw * k < pw * kpi.dec(improve), "IMPROVING")
+            .when(tw > pw * kpi.dec(spike), "SPIKING")
+            .when(tw < pw * kpi.dec(improve), "IMPROVING")
             .otherwise("STABLE")
             .alias("trend_flag"),
-            kpi.rnd(kpi.pct(tw * k - pw, pw), 0).alias("wow_pct"),
+            kpi.rnd(kpi.pct(tw - pw, pw), 0).alias("wow_pct"),
         )
         .orderBy(F.col("this_week").desc(), F.col("failed_val_usd").desc())
     )
