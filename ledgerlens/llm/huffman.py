@@ -33,7 +33,7 @@ BLOCK = 1024
 RUN = 128
 FILE_IDS = 2 << 20
 #: entries of the per-process cache of pieces
-CACHE = 800_000
+CACHE = 1_200_000
 #: bytes of text tokenised at once
 SLICE = 5 << 20
 #: pieces joined by line breaks for one call of the tokenizer
@@ -175,11 +175,10 @@ class Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, dict[str, int]] = {" ": {}, "": {}}
-        self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.starts = np.zeros(1 << 14, dtype=np.int32)
-        self.sizes = np.zeros(1 << 14, dtype=np.int32)
-        self.filled = self.rows_filled = 0
+        self.known = pa.array([], pa.large_string())  # pieces without the space before them
+        self.ids = np.zeros(0, dtype=np.uint32)
+        self.sizes = np.zeros(0, dtype=np.int32)
+        self.starts = np.zeros(0, dtype=np.int32)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -203,35 +202,30 @@ class Pieces:
                 sizes.append(np.fromiter(map(len, alone), dtype=np.int64, count=len(alone)))
         return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
 
-    def rows(self, pieces: list[str], lead: str) -> np.ndarray:
-        """Row of each piece in (starts, sizes); ``lead`` (a space or nothing) stands before every piece."""
-        known = self.known[lead]
-        find = known.get
-        row = np.array([find(p, -1) for p in pieces], dtype=np.int64)
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, sizes, order): ids of ``texts[order[0]]``, ``texts[order[1]]`` and so on."""
+        plain = np.fromiter(((w := t[1:] if t[:1] == " " else t) != "" and w.split() == [w] for t in texts), dtype=bool, count=len(texts))
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        n = int(plain.sum())
+        ids, sizes = self.each([texts[i] for i in order[:n].tolist()])
+        alone = self.whole([texts[i] for i in order[n:].tolist()])
+        rest = np.fromiter((i for x in alone for i in x), dtype=np.uint32)
+        return np.concatenate([ids, rest]), np.concatenate([sizes, np.fromiter(map(len, alone), dtype=np.int64, count=len(alone))]), order
+
+    def rows(self, pieces: pa.Array) -> np.ndarray:
+        """Row of each piece (which a space precedes) in (starts, sizes); what is new is encoded and kept."""
+        if len(self.known) > CACHE:
+            self.clear()
+        row = pc.fill_null(pc.index_in(pieces, self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         missing = np.flatnonzero(row < 0)
         if len(missing):
-            new = [lead + pieces[i] for i in missing.tolist()]
-            plain = [p for p in new if (w := p[1:] if lead else p) and w.split() == [w]]
-            if len(plain) < len(new):
-                chosen = set(plain)
-                other = [p for p in new if p not in chosen]
-                found = self.whole(other)
-            else:
-                other, found = [], []
-            first, first_sizes = self.each(plain)
-            size = np.concatenate([first_sizes, np.fromiter(map(len, found), dtype=np.int64, count=len(found))])
-            n, at, total = self.rows_filled, self.filled, int(size.sum())
-            while n + len(new) > len(self.sizes):
-                self.starts, self.sizes = np.concatenate([self.starts, self.starts * 0]), np.concatenate([self.sizes, self.sizes * 0])
-            while at + total > len(self.ids):
-                self.ids = np.concatenate([self.ids, self.ids * 0])
-            self.ids[at : at + total] = np.concatenate([first, np.fromiter((i for x in found for i in x), dtype=np.uint32)])
-            self.starts[n : n + len(new)] = at + np.cumsum(size) - size
-            self.sizes[n : n + len(new)] = size
-            self.filled, self.rows_filled = at + total, n + len(new)
-            cut = len(lead)
-            known.update(zip((p[cut:] for p in plain + other), range(n, n + len(new))))
-            row[missing] = [known[pieces[i]] for i in missing.tolist()]
+            new = pieces.take(pa.array(missing))
+            ids, sizes, order = self.encoded([" " + p for p in new.to_pylist()])
+            row[missing[order]] = len(self.known) + np.arange(len(missing))
+            self.known = pa.concat_arrays([self.known, new.take(pa.array(order))])
+            self.ids = np.concatenate([self.ids, ids])
+            self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
+            self.starts = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
         return row
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,31 +239,29 @@ class Pieces:
         first[(np.cumsum(per_text) - per_text)[per_text > 0]] = True
         coded = flat.dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False)
-        values = coded.dictionary.to_pylist()
-        n = len(values)
-        open_space, ends_space = _space_borders(coded.dictionary, values)
+        values = coded.dictionary
+        open_space, ends_space = _space_borders(values)
         bounds = np.concatenate([[0], np.cumsum(per_text)])
         odd = np.zeros(len(texts), dtype=bool)
         if open_space.any() and ends_space.any():
             inside = np.flatnonzero(open_space[code[1:]] & ends_space[code[:-1]] & ~first[1:]) + 1
             odd[np.searchsorted(bounds, inside, side="right") - 1] = True
-        if self.rows_filled > CACHE:
-            self.clear()
-        row = self.rows(values, " ")
+        row = self.rows(values)
         firsts = np.flatnonzero(first)
-        initial = np.unique(code[firsts])
-        opening = np.zeros(n, dtype=np.int64)
-        opening[initial] = self.rows([values[i] for i in initial.tolist()], "")
+        # the first pieces of texts, without a space before them, are encoded anew: one a text
+        own_ids, own_sizes, order = self.encoded(values.take(pa.array(code[firsts])).to_pylist())
+        pool = np.concatenate([self.ids, own_ids])
         at = row[code]
-        at[firsts] = opening[code[firsts]]
-        size = self.sizes[at]
+        size, begin = self.sizes[at], self.starts[at]
+        size[firsts[order]] = own_sizes
+        begin[firsts[order]] = len(self.ids) + np.cumsum(own_sizes) - own_sizes
         if odd.any():
             size[np.repeat(odd, per_text)] = 0
         ends = np.cumsum(size, dtype=np.int32)  # a slice is far from 2**31 ids
         length = np.diff(np.concatenate([[0], ends])[bounds]).astype(np.int64)
-        place = np.repeat(self.starts[at] - (ends - size), size)
+        place = np.repeat(begin - (ends - size), size)
         place += np.arange(len(place), dtype=np.int32)
-        ids = np.take(self.ids, place)
+        ids = np.take(pool, place)
         if odd.any():
             found = self.whole([texts[int(i)].as_py() for i in np.flatnonzero(odd)])
             extra = np.fromiter((i for x in found for i in x), dtype=np.uint32)
@@ -285,18 +277,18 @@ class Pieces:
         return out, offsets
 
 
-def _space_borders(column: pa.Array, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _space_borders(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Whether each value is empty or starts (ends) with white space; only bytes that may be white space are looked at."""
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    values = pa.concat_arrays([values])
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64)[values.offset : values.offset + len(values) + 1]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and at[-1] > 0 else np.zeros(1, dtype=np.uint8)
     out = []
     for place, end in ((at[:-1], 0), (at[1:] - 1, -1)):
         byte = raw[np.clip(place, 0, len(raw) - 1)]
-        maybe = (at[1:] == at[:-1]) | (byte <= 32) | (byte >= 127)
+        maybe = np.flatnonzero((at[1:] == at[:-1]) | (byte <= 32) | (byte >= 127))
         space = np.zeros(len(values), dtype=bool)
-        for i in np.flatnonzero(maybe).tolist():
-            space[i] = not values[i] or values[i][end].isspace()
+        space[maybe] = [not v or v[end].isspace() for v in values.take(pa.array(maybe)).to_pylist()]
         out.append(space)
     return out[0], out[1]
 

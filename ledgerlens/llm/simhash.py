@@ -17,12 +17,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.llm.common import bits_of, space_words, stored, text_slices
 from ledgerlens.llm.components import EDGE, components, spanning
@@ -199,12 +199,16 @@ def simhash_groups(documents: DataFrame, width: int = 3, radius: int = 2) -> Dat
 
 
 def keep_one(documents: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """The documents, one of each group: the row with the smallest ``doc_id`` (of equal ids, one row)."""
-    columns = documents.columns
-    groups = simhash_groups(documents, width, radius)
+    """The documents, one of each group: the row with the smallest ``doc_id`` (of equal ids, one row).
+
+    The ids to drop are joined, not those to keep: they are the fewer, and where they are few Spark broadcasts them and
+    texts stay where they are.
+    """
+    groups = stored(simhash_groups(documents, width, radius), "simhash-groups")
     ids = groups.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    out = documents.join(kept, documents["doc_id"] == F.col("kept_id"), "left_semi")
+    dropped = stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
+    named = documents.where(documents["doc_id"].isNotNull())
+    out = named.join(dropped, named["doc_id"] == dropped["dropped_id"], "left_anti")
     if ids["n"] != ids["d"]:
         out = out.dropDuplicates(["doc_id"])
     nameless = groups.where("component_id is null").select("fp").distinct()
@@ -217,11 +221,12 @@ def keep_one(documents: DataFrame, width: int = 3, radius: int = 2) -> DataFrame
 def fingerprint_rows(documents: DataFrame, width: int = 3) -> DataFrame:
     """(row, fp): all columns in a struct."""
 
-    @F.pandas_udf("long")
-    def mark(texts: pd.Series) -> pd.Series:
-        return pd.Series(fingerprints(pa.array(texts, pa.large_string(), from_pandas=True), width).view(np.int64))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches, "text", SLICE):
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(fingerprints(b.column("text"), width).view(np.int64))], ["row", "fp"])
 
-    return documents.select(F.struct("*").alias("row"), mark("text").alias("fp"))
+    kind = T.StructType([T.StructField("row", documents.schema), T.StructField("fp", T.LongType())])
+    return documents.select(F.struct("*").alias("row"), "text").mapInArrow(run, kind)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
