@@ -159,7 +159,7 @@ def map_file(uri: str) -> np.ndarray:
     """The file's bytes, memory-mapped; from a remote store by way of an unlinked local copy."""
     path = _local(uri)
     if path is not None:
-        return np.memmap(path, dtype=np.uint8, mode="r")
+        return np.asarray(np.memmap(path, dtype=np.uint8, mode="r"))
     from pyarrow import fs
 
     store, at = fs.FileSystem.from_uri(uri)
@@ -167,7 +167,7 @@ def map_file(uri: str) -> np.ndarray:
         while chunk := src.read(1 << 22):
             f.write(chunk)
         f.flush()
-        return np.memmap(f, dtype=np.uint8, mode="r")
+        return np.asarray(np.memmap(f, dtype=np.uint8, mode="r"))
 
 
 def pack_arrays(arrays: dict[str, np.ndarray]) -> bytes:
