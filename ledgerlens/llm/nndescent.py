@@ -2,11 +2,10 @@
 
 Equal vectors collapse to a class (smallest id, size). The neighbour graph starts from windows over the vectors sorted by
 random-hyperplane codes (``TREES`` orders), then is refined: every node joins its neighbours and a sample of its reverse
-neighbours with each other, and closer ones enter their lists of ``K``. Links at the threshold give components. Lists that
-are full of links are saturated, so every component is then closed: all its members are compared with each other, in
-blocks of ``BLOCK`` members, however large it is; only link counts leave a task, never pairs. An audit compares
-``AUDIT`` vectors, in hash order, with all vectors; while fewer than ``TARGET`` of their links lie inside components, the
-search goes on with twice the list length and further orders. Links the audit saw are kept.
+neighbours with each other, and closer ones enter their lists of ``K``. The search only decides the order in which vectors
+are stored: near ones together, in blocks of ``BLOCK``. Links and components come from comparing every block with every
+block, so no pair depends on what the search found. What the triangle inequality rules out is skipped: two blocks, or a row
+against a block, whose angle to the centres leaves no room for a link. Only link counts and spanning forests leave a task.
 
 All cosines are computed in double precision. Null, empty or zero vectors and vectors with null or non-finite components
 link with nothing (0 links, own component, kept). Vectors of different lengths never link. Repeated rows: a result row each,
@@ -21,11 +20,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import stored
-from ledgerlens.llm.components import components
+from ledgerlens.llm.common import map_file, pack_arrays, put_file, shared_path, stored, unpack_arrays
+from ledgerlens.llm.components import components, spanning
 
 THRESHOLD = 0.95
 K = 10
@@ -33,9 +33,10 @@ TREES = 8
 ROUNDS = 2
 SPAN = 32
 BLOCK = 1024
-AUDIT = 1000
-TARGET = 0.98
-MAX_SEARCHES = 4
+#: blocks that a row of work compares with one block
+STRIPE = 16
+#: angle (radians) by which a bound must be missed before a comparison is skipped
+SLACK = 1e-6
 CODE_BITS = 30
 
 LISTS = "node long, nbrs array<long>, sims array<double>, fresh array<boolean>"
@@ -214,75 +215,98 @@ def refine(nodes: DataFrame, lists: DataFrame, k: int, turn: int) -> DataFrame:
     return merged(old.unionByName(closer), k)
 
 
-def audit(nodes: DataFrame, threshold: float, sample: int) -> DataFrame:
-    """(a, b): all links of a bounded sample of nodes, against all nodes; rows a task finds for a node travel as they are."""
-    rows = nodes.orderBy(F.xxhash64(F.lit(5), "node"), "node").limit(sample).select("node", "vec").collect()  # at most ``sample`` rows
-    ids = np.array([r["node"] for r in rows], dtype=np.int64)
-    blobs = pa.array([bytes(r["vec"]) for r in rows], pa.binary())
+def angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ y, -1, 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, q_size = unit(blobs), lengths(blobs)
-        for b in batches:
-            for k in range(0, b.num_rows, 4096):
-                c = b.slice(k, 4096)
-                x, size, node = unit(c.column("vec")), lengths(c.column("vec")), c.column("node").to_numpy()
-                width = max(x.shape[1], q.shape[1])
-                s = np.pad(q, ((0, 0), (0, width - q.shape[1]))) @ np.pad(x, ((0, 0), (0, width - x.shape[1]))).T
-                i, j = np.nonzero((s >= threshold) & (q_size[:, None] == size[None]) & (ids[:, None] != node[None]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(node[j])], ["a", "b"])
 
-    return nodes.select("node", "vec").mapInArrow(run, "a long, b long")
+def blocks(nodes: DataFrame, near: DataFrame, folder: str, rows: int) -> np.ndarray:
+    """Write vectors as files of at most ``rows`` vectors of one length, components of ``near`` together; files per partition."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = nodes.join(near, "node", "left").select(F.length("vec").alias("size"), F.coalesce("component", "node").alias("key"), "node", "copies", "vec")
+    order = ["size", "key", "node"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
+
+        def cut(t: pa.Table, last: bool) -> pa.Table:
+            nonlocal n
+            while t.num_rows and (last or t.num_rows > rows):
+                size = t["size"].slice(0, rows).to_numpy()
+                m = int(np.searchsorted(size, size[0], side="right"))
+                x = unit(t["vec"].slice(0, m))
+                centre = x.mean(axis=0)
+                norm = np.sqrt(centre @ centre)
+                centre = centre / norm if norm > 1e-9 else x[0]
+                put_file(f"{folder}/{part:06d}-{n:06d}.bin", pack_arrays({
+                    "node": t["node"].slice(0, m).to_numpy(), "copies": t["copies"].slice(0, m).to_numpy(), "centre": centre,
+                    "radius": angles(x, centre).max(keepdims=True), "x": x.reshape(-1),
+                }))
+                n += 1
+                t = t.slice(m)
+            return t
+
+        held: pa.Table | None = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = cut(pa.concat_tables([held, t]) if held is not None else t, False)
+        if held is not None:
+            cut(held, True)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
 
-def count_links(x: np.ndarray, size: np.ndarray, copies: np.ndarray, y: np.ndarray, y_size: np.ndarray, y_copies: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked vectors of every row of x among y, and of every row of y among x."""
-    link = (x @ y.T >= threshold) & (size[:, None] == y_size[None])
-    return link @ y_copies, link.T @ copies
+    written = stored(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, "part int, n long"), "vector-blocks")
+    out = np.zeros(parts, dtype=np.int64)
+    for r in written.collect():  # one row per partition
+        out[r["part"]] = r["n"]
+    return out
 
 
-def closed(members: DataFrame, threshold: float) -> DataFrame:
-    """(node, links) with all links inside components; ``members`` has (component, node, copies, vec)."""
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    kind = "node long, links long"
+def compared(spark: SparkSession, folder: str, files: np.ndarray, threshold: float) -> DataFrame:
+    """(a, b, n): ``n`` links of node ``a`` where ``b`` is null, else a link of a spanning forest; over all pairs of blocks."""
+    total, before = int(files.sum()), np.cumsum(files) - files
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + SLACK
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
-    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "component"):
-            comp, node, copies, vec = t["component"].to_numpy(), t["node"].to_numpy(), t["copies"].to_numpy(), t["vec"]
-            x, size = unit(vec), lengths(vec)
-            out = np.zeros(len(node), dtype=np.int64)
-            first = np.flatnonzero(np.concatenate([[True], comp[1:] != comp[:-1]]))
-            for a, z in zip(first, np.append(first[1:], len(comp))):
-                out[a:z] = count_links(x[a:z], size[a:z], copies[a:z], x[a:z], size[a:z], copies[a:z], threshold)[0] - copies[a:z]
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(out)], ["node", "links"])
-
-    few = dealt.where("blocks = 1").select("component", "node", "copies", "vec")
-    few = few.repartition(parts, "component").sortWithinPartitions("component").mapInArrow(small, kind)
-    packed = dealt.where("blocks > 1").groupBy("component", "blocks", "block").agg(F.collect_list(F.struct("node", "copies", "vec")).alias("m"))  # about BLOCK members each
-    packed = stored(packed, "blocks")
-    left = packed.select("component", F.col("block").alias("i"), F.col("m").alias("left"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
-    right = packed.select(F.col("component").alias("c"), F.col("block").alias("jj"), F.col("m").alias("right"))
-    pairs = left.join(right, (F.col("component") == F.col("c")) & (F.col("j") == F.col("jj"))).select("i", "j", "left", "right")
-
-    def large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                sides = []
-                for c in ("left", "right"):
-                    m = b.column(c).slice(k, 1).flatten()
-                    sides.append((m.field("node").to_numpy(), m.field("copies").to_numpy(), unit(m.field("vec")), lengths(m.field("vec"))))
-                (n, c, x, s), (n2, c2, y, s2) = sides
-                width = max(x.shape[1], y.shape[1])
-                x, y = (np.pad(v, ((0, 0), (0, width - v.shape[1]))) for v in (x, y))
-                one, two = count_links(x, s, c, y, s2, c2, threshold)
-                if b.column("i")[k].as_py() == b.column("j")[k].as_py():
-                    yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(one - c)], ["node", "links"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([n, n2])), pa.array(np.concatenate([one, two]))], ["node", "links"])
-
-    many = pairs.repartition(parts, "i", "j").mapInArrow(large, kind).groupBy("node").agg(F.sum("links").alias("links"))
-    return few.unionByName(many)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(k: int) -> tuple[np.ndarray, ...]:
+            part = int(np.searchsorted(before, k, side="right")) - 1
+            f = unpack_arrays(map_file(f"{folder}/{part:06d}-{k - before[part]:06d}.bin"))
+            return f["node"], f["copies"], f["centre"], f["radius"][0], f["x"].reshape(len(f["node"]), -1)
+
+        def rows(a: np.ndarray, b: np.ndarray | None, n: np.ndarray | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), *(pa.nulls(len(a), pa.int64()) if c is None else pa.array(c, pa.int64()) for c in (b, n))], schema=kind)
+
+        forest, waiting = [], 0
+        for w in batches:
+            for i, stripe in zip(w.column("i").to_pylist(), w.column("stripe").to_pylist()):
+                node, copies, centre, radius, x = block(i)
+                own = np.zeros(len(node), dtype=np.int64)
+                for j in range(max(i, stripe * STRIPE), min((stripe + 1) * STRIPE, total)):
+                    node2, copies2, centre2, radius2, y = block(j)
+                    if len(centre) != len(centre2) or i != j and angles(centre, centre2) > radius + radius2 + reach:
+                        continue
+                    left, right = np.flatnonzero(angles(x, centre2) <= radius2 + reach), np.flatnonzero(angles(y, centre) <= radius + reach)
+                    link = x[left] @ y[right].T >= threshold
+                    if i == j:
+                        link &= left[:, None] != right[None]
+                    u, v = np.nonzero(link)
+                    if not len(u):
+                        continue
+                    own[left] += link @ copies2[right]
+                    if i != j:
+                        other = link.T @ copies[left]
+                        yield rows(node2[right][other > 0], None, other[other > 0])
+                    forest.append(spanning(node[left][u], node2[right][v]))
+                    waiting += len(forest[-1][0])
+                    if waiting > 1 << 20:
+                        forest = [spanning(*(np.concatenate(c) for c in zip(*forest)))]
+                        waiting = 0
+                yield rows(node[own > 0], None, own[own > 0])
+        if forest:
+            yield rows(*spanning(*(np.concatenate(c) for c in zip(*forest))), None)
+
+    work = spark.range(total).select(F.col("id").alias("i"), F.explode(F.sequence(F.floor(F.col("id") / STRIPE), F.lit((total - 1) // STRIPE).cast("long"))).alias("stripe"))
+    return work.repartition(parts, "i", "stripe").mapInArrow(run, "a long, b long, n long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
@@ -292,25 +316,16 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K) -
     sound = rows.where("embedding is not null")
     classes = stored(sound.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "vector-classes")
     nodes = stored(pack(classes.where("node is not null").select("node", "copies", "embedding")), "vector-nodes")
-    found = None
-    for search in range(MAX_SEARCHES):
-        width = k << search
-        lists = stored(start(nodes, width, TREES << search, 100 + search), "lists")
-        for turn in range(ROUNDS):
-            lists = stored(refine(nodes, lists, width, turn), "lists")
-        near = lists.select(F.col("node").alias("a"), F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).where(F.col("e.sims") >= threshold).select("a", F.col("e.nbrs").alias("b"))
-        found = near if found is None else found.unionByName(near)
-        parts = stored(components(found, "vectors"), "vector-components")
-        if search == 0:
-            truth = stored(audit(nodes, threshold, AUDIT), "audit")
-        named = truth.join(parts.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(parts.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        seen = named.agg(F.count("*").alias("n"), F.sum((F.col("ca") == F.col("cb")).cast("long")).alias("hit")).first()
-        if not seen["n"] or (seen["hit"] or 0) >= TARGET * seen["n"]:
-            break
-    if seen["n"] and (seen["hit"] or 0) < seen["n"]:  # links the audit saw are links
-        parts = stored(components(found.unionByName(truth), "vectors"), "vector-components")
-    members = nodes.join(parts, "node").select("component", "node", "copies", "vec")
-    links = closed(members, threshold)
+    lists = stored(start(nodes, k, TREES, 100), "lists")
+    for turn in range(ROUNDS):
+        lists = stored(refine(nodes, lists, k, turn), "lists")
+    near = lists.select(F.col("node").alias("a"), F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).where(F.col("e.sims") >= threshold).select("a", F.col("e.nbrs").alias("b"))
+    spark = nodes.sparkSession
+    folder = shared_path(spark, "vector-files")
+    files = blocks(nodes, stored(components(near, "near"), "near"), folder, BLOCK)
+    pairs = stored(compared(spark, folder, files, threshold), "vector-pairs")
+    links = pairs.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
+    parts = stored(components(pairs.where("b is not null").select("a", "b"), "vectors"), "vector-components")
     every = classes.join(links, "node", "left").join(parts.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
     every = stored(every.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "vector-result")
     linked = rows.join(every.withColumnRenamed("embedding", "e"), F.col("embedding") == F.col("e"), "left")

@@ -56,6 +56,30 @@ def test_equals_brute_force(spark, monkeypatch, block):
     assert got == expected or found < all_links
 
 
+def around(rng, centre, noise, n):
+    return centre + noise * rng.normal(size=(n, len(centre))) / np.sqrt(len(centre))
+
+
+def result(spark, vectors):
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    return sorted(tuple(r) for r in nndescent.near_vectors(frame).collect()), sorted(brute(rows))
+
+
+def test_pairs_beside_a_hot_group(spark, monkeypatch):
+    """Few vectors look at how the search did, and a large group has nearly all links: the pairs must come all the same."""
+    monkeypatch.setattr(nndescent, "TREES", 1)
+    monkeypatch.setattr(nndescent, "ROUNDS", 0)
+    monkeypatch.setattr(nndescent, "SPAN", 4)
+    monkeypatch.setattr(nndescent, "AUDIT", 30, raising=False)
+    monkeypatch.setattr(nndescent, "BLOCK", 64)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(150, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    got, expected = result(spark, np.concatenate([base, [around(rng, v, 0.25, 1)[0] for v in base], around(rng, base[0], 0.1, 200)]))
+    assert got == expected
+
+
 def test_query_on_the_embeddings(spark, sf):
     import pyarrow.dataset as ds
 
