@@ -80,6 +80,16 @@ def test_pairs_beside_a_hot_group(spark, monkeypatch):
     assert got == expected
 
 
+def test_dense_groups_that_touch(spark, monkeypatch):
+    """Two groups with more near copies than a list holds, linked only by their farther members."""
+    monkeypatch.setattr(nndescent, "AUDIT", 1, raising=False)
+    rng = np.random.default_rng(5)
+    a, b = np.eye(32)[0], np.eye(32)[0] * np.cos(0.36) + np.eye(32)[1] * np.sin(0.36)
+    got, expected = result(spark, np.concatenate([around(rng, a, 0.08, 60), around(rng, b, 0.08, 60)]))
+    assert len({r[2] for r in expected}) == 1 and min(r[1] for r in expected) >= 59
+    assert got == expected
+
+
 def test_query_on_the_embeddings(spark, sf):
     import pyarrow.dataset as ds
 
