@@ -7,8 +7,11 @@ block children (a leaf's is its own). The node with the largest sum is the conte
 the path from the body to it. The result is the outermost ``article`` or ``main`` on that path, all of whose nodes reach the
 threshold; without one, the content node and every other subtree that reaches the threshold.
 
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are cut before: by element
-name, and by the words of ``class``, ``id`` and ``role``.
+Scripts, styles, controls and hidden elements are cut before. So are menus, headers, footers, sidebars, notices, adverts, forms
+and reader comments, by element name or, for containers, by whole tokens of ``class``, ``id`` and ``role``; but never one that
+holds an ``article`` or ``main`` or most of the page's text outside links, and none if no text would be left. Only reader
+comments, and elements by name that hold no article, go whatever their length if there is an article besides them. The
+threshold decides on the rest.
 
 Null or empty html, or a page without text: an empty string. Broken markup is read as browsers do: unclosed elements end with
 their parent, stray end tags are skipped. Repeated pages: a row each.
@@ -33,15 +36,18 @@ TOKEN = re.compile(
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)",
     re.DOTALL,
 )
-NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true)", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+HINT = re.compile(r"class|id|role", re.IGNORECASE)
 
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CUT = {
-    "head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "option", "label", "fieldset", "input",
-    "object", "embed", "applet", "canvas", "audio", "video", "map",
+    "head", "button", "select", "option", "label", "input", "object", "embed", "applet", "canvas", "audio", "video", "map",
 }
+#: elements that are cut unless they hold the article
+ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
+#: elements that class, id and role can mark
+CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "center", *ASIDE}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt",
     "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img",
@@ -54,7 +60,9 @@ MARKS = {
     "newsletter", "subscribe", "subscription", "share", "sharing", "social", "related", "recommended", "widget", "toolbar", "search", "login", "signup",
     "pagination", "pager", "skip",
 }
-KEEP = {"html", "body", "article", "main"}
+#: words that may stand beside those in a token
+PLAIN = {"site", "main", "top", "bottom", "left", "right", "box", "bar", "container", "wrapper", "block", "area", "links", "list", "buttons", "posts"}
+COMMENTS = {"comment", "comments", "disqus", "respond", "reply", "replies"}
 #: an open element ends when one of these starts
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -63,10 +71,21 @@ CLOSES = {
 SCOPES = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "body", "blockquote", "nav", "aside", "footer", "header", "form"}
 
 
-def _marked(attrs: str) -> bool:
-    if HIDDEN.search(attrs):
-        return True
-    return any(w in MARKS for m in NAMES.finditer(attrs) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
+def _marked(name: str, attrs: str) -> tuple[bool, int]:
+    """(hidden, mark) of an element; the mark is 3 for an element of ASIDE, 2 for reader comments, 1 for other marks, 0 for the rest."""
+    mark = 3 if name in ASIDE else 0
+    if not HINT.search(attrs):
+        return False, mark
+    for m in ATTRIBUTE.finditer(attrs):
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key == "hidden" or key == "aria-hidden" and value.strip() == "true":
+            return True, 0
+        if name in CONTAINERS and key in ("class", "id", "role"):
+            for token in value.split():
+                words = {w for w in re.split(r"[^a-z0-9]+", token) if w}
+                if words & MARKS and words <= MARKS | PLAIN:
+                    mark = max(mark, 2 if words & COMMENTS else 1)
+    return False, mark
 
 
 class Page:
@@ -75,6 +94,7 @@ class Page:
     def __init__(self, source: str):
         self.parent, self.name = [-1], ["html"]
         self.chars, self.tags, self.link_chars, self.link_tags = [0], [0], [0], [0]
+        self.mark = [0]
         self.runs: list[tuple[int, str]] = []  # (block, text of one run between block borders)
         self._read(source)
 
@@ -152,18 +172,54 @@ class Page:
                     self.link_tags[block] += 1
             if name in VOID:
                 continue
-            cut = stack[-1][2] or name in CUT or name not in KEEP and _marked(attrs)
+            hidden, mark = _marked(name, attrs) if name not in ("body", "article", "main") else (False, 0)
+            cut = stack[-1][2] or name in CUT or hidden
             if not inline and not cut:
                 self.parent.append(block)
                 self.name.append(name)
+                self.mark.append(mark)
                 for counts in (self.chars, self.tags, self.link_chars, self.link_tags):
                     counts.append(0)
                 block = len(self.parent) - 1
             stack.append((name, block, cut, stack[-1][3] or name == "a"))
         flush()
 
+    def _cut(self) -> None:
+        """Take out marked blocks with what is in them."""
+        n = len(self.parent)
+        if not any(self.mark):
+            return
+        plain = [c - lc for c, lc in zip(self.chars, self.link_chars)]
+        inside, holds = [False] * n, [x in ("article", "main") for x in self.name]
+        for k in range(1, n):
+            inside[k] = self.mark[k] > 0 or inside[self.parent[k]]
+        free = [0 if i else x for i, x in zip(inside, plain)]
+        for k in range(n - 1, 0, -1):
+            up = self.parent[k]
+            plain[up] += plain[k]
+            free[up] += free[k]
+            holds[up] = holds[up] or holds[k]
+        story = [x in ("article", "main") and f > 0 for x, f in zip(self.name, free)]
+        stories, around, cut = sum(story), [0] * n, [False] * n
+        for k in range(1, n):
+            up = self.parent[k]
+            around[k] = around[up] + story[up]
+            beside = stories if self.mark[k] == 2 else stories - around[k] if self.mark[k] == 3 and not holds[k] else 0
+            cut[k] = cut[up] or self.mark[k] > 0 and (beside > 0 or not holds[k] and 2 * plain[k] <= plain[0])
+        if not any(c for c, gone in zip(self.chars, cut) if not gone):
+            return
+        new, left = {}, [k for k in range(n) if not cut[k]]
+        for k in left:
+            new[k] = len(new)
+        self.parent = [new.get(self.parent[k], -1) for k in left]
+        self.name, self.chars, self.tags, self.link_chars, self.link_tags, self.mark = (
+            [x[k] for k in left] for x in (self.name, self.chars, self.tags, self.link_chars, self.link_tags, self.mark)
+        )
+        self.runs = [(new[k], t) for k, t in self.runs if k in new]
+
     def content(self) -> set[int]:
         """Blocks whose text is the page's."""
+        self._cut()
         n = len(self.parent)
         for k in range(n - 1, 0, -1):  # children come after their parent
             for counts in (self.chars, self.tags, self.link_chars, self.link_tags):

@@ -55,6 +55,40 @@ def test_what_is_not_the_article_goes(other, wrap):
     assert main_text(f"<body>{inside}</body>") == expected
 
 
+STORY = f"<h1>Title</h1><p>{LONG * 2}</p><p>{LONG * 3}</p>"
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        "<div class='layout no-sidebar'><article>{}</article></div>", "<div class='site has-sidebar'><article>{}</article></div>", "<div class='page with-header'>{}</div>",
+        "<div class='elementor-widget'><main>{}</main></div>", "<div class=widget>{}</div>", "<div class=banner><p>x</p><article>{}</article></div>", "<form id=aspnet>{}</form>",
+        "<main><h1>Top</h1><div class=widget><article>{}</article></div></main>", "<div data-id=menu data-class='search' title='not hidden here'>{}</div>",
+    ],
+)
+def test_wrappers_with_marks_keep_their_text(wrap):
+    text = main_text(f"<body><nav><a href=x>Home</a></nav>{wrap.format(STORY)}<footer>Rights</footer></body>")
+    assert " ".join(f"Title {LONG * 2} {LONG * 3}".split()) in text and "Home" not in text and "Rights" not in text
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<section id='related-work'><p>Other people did this</p></section>", "<h2 id='search'>Search</h2>", "<p class='notice'>Mind the step</p>",
+        "<pre><code>x = 1 <span class='comment'># one</span></code></pre>", "<p data-class='ad' title=\"a hidden gem\">Found it</p>",
+    ],
+)
+def test_marked_parts_of_an_article_stay(part):
+    inside = " ".join(re.sub(r"<[^>]*>", "", part).split())
+    assert main_text(f"<body><article>{STORY}{part}<p>{LONG}</p></article></body>") == " ".join(f"Title {LONG * 2} {LONG * 3} {inside} {LONG}".split())
+
+
+def test_comments_longer_than_the_article_go_and_a_page_of_marks_has_text():
+    replies = f"<section id=comments><article class=comment><p>{LONG * 20}</p></article></section>"
+    assert main_text(f"<body><article>{STORY}{replies}</article></body>") == " ".join(f"Title {LONG * 2} {LONG * 3}".split())
+    assert "one two" in main_text("<body><div class=widget>one two</div><div class=widget>three four</div><div class=widget>five six</div></body>")
+
+
 def test_long_pages_and_deep_nesting():
     deep = "<div>" * 3000 + "core text" + "</div>" * 3000
     assert main_text(deep) == "core text"
