@@ -3,15 +3,17 @@
 Templates are licence texts (well-known passages) and the base phrases. A first pass counts in how many documents each
 template word occurs, over all documents. The index posts, for every template, its ``ANCHORS`` words of highest inverse
 document frequency with their positions. A file looks up every occurrence of indexed words, rarest first in effect: each
-(occurrence, posting) pair votes for a relative position (file minus template). Alignments with votes are verified: the
-share of template words found in place must reach ``COVERAGE`` and all mandatory key phrases must stand in the passage.
-Base phrases must match in every word; all their places count, without a cap, as each place holds the phrase's anchor.
+(occurrence, posting) pair votes for a relative position (file minus template). Alignments with votes are verified over the
+relative positions up to ``BAND`` words away: the share of template words found in order must reach ``COVERAGE`` and all
+mandatory key phrases must stand in the passage, so inserted or dropped words do not lose a licence. Verified alignments of
+a template that overlap are one passage. Base phrases must match in every word; all their places count, without a cap, as each place holds the phrase's anchor.
 
 Null or empty text: no words, no labels, score 0. Repeated documents: a row each. Empty table: no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +34,10 @@ BASE = {
 
 # Passages of public licences as (label, passage, mandatory key phrases).
 PASSAGES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the "
-     "software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the "
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+     "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the "
      "software", ["without restriction", "to use copy modify merge publish"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 "
      "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
      ["source and binary forms", "must retain the above copyright notice"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above "
@@ -61,6 +63,8 @@ PASSAGES = [
 
 ANCHORS = 8
 COVERAGE = 0.8
+#: words inserted or dropped before or behind a voting word
+BAND = 8
 
 
 class Templates:
@@ -130,6 +134,37 @@ def _alignments(symbols: np.ndarray, offsets: np.ndarray, t: Templates) -> tuple
     return found[0], found[1], found[2]
 
 
+def _free(taken: list[tuple[int, int]], first: int, last: int) -> bool:
+    """Whether words first to last are free; if so they are taken now. ``taken`` is sorted and without overlaps."""
+    k = bisect.bisect(taken, (first, last))
+    if k and taken[k - 1][1] >= first or k < len(taken) and taken[k][0] <= last:
+        return False
+    taken.insert(k, (first, last))
+    return True
+
+
+def _in_order(seen: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words of ``codes`` found in order, place of the first, place of the last) per row of ``seen``, which has the words
+    from BAND before an alignment to BAND behind it; word i of the template is looked for at the places i to i + 2 * BAND."""
+    rows, width = len(seen), 2 * BAND + 1
+    count, first, last = (np.full((rows, width + 1), x, dtype=np.int32) for x in (0, -1, -1))  # the last column has nothing
+    for i, c in enumerate(codes):
+        hit = seen[:, i : i + width] == c
+        left = [np.zeros(rows, dtype=np.int32), np.full(rows, -1, dtype=np.int32), np.full(rows, -1, dtype=np.int32)]  # the place before, same word
+        for d in range(width):
+            # up to this place without this word: the column d + 1 of the word before; with it: column d of the word before
+            old = [count[:, d].copy(), first[:, d].copy(), last[:, d].copy()]
+            best = [count[:, d + 1], first[:, d + 1], last[:, d + 1]]
+            more = left[0] > best[0]
+            best = [np.where(more, x, y) for x, y in zip(left, best)]
+            with_it = [old[0] + 1, np.where(old[0] > 0, old[1], i + d), np.full(rows, i + d, dtype=np.int32)]
+            more = hit[:, d] & (with_it[0] > best[0])
+            left = [np.where(more, x, y) for x, y in zip(with_it, best)]
+            count[:, d], first[:, d], last[:, d] = left
+        count[:, width], first[:, width], last[:, width] = left
+    return count[:, width], first[:, width], last[:, width]
+
+
 def scan_texts(texts: pa.Array, t: Templates) -> dict[str, list]:
     w = alnum_words(texts)
     symbols = _symbols(w, t)
@@ -145,10 +180,22 @@ def scan_texts(texts: pa.Array, t: Templates) -> dict[str, list]:
         d, s = doc[here], start[here]
         if not len(d):
             continue
-        place = s[:, None] + np.arange(len(codes))
+        margin = 0 if k < t.base else BAND
+        place = s[:, None] + np.arange(-margin, len(codes) + margin)
         inside = (place >= w.offsets[d][:, None]) & (place < w.offsets[d + 1][:, None])
         seen = np.where(inside, symbols[np.clip(place, 0, max(len(symbols) - 1, 0))], 0)
-        share = (seen == codes).mean(axis=1)
+        share = (seen[:, margin : margin + len(codes)] == codes).mean(axis=1)
+        first_at, last_at = s - w.offsets[d], s - w.offsets[d] + len(codes) - 1
+        if margin:
+            near = np.zeros((len(d), len(codes)), dtype=bool)
+            for x in range(2 * margin + 1):
+                near |= seen[:, x : x + len(codes)] == codes
+            near = np.flatnonzero(near.mean(axis=1) >= COVERAGE)  # no other can reach it in order
+            if len(near):
+                count, one, two = _in_order(seen[near], codes)
+                share[near] = count / len(codes)
+                last_at[near] = first_at[near] - margin + two
+                first_at[near] += one - margin
         good = share >= (1.0 if k < t.base else COVERAGE)
         for key in t.keys[k]:
             hit = np.zeros(len(d), dtype=bool)
@@ -156,9 +203,14 @@ def scan_texts(texts: pa.Array, t: Templates) -> dict[str, list]:
                 hit |= (seen[:, a : a + len(key)] == key).all(axis=1)
             good &= hit
         np.maximum.at(score, d, np.where(good, share, share * 0.5))
-        for i, a in zip(d[good].tolist(), (s - w.offsets[d])[good].tolist()):
+        at = np.flatnonzero(good)
+        if margin:  # several words vote for a passage: of those that overlap, the one with most words
+            at = at[np.lexsort((first_at[at], -share[at], d[at]))]
+            taken: dict[int, list[tuple[int, int]]] = {}
+            at = [x for x in at.tolist() if _free(taken.setdefault(int(d[x]), []), int(first_at[x]), int(last_at[x]))]
+        for i, a, z in zip(d[at].tolist(), first_at[at].tolist(), last_at[at].tolist()):
             labels[i].add(t.labels[k])
-            spans[i].append({"label": t.labels[k], "first": a, "last": a + len(codes) - 1})
+            spans[i].append({"label": t.labels[k], "first": a, "last": z})
             if k < t.base:
                 base[i].add(t.labels[k])
                 n_base[i] += 1

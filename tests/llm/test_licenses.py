@@ -63,6 +63,63 @@ def test_every_passage_is_found_with_gaps(number):
     assert label in found["labels"][0].split(",") and 0.8 <= found["score"][0] <= 1
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit"""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."""
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        old = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = old[j] + 1 if x == y else max(old[j + 1], row[j])
+    return row[-1]
+
+
+@pytest.mark.parametrize(("label", "text"), [("mit", MIT), ("bsd", BSD)])
+def test_published_texts_are_whole_passages(label, text):
+    t = licenses.Templates()
+    t.rank(np.zeros(len(t.words) + 1), 100)
+    found = licenses.scan_texts(pa.array([f"some words before {text} and behind", text.replace("1.", "*"), text.replace(" (the \"Software\")", "")]), t)
+    assert found["labels"] == [label] * 3 and found["score"][0] == 1
+    assert [(x["label"], x["first"]) for x in found["spans"][0]] == [(label, 3)] and len(found["spans"][1]) == 1
+
+
+@pytest.mark.parametrize("number", range(len(licenses.PASSAGES)))
+def test_words_inserted_or_dropped_in_the_middle(number):
+    label, passage, keys = licenses.PASSAGES[number]
+    t = licenses.Templates()
+    t.rank(np.zeros(len(t.words) + 1), 100)
+    w = passage.split()
+    key_at = [a for k in keys for a in range(len(w)) if w[a : a + len(k.split())] == k.split() for a in range(a, a + len(k.split()))]
+    places = [a for a in range(1, len(w)) if a not in key_at or a - 1 not in key_at]
+    for a in places:
+        more = ["before", *w[:a], "qqq", "rrr", *w[a:], "after"]
+        found = licenses.scan_texts(pa.array([" ".join(more)]), t)
+        assert label in found["labels"][0].split(",") and found["score"][0] == 1
+        assert {"label": label, "first": 1, "last": len(w) + 2} in found["spans"][0]
+        if a not in key_at:
+            assert label in licenses.scan_texts(pa.array([" ".join([*w[:a], *w[a + 1 :]])]), t)["labels"][0].split(",")
+
+
+def test_words_in_order_equal_the_longest_common_subsequence():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 30):
+        codes = rng.integers(1, 6, n)
+        seen = np.zeros((50, n + 2 * licenses.BAND), dtype=np.int64)
+        seen[:, licenses.BAND : licenses.BAND + n] = codes
+        for row in seen:  # up to BAND / 2 words are replaced
+            row[rng.integers(0, len(row), 4)] = rng.integers(0, 9, 4)
+        count = licenses._in_order(seen, codes)[0]
+        full = np.array([lcs(codes.tolist(), row.tolist()) for row in seen])
+        assert (count <= full).all() and (count >= (seen[:, licenses.BAND : licenses.BAND + n] == codes).sum(axis=1)).all()
+        assert n > 2 * licenses.BAND or (count == full).all()
+
+
 def test_document_frequencies(spark, documents):
     t = licenses.Templates()
     df, n = licenses.document_frequencies(documents(["license license", "LICENSE x", None, "x"] * 3).repartition(4), t)
