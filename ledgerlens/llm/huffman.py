@@ -163,7 +163,8 @@ class Pieces:
     """Ids of pieces (a space and what follows up to the next one), kept between slices of a worker process.
 
     A byte-level BPE splits before every space that follows or precedes a character that is not white space, so such pieces
-    are encoded apart and remembered. A text with a split inside a run of white space is encoded whole.
+    are encoded apart and remembered. A text with a split inside a run of white space, or with the literal of an added token
+    (which is that token's id), is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -171,7 +172,7 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
@@ -246,6 +247,8 @@ class Pieces:
         if open_space.any() and ends_space.any():
             inside = np.flatnonzero(open_space[code[1:]] & ends_space[code[:-1]] & ~first[1:]) + 1
             odd[np.searchsorted(bounds, inside, side="right") - 1] = True
+        for literal in self.added:
+            odd |= pc.match_substring(texts, literal).to_numpy(zero_copy_only=False)
         row = self.rows(values)
         firsts = np.flatnonzero(first)
         # the first pieces of texts, without a space before them, are encoded anew: one a text

@@ -47,6 +47,18 @@ def test_odd_documents(spark, documents, tokenizer):
     assert huffman.token_ids(documents(texts).limit(0)).count() == 0
 
 
+def test_literals_of_added_tokens(spark, documents):
+    """Plain ``encode(text, add_special_tokens=False)``: a literal is its token's id."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(PATH)
+    texts = ["ab <|endoftext|> cd", "a b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y \n z", "<|endoftext| >", None, "cd <|endoftext|> ab"]
+    ids, offsets = huffman.Pieces(PATH).encode(pa.array(texts), 2)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [plain.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert ids[:5].tolist() == [397, 220, 50256, 22927, 2]
+    assert sorted(tuple(r) for r in huffman.token_ids(documents(texts)).collect()) == expected(plain, enumerate(texts))
+
+
 def test_null_and_repeated_ids(spark, documents, tokenizer):
     got = huffman.token_ids(documents(["b", "a longer one", "c", "c"], ids=[7, None, 7, 7])).collect()
     assert sorted(r.start for r in got) == [0, 4, 6, 8] or sorted(r.n_tokens for r in got)[:3] == [2, 2, 2]
