@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import decontam, html_text, huffman, langid, licenses, mixing, ngram, nndescent, quality, simhash
+from ledgerlens.llm import decontam, html_text, huffman, langid, licenses, merkle, mixing, ngram, nndescent, quality, simhash
 
 QUERIES = {
     "op1_lm_score": ngram.op1_lm_score,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_decontamination": decontam.op8_decontamination,
     "op9_token_binary": huffman.op9_token_binary,
     "op10_simhash": simhash.op10_simhash,
+    "op13_merkle": merkle.op13_merkle,
 }
-SQL: dict[str, str] = {"op8_decontamination": decontam.OP8_SQL}
+SQL: dict[str, str] = {"op8_decontamination": decontam.OP8_SQL, "op13_merkle": merkle.OP13_SQL}
