@@ -1,0 +1,104 @@
+from __future__ import annotations
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from ledgerlens.llm import ranked
+from ledgerlens.llm.common import alnum_words
+from tests.llm.conftest import ODD, rows_of
+
+TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def terms(text) -> list[str]:
+    return TERM.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def expected(documents: list[tuple], queries: list[tuple], k: int = 10) -> list[tuple]:
+    docs = [(i, Counter(t)) for i, text in documents if (t := terms(text))]
+    count, total = len(docs), sum(sum(c.values()) for _, c in docs)
+    df = Counter(t for _, c in docs for t in c)
+    items: dict = {}
+    for item, text in queries:
+        items.setdefault(item, Counter()).update(terms(text))
+    out = []
+    for item, wanted in items.items():
+        scored = []
+        for doc, c in docs:
+            m = 100 - 75 + (75 * sum(c.values()) * count) // total
+            score = sum(n * math.floor(1000 * math.log((2 * count + 2) / (2 * df[t] + 1))) * ((1000000000 * c[t]) // (1000 * c[t] + 8 * m)) for t, n in wanted.items() if c[t])
+            if score > 0:
+                scored.append((-score, doc is not None, doc))
+        out += [(item, i + 1, doc, -s) for i, (s, _, doc) in enumerate(sorted(scored, key=lambda x: (x[0], x[1], x[2] or 0))[:k])]
+    return sorted(out, key=str)
+
+
+def got(df) -> list[tuple]:
+    return sorted((tuple(r) for r in df.select("item_id", "rank", "doc_id", "score").collect()), key=str)
+
+
+def tables(spark, documents, queries):
+    return spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(queries, "item_id long, text string")
+
+
+def test_query_equals_plain_ranking(spark, sf):
+    d, b = rows_of("documents"), rows_of("benchmark")
+    assert got(ranked.op11_ranked_search(spark, sf)) == expected(list(zip(d["doc_id"], d["text"])), list(zip(b["item_id"], b["text"])))
+
+
+@pytest.mark.parametrize("k, slice_bytes, block_bytes", [(1, 200, 60), (3, 1 << 20, 1 << 20), (10, 700, 200)])
+def test_any_k_slices_and_blocks(spark, k, slice_bytes, block_bytes):
+    rng = random.Random(k)
+    words = [f"w{i}" for i in range(60)]
+    share = [1 / (i + 1) for i in range(60)]
+    documents = [(rng.randrange(80), " ".join(rng.choices(words, share, k=rng.choice([1, 3, 40])))) for _ in range(300)]
+    documents += [(i, "w1 w2 w3 copied") for i in range(200, 260)]  # ties of copies
+    queries = [(i, " ".join(rng.choices(words, k=rng.choice([1, 2, 12])))) for i in range(25)] + [(99, "copied w1"), (99, "copied"), (98, "nowhere")]
+    dd, qq = tables(spark, documents, queries)
+    assert got(ranked.search(dd.repartition(3), qq, k, block_bytes, slice_bytes)) == expected(documents, queries, k)
+
+
+def test_odd_rows(spark):
+    documents = [*enumerate(ODD), (None, "a null id"), (None, "a null id"), (4, "A b again"), (50, "Ünïcode ÀB x_y [a] {b}")]
+    queries = [(1, None), (2, ""), (3, "A B null"), (None, "word"), (None, "same text"), (4, "a"), (4, "a"), (5, "é ünïcode x Y"), (6, " .,; ")]
+    assert got(ranked.search(*tables(spark, documents, queries))) == expected(documents, queries)
+
+
+def test_empty_tables(spark):
+    some = [(1, "a b")]
+    for documents, queries in ((some, []), ([], some), ([], []), (some, [(1, None)]), ([(1, None)], some)):
+        assert got(ranked.search(*tables(spark, documents, queries))) == []
+
+
+def test_clashing_columns_and_text_ids(spark):
+    documents, queries = [(i, t) for i, t in enumerate(ODD)], [(1, "a b"), (2, "same")]
+    d = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in documents], "doc_id long, text string, item_id int, score int, term string")
+    q = spark.createDataFrame([(f"q{i}", t, 5, 6, 7) for i, t in queries], "item_id string, text string, doc_id int, block int, n int")
+    assert got(ranked.search(d, q)) == sorted(((f"q{i}", *r) for i, *r in expected(documents, queries)), key=str)
+
+
+def test_accumulators_stop_and_survivors_stay_exact(tmp_path):
+    """After many documents hold the rare term, those with the common one alone get no accumulator."""
+    import pyarrow as pa
+
+    texts = ["rare common"] * 12 + ["common filler"] * 500
+    folder = str(tmp_path)
+    ranked.put_file(f"{folder}/items-0", ranked._packed(pa.table({"item_id": [1, 1], "term": ["common", "rare"], "n": pa.array([1, 1], pa.int64())})))
+    ranked.put_file(f"{folder}/weights-0", ranked._packed(pa.table({"code": pa.array([0, 1], pa.int32()), "n": pa.array([512, 12], pa.int64())})))
+    r = ranked.Ranker(folder, 0, 4000, 8000, 10)  # the corpus has more documents in other tasks
+    w = alnum_words(pa.array(texts))
+    term, doc, tf = r.block.postings(w)
+    impact = ranked.impacts(tf, ranked.lengths_norm(w.counts.astype(np.int64), 4000, 8000)[doc])
+    begin = np.searchsorted(term, np.arange(3))
+    best = np.array([impact[begin[0] : begin[1]].max(), impact[begin[1] :].max()])
+    codes, factor = r.terms[0]
+    assert codes.tolist() == [1, 0]  # rarest first
+    totals = np.zeros(len(texts), dtype=np.int64)
+    r._item(0, codes, factor, doc, impact, begin, best, totals, np.arange(len(texts)))
+    assert np.flatnonzero(totals).tolist() == list(range(12))
+    assert r.docs[0].tolist() == list(range(10)) and set(r.scores[0].tolist()) == {int(impact[0] * factor[1] + impact[begin[1]] * factor[0])}
