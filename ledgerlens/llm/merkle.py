@@ -23,16 +23,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import stored
+from ledgerlens.llm.numbering import positions
 
 FANOUT = 16
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: monotonically_increasing_id: position in the partition in the lower bits
-_LOCAL = (1 << 33) - 1
 EMPTY = "array<struct<digests:array<string>,slot:int>>"
 
 
@@ -54,26 +53,6 @@ def tree_name(group: Column) -> Column:
     return F.when(group.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), group.cast("string")))
 
 
-def positions(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Add ``idx``, the position in its ``tree`` by ``order``, and ``n``, the tree's number of rows."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["tree", *order]  # ascending, nulls first
-    ranged = stored(
-        rows.repartitionByRange(parts, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_at", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_at", 33))
-        .withColumn("_at", F.col("_at").bitwiseAND(_LOCAL)),
-        "merkle-rows",
-    )
-    # a row for each tree in each partition; a partition has a stretch of trees, a hot tree a stretch of partitions
-    spans = ranged.groupBy("_part", "tree").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    w = Window.partitionBy("tree")
-    before = w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.select("_part", "tree", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_n").over(w).alias("n"))
-    return ranged.join(spans, ["_part", "tree"]).withColumn("idx", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
-
-
 @dataclass(frozen=True)
 class Trees:
     """``leaves`` (tree, idx, n, digest and what the rows carry), ``levels[k]`` (tree, run, n, digests), ``roots`` (tree, digest)."""

@@ -64,6 +64,20 @@ def test_caps_nulls_order_and_ties(spark):
     assert len(out) == len(rows)
 
 
+@pytest.mark.parametrize("ids", [lambda k: None, lambda k: 7, lambda k: k // 100])
+def test_many_equal_rows(spark, documents, ids):
+    """Rows equal in id and size are taken in part: a source misses its target by half a document at most."""
+    rows = [(ids(k), "one two three", s) for k in range(300) for s in ("a", "b", "c")] + [(k, "w " * (k % 5), "c") for k in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    out = mixing.mix_table(frame).collect()
+    check(out, [t for _, t, _ in rows], [s for *_, s in rows])
+    table, mixed = Counter(), Counter((r.doc_id, r.source, len(r.text.split())) for r in mixing.mixed(frame).collect())
+    for r in out:
+        table[r.doc_id, r.source, r.size] += r.copies
+    assert mixed == Counter({k: n for k, n in table.items() if n})
+    assert any(len({r.copies for r in out if (r.doc_id, r.source, r.size) == k}) > 1 for k in table)
+
+
 def test_level_refinement_with_one_bucket(spark, monkeypatch):
     monkeypatch.setattr(mixing, "LEVEL_BITS", 1)
     rows = [(i, "w " * (i % 11), "abc"[i % 3]) for i in range(300)]
