@@ -187,35 +187,40 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, hot: int = HOT) -> D
     return ordered.select("bucket", "part", "fp").mapInArrow(_linker(radius), EDGE)
 
 
-def simhash_groups(documents: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``documents``."""
+def _grouped(documents: DataFrame, width: int, radius: int) -> DataFrame:
+    """(doc_id, fp, component, component_id) for every row: ``component`` names the group by a fingerprint."""
     marks = stored(fingerprint_table(documents, width), "fingerprints")
     distinct = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     linked = components(fingerprint_links(distinct, radius), "simhash")
     grouped = distinct.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = stored(grouped.select("fp", "component").join(least, "component").select(F.col("fp").alias("mark"), "component_id"), "named-fingerprints")
-    return marks.join(named, F.col("fp") == F.col("mark")).select("doc_id", "fp", "component_id")
+    named = stored(grouped.select("fp", "component").join(least, "component").select(F.col("fp").alias("mark"), "component", "component_id"), "named-fingerprints")
+    return marks.join(named, F.col("fp") == F.col("mark")).select("doc_id", "fp", "component", "component_id")
+
+
+def simhash_groups(documents: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``documents``."""
+    return _grouped(documents, width, radius).select("doc_id", "fp", "component_id")
 
 
 def keep_one(documents: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """The documents, one of each group: the row with the smallest ``doc_id`` (of equal ids, one row).
+    """The documents, one of each group: the row with the smallest (``doc_id``, fingerprint), null ids last; of equal ones one.
 
-    The ids to drop are joined, not those to keep: they are the fewer, and where they are few Spark broadcasts them and
-    texts stay where they are.
+    With an id for each row the ids to drop are joined, not those to keep: they are the fewer, and where they are few Spark
+    broadcasts them and texts stay where they are. Where rows share an id, or have none, the rows' own fingerprints are
+    computed beside them and each group keeps its row by (id, fingerprint).
     """
-    groups = stored(simhash_groups(documents, width, radius), "simhash-groups")
-    ids = groups.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    dropped = stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
-    named = documents.where(documents["doc_id"].isNotNull())
-    out = named.join(dropped, named["doc_id"] == dropped["dropped_id"], "left_anti")
-    if ids["n"] != ids["d"]:
-        out = out.dropDuplicates(["doc_id"])
-    nameless = groups.where("component_id is null").select("fp").distinct()
-    if not nameless.isEmpty():  # groups in which no row has an id
-        lone = fingerprint_rows(documents.where("doc_id is null"), width).join(nameless, "fp", "left_semi").dropDuplicates(["fp"])
-        out = out.unionByName(lone.select("row.*"))
-    return out
+    groups = stored(_grouped(documents, width, radius), "simhash-groups")
+    ids = groups.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if ids["rows"] == ids["ids"]:
+        dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id"))
+        return documents.join(stored(dropped, "dropped"), documents["doc_id"] == F.col("dropped_id"), "left_anti")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp")).alias("k")
+    kept = stored(groups.groupBy("component").agg(first).select(F.col("k.doc_id").alias("kept_id"), F.col("k.fp").alias("kept_fp")), "kept")
+    rows = fingerprint_rows(documents, width)
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("fp") == F.col("kept_fp"))
+    one = rows.join(kept, same, "left_semi").select("*", F.col("row.doc_id").alias("id")).dropDuplicates(["id", "fp"])
+    return one.select("row.*")
 
 
 def fingerprint_rows(documents: DataFrame, width: int = 3) -> DataFrame:

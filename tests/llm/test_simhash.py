@@ -86,3 +86,14 @@ def test_one_document_of_each_group_stays(spark, documents):
     assert sum(i is None for i, _ in rows) == 1
     assert simhash.keep_one(frame.limit(0)).count() == 0
     assert simhash.simhash_groups(documents(["x"] * 4, ids=[1, 1, 1, 2])).count() == 4
+
+
+def test_rows_that_share_an_id_keep_one_text_of_each_group(spark, documents):
+    a, b = "first text of many words here", "another thing altogether with its own words"
+    rows = lambda frame: sorted((r.doc_id, r.text) for r in simhash.keep_one(frame).collect())
+    assert rows(documents([a, a, b, b], ids=[3, 5, 5, 9])) == [(3, a), (5, b)]
+    assert rows(documents([a, b, a, b], ids=[5, 5, 5, 5])) == sorted([(5, a), (5, b)])
+    kept = simhash.keep_one(documents([a, b, a], ids=[None, 1, None])).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == [(1, b), (None, a)]
+    # near copies under one id are one group
+    assert len(rows(documents([a + " x" * 200, a + " x" * 201], ids=[7, 7]))) == 1
