@@ -20,9 +20,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def expected(tokenizer, rows) -> list[tuple]:
