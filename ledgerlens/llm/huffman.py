@@ -16,7 +16,9 @@ by number of ids, then ids. Empty table: no files, no rows. Other columns are ig
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +34,11 @@ MAX_BITS = 16
 BLOCK = 1024
 RUN = 128
 FILE_IDS = 2 << 20
-#: entries of the per-process cache of pieces
-CACHE = 1_200_000
+#: pieces in each half of the per-process cache, and the longest kept (in characters)
+CACHE = 200_000
+SHORT = 40
 #: bytes of text tokenised at once
-SLICE = 5 << 20
-#: pieces joined by line breaks for one call of the tokenizer
-JOINED = 2000
+SLICE = 3 << 20
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -158,13 +159,49 @@ def decode_file(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, in
 
 _state: dict = {}
 
+#: classes of bytes: unknown, letter, digit, mark, apostrophe, space, line break
+_LETTER, _DIGIT, _MARK, _QUOTE, _SPACE, _BREAK = 1, 2, 3, 4, 5, 6
+_CLASS = np.zeros(256, dtype=np.uint8)
+_CLASS[33:127] = _MARK
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[39], _CLASS[32], _CLASS[10] = _QUOTE, _SPACE, _BREAK
+#: first bytes of characters of two bytes that are all letters (U+00C0-U+023F but for two signs, U+0400-U+047F)
+_LEADS = np.zeros(256, dtype=bool)
+_LEADS[[0xC3, 0xC4, 0xC5, 0xC6, 0xC7, 0xC8, 0xD0, 0xD1]] = True
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u023f\u0400-\u047f"
+#: one unit of the pre-tokenizer: letters, digits or marks, after a space or not
+_UNIT = re.compile(rf" ?(?:[{_LETTERS}]+|[0-9]+|[!-/:-@\[-`{{-~]+)").fullmatch
+#: a change of class that always ends a unit; letters may go on after an apostrophe
+_CHANGE = np.zeros((8, 8), dtype=bool)
+_CHANGE[_LETTER, [_DIGIT, _MARK, _QUOTE]] = _CHANGE[_DIGIT, [_LETTER, _MARK, _QUOTE]] = _CHANGE[_MARK, [_LETTER, _DIGIT]] = True
+
+
+def cuts(raw: np.ndarray) -> np.ndarray:
+    """Whether the pre-tokenizer always begins a unit at each byte, as far as the bytes beside it tell."""
+    kind = _CLASS[raw]
+    lead = np.flatnonzero(_LEADS[raw[:-1]]) if len(raw) else np.zeros(0, dtype=np.int64)
+    lead = lead[~((raw[lead] == 0xC3) & np.isin(raw[lead + 1], (0x97, 0xB7)))]
+    kind[lead] = kind[lead + 1] = _LETTER
+    out = np.zeros(len(raw) + 1, dtype=bool)
+    if len(raw) < 3:
+        return out[:-1]
+    out[1 : len(raw)] = _CHANGE.reshape(-1)[(kind[:-1] << 3) | kind[1:]]
+    known = (kind >= _LETTER) & (kind <= _QUOTE)
+    between = np.flatnonzero((kind[1:-1] >= _SPACE) & known[:-2] & known[2:]) + 1  # one space or line break between two others
+    out[between] = True
+    out[between[kind[between] == _BREAK] + 1] = True
+    return out[:-1]
+
 
 class Pieces:
-    """Ids of pieces (a space and what follows up to the next one), kept between slices of a worker process.
+    """Ids of pieces of texts, the recent ones kept between slices of a worker process.
 
-    A byte-level BPE splits before every space that follows or precedes a character that is not white space, so such pieces
-    are encoded apart and remembered. A text with a split inside a run of white space, or with the literal of an added token
-    (which is that token's id), is encoded whole.
+    Texts are cut where a byte-level BPE's pre-tokenizer always begins a new unit (see ``cuts``), so a piece's ids do not
+    depend on what stands around it. A piece that is one unit goes straight to the tokenizer's model, any other through
+    the whole tokenizer. Up to ``CACHE`` short pieces are kept twice over: when the newer half is full it becomes the older,
+    and what the older half still serves moves to the newer. A text with the literal of an added token (which is that
+    token's id) is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -173,98 +210,86 @@ class Pieces:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        split, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        if self.tokenizer.normalizer is not None or type(split).__name__ != "ByteLevel" or split.add_prefix_space or type(model).__name__ != "BPE":
+            raise ValueError(f"not a plain byte-level BPE: {path}")
+        self.model = model
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.space = self.alphabet[32]
+        assert array("I").itemsize == 4
         self.clear()
 
     def clear(self) -> None:
-        self.known = pa.array([], pa.large_string())  # pieces without the space before them
-        self.ids = np.zeros(0, dtype=np.uint32)
-        self.sizes = np.zeros(0, dtype=np.int32)
-        self.starts = np.zeros(0, dtype=np.int32)
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, sizes) of short texts that are a word with or without a space before it: a line break between two such
-        texts is always a token of its own, so many go through the tokenizer at once."""
-        if not hasattr(self, "line"):
-            self.line = self.whole(["\n"])[0]
-        ids, sizes = [], []
-        for k in range(0, len(texts), JOINED):
-            part = texts[k : k + JOINED]
-            found = np.array(self.whole(["\n".join(part)])[0], dtype=np.uint32)
-            at = np.flatnonzero(found == self.line[0])
-            if len(self.line) == 1 and len(at) == len(part) - 1:
-                ids.append(np.delete(found, at))
-                sizes.append(np.diff(np.concatenate([[-1], at, [len(found)]])) - 1)
-            else:
-                alone = self.whole(part)
-                ids.append(np.fromiter((i for x in alone for i in x), dtype=np.uint32))
-                sizes.append(np.fromiter(map(len, alone), dtype=np.int64, count=len(alone)))
-        return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
-
-    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, sizes, order): ids of ``texts[order[0]]``, ``texts[order[1]]`` and so on."""
-        plain = np.fromiter(((w := t[1:] if t[:1] == " " else t) != "" and w.split() == [w] for t in texts), dtype=bool, count=len(texts))
-        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
-        n = int(plain.sum())
-        ids, sizes = self.each([texts[i] for i in order[:n].tolist()])
-        alone = self.whole([texts[i] for i in order[n:].tolist()])
-        rest = np.fromiter((i for x in alone for i in x), dtype=np.uint32)
-        return np.concatenate([ids, rest]), np.concatenate([sizes, np.fromiter(map(len, alone), dtype=np.int64, count=len(alone))]), order
-
-    def rows(self, pieces: pa.Array) -> np.ndarray:
-        """Row of each piece (which a space precedes) in (starts, sizes); what is new is encoded and kept."""
-        if len(self.known) > CACHE:
-            self.clear()
-        row = pc.fill_null(pc.index_in(pieces, self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        missing = np.flatnonzero(row < 0)
-        if len(missing):
-            new = pieces.take(pa.array(missing))
-            ids, sizes, order = self.encoded([" " + p for p in new.to_pylist()])
-            row[missing[order]] = len(self.known) + np.arange(len(missing))
-            self.known = pa.concat_arrays([self.known, new.take(pa.array(order))])
-            self.ids = np.concatenate([self.ids, ids])
-            self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
-            self.starts = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
-        return row
+    def unit(self, piece: str) -> bytes:
+        if piece.isascii():  # marks, letters and digits stand for themselves, only the space does not
+            spelt = self.space + piece[1:] if piece[0] == " " else piece
+        else:
+            spelt = piece.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
+    def blobs(self, values: list[str]) -> list[bytes]:
+        """The ids of each piece, as bytes of 32-bit integers."""
+        new, old = self.new, self.old
+        out = [new.get(v) for v in values]
+        odd = []
+        for i, blob in enumerate(out):
+            if blob is None:
+                v = values[i]
+                blob = old.get(v)
+                if blob is None:
+                    if _UNIT(v) is None:
+                        odd.append(i)
+                        continue
+                    blob = self.unit(v)
+                out[i] = blob
+                if len(v) <= SHORT:
+                    new[v] = blob
+        for i, ids in zip(odd, self.whole([values[i] for i in odd])):
+            out[i] = np.array(ids, dtype=np.uint32).tobytes()
+            if len(values[i]) <= SHORT:
+                new[values[i]] = out[i]
+        if len(new) > CACHE:
+            self.new, self.old = {}, new
+        return out
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets); each text closed by ``end``."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        lists = pc.split_pattern(texts, " ")
-        per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = lists.flatten()
-        # the first piece of a text has no space before it
-        first = np.zeros(len(flat), dtype=bool)
-        first[(np.cumsum(per_text) - per_text)[per_text > 0]] = True
-        coded = flat.dictionary_encode()
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        values = coded.dictionary
-        open_space, ends_space = _space_borders(values)
-        bounds = np.concatenate([[0], np.cumsum(per_text)])
+        texts = pa.concat_arrays([pc.fill_null(texts.cast(pa.large_string()), "")])
         odd = np.zeros(len(texts), dtype=bool)
-        if open_space.any() and ends_space.any():
-            inside = np.flatnonzero(open_space[code[1:]] & ends_space[code[:-1]] & ~first[1:]) + 1
-            odd[np.searchsorted(bounds, inside, side="right") - 1] = True
         for literal in self.added:
             odd |= pc.match_substring(texts, literal).to_numpy(zero_copy_only=False)
-        row = self.rows(values)
-        firsts = np.flatnonzero(first)
-        # the first pieces of texts, without a space before them, are encoded anew: one a text
-        own_ids, own_sizes, order = self.encoded(values.take(pa.array(code[firsts])).to_pylist())
-        pool = np.concatenate([self.ids, own_ids])
-        at = row[code]
-        size, begin = self.sizes[at], self.starts[at]
-        size[firsts[order]] = own_sizes
-        begin[firsts[order]] = len(self.ids) + np.cumsum(own_sizes) - own_sizes
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
+        at = at - at[0]
+        begins = cuts(raw)
+        begins[at[:-1][at[1:] > at[:-1]]] = True
+        begins = np.flatnonzero(begins)
+        per_text = np.diff(np.searchsorted(begins, at))
+        parts = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, len(raw)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw)))
+        coded = parts.dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        blobs = self.blobs(coded.dictionary.to_pylist())
+        pool = np.frombuffer(b"".join(blobs), dtype=np.uint32)
+        sizes = np.fromiter(map(len, blobs), dtype=np.int32, count=len(blobs)) >> 2
+        size, begin = sizes[code], (np.cumsum(sizes, dtype=np.int32) - sizes)[code]
+        bounds = np.concatenate([[0], np.cumsum(per_text)])
         if odd.any():
             size[np.repeat(odd, per_text)] = 0
-        ends = np.cumsum(size, dtype=np.int32)  # a slice is far from 2**31 ids
+        ends = np.cumsum(size, dtype=np.int32)  # ids of a text of 2 GB at most
         length = np.diff(np.concatenate([[0], ends])[bounds]).astype(np.int64)
         place = np.repeat(begin - (ends - size), size)
         place += np.arange(len(place), dtype=np.int32)
         ids = np.take(pool, place)
+        del place
         if odd.any():
             found = self.whole([texts[int(i)].as_py() for i in np.flatnonzero(odd)])
             extra = np.fromiter((i for x in found for i in x), dtype=np.uint32)
@@ -280,22 +305,6 @@ class Pieces:
         return out, offsets
 
 
-def _space_borders(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each value is empty or starts (ends) with white space; only bytes that may be white space are looked at."""
-    values = pa.concat_arrays([values])
-    _, offsets, data = values.buffers()
-    at = np.frombuffer(offsets, dtype=np.int64)[values.offset : values.offset + len(values) + 1]
-    raw = np.frombuffer(data, dtype=np.uint8) if data is not None and at[-1] > 0 else np.zeros(1, dtype=np.uint8)
-    out = []
-    for place, end in ((at[:-1], 0), (at[1:] - 1, -1)):
-        byte = raw[np.clip(place, 0, len(raw) - 1)]
-        maybe = np.flatnonzero((at[1:] == at[:-1]) | (byte <= 32) | (byte >= 127))
-        space = np.zeros(len(values), dtype=bool)
-        space[maybe] = [not v or v[end].isspace() for v in values.take(pa.array(maybe)).to_pylist()]
-        out.append(space)
-    return out[0], out[1]
-
-
 def pieces(path: str) -> Pieces:
     if path not in _state:
         _state[path] = Pieces(path)

@@ -72,6 +72,18 @@ def test_pieces_equal_the_tokenizer(texts):
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [p.tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
 
 
+def test_cache_of_two_halves(monkeypatch):
+    """Ids stay the same while pieces come, go and come back."""
+    monkeypatch.setattr(huffman, "CACHE", 50)
+    p, rng = huffman.Pieces(PATH), np.random.default_rng(5)
+    words = [f"{a}{b}" for a in ("Word", "été", "l'eau", "x_1", "!?", "don't ", "\n") for b in range(40)]
+    for _ in range(20):
+        text = " ".join(rng.choice(words, 60))
+        ids, _ = p.encode(pa.array([text]), 2)
+        assert ids.tolist() == p.tokenizer.encode(text, add_special_tokens=False).ids + [2]
+        assert len(p.new) <= 50 + 400 and len(p.old) <= 50 + 400
+
+
 def best_cost(counts: list[int]) -> int:
     heap, total = [c for c in counts if c], 0
     heapq.heapify(heap)
