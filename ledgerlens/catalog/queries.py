@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ledgerlens.catalog.oracle import BLANKABLE
 from ledgerlens.functions import kpi
-from ledgerlens.operators import cohort, dashboards, export, measures, reports, rfm, stats, worksheet
+from ledgerlens.operators import cohort, context, dashboards, export, measures, modelled, reports, rfm, stats, worksheet
 from ledgerlens.params import ReportParams
 from ledgerlens.session import configure, shared_root
 from ledgerlens.sources import schemas
@@ -502,6 +502,115 @@ def _d5c(s: Star, spark, sf_dir):
     return dashboards.county_value(s.transactions, s.agents, P.agency_product)
 
 
+# ------------------------------------------------------------------ filter context
+#: slicers of the registered pages
+SELECTED = {
+    "SUBSIDIARY": ["AFRICA", "ASIA", "EUROPE"],
+    "PRODUCT": ["PROMO", "STANDARD", "ECONOMY"],
+    "month": context.between("month", dt.date(1996, 3, 1), dt.date(2000, 12, 1)),
+}
+
+
+@register("ctx_base_measures")
+def _ctx_base(s: Star, spark, sf_dir):
+    """M01-M09 as expressions."""
+    return context.evaluate(context.model_of(s), modelled.BASE, [measures.MONTH, "PRODUCT"])
+
+
+@register("ctx_attainment_rag")
+def _ctx_attainment(s: Star, spark, sf_dir):
+    """M22-M26 as expressions over two tables: all-but targets, the best rate of all months."""
+    return context.evaluate(context.model_of(s), modelled.ATTAINMENT, [measures.MONTH, "PRODUCT", "SUBSIDIARY"])
+
+
+@register("ctx_new_customers")
+def _ctx_new(s: Star, spark, sf_dir):
+    """M38 as an expression."""
+    return context.evaluate(context.model_of(s), {"new_customers": modelled.NEW_CUSTOMERS}, [measures.MONTH], drop_blank=True)
+
+
+@register("ctx_product_rank")
+def _ctx_rank(s: Star, spark, sf_dir):
+    """M39 and M40 as expressions."""
+    wanted = {k: modelled.BASE[k] for k in ("total_transactions", "total_value_usd", "unique_customers")}
+    wanted |= {"revenue_per_customer_usd": modelled.REVENUE_PER_CUSTOMER, "product_rank_by_volume": modelled.PRODUCT_RANK}
+    return context.evaluate(context.model_of(s), wanted, ["PRODUCT"])
+
+
+@register("ctx_active_agents")
+def _ctx_agents(s: Star, spark, sf_dir):
+    """M33, M34 and M36 as expressions, side by side."""
+    wanted = {
+        "active_agents": modelled.active_agents(P.agency_product), "successful_transactions": modelled.SUCCESSFUL,
+        "txns_per_active_agent": modelled.txns_per_active_agent(P.agency_product), "cross_border_volume_usd": modelled.cross_border(P.remit_product),
+    }
+    return context.evaluate(context.model_of(s), wanted, [measures.MONTH])
+
+
+@register("ctx_selected_products")
+def _ctx_selected(s: Star, spark, sf_dir):
+    """A page under three slicers: every kind of change of context, distinct counts at three grains, one scan."""
+    m, c = modelled, context
+    wanted = {
+        "total_transactions": m.TOTAL,
+        "total_value_usd": m.VALUE,
+        "success_rate_pct": m.SUCCESS_RATE,
+        "unique_customers": m.CUSTOMERS,
+        "share_of_selected_pct": m.share(m.TOTAL, "PRODUCT"),
+        "share_of_all_products_pct": m.share(m.TOTAL, "PRODUCT", of_all=True),
+        "share_of_page_pct": c.divide(m.TOTAL, m.TOTAL.calculate(c.visible())) * 100.0,
+        "customers_of_subsidiary": m.CUSTOMERS.calculate(c.visible("PRODUCT")),
+        "customers_ever": m.CUSTOMERS.calculate(c.clear_but("SUBSIDIARY")),
+        "customers_of_page": m.CUSTOMERS.calculate(c.visible()),
+        "promo_value_usd": m.VALUE.calculate(c.only("PRODUCT", "PROMO")),
+        "own_promo_value_usd": m.VALUE.calculate(c.keep(c.among("PRODUCT", "PROMO"))),
+        "largest_ever_usd": c.greatest("TXN_AMOUNT_USD").calculate(c.clear_all()),
+        "sr_vs_history_pp": m.SUCCESS_RATE - m.SUCCESS_RATE.calculate(c.clear("month")),
+        "product_rank": c.rank(m.TOTAL, "PRODUCT"),
+        "page_rank": c.rank(m.TOTAL, "PRODUCT", "SUBSIDIARY"),
+    }
+    return context.evaluate(context.model_of(s), wanted, ["SUBSIDIARY", "PRODUCT"], SELECTED)
+
+
+@register("ctx_selected_new_customers")
+def _ctx_selected_new(s: Star, spark, sf_dir):
+    """M38 beside other measures under slicers: the months slicer hides rows, it does not make old customers new."""
+    wanted = {
+        "new_customers": context.new_members("CUSTOMER_ID", "month"), "unique_customers": modelled.CUSTOMERS,
+        "total_transactions": modelled.TOTAL, "successful_transactions": modelled.SUCCESSFUL, "total_value_usd": modelled.VALUE,
+    }
+    return context.evaluate(context.model_of(s), wanted, ["month", "CHANNEL"], SELECTED)
+
+
+@register("ctx_selected_growth")
+def _ctx_selected_growth(s: Star, spark, sf_dir):
+    """M10-M21 under slicers on subsidiary and product."""
+    return modelled.growth(context.model_of(s), ["PRODUCT", "SUBSIDIARY"], {k: SELECTED[k] for k in ("SUBSIDIARY", "PRODUCT")})
+
+
+def _selected(s: Star) -> Star:
+    return context.sliced(s, SELECTED | {"month": context.between("month", dt.date(2001, 1, 1))})
+
+
+@register("sliced_d1_product_table")
+def _sliced_d1(s: Star, spark, sf_dir):
+    """A dashboard table of a star under slicers."""
+    t = _selected(s)
+    return dashboards.product_table(t.transactions, t.kpi_targets, P.as_of)
+
+
+@register("sliced_r02_kpi_rag")
+def _sliced_r02(s: Star, spark, sf_dir):
+    t = _selected(s)
+    return reports.kpi_rag(t.transactions, t.kpi_targets, P.as_of)
+
+
+@register("sliced_r11_fee_profitability")
+def _sliced_r11(s: Star, spark, sf_dir):
+    t = _selected(s)
+    return reports.fee_profitability(t.transactions, t.forex_rates, P.as_of)
+
+
 # ------------------------------------------------------------------ sources and sinks
 def _own_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the shared root."""
