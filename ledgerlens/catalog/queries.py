@@ -26,6 +26,7 @@ from ledgerlens.operators import cohort, context, dashboards, export, measures,
 from ledgerlens.params import ReportParams
 from ledgerlens.session import configure, shared_root
 from ledgerlens.sources import schemas
+from ledgerlens.sources.history import CustomerHistory
 from ledgerlens.sources.rollup import rollup
 from ledgerlens.sources.star import Star, conform, events_as_transactions, materialized_star, star_from_files, star_from_tpch
 
@@ -502,6 +503,42 @@ def _d5c(s: Star, spark, sf_dir):
     return dashboards.county_value(s.transactions, s.agents, P.agency_product)
 
 
+# ------------------------------------------------------------------ customer history as state
+def _history(s: Star, spark: SparkSession) -> CustomerHistory:
+    """The star's customer history, brought up to date: at first all months but the last, then those that are missing."""
+    if s.folder is None:
+        history = CustomerHistory(spark, _own_folder(spark, "history"))
+        history.refresh(s.transactions)
+        return history
+    history = CustomerHistory(spark, f"{s.folder}/customer-history")
+    if not history.state().months:
+        last = s.transactions.agg(F.max("TXN_MONTH")).first()[0]
+        history.refresh(s.transactions.filter(F.col("TXN_MONTH") < last))
+    history.refresh(s.transactions)
+    return history
+
+
+@register("r09a_cohort_retention_state")
+def _r09a_state(s: Star, spark, sf_dir):
+    """R09a from the customer history: no transaction is read for the report."""
+    return cohort.cohort_retention(None, R09A_AS_OF, cohort_months=8, kept=_history(s, spark).retention())
+
+
+@register("r09b_cohort_retention_all_state")
+def _r09b_state(s: Star, spark, sf_dir):
+    return cohort.cohort_retention(None, cohort_months=None, kept=_history(s, spark).retention())
+
+
+@register("p5_cohort_grid_state")
+def _p5_state(s: Star, spark, sf_dir):
+    return cohort.cohort_grid(None, kept=_history(s, spark).retention())
+
+
+@register("m38_new_customers_state")
+def _m38_state(s: Star, spark, sf_dir):
+    return _history(s, spark).arrivals()
+
+
 # ------------------------------------------------------------------ filter context
 #: slicers of the registered pages
 SELECTED = {

@@ -20,7 +20,11 @@ from ledgerlens.functions import kpi
 from ledgerlens.params import add_months, month_start
 
 
-def _retention_counts(txns: DataFrame) -> DataFrame:
+def _retention_counts(txns: DataFrame | None, kept: DataFrame | None = None) -> DataFrame:
+    """(cohort_month, month_offset, retained, cohort_n), from the transactions or from ``kept`` (cohort_month, month, retained)."""
+    if kept is not None:
+        offset = (kpi.month_index("month") - kpi.month_index("cohort_month")).cast("bigint")
+        return _with_size(kept.select("cohort_month", offset.alias("month_offset"), "retained"))
     months = (
         txns.filter(kpi.status_is(kpi.SUCCESS) & F.col("CUSTOMER_ID").isNotNull())
         .groupBy("CUSTOMER_ID")
@@ -32,23 +36,28 @@ def _retention_counts(txns: DataFrame) -> DataFrame:
         "month_offset",
         (kpi.month_index("activity_month") - kpi.month_index("cohort_month")).cast("bigint"),
     )
-    r = act.groupBy("cohort_month", "month_offset").agg(F.count(F.lit(1)).alias("retained"))
+    return _with_size(act.groupBy("cohort_month", "month_offset").agg(F.count(F.lit(1)).alias("retained")))
+
+
+def _with_size(r: DataFrame) -> DataFrame:
     size = F.max(F.when(F.col("month_offset") == 0, F.col("retained"))).over(Window.partitionBy("cohort_month"))
     return r.withColumn("cohort_n", size)
 
 
 def cohort_retention(
-    txns: DataFrame,
+    txns: DataFrame | None,
     as_of: dt.date | None = None,
     cohort_months: int | None = 8,
     max_offset: int = 6,
+    kept: DataFrame | None = None,
 ) -> DataFrame:
     """Retention % of each first-success-month cohort at offsets 0..``max_offset``.
 
     ``cohort_months`` bounds cohorts to those starting at or after the month
     ``cohort_months`` before ``as_of`` (R09a); ``None`` keeps all cohorts (R09b).
+    ``kept``: the counts of a customer history (``sources.history``), so that no transaction is read.
     """
-    r = _retention_counts(txns).filter(F.col("month_offset").between(0, max_offset))
+    r = _retention_counts(txns, kept).filter(F.col("month_offset").between(0, max_offset))
     if cohort_months is not None:
         r = r.filter(F.col("cohort_month") >= F.lit(month_start(add_months(as_of, -cohort_months))))
     return r.select(
@@ -60,13 +69,13 @@ def cohort_retention(
     ).orderBy("cohort_month", "month_offset")
 
 
-def cohort_grid(txns: DataFrame, offsets: int = 7) -> DataFrame:
+def cohort_grid(txns: DataFrame | None, offsets: int = 7, kept: DataFrame | None = None) -> DataFrame:
     """Cohort x offset retention pivoted wide: ``cohort_month`` (text), size, ``m0``..``m{offsets-1}``.
 
     Offsets are an explicit list, so the pivot needs no extra job to find its
     columns; absent cells stay NULL.
     """
-    r = _retention_counts(txns).withColumn("pct", kpi.rnd(kpi.pct("retained", "cohort_n"), 1))
+    r = _retention_counts(txns, kept).withColumn("pct", kpi.rnd(kpi.pct("retained", "cohort_n"), 1))
     wide = (
         r.groupBy("cohort_month", "cohort_n")
         .pivot("month_offset", list(range(offsets)))
