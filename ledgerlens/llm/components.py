@@ -42,15 +42,16 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
+def components(links: DataFrame, name: str = "components", reduced: bool = False) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b): component is its smallest reachable node.
 
     Each task first replaces its links by a spanning forest; then rounds of large-star and small-star link every node to
     ever smaller ones until nothing changes (a number of rounds that grows with the logarithm of the size). Every round is
-    a table in the shared folder. Links with a null end are ignored; an empty input gives an empty result.
+    a table in the shared folder. Links with a null end are ignored; an empty input gives an empty result. ``reduced``: the
+    links are the spanning forests of Python tasks already, and a second Python worker beside each is spared.
     """
     kept = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
-    edges = stored(kept.mapInArrow(_forest, EDGE), f"{name}-links")
+    edges = stored(kept if reduced else kept.mapInArrow(_forest, EDGE), f"{name}-links")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

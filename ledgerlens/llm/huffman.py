@@ -35,7 +35,7 @@ BLOCK = 1024
 RUN = 128
 FILE_IDS = 2 << 20
 #: pieces in each half of the per-process cache, and the longest kept (in characters)
-CACHE = 200_000
+CACHE = 150_000
 SHORT = 40
 #: bytes of text tokenised at once
 SLICE = 3 << 20

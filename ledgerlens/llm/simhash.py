@@ -191,7 +191,7 @@ def _grouped(documents: DataFrame, width: int, radius: int) -> DataFrame:
     """(doc_id, fp, component, component_id) for every row: ``component`` names the group by a fingerprint."""
     marks = stored(fingerprint_table(documents, width), "fingerprints")
     distinct = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    linked = components(fingerprint_links(distinct, radius), "simhash")
+    linked = components(fingerprint_links(distinct, radius), "simhash", reduced=True)
     grouped = distinct.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = stored(grouped.select("fp", "component").join(least, "component").select(F.col("fp").alias("mark"), "component", "component_id"), "named-fingerprints")
