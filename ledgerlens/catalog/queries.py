@@ -25,7 +25,7 @@ from ledgerlens.functions import kpi
 from ledgerlens.operators import cohort, context, dashboards, export, measures, modelled, reports, rfm, stats, worksheet
 from ledgerlens.params import ReportParams
 from ledgerlens.session import configure, shared_root
-from ledgerlens.sources import schemas
+from ledgerlens.sources import members, schemas
 from ledgerlens.sources.history import CustomerHistory
 from ledgerlens.sources.rollup import rollup
 from ledgerlens.sources.star import Star, conform, events_as_transactions, materialized_star, star_from_files, star_from_tpch
@@ -539,6 +539,33 @@ def _m38_state(s: Star, spark, sf_dir):
     return _history(s, spark).arrivals()
 
 
+# ------------------------------------------------------------------ mergeable distinct counts
+PAIR = ["PRODUCT", "SUBSIDIARY"]
+
+
+@register("m09_customers_year_to_date")
+def _m09_ytd(s: Star, spark, sf_dir):
+    """Distinct customers of the year so far, from bitmaps kept per month."""
+    return members.over_year_to_date(members.kept_bitmaps(s, PAIR), PAIR)
+
+
+@register("m09_customers_rolling_3m")
+def _m09_rolling(s: Star, spark, sf_dir):
+    """Distinct customers of three calendar months, at a coarser grain than the bitmaps'."""
+    return members.over_months(members.kept_bitmaps(s, PAIR), ["SUBSIDIARY"], 3)
+
+
+@register("m09_customers_of_period")
+def _m09_period(s: Star, spark, sf_dir):
+    return members.over_period(members.kept_bitmaps(s, PAIR), ["PRODUCT"], dt.date(1997, 3, 1), dt.date(1999, 8, 1))
+
+
+@register("m09_customers_ever")
+def _m09_ever(s: Star, spark, sf_dir):
+    """M09 over all history by product and subsidiary, without the fact."""
+    return members.over_period(members.kept_bitmaps(s, PAIR), PAIR)
+
+
 # ------------------------------------------------------------------ filter context
 #: slicers of the registered pages
 SELECTED = {

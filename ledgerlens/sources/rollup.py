@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import kpi
 from ledgerlens.operators import measures, reports
+from ledgerlens.session import application_id
 from ledgerlens.sources.star import Star, published
 
 D = "TRANSACTION_DATE"
@@ -45,12 +46,28 @@ GRAINS: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
 def rollup(star: Star, grain: str) -> DataFrame:
     """The rollup of a materialised star (built on first use); without a folder, the aggregate itself."""
     define, month = GRAINS[grain]
+    return kept(star, f"rollup-{grain}", define, month)
+
+
+# resolved tables per (application, session, folder, name): lazy DataFrames, so reuse only skips the look-up and file listing
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def kept(star: Star, name: str, define: Callable[[DataFrame], DataFrame], month: str) -> DataFrame:
+    """A table derived from the transactions month by month, kept beside a materialised star (built on first use).
+
+    A star's folder is one version of it and never changes, so a table that was found once stays where it is.
+    """
     if star.folder is None:
         return define(star.transactions)
     spark = star.transactions.sparkSession
-    path = f"{star.folder}/rollup-{grain}"
-    folder = published(spark, path, lambda place: _write(define(star.transactions), month, f"{place}/t"))
-    return read(spark, f"{folder}/t", define(star.transactions).schema)
+    key = (application_id(spark), id(spark), star.folder, name)
+    df = _KEPT.get(key)
+    if df is None or df.sparkSession is not spark:
+        made = define(star.transactions)
+        folder = published(spark, f"{star.folder}/{name}", lambda place: _write(made, month, f"{place}/t"))
+        df = _KEPT[key] = read(spark, f"{folder}/t", made.schema)
+    return df
 
 
 def read(spark, path: str, schema) -> DataFrame:
