@@ -22,11 +22,12 @@ from pyspark.sql import types as T
 
 from ledgerlens.catalog.oracle import BLANKABLE
 from ledgerlens.functions import kpi
-from ledgerlens.operators import cohort, context, dashboards, export, measures, modelled, reports, rfm, stats, worksheet
+from ledgerlens.operators import cohort, context, dashboards, export, measures, modelled, pages, reports, rfm, stats, worksheet
 from ledgerlens.params import ReportParams
-from ledgerlens.session import configure, shared_root
+from ledgerlens.session import application_id, configure, shared_root
 from ledgerlens.sources import members, schemas
 from ledgerlens.sources.history import CustomerHistory
+from ledgerlens.sources.labels import labels, labels_of, values
 from ledgerlens.sources.rollup import rollup
 from ledgerlens.sources.star import Star, conform, events_as_transactions, materialized_star, star_from_files, star_from_tpch
 
@@ -41,6 +42,8 @@ R09A_AS_OF = dt.date(1996, 1, 15)
 # data; the registered A/B test reads a year.
 P2_DAYS = 365
 
+PAIR = ["PRODUCT", "SUBSIDIARY"]
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
 
@@ -244,17 +247,17 @@ def _p6e(s: Star, spark, sf_dir):
 # ------------------------------------------------------------------ X series
 @register("x1_last_month_volume")
 def _x1(s: Star, spark, sf_dir):
-    return worksheet.last_month_volume(s.transactions, P.as_of, P.home_subsidiary, labels=rollup(s, "product"))
+    return worksheet.last_month_volume(s.transactions, P.as_of, P.home_subsidiary, labels=labels(s, ["PRODUCT"]))
 
 
 @register("x2_last_month_success_rate")
 def _x2(s: Star, spark, sf_dir):
-    return worksheet.last_month_success_rate(s.transactions, P.as_of, labels=rollup(s, "product_subsidiary"))
+    return worksheet.last_month_success_rate(s.transactions, P.as_of, labels=labels(s, PAIR))
 
 
 @register("x3_volume_rag")
 def _x3(s: Star, spark, sf_dir):
-    return worksheet.volume_rag(s.transactions, s.kpi_targets, P.as_of, labels=rollup(s, "product_subsidiary"))
+    return worksheet.volume_rag(s.transactions, s.kpi_targets, P.as_of, labels=labels(s, PAIR))
 
 
 @register("x4_top_failures")
@@ -267,6 +270,12 @@ def _x5(s: Star, spark, sf_dir):
     return worksheet.channel_product_sr_matrix(s.transactions, list(P.products))
 
 
+@register("x5_channel_product_sr_matrix_of_labels")
+def _x5_labels(s: Star, spark, sf_dir):
+    """X5 wide, its columns from the label dictionary."""
+    return worksheet.channel_product_sr_matrix(s.transactions, values(s, "PRODUCT"))
+
+
 @register("x5_channel_product_sr")
 def _x5_long(s: Star, spark, sf_dir):
     """X5 in long form: every channel and product of the data."""
@@ -275,7 +284,7 @@ def _x5_long(s: Star, spark, sf_dir):
 
 @register("x6_mom_arrow")
 def _x6(s: Star, spark, sf_dir):
-    return worksheet.mom_arrow(s.transactions, P.as_of, labels=rollup(s, "product"))
+    return worksheet.mom_arrow(s.transactions, P.as_of, labels=labels(s, ["PRODUCT"]))
 
 
 @register("x7_float_utilisation")
@@ -433,6 +442,18 @@ def _d2a(s: Star, spark, sf_dir):
     return dashboards.month_product_matrix(s.transactions, list(P.products))
 
 
+@register("d2_month_product_matrix_of_labels")
+def _d2_labels(s: Star, spark, sf_dir):
+    """The wide matrix, its columns from the label dictionary."""
+    return dashboards.month_product_matrix(s.transactions, values(s, "PRODUCT"))
+
+
+@register("labels_product_subsidiary")
+def _labels(s: Star, spark, sf_dir):
+    """The dictionary itself: every product and subsidiary with its first and last month."""
+    return labels(s, PAIR) if s.folder else labels_of(s.transactions, PAIR)
+
+
 @register("d2_month_product")
 def _d2_long(s: Star, spark, sf_dir):
     return dashboards.month_product(s.transactions)
@@ -503,6 +524,66 @@ def _d5c(s: Star, spark, sf_dir):
     return dashboards.county_value(s.transactions, s.agents, P.agency_product)
 
 
+# ------------------------------------------------------------------ pages and pack from one pass
+#: page -> the tables it gathers in one pass
+PAGES: dict[str, Callable[[Star], dict[str, DataFrame]]] = {
+    "pack": lambda s: pages.report_pack(s, P.as_of, P.agency_product, P.remit_product),
+    "d1": lambda s: pages.executive_page(s, P.as_of),
+    "d2": pages.product_channel_page,
+    "d3": pages.failure_page,
+    "d4": lambda s: pages.corridor_page(s, P.remit_product),
+    "d5": lambda s: pages.agent_page(s, P.agency_product),
+}
+#: registered table of a page -> (page, table, the report it equals)
+PAGE_TABLES = {
+    "pack_monthly_kpis": ("pack", "Monthly_KPIs", "p6a_monthly_kpis"),
+    "pack_failure_summary": ("pack", "Failure_Summary", "p6b_failure_summary"),
+    "pack_agent_summary": ("pack", "Agent_Scorecard", "p6c_agent_summary"),
+    "pack_corridor_performance": ("pack", "Corridor_Performance", "p6d_corridor_performance"),
+    "pack_customer_segments": ("pack", "Customer_Segments", "p6e_customer_segments"),
+    "page_d1_kpi_cards": ("d1", "kpi_cards", "d1_kpi_cards"),
+    "page_d1_product_table": ("d1", "product_table", "d1_product_table"),
+    "page_d1_subsidiary_value": ("d1", "subsidiary_value", "m41_subsidiary_rank_all"),
+    "page_d2_month_product": ("d2", "month_product", "d2_month_product"),
+    "page_d2_product_scatter": ("d2", "product_scatter", "d2_product_scatter"),
+    "page_d2_channel_share": ("d2", "channel_share", "d2_channel_share"),
+    "page_d2_product_status": ("d2", "product_status", "d2_product_status"),
+    "page_d3_failure_overview": ("d3", "failure_overview", "d3_failure_overview"),
+    "page_d3_failures_by_description": ("d3", "failures_by_description", "d3_failures_by_description"),
+    "page_d3_failed_value_by_category": ("d3", "failed_value_by_category", "d3_failed_value_by_category"),
+    "page_d3_failure_rate_by_month_channel": ("d3", "failure_rate_by_month_channel", "d3_failure_rate_by_month_channel"),
+    "page_d4_destination_volume": ("d4", "destination_volume", "d4_destination_volume"),
+    "page_d4_corridor_cards": ("d4", "corridor_cards", "d4_corridor_cards"),
+    "page_d4_corridor_table": ("d4", "corridor_table", "d4_corridor_table"),
+    "page_d5_agent_cards": ("d5", "agent_cards", "d5_agent_cards"),
+    "page_d5_region_totals": ("d5", "region_totals", "d5_region_totals"),
+    "page_d5_county_value": ("d5", "county_value", "d5_county_value"),
+}
+_GATHERED: dict[tuple, dict[str, DataFrame]] = {}
+
+
+def _page(s: Star, spark: SparkSession, page: str) -> dict[str, DataFrame]:
+    """A page's tables: gathered once per session and star, then each is read from the written cells."""
+    if s.folder is None:
+        return PAGES[page](s)
+    key = (application_id(spark), id(spark), s.folder, page)
+    found = _GATHERED.get(key)
+    if found is None or next(iter(found.values())).sparkSession is not spark:
+        found = _GATHERED[key] = PAGES[page](s)
+    return found
+
+
+def _page_table(page: str, table: str):
+    def run(s: Star, spark, sf_dir: str) -> DataFrame:
+        return _page(s, spark, page)[table]
+
+    return run
+
+
+for _name, (_of, _table, _same) in PAGE_TABLES.items():
+    register(_name)(_page_table(_of, _table))
+
+
 # ------------------------------------------------------------------ customer history as state
 def _history(s: Star, spark: SparkSession) -> CustomerHistory:
     """The star's customer history, brought up to date: at first all months but the last, then those that are missing."""
@@ -540,8 +621,6 @@ def _m38_state(s: Star, spark, sf_dir):
 
 
 # ------------------------------------------------------------------ mergeable distinct counts
-PAIR = ["PRODUCT", "SUBSIDIARY"]
-
 
 @register("m09_customers_year_to_date")
 def _m09_ytd(s: Star, spark, sf_dir):

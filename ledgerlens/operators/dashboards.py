@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import kpi
 from ledgerlens.operators import measures
-from ledgerlens.operators.worksheet import listed_only
+from ledgerlens.operators.worksheet import BLANK, listed_only
 from ledgerlens.params import add_months, prior_month_bounds
 
 D = "TRANSACTION_DATE"
@@ -27,7 +27,11 @@ def kpi_cards(txns: DataFrame, as_of: dt.date) -> DataFrame:
     """One row for the last full month: volume, success rate, value, customers, MoM arrow, YoY growth."""
     start, end = prior_month_bounds(as_of)
     # the month, the one before and the one a year before
-    monthly = measures.monthly_measures(kpi.date_window(txns, add_months(start, -12), end), [])
+    return cards_of(measures.monthly_measures(kpi.date_window(txns, add_months(start, -12), end), []), start)
+
+
+def cards_of(monthly: DataFrame, start: dt.date) -> DataFrame:
+    """The cards of month ``start`` from the base measures of it, the month before and the one a year before."""
     p = measures.prior_period_measures(monthly, [])
     return p.filter(F.col(M) == F.lit(start)).select(
         M,
@@ -47,7 +51,11 @@ def product_table(txns: DataFrame, targets: DataFrame, as_of: dt.date) -> DataFr
     the month; one without sales has blank volume, rate 0 and RED.
     """
     start, end = prior_month_bounds(as_of)
-    monthly = measures.monthly_measures(kpi.date_window(txns, add_months(start, -12), end), ["PRODUCT"])
+    return products_of(measures.monthly_measures(kpi.date_window(txns, add_months(start, -12), end), ["PRODUCT"]), targets, start)
+
+
+def products_of(monthly: DataFrame, targets: DataFrame, start: dt.date) -> DataFrame:
+    """The product table of month ``start`` from the base measures per month and product."""
     p = measures.prior_period_measures(monthly, ["PRODUCT"]).filter(F.col(M) == F.lit(start))
     t = targets.filter(F.to_date("TARGET_MONTH") == F.lit(start)).groupBy(F.col("PRODUCT").alias("_p")).agg(F.sum("TARGET_VOLUME").alias("_tv"))
     j = p.join(t, F.col("PRODUCT") == F.col("_p"), "full")
@@ -76,10 +84,10 @@ def month_product(txns: DataFrame) -> DataFrame:
     )
 
 
-def month_product_matrix(txns: DataFrame, products: list[str]) -> DataFrame:
+def month_product_matrix(txns: DataFrame, products: list[str | None]) -> DataFrame:
     """Month rows x product columns of transaction counts (explicit product list, an unlisted product fails; empty -> 0)."""
-    cells = [kpi.count_when(F.col("PRODUCT") == F.lit(p)) for p in products]
-    cells = [(listed_only(products, c) if i == 0 else c).alias(p) for i, (p, c) in enumerate(zip(products, cells))]
+    cells = [kpi.count_when(F.col("PRODUCT").eqNullSafe(F.lit(p))) for p in products]
+    cells = [(listed_only(products, c) if i == 0 else c).alias(BLANK if p is None else p) for i, (p, c) in enumerate(zip(products, cells))]
     return txns.groupBy(kpi.month_key(D).alias("month")).agg(*cells)
 
 
@@ -193,11 +201,19 @@ def _agency_per_agent(txns: DataFrame, agency_product: str) -> DataFrame:
 
 def region_totals(txns: DataFrame, agents: DataFrame, agency_product: str) -> DataFrame:
     """Agency transactions per agent region (aggregated per agent before the join)."""
-    j = _agency_per_agent(txns, agency_product).join(agents.select("AGENT_ID", "REGION"), "AGENT_ID")
+    return regions_of(_agency_per_agent(txns, agency_product), agents)
+
+
+def regions_of(per_agent: DataFrame, agents: DataFrame) -> DataFrame:
+    j = per_agent.join(agents.select("AGENT_ID", "REGION"), "AGENT_ID")
     return j.groupBy("REGION").agg(F.sum("_n").alias("total_transactions"), F.countDistinct("AGENT_ID").alias("agents"))
 
 
 def county_value(txns: DataFrame, agents: DataFrame, agency_product: str) -> DataFrame:
     """Agency local value per agent county (map)."""
-    j = _agency_per_agent(txns, agency_product).join(agents.select("AGENT_ID", "COUNTY"), "AGENT_ID")
+    return counties_of(_agency_per_agent(txns, agency_product), agents)
+
+
+def counties_of(per_agent: DataFrame, agents: DataFrame) -> DataFrame:
+    j = per_agent.join(agents.select("AGENT_ID", "COUNTY"), "AGENT_ID")
     return j.groupBy("COUNTY").agg(kpi.rnd(F.sum("_v"), 2).alias("total_value_local"))

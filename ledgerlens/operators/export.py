@@ -70,6 +70,11 @@ def agent_summary(txns: DataFrame, agents: DataFrame, as_of: dt.date, product: s
             kpi.count_when(F.col("FAILURE_CODE") == "INSUFF_FLOAT").alias("FloatFails"),
         )
     )
+    return agent_sheet(per, agents)
+
+
+def agent_sheet(per: DataFrame, agents: DataFrame) -> DataFrame:
+    """The sheet from one row per agent (TotalTxns, _s successes, _v local value, Customers, FloatFails)."""
     return (
         per.join(agents.select("AGENT_ID", "AGENT_TIER", "REGION", "COUNTY"), "AGENT_ID")
         .select(
@@ -106,6 +111,11 @@ def customer_segments(txns: DataFrame, customers: DataFrame) -> DataFrame:
     per = txns.filter(kpi.status_is(kpi.SUCCESS)).groupBy("CUSTOMER_ID").agg(
         F.count(F.lit(1)).alias("_n"), kpi.successes().alias("_s"), F.sum("TXN_AMOUNT_USD").alias("_v")
     )
+    return segment_sheet(per, customers)
+
+
+def segment_sheet(per: DataFrame, customers: DataFrame) -> DataFrame:
+    """The sheet from one row per customer (_n successes, _s the same, _v USD value)."""
     g = per.join(customers.select("CUSTOMER_ID", "SEGMENT"), "CUSTOMER_ID").groupBy("SEGMENT").agg(
         F.countDistinct("CUSTOMER_ID").alias("Customers"),
         F.sum("_v").alias("_v"),

@@ -119,26 +119,36 @@ def channel_product_sr(txns: DataFrame) -> DataFrame:
     )
 
 
-def listed_only(products: list[str], value: Column) -> Column:
+#: column of the rows without a product, where the list has None
+BLANK = "(blank)"
+
+
+def _listed(products: list[str | None]) -> Column:
+    named = F.coalesce(F.col("PRODUCT").isin(*[p for p in products if p is not None]), F.lit(False))
+    return named | F.col("PRODUCT").isNull() if None in products else named
+
+
+def listed_only(products: list[str | None], value: Column) -> Column:
     """``value`` of a wide aggregate, which fails if a row's product is not among the columns (instead of losing it)."""
-    extra = F.min(F.when(~F.coalesce(F.col("PRODUCT").isin(*products), F.lit(False)), F.coalesce("PRODUCT", F.lit("NULL"))))
+    extra = F.min(F.when(~_listed(products), F.coalesce("PRODUCT", F.lit("NULL"))))
     return F.when(extra.isNotNull(), F.raise_error(F.concat(F.lit("product without a column: "), extra))).otherwise(value)
 
 
-def channel_product_sr_matrix(txns: DataFrame, products: list[str]) -> DataFrame:
+def channel_product_sr_matrix(txns: DataFrame, products: list[str | None]) -> DataFrame:
     """Channel rows x product columns of success share over all history; empty cell -> 0.
 
     The product columns are an explicit list (the schema of a wide result must
     be known before the job runs); each cell is a conditional aggregate, so the
     whole matrix is one pass with map-side partial aggregation. A product that
-    is not listed makes the job fail; the long form has no list.
+    is not listed makes the job fail; ``sources.labels.values`` lists them all,
+    and the long form has no list. None in the list is the column ``BLANK``.
     """
     ok = kpi.status_is(kpi.SUCCESS)
     aggs = []
     for p in products:
-        is_p = F.col("PRODUCT") == F.lit(p)
+        is_p = F.col("PRODUCT").eqNullSafe(F.lit(p))
         cell = F.coalesce(kpi.ratio(kpi.count_when(is_p & ok), kpi.count_when(is_p)), F.lit(0.0))
-        aggs.append((cell if aggs else listed_only(products, cell)).alias(p))
+        aggs.append((cell if aggs else listed_only(products, cell)).alias(BLANK if p is None else p))
     return txns.groupBy("CHANNEL").agg(*aggs)
 
 

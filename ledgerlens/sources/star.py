@@ -16,6 +16,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.plans.joins import broadcast_if_small
 from ledgerlens.sources import schemas
@@ -295,26 +296,30 @@ def rejects(df: DataFrame, schema, table: str = "table") -> DataFrame:
 
 
 def star_from_catalog(
-    spark: SparkSession, names: dict[str, str] | None = None, database: str | None = None, absent: tuple[str, ...] = (), bad: str = "fail"
+    spark: SparkSession, names: dict[str, str] | None = None, database: str | None = None, absent: tuple[str, ...] = (), bad: str = "fail",
+    keep: str | None = None, version: str = "1",
 ) -> Star:
     """Read the star from catalog tables or views (Hive/Delta tables, JDBC-backed views, ...).
 
     ``names`` maps star table names to catalog names (default: the same name,
     optionally qualified by ``database``); each table is conformed to its schema.
-    """
+    With ``keep`` the star is written there, laid out by month, and read from
+    there (``kept_star``); a new ``version`` reads the tables anew.
+    """
     names = names or {}
 
     def table(name: str) -> DataFrame:
         full = names.get(name) or (f"{database}.{name}" if database else name)
         return conform(spark.table(full), schemas.TABLES[name], name, absent, bad)
 
-    return Star(
+    star = Star(
         transactions=table("transactions"),
         agents=table("agents"),
         customers=table("customers"),
         kpi_targets=table("kpi_targets"),
         forex_rates=table("forex_rates"),
     )
+    return star if keep is None else kept_star(star, keep, version)
 
 
 def read_files(spark: SparkSession, base: str, name: str, fmt: str = "csv") -> DataFrame:
@@ -324,19 +329,41 @@ def read_files(spark: SparkSession, base: str, name: str, fmt: str = "csv") -> D
     return spark.read.format(fmt).load(f"{base}/{name}")
 
 
-def star_from_files(spark: SparkSession, base: str, fmt: str = "csv", absent: tuple[str, ...] = (), bad: str = "fail") -> Star:
-    """Read a real star: one file or folder per table, columns by name, each table conformed to its schema."""
+def star_from_files(
+    spark: SparkSession, base: str, fmt: str = "csv", absent: tuple[str, ...] = (), bad: str = "fail", keep: str | None = None
+) -> Star:
+    """Read a real star: one file or folder per table, columns by name, each table conformed to its schema.
 
-    def read(name: str) -> DataFrame:
-        return conform(read_files(spark, base, name, fmt), schemas.TABLES[name], name, absent, bad)
+    A fact that lies partitioned by ``TXN_MONTH`` (as ``materialize`` writes it) keeps that column, so reports prune months,
+    and the star has a folder for its rollups, named by the fact's files. Any other star gets both with ``keep``: it is
+    written there, once for each state of its files (``kept_star``).
+    """
+    by_month = False
 
-    return Star(
+    def read(name: str) -> DataFrame:
+        nonlocal by_month
+        df, schema = read_files(spark, base, name, fmt), schemas.TABLES[name]
+        if name == "transactions" and "TXN_MONTH" in df.columns and fmt != "csv":
+            by_month = True
+            schema = T.StructType([*schema.fields, T.StructField("TXN_MONTH", T.StringType())])
+        return conform(df, schema, name, absent, bad)
+
+    star = Star(
         transactions=read("transactions"),
         agents=read("agents"),
         customers=read("customers"),
         kpi_targets=read("kpi_targets"),
         forex_rates=read("forex_rates"),
     )
+    if not by_month and keep is None:
+        return star
+    from ledgerlens.session import shared_root
+
+    suffix = ".csv" if fmt == "csv" else ""
+    mark = files_fingerprint(spark, [f"{base}/{name}{suffix}" for name in (schemas.TABLES if keep else ["transactions"])], base)
+    if keep is not None:
+        return kept_star(star, keep, mark)
+    return replace(star, folder=f"{shared_root(spark)}/ledgerlens-tables/{mark}")
 
 
 def _source_fingerprint(spark: SparkSession, sf_dir: str) -> str:
@@ -346,15 +373,19 @@ def _source_fingerprint(spark: SparkSession, sf_dir: str) -> str:
     is read), so any store Spark can read is seen, and the listing is folded to
     one row on the executors.
     """
+    return files_fingerprint(spark, [f"{sf_dir}/{name}.parquet" for name in SOURCE_TABLES], sf_dir)
+
+
+def files_fingerprint(spark: SparkSession, places: list[str], base: str) -> str:
+    """Names, lengths and modification times of all files under the places, and this code, in 16 hex digits."""
     import hashlib
 
-    places = [f"{sf_dir}/{name}.parquet" for name in SOURCE_TABLES]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(places)
     # the name below the source folder: the same files by another path are the same star
-    name = F.regexp_extract("path", r"([^/]+\.parquet(?:/.*)?)$", 1)
+    name = F.regexp_extract("path", r"([^/]+(?:\.parquet|\.csv|TXN_MONTH=[^/]*)(?:/.*)?|[^/]+/[^/]+)$", 1)
     mark = F.xxhash64(name, "length", "modificationTime")
     seen = files.agg(F.count("*").alias("n"), F.sum("length").alias("b"), F.sum(mark.cast("decimal(38,0)")).alias("h")).first()
-    h = hashlib.sha1(f"{sf_dir}|{seen['n']}|{seen['b']}|{seen['h']}".encode())
+    h = hashlib.sha1(f"{base}|{seen['n']}|{seen['b']}|{seen['h']}".encode())
     for code in (__file__, schemas.__file__):  # a change to the derivation invalidates written stars
         with open(code, "rb") as f:
             h.update(f.read())
@@ -481,4 +512,13 @@ def materialize(star: Star, path: str) -> Star:
     cuts the lineage of the derived star, so a lost executor recomputes from files.
     """
     _write_fact(star.transactions, path)
-    return _write_dims(star, path)
+    return replace(_write_dims(star, path), folder=path)
+
+
+def kept_star(star: Star, keep: str, version: str) -> Star:
+    """The star as written under ``keep`` for this version of its sources, written if it is not there (see ``published``).
+
+    Reports then read month folders, and rollups, labels and histories are kept beside it.
+    """
+    folder = published(star.transactions.sparkSession, f"{keep.rstrip('/')}/{version}", lambda place: materialize(star, place))
+    return replace(_read_star(star.transactions.sparkSession, folder), folder=folder)
