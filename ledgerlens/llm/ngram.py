@@ -133,11 +133,15 @@ class EliasFano:
         low, high = self._bucket(h), self._bucket(np.minimum(h + 1, last_high - 1))
         wanted = x.astype(np.uint64) & U((1 << self.bits) - 1)
         end = high
-        while (open_ := low < high).any():
-            mid = (low + high) >> 1
-            less = open_ & (self.lows(np.minimum(mid, max(self.n - 1, 0))) < wanted)
-            low = np.where(less, mid + 1, low)
-            high = np.where(open_ & ~less, mid, high)
+        open_ = np.flatnonzero(low < high)  # most buckets hold an entry or two: few queries go on
+        a, z, target = low[open_], high[open_], wanted[open_]
+        while len(open_):
+            mid = (a + z) >> 1
+            less = self.lows(mid) < target
+            a, z = np.where(less, mid + 1, a), np.where(less, z, mid)
+            low[open_] = a
+            on = np.flatnonzero(a < z)
+            open_, a, z, target = open_[on], a[on], z[on], target[on]
         low = np.where(beyond, self.n, low)
         hit = ~beyond & (low < end)
         hit[hit] = self.lows(low[hit]) == wanted[hit]
@@ -481,12 +485,22 @@ def _level3(training: DataFrame, meta: dict) -> list:
     return _sizes(training.mapInArrow(run, RUNS), reduce, "shard int, n long, n1 long, n2 long")
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and the position of each value among them: only the distinct ones are sorted."""
+    coded = pa.array(values).dictionary_encode()
+    found = coded.dictionary.to_numpy()
+    order = np.argsort(found)
+    rank = np.empty(len(found), dtype=np.int64)
+    rank[order] = np.arange(len(found))
+    return found[order], rank[coded.indices.to_numpy()]
+
+
 def _contexts(trie: Trie, t: Tokens) -> tuple[np.ndarray, np.ndarray, dict]:
     """Per token: position in level 2 of (token before, token) and that position among the successors of the token before (-1:
     unknown or the first token), and what scoring needs."""
     ids, count, before = trie.words(t.hashes)
     two = np.flatnonzero(~t.start[1:-1]) + 1
-    key, inverse = np.unique(t.codes[two - 1] * len(t.hashes) + t.codes[two], return_inverse=True)
+    key, inverse = distinct(t.codes[two - 1] * len(t.hashes) + t.codes[two])
     a, b = key // len(t.hashes), key % len(t.hashes)
     at, freq = trie.pairs(ids, count, before, a, b)
     head, degree = trie.successors(ids, count, before)
