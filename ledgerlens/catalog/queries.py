@@ -28,8 +28,9 @@ from ledgerlens.session import application_id, configure, shared_root
 from ledgerlens.sources import members, schemas
 from ledgerlens.sources.history import CustomerHistory
 from ledgerlens.sources.labels import labels, labels_of, values
-from ledgerlens.sources.rollup import rollup
+from ledgerlens.sources.rollup import GRAINS, rollup
 from ledgerlens.sources.star import Star, conform, events_as_transactions, materialized_star, star_from_files, star_from_tpch
+from ledgerlens.sources.tracked import TrackedStar
 
 P = ReportParams()
 EVENTS_AS_OF = dt.date(2024, 1, 31)
@@ -620,6 +621,18 @@ def _m38_state(s: Star, spark, sf_dir):
     return _history(s, spark).arrivals()
 
 
+# ------------------------------------------------------------------ change tracking of the sources
+@register("tracked_monthly_kpis")
+def _tracked(s: Star, spark, sf_dir):
+    """P6a from a rollup of a star over files whose changes are tracked (the files of the materialised star)."""
+    if s.folder is None:
+        return export.monthly_kpis(s.transactions)
+    tracked = TrackedStar(spark, s.folder, f"{s.folder}/tracked")
+    tracked.refresh()
+    define, month = GRAINS["product_subsidiary"]
+    return export.monthly_kpis(s.transactions, tracked.table("rollup-product_subsidiary", define, month))
+
+
 # ------------------------------------------------------------------ mergeable distinct counts
 
 @register("m09_customers_year_to_date")
