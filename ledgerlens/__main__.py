@@ -4,7 +4,7 @@ Examples::
 
     python -m ledgerlens r01 --star /data/star --star-format csv --as-of 2024-06-10 --out /data/out/r01
     python -m ledgerlens r04 --catalog-db bank --agency-product "Agency" --show 20
-    python -m ledgerlens x1 --star /data/star --keep /data/kept --filter SUBSIDIARY=Kenya,Uganda --show 20
+    python -m ledgerlens x1 --star /data/star --keep /data/kept --filter SUBSIDIARY=North,South --show 20
     python -m ledgerlens list
 
 The star comes from files (``--star``), catalog tables (``--catalog-db``) or
