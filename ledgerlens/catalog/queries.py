@@ -25,7 +25,7 @@ from ledgerlens.functions import kpi
 from ledgerlens.operators import cohort, context, dashboards, export, measures, modelled, pages, reports, rfm, stats, worksheet
 from ledgerlens.params import ReportParams
 from ledgerlens.session import application_id, configure, shared_root
-from ledgerlens.sources import members, schemas
+from ledgerlens.sources import members, schemas, topk
 from ledgerlens.sources.history import CustomerHistory
 from ledgerlens.sources.labels import labels, labels_of, values
 from ledgerlens.sources.rollup import GRAINS, rollup
@@ -621,6 +621,23 @@ def _m38_state(s: Star, spark, sf_dir):
     return _history(s, spark).arrivals()
 
 
+# ------------------------------------------------------------------ mergeable top-k
+FAILURES = topk.Counted("failure", "FAILURE_DESCRIPTION", "STATUS = 'FAILED' AND FAILURE_DESCRIPTION <> ''")
+CORRIDORS = topk.Counted("corridor", "SOURCE_COUNTRY || '->' || DEST_COUNTRY", "SOURCE_COUNTRY <> DEST_COUNTRY", ("SUBSIDIARY",))
+
+
+@register("x4_top_failures_of_period")
+def _x4_period(s: Star, spark, sf_dir):
+    """X4 over a period of months, from monthly lists."""
+    return topk.top(s, FAILURES, 5, dt.date(1997, 1, 1), dt.date(2000, 6, 1)).rows
+
+
+@register("top_corridors_of_period")
+def _top_corridors(s: Star, spark, sf_dir):
+    """The ten busiest corridors of each subsidiary over a period."""
+    return topk.top(s, CORRIDORS, 10, dt.date(1997, 1, 1), dt.date(2000, 6, 1)).rows
+
+
 # ------------------------------------------------------------------ change tracking of the sources
 @register("tracked_monthly_kpis")
 def _tracked(s: Star, spark, sf_dir):
