@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerlens.llm import ngram
@@ -122,3 +123,18 @@ def test_runs_and_tallies():
     x, y, n = ngram.tally(a, b, np.arange(5))
     assert list(zip(x.tolist(), y.tolist(), n.tolist())) == [(1, 2, 4), (3, 1 << 40, 2), (1 << 50, 0, 4)]
     assert (ngram.unsqueeze(ngram.squeeze(a)) == a).all() and len(ngram.unsqueeze(ngram.squeeze(a[:0]))) == 0
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    rng = np.random.default_rng(2)
+    words = [bytes(rng.integers(1, 128, k, dtype=np.uint8)).decode() for k in list(range(70)) * 300]
+    words += ["a" * k for k in range(100)] + ["a" * k + "\x00" for k in range(100)] + ["é" * k for k in range(40)] + ["\x00" * k for k in range(40)]
+    words = sorted(set(words))
+    whole = ngram.word_hashes(pa.array(words, pa.large_string()))
+    assert len(set(whole.tolist())) == len(words)
+    assert [ngram.word_hashes(pa.array(["x", w, "y" * 50], pa.large_string()))[1] for w in words[::97]] == whole[::97].tolist()
+    assert ngram.word_hashes(pa.array(words, pa.large_string()).slice(5, 9)).tolist() == whole[5:14].tolist()
+    # spread evenly over shards
+    counts = np.bincount(ngram.word_shard((whole >> np.uint64(64 - ngram.HASH_BITS)).astype(np.int64), 16), minlength=16)
+    assert counts.min() > 0.8 * counts.mean()
+    assert len(ngram.word_hashes(pa.array([], pa.large_string()))) == 0
