@@ -6,8 +6,9 @@ occurrence can leave such a run). The shard gets a suffix array (prefix doubling
 wavelet matrix with popcount ranks, and suffix positions sampled at every 16th place and at run starts. All windows are
 searched backward together; occurrences are located by stepping back to a sample, and merged to spans of document words.
 
-Documents are never shuffled. The windows are broadcast in blocks of at most ``BLOCK_BYTES`` of item text, searched one
-after another, so the benchmark may grow; an item goes to one block.
+Documents are never shuffled. Tasks build the windows in blocks of about ``BLOCK_BYTES`` of item text and write them to the
+shared folder; a search task reads one block after another, so neither the driver nor a worker holds the benchmark, however
+it grows. An item goes to one block; equal items go once.
 
 Null or empty text: no words, not contaminated. Items without words have no window. Repeated documents: a row each.
 Repeated item_ids: their windows are united. Null item_id: searched, but not listed. No benchmark: nothing is hit.
@@ -15,16 +16,16 @@ Repeated item_ids: their windows are united. Null item_id: searched, but not lis
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import alnum_words, bits_of, ragged, segment_sums, text_slices
+from ledgerlens.llm.common import alnum_words, bits_of, map_file, put_file, ragged, segment_sums, shared_path, stored, text_slices
 
 WINDOW = 10
 SAMPLE = 16
@@ -217,7 +218,7 @@ def occurrences(symbols: np.ndarray, offsets: np.ndarray, queries: Queries) -> t
     return np.concatenate(found_at), np.concatenate(found_w)
 
 
-def contamination_of(texts: pa.Array, blocks: list[Queries]) -> tuple[np.ndarray, np.ndarray, list[list[str]], list[list[dict]]]:
+def contamination_of(texts: pa.Array, blocks: Iterable[Queries]) -> tuple[np.ndarray, np.ndarray, list[list[str]], list[list[dict]]]:
     """(words, hit words, item ids, merged spans) of each text."""
     w = alnum_words(texts)
     delta = np.zeros(len(w.ids) + 1, dtype=np.int64)
@@ -246,17 +247,32 @@ def contamination_of(texts: pa.Array, blocks: list[Queries]) -> tuple[np.ndarray
     return w.counts, segment_sums(hit, w.offsets), [sorted(x) for x in items], spans
 
 
-def _blocks(benchmark: DataFrame, width: int) -> list[Broadcast]:
-    """The benchmark's windows, broadcast in blocks of at most about ``BLOCK_BYTES`` of text."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    number = total // BLOCK_BYTES + 1
-    out = []
-    for k in range(number):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(number)) == k).collect()
-        out.append(spark.sparkContext.broadcast(Queries([(r["item_id"], r["text"]) for r in rows], width)))
-    return out
+class Blocks:
+    """The benchmark's windows, written in blocks; a lone block is kept, of several one is held at a time."""
+
+    def __init__(self, folder: str, numbers: list[int]):
+        self.folder, self.numbers, self.held = folder, numbers, None
+
+    def __iter__(self) -> Iterator[Queries]:
+        for n in self.numbers:
+            if self.held is None or len(self.numbers) > 1:
+                self.held = pickle.loads(map_file(f"{self.folder}/windows-{n}").tobytes())
+            yield self.held
+
+
+def _blocks(benchmark: DataFrame, width: int) -> Blocks:
+    """Write the benchmark's windows in blocks of about ``BLOCK_BYTES`` of text; only the blocks' numbers reach the driver."""
+    folder = shared_path(benchmark.sparkSession, "windows")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    number = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES + 1
+
+    def write(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["item_id"].to_pylist(), table["text"].to_pylist()), key=str)
+        put_file(f"{folder}/windows-{key[0].as_py()}", pickle.dumps(Queries(rows, width)))
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32())})
+
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(number)).cast("int"))
+    return Blocks(folder, sorted(r["block"] for r in stored(dealt.groupBy("block").applyInArrow(write, "block int"), "window-blocks").collect()))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -264,7 +280,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WINDO
     shared = _blocks(benchmark, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [b.value for b in shared]
+        blocks = Blocks(shared.folder, shared.numbers)
         for b in text_slices(batches, "text"):
             words, hits, items, spans = contamination_of(b.column("text"), blocks)
             yield pa.RecordBatch.from_arrays(
@@ -280,7 +296,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, width: int = W
     shared = _blocks(benchmark, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [b.value for b in shared]
+        blocks = Blocks(shared.folder, shared.numbers)
         for b in text_slices(batches, "text"):
             _, hits, _, _ = contamination_of(b.column("text"), blocks)
             yield b.filter(pa.array(hits == 0))

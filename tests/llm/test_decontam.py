@@ -96,3 +96,23 @@ def test_query_equals_sql(spark, sf):
     sql = con.execute(decontam.OP8_SQL)
     columns = [c[0] for c in sql.description]
     assert sorted(map(tuple, sql.fetchall())) == sorted(map(tuple, result.select(*columns).collect()))
+
+
+def test_blocks_are_written_by_tasks_and_read_one_at_a_time(spark, documents, monkeypatch):
+    """The same result whatever the number of blocks; repeated items go once."""
+    texts = ["one two three four five six seven eight nine ten eleven", "a b c", "nothing here", None, "six seven eight nine ten eleven twelve a b c"]
+    items = [(i, t) for i, t in enumerate(["two three four five six seven eight nine ten eleven", "a b c", "seven eight nine", "", None, "twelve a"])] + [(7, "a b c")] * 50
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+
+    def run():
+        found = decontam.contamination(documents(texts), benchmark).collect()
+        return sorted((r.doc_id, r.n_words, r.n_hit, sorted(r.items), sorted((s.first, s.last) for s in r.spans)) for r in found)
+
+    whole = run()
+    assert len(decontam._blocks(benchmark, decontam.WINDOW).numbers) == 1 and any(r[2] for r in whole)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 12)
+    assert len(decontam._blocks(benchmark, decontam.WINDOW).numbers) > 2
+    assert run() == whole
+    kept = {r.doc_id for r in decontam.drop_contaminated(documents(texts), benchmark).collect()}
+    assert kept == {r[0] for r in whole if not r[2]}
+    assert not any(r.n_hit for r in decontam.contamination(documents(texts), benchmark.limit(0)).collect())
