@@ -95,7 +95,7 @@ REPORTS: dict[str, tuple[str, Report]] = {
     "x5-wide": ("channel x product success matrix", lambda s, p: worksheet.channel_product_sr_matrix(s.transactions, _products(s, p))),
     "x8-grid": ("corridor x month matrix with zeros", lambda s, p: worksheet.corridor_month_grid(worksheet.corridor_month_matrix(s.transactions, p.remit_product))),
     "x10": ("rolling 3-month success rate", lambda s, p: worksheet.rolling_mean(export.monthly_kpis(s.transactions, _kept(s, "product_subsidiary")), "SuccessRate", "Month", ["PRODUCT", "SUBSIDIARY"])),
-    "p1b": ("complete months", lambda s, p: stats.complete_months(s.transactions)),
+    "p1b": ("complete months", lambda s, p: stats.complete_months(s.transactions, days=_kept(s, "day_subsidiary"))),
     "p3-risk": ("revenue at risk", lambda s, p: rfm.revenue_at_risk(rfm.rfm_scores(rfm.rfm_features(s.transactions, s.customers, p.as_of)))),
     "m-float": ("float utilisation ratio per agent", lambda s, p: measures.float_utilisation_ratio(s.transactions, s.agents)),
     "m-cross-border": ("cross-border volume by month", lambda s, p: measures.cross_border_volume(measures.with_month(s.transactions), [measures.MONTH], p.remit_product)),

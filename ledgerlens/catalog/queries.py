@@ -621,6 +621,28 @@ def _m38_state(s: Star, spark, sf_dir):
     return _history(s, spark).arrivals()
 
 
+# ------------------------------------------------------------------ day totals
+X9_DAYS = (dt.date(2001, 6, 5), dt.date(2001, 6, 20))
+
+
+@register("p1b_complete_months_of_days")
+def _p1b_days(s: Star, spark, sf_dir):
+    """P1b from the kept day totals."""
+    return stats.complete_months(s.transactions, days=rollup(s, "day_subsidiary"))
+
+
+@register("x9_ytd_running_total_of_days")
+def _x9_days(s: Star, spark, sf_dir):
+    """X9 for some days: their rows and the totals of the days before."""
+    return worksheet.ytd_running_total(s.transactions, P.as_of, P.home_subsidiary, days=X9_DAYS, totals=rollup(s, "day_subsidiary"))
+
+
+@register("m30_m32_ytd_as_of")
+def _m30_day(s: Star, spark, sf_dir):
+    """M30-M32 through a day."""
+    return measures.ytd_as_of(rollup(s, "day_subsidiary"), dt.date(2000, 8, 17))
+
+
 # ------------------------------------------------------------------ mergeable top-k
 FAILURES = topk.Counted("failure", "FAILURE_DESCRIPTION", "STATUS = 'FAILED' AND FAILURE_DESCRIPTION <> ''")
 CORRIDORS = topk.Counted("corridor", "SOURCE_COUNTRY || '->' || DEST_COUNTRY", "SOURCE_COUNTRY <> DEST_COUNTRY", ("SUBSIDIARY",))

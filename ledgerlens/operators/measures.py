@@ -240,6 +240,21 @@ def ytd_measures(monthly: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def ytd_as_of(totals: DataFrame, as_of: dt.date) -> DataFrame:
+    """M30-M32 through a day, per subsidiary, from the kept day totals: this year up to ``as_of`` and last year up to the same day."""
+    last = as_of.replace(year=as_of.year - 1, day=28 if (as_of.month, as_of.day) == (2, 29) else as_of.day)
+
+    def through(day: dt.date, column: str) -> Column:
+        return F.sum(F.when(F.col("day").between(F.lit(dt.date(day.year, 1, 1)), F.lit(day)), F.col(column)))
+
+    y = totals.filter(F.col("day").between(F.lit(dt.date(last.year, 1, 1)), F.lit(as_of))).groupBy("SUBSIDIARY").agg(
+        through(as_of, "total_transactions").alias("ytd_transactions"), through(as_of, "total_value_usd").alias("ytd_value_usd"),
+        through(last, "total_transactions").alias("_py"),
+    )
+    growth = _divb(F.coalesce("ytd_transactions", F.lit(0)) - F.col("_py"), "_py") * F.lit(100.0)
+    return y.select("SUBSIDIARY", "ytd_transactions", "ytd_value_usd", growth.alias("ytd_vs_prior_year_pct"))
+
+
 # ---------------------------------------------------------------- M33-M35
 def agent_activity_measures(txns: DataFrame, by: list[str], agency_product: str, more: list[Column] | None = None) -> DataFrame:
     """Active agents (successful agency transactions, non-blank agent) and successful txns per agent.

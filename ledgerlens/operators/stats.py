@@ -73,8 +73,14 @@ def zscore_anomalies(
 
 
 # ---------------------------------------------------------------- P1b
-def complete_months(txns: DataFrame, min_days: int = 28) -> DataFrame:
-    """Months with at least ``min_days`` distinct transaction dates (partial-month guard)."""
+def complete_months(txns: DataFrame, min_days: int = 28, days: DataFrame | None = None) -> DataFrame:
+    """Months with at least ``min_days`` distinct transaction dates (partial-month guard).
+
+    ``days``: the kept day totals, so that no transaction is read.
+    """
+    if days is not None:
+        per = days.groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(F.countDistinct("day").alias("day_count"), F.sum("total_transactions").alias("total_txns"))
+        return per.withColumn("is_complete", F.col("day_count") >= min_days)
     return (
         txns.groupBy(kpi.month_key(D).alias("month"))
         .agg(F.countDistinct(kpi.txn_date(D)).alias("day_count"), F.count(F.lit(1)).alias("total_txns"))

@@ -240,19 +240,31 @@ def ytd_running_total(
     as_of: dt.date,
     subsidiary: str,
     order_cols: tuple[str, ...] = ("TXN_AMOUNT_USD", "CUSTOMER_ID", "PRODUCT", "CHANNEL"),
+    days: tuple[dt.date, dt.date] | None = None,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """Row-level running sum of successful USD value this year, in date then ``order_cols`` order.
 
     The scan runs distributed (``plans.ordered.running_sum``): no task holds a
     whole subsidiary-year or day. The row order is made total by
     ``order_cols``; rows equal on all of them are interchangeable.
+
+    ``days`` (first, last) of that year: only their rows, which is all that is
+    read; what came before is a sum of the kept day totals (``totals``).
     """
     start, end = dt.date(as_of.year, 1, 1), dt.date(as_of.year + 1, 1, 1)
+    before = F.lit(0)
+    if days is not None:
+        if totals is None or not start <= days[0] <= days[1] < end:
+            raise ValueError("days of the year of as_of, with the day totals before them")
+        earlier = (F.col("day") >= F.lit(start)) & (F.col("day") < F.lit(days[0])) & (F.col("SUBSIDIARY") == F.lit(subsidiary))
+        before = F.coalesce(totals.filter(earlier).select(F.sum("successful_value_usd")).scalar(), F.lit(0))
+        start, end = days[0], days[1] + dt.timedelta(days=1)
     f = kpi.date_window(txns, start, end).filter(
         (F.col("SUBSIDIARY") == F.lit(subsidiary)) & kpi.status_is(kpi.SUCCESS)
     ).select(kpi.txn_date(D).alias("txn_date"), *order_cols)
     r = running_sum(f, "TXN_AMOUNT_USD", [], ["txn_date", *order_cols], "_ytd")
-    return r.select("txn_date", *order_cols, kpi.rnd("_ytd", 4).alias("ytd_usd"))
+    return r.select("txn_date", *order_cols, kpi.rnd(F.col("_ytd") + before, 4).alias("ytd_usd"))
 
 
 # ---------------------------------------------------------------- X10

@@ -33,6 +33,15 @@ def measure_months(by: list[str]) -> Callable[[DataFrame], DataFrame]:
     return build
 
 
+def day_totals(txns: DataFrame) -> DataFrame:
+    """(day, SUBSIDIARY, transactions, successes, value, successful value): what running totals and day counts start from."""
+    usd = F.col("TXN_AMOUNT_USD")
+    return txns.groupBy(kpi.txn_date(D).alias("day"), "SUBSIDIARY").agg(
+        F.count(F.lit(1)).alias("total_transactions"), kpi.successes().alias("successful_transactions"),
+        F.sum(usd).alias("total_value_usd"), F.sum(F.when(kpi.status_is(kpi.SUCCESS), usd)).alias("successful_value_usd"),
+    )
+
+
 #: name -> (definition over the transactions, month column)
 GRAINS: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
     "all": (measure_months([]), MONTH),
@@ -40,6 +49,7 @@ GRAINS: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
     "product_subsidiary": (measure_months(["PRODUCT", "SUBSIDIARY"]), MONTH),
     "product_subsidiary_country_channel": (measure_months(["PRODUCT", "SUBSIDIARY", "COUNTRY", "CHANNEL"]), MONTH),
     "product_category": (reports.product_months, "txn_month"),
+    "day_subsidiary": (day_totals, "day"),
 }
 
 
