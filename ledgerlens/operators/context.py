@@ -409,8 +409,10 @@ class _Plan:
         out = self.cells(complete[0])
         for t in complete[1:]:
             other = self.cells(t)
-            if not self.by:
-                out = out.crossJoin(other)  # one row each
+            if not self.by:  # one row each
+                columns = other.columns
+                row = other.select(F.struct(*columns)).scalar()
+                out = out.withColumn("_row", row).select("*", *[F.col(f"_row.{c}").alias(c) for c in columns]).drop("_row")
                 continue
             other = other.withColumnsRenamed({c: f"_{t}_{c}" for c in self.by})
             same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{t}_{c}")) for c in self.by))

@@ -38,6 +38,11 @@ RETENTION = "cohort_month date, month date, retained bigint"
 ARRIVALS = "month date, new_customers bigint"
 
 
+def members_of(column: DataFrame) -> list[str]:
+    """The values of a table's only column in order, as one row: for months and the like, which are few."""
+    return column.agg(F.sort_array(F.collect_set(column.columns[0]))).first()[0]
+
+
 def activity_of(txns: DataFrame) -> DataFrame:
     """(month, CUSTOMER_ID, succeeded): one row per customer and month."""
     return txns.groupBy(kpi.month_date(D).alias("month"), "CUSTOMER_ID").agg(F.max(kpi.status_is(kpi.SUCCESS)).alias("_s")).select(
@@ -68,17 +73,20 @@ class CustomerHistory:
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     # -- versions
-    def _log(self) -> list[dict]:
-        """Entries in order. The files are small: one line per refresh."""
+    def _newest(self) -> tuple[int, State]:
+        """Number and state of the newest entry (0 and an empty one before the first): a line with a folder name per month."""
         try:
-            lines = self.spark.read.schema("value string").option("recursiveFileLookup", "true").text(f"{self.path}/log").collect()
+            log = self.spark.read.schema("value string").option("recursiveFileLookup", "true").text(f"{self.path}/log")
         except AnalysisException:  # nothing published yet
-            return []
-        return sorted((json.loads(r[0]) for r in lines), key=lambda e: e["number"])
+            return 0, State()
+        line = log.agg(F.max_by("value", F.get_json_object("value", "$.number").cast("long"))).first()[0]
+        if line is None:
+            return 0, State()
+        entry = json.loads(line)
+        return entry["number"], State(**entry["state"])
 
     def state(self) -> State:
-        log = self._log()
-        return State(**log[-1]["state"]) if log else State()
+        return self._newest()[1]
 
     def _publish(self, state: State, number: int) -> None:
         entry = json.dumps({"number": number, "state": state.__dict__})
@@ -114,25 +122,23 @@ class CustomerHistory:
     # -- refresh
     def refresh(self, txns: DataFrame, months: list[str] | None = None) -> State:
         """Read the given months (``yyyy-MM``) of the transactions, by default those of the fact that the state lacks."""
-        log = self._log()
-        old = State(**log[-1]["state"]) if log else State()
+        number, old = self._newest()
         month = F.col("TXN_MONTH") if "TXN_MONTH" in txns.columns else kpi.month_key(D)
         if months is None:
-            there = [r[0] for r in txns.select(month.alias("m")).distinct().collect()]  # one value per month
-            months = [m for m in there if m is not None and m not in old.months]
+            months = [m for m in members_of(txns.select(month.alias("m"))) if m not in old.months]
         months = sorted(set(months))
         if not months:
             return old
         version = f"{self.path}/v-{uuid.uuid4().hex}"
         rows = activity_of(txns.filter(month.isin(*months)))
         rows.withColumn("_month", F.date_format("month", "yyyy-MM")).repartition("_month", F.pmod(F.xxhash64("CUSTOMER_ID"), F.lit(16))).write.partitionBy("_month").parquet(f"{version}/activity")
-        written = {r[0] for r in self.spark.read.schema(f"{ACTIVITY}, _month string").parquet(f"{version}/activity").select("_month").distinct().collect()}
+        written = set(members_of(self.spark.read.schema(f"{ACTIVITY}, _month string").parquet(f"{version}/activity").select("_month")))
         new = State(months={**{m: p for m, p in old.months.items() if m not in months}, **{m: f"{version}/activity/_month={m}" for m in months if m in written}})
         again = [m for m in months if m in old.months]
         later = not again and (not old.months or months[0] > max(old.months))
         self._write_first(old, new, [m for m in months if m in written], again, version)
         self._write_counts(old, new, [m for m in months if m in written] if later else sorted(new.months), later, version)
-        self._publish(new, log[-1]["number"] + 1 if log else 1)
+        self._publish(new, number + 1)
         return new
 
     def _write_first(self, old: State, new: State, months: list[str], again: list[str], version: str) -> None:

@@ -51,7 +51,7 @@ def values(star: Star, column: str, most: int = WIDEST) -> list:
     """All values of a column in order, NULL last: the columns of a wide table. More than ``most`` are refused."""
     found = labels(star, [column])
     found = labels_of(star.transactions, [column]) if found is None else found
-    rows = found.select(column).limit(most + 1).collect()
-    if len(rows) > most:
+    if found.count() > most:
         raise TooWide(f"{column} has more than {most} values; take the long form")
-    return sorted((r[0] for r in rows), key=lambda v: (v is None, v or ""))
+    row = found.agg(F.sort_array(F.collect_set(column)), F.max(F.col(column).isNull())).first()
+    return [*row[0], *([None] if row[1] else [])]

@@ -70,12 +70,11 @@ def bounds(monthly: DataFrame, what: Counted, first: dt.date | None = None, last
     met = own.join(rest, same, "left").groupBy(*[F.col(f"_{c}").alias(c) for c in by], "value").agg(
         F.sum("n").alias("low"), F.sum(F.coalesce("_rest", F.lit(0))).alias("_inside")
     )
-    whole = rest.groupBy(*by).agg(F.sum("_rest").alias("_all")) if by else rest.agg(F.coalesce(F.sum("_rest"), F.lit(0)).alias("_all"))
-    whole = whole.withColumnsRenamed({c: f"_{c}" for c in by})
+    whole = (rest.groupBy(*by) if by else rest).agg(F.sum("_rest").alias("_all")).withColumnsRenamed({c: f"_{c}" for c in by})
     if by:
         joined = met.join(whole, reduce(lambda a, b: a & b, (F.col(f"_{c}").eqNullSafe(F.col(c)) for c in by)), "left")
     else:
-        joined = met.crossJoin(whole)  # one row
+        joined = met.withColumn("_all", whole.select("_all").scalar())
     listed = joined.select(*by, "value", "low", (F.col("low") + F.coalesce("_all", F.lit(0)) - F.col("_inside")).alias("high"))
     others = whole.select(*[F.col(f"_{c}").alias(c) for c in by], F.lit(None).cast("string").alias("value"), F.lit(0).cast("long").alias("low"), F.col("_all").alias("high"))
     return listed.unionByName(others.filter("high > 0"))

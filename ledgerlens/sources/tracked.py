@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from ledgerlens.functions import kpi
 from ledgerlens.sources import schemas
-from ledgerlens.sources.history import CustomerHistory
+from ledgerlens.sources.history import CustomerHistory, members_of
 from ledgerlens.sources.star import Star, conform, read_files
 
 D = "TRANSACTION_DATE"
@@ -52,10 +52,11 @@ class TrackedStar:
     # -- versions
     def version(self) -> Version:
         try:
-            lines = self.spark.read.schema("value string").option("recursiveFileLookup", "true").text(f"{self.keep}/log").collect()
+            log = self.spark.read.schema("value string").option("recursiveFileLookup", "true").text(f"{self.keep}/log")
         except AnalysisException:  # nothing published yet
             return Version()
-        return max((Version(**json.loads(r[0])) for r in lines), key=lambda v: v.number, default=Version())
+        line = log.agg(F.max_by("value", F.get_json_object("value", "$.number").cast("long"))).first()[0]
+        return Version(**json.loads(line)) if line else Version()
 
     def _publish(self, v: Version) -> Version:
         v.number += 1
@@ -93,9 +94,9 @@ class TrackedStar:
         known = before.select("file", "length", "modified").distinct()
         now = self._files()
         # names of files that changed: as many as the change, not as the fact, is large
-        fresh = sorted(r[0] for r in now.join(known, ["file", "length", "modified"], "left_anti").select("file").collect())
+        fresh = members_of(now.join(known, ["file", "length", "modified"], "left_anti").select("file"))
         gone = before.join(now, ["file", "length", "modified"], "left_anti")
-        touched = {r[0] for r in gone.select("month").distinct().collect() if r[0]}
+        touched = set(members_of(gone.select("month")))
         if not fresh and gone.isEmpty():
             return old, []
         new = Version(old.number, dict(old.months), dict(old.tables))
@@ -105,7 +106,7 @@ class TrackedStar:
             held = self._rows(fresh).groupBy(F.col("_file").alias("file"), F.col("TXN_MONTH").alias("month")).agg(F.count("*").alias("rows"))
             held.write.parquet(f"{place}/held")
             held = self.spark.read.schema("file string, month string, rows long").parquet(f"{place}/held")
-            touched |= {r[0] for r in held.select("month").distinct().collect() if r[0]}
+            touched |= set(members_of(held.select("month")))
             new.undated = held.filter("month is null").agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
             same = now.join(self.spark.createDataFrame([(f,) for f in fresh], "file string"), "file")
             found = same.withColumn("_key", self._key("file")).join(held.select(self._key("file").alias("_key"), "month"), "_key", "left")
@@ -113,13 +114,13 @@ class TrackedStar:
         new.manifest = f"{place}/manifest"
         kept.write.parquet(new.manifest)
         months = sorted(touched)
-        sources = sorted(r[0] for r in self.manifest(new).filter(F.col("month").isin(months)).select("file").distinct().collect())
+        sources = members_of(self.manifest(new).filter(F.col("month").isin(months)).select("file"))
         written: set[str] = set()
         if months and sources:
             rows = self._rows(sources).drop("_file").filter(F.col("TXN_MONTH").isin(months))
             rows.hint("rebalance", "TXN_MONTH").sortWithinPartitions("TXN_MONTH", D).write.partitionBy("TXN_MONTH").parquet(f"{place}/transactions")
             there = self.spark.read.schema(f"{D} timestamp, TXN_MONTH string").parquet(f"{place}/transactions")
-            written = {r[0] for r in there.select("TXN_MONTH").distinct().collect()}
+            written = set(members_of(there.select("TXN_MONTH")))
         for m in months:
             new.months.pop(m, None)
             for name in new.tables:
