@@ -126,3 +126,12 @@ def test_parts_share_keys_and_aggregates(star):
     assert plain(out["c"]) == plain(t.groupBy(F.col("PROCESSING_TIME_SECS").alias("k")).agg(F.min("TXN_AMOUNT_USD").alias("least"), F.count(F.when(F.col("STATUS") == "SUCCESS", 1)).alias("ok")))
     with pytest.raises(ValueError):
         cells(t, {"x": Part({}, {}, None, {"p": F.col("AGENT_ID"), "q": F.col("CUSTOMER_ID")})})
+
+
+def test_rows_are_tagged_without_a_function_per_row(spark, star):
+    """Tags are made in generated code: a lambda over each row's array of tags took a third of the pass."""
+    from ledgerlens.plans.inspect import physical_plan
+
+    parts = pages.pack_parts(star, P.as_of, "AG", "RM")
+    rows, _ = cells(star.transactions, parts)
+    assert "lambda" not in physical_plan(rows)
