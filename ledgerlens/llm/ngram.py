@@ -354,12 +354,18 @@ class Trie:
             for k in range(0, len(rows), PART):
                 r = rows[k : k + PART]
                 j = parent[r] - first[s]
+                new = np.concatenate([[True], j[1:] != j[:-1]])
+                nth = np.cumsum(new) - 1
+                j = j[new]  # a context's successors are located once for all its tokens
                 a, z = f["ptr"][j], f["ptr"][j + 1]
-                back[r] = self.meta["scale"][p["back"][j]]
-                r, rel, a, z = r[z > a], relative[r][z > a], a[z > a], z[z > a]
-                known = rel >= 0
-                r, rel, a, z = r[known], rel[known], a[known], z[known]
-                base = np.where(a > 0, f["ids"][np.maximum(a - 1, 0)] + 1, 0) if len(a) else a
+                back[r] = self.meta["scale"][p["back"][j]][nth]
+                base = np.zeros(len(j), dtype=np.int64)
+                later = (a > 0) & (z > a)
+                base[later] = f["ids"][a[later] - 1] + 1
+                rel = relative[r]
+                open_ = (z > a)[nth] & (rel >= 0)
+                r, rel, nth = r[open_], rel[open_], nth[open_]
+                base, z = base[nth], z[nth]
                 i, hit = f["ids"].find(base + rel)
                 hit &= i < z
                 freq[r[hit]] = self.meta["scale"][p["freq"][i[hit]]]

@@ -138,3 +138,24 @@ def test_word_hashes_depend_on_the_word_alone():
     counts = np.bincount(ngram.word_shard((whole >> np.uint64(64 - ngram.HASH_BITS)).astype(np.int64), 16), minlength=16)
     assert counts.min() > 0.8 * counts.mean()
     assert len(ngram.word_hashes(pa.array([], pa.large_string()))) == 0
+
+
+def test_a_context_is_located_once_for_all_its_tokens(monkeypatch):
+    """Word pairs repeat far more than word triples: pointers are read per distinct pair, not per token."""
+    import numpy as np
+
+    from ledgerlens.llm import ngram
+
+    pointers = np.array([0, 2, 3], dtype=np.int64)  # the successors of two contexts
+    arrays = ngram.EliasFano.pack(np.array([0, 2, 4], dtype=np.int64), "ids") | ngram.EliasFano.pack(pointers, "ptr")
+    level = {"ids": ngram.EliasFano(arrays, "ids"), "ptr": ngram.EliasFano(arrays, "ptr")}
+    codes = {"freq": np.array([1, 2, 3], dtype=np.uint8), "back": np.array([4, 5], dtype=np.uint8)}
+    trie = ngram.Trie({"folder": "", "N": 1, "V": 1, "first2": np.array([0, 2]), "scale": np.arange(256) / 256})
+    monkeypatch.setattr(trie, "level", lambda name, shard, *sequences: level if name == "l3" else codes)
+    read = []
+    get = ngram.EliasFano.__getitem__
+    monkeypatch.setattr(ngram.EliasFano, "__getitem__", lambda self, i: read.append(len(i)) or get(self, i))
+    freq, back = trie.triples(np.array([1, 0] * 500), np.array([1, 0, 0, 2, 1, -1, 7, 1] * 125))
+    assert sum(read) <= 8
+    assert (freq * 256).tolist() == [3, 1, 0, 2, 3, 0, 0, 0] * 125
+    assert (back * 256).tolist() == [5, 4] * 500
