@@ -35,6 +35,19 @@ def test_rows_moved_hold_no_derived_text(spark):
     assert not {"PRODUCT_CATEGORY", "COUNTRY", "CURRENCY", "STATUS", "FAILURE_DESCRIPTION", "c_nation", "c_region", "s_nation"} & set(moved.columns)
 
 
+def test_rows_moved_hold_codes_and_agents_only(spark):
+    """Text only where a table's own values are needed, suppliers only where they are agents."""
+    moved = star._line_rows(spark, SF)
+    assert {f.name for f in moved.schema if f.dataType.typeName() == "string"} == {"p_type", "o_orderpriority"}
+    assert moved.filter((F.col("p_type") != star.AGENCY_PRODUCT) & F.col("l_suppkey").isNotNull()).isEmpty()
+
+
+def test_months_are_dealt_as_numbers(spark):
+    plan = physical_plan(star._by_month(star._line_rows(spark, SF), "l_shipdate"), "simple")
+    above, below = re.split(r"hashpartitioning\(_month#", plan)
+    assert "TXN_MONTH" in above and "TXN_MONTH" not in below
+
+
 def test_written_fact_is_the_derived_one(spark, tmp_path):
     made = star.transactions_from_tpch(spark, SF)
     assert made.columns == schemas.TRANSACTIONS.fieldNames()
