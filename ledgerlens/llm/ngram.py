@@ -73,16 +73,17 @@ class EliasFano:
     """Random access and successor search in a rising sequence of integers below 2**62."""
 
     def __init__(self, arrays: dict[str, np.ndarray], name: str):
-        self.n, self.bits = (int(x) for x in arrays[f"{name}.size"])
+        self.n, self.bits, self.base = (int(x) for x in arrays[f"{name}.size"])
         self.low, self.high, self.ones = (arrays[f"{name}.{k}"] for k in ("low", "high", "ones"))
         self.zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
 
     @staticmethod
     def pack(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
         n = len(values)
-        top = int(values[-1]) + 1 if n else 1
+        base = int(values[0]) if n else 0  # entries are kept relative to the first
+        top = int(values[-1]) - base + 1 if n else 1
         bits = max(0, (top // max(n, 1)).bit_length() - 1)
-        v = values.astype(np.uint64)
+        v = (values - base).astype(np.uint64)
         at = (v >> U(bits)).astype(np.int64) + np.arange(n)
         words = (int(at[-1]) if n else 0) // 64 + 2
         mask = np.zeros(words * 64, dtype=np.uint8)
@@ -99,42 +100,51 @@ class EliasFano:
             low[word[first]] |= np.bitwise_or.reduceat(part << off, first)
             over = off + U(bits) > U(64)
             low[word[over] + 1] |= part[over] >> (U(64) - off[over])
-        return {f"{name}.size": np.array([n, bits]), f"{name}.low": low, f"{name}.high": high, f"{name}.ones": (np.cumsum(count) - count)}
+        return {f"{name}.size": np.array([n, bits, base]), f"{name}.low": low, f"{name}.high": high, f"{name}.ones": (np.cumsum(count) - count)}
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
             return np.zeros(len(i), dtype=np.uint64)
         place = i * self.bits
-        word, off = place >> 6, (place & 63).astype(np.uint64)
-        value = self.low[word] >> off
-        value = value | np.where(off > 0, self.low[word + 1] << ((U(64) - off) & U(63)), U(0))
-        return value & U((1 << self.bits) - 1)
+        word, off = place >> 6, (place & 63).view(np.uint64)
+        value = self.low.take(word) >> off
+        value |= (self.low.take(word + 1) << U(1)) << (U(63) - off)  # nothing where off is 0
+        value &= U((1 << self.bits) - 1)
+        return value
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.ones, i, side="right") - 1
         high = word * 64 + _select_in_word(self.high[word], i - self.ones[word]) - i
-        return ((high.astype(np.uint64) << U(self.bits)) | self.lows(i)).astype(np.int64)
+        return ((high.astype(np.uint64) << U(self.bits)) | self.lows(i)).astype(np.int64) + self.base
 
-    def _bucket(self, h: np.ndarray) -> np.ndarray:
-        """Number of entries whose high part is below h."""
-        out = np.zeros(len(h), dtype=np.int64)
-        some = h > 0
-        r = h[some] - 1
+    def _bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of entries whose high part is below h, and at most h."""
+        r = np.maximum(h - 1, 0)
         word = np.searchsorted(self.zeros, r, side="right") - 1
-        at = word * 64 + _select_in_word(~self.high[word], r - self.zeros[word])
-        out[some] = np.minimum(at - r, self.n)
-        return out
+        at = word * 64 + _select_in_word(~self.high.take(word), r - self.zeros.take(word)) + 1
+        at[h == 0] = 0
+        low = at - h
+        # the bucket's entries are the set bits from here on
+        word, off = at >> 6, (at & 63).view(np.uint64)
+        window = ~((self.high.take(word) >> off) | ((self.high.take(word + 1, mode="clip") << U(1)) << (U(63) - off)))
+        high = low + np.bitwise_count((window & (~window + U(1))) - U(1))
+        far = np.flatnonzero(window == 0)
+        if len(far):
+            r = h[far]
+            word = np.searchsorted(self.zeros, r, side="right") - 1
+            high[far] = word * 64 + _select_in_word(~self.high.take(word), r - self.zeros.take(word)) - r
+        return np.minimum(low, self.n), np.minimum(high, self.n)
 
     def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the first entry >= x, whether it equals x)."""
+        """(index of the first entry >= x, whether it equals x); neighbouring x are found fastest."""
+        x = x - self.base
         last_high = len(self.high) * 64 - self.n  # no entry has a high part beyond
-        h = np.minimum(x >> self.bits, last_high - 1)
-        beyond = (x >> self.bits) > h
-        low, high = self._bucket(h), self._bucket(np.minimum(h + 1, last_high - 1))
-        wanted = x.astype(np.uint64) & U((1 << self.bits) - 1)
-        end = high
-        open_ = np.flatnonzero(low < high)  # most buckets hold an entry or two: few queries go on
-        a, z, target = low[open_], high[open_], wanted[open_]
+        h = x >> self.bits
+        beyond = h > last_high - 2
+        low, end = self._bucket(np.clip(h, 0, last_high - 2))
+        wanted = x.view(np.uint64) & U((1 << self.bits) - 1)
+        open_ = np.flatnonzero(low < end)
+        a, z, target = low[open_], end[open_], wanted[open_]
         while len(open_):
             mid = (a + z) >> 1
             less = self.lows(mid) < target
@@ -142,9 +152,12 @@ class EliasFano:
             low[open_] = a
             on = np.flatnonzero(a < z)
             open_, a, z, target = open_[on], a[on], z[on], target[on]
-        low = np.where(beyond, self.n, low)
-        hit = ~beyond & (low < end)
-        hit[hit] = self.lows(low[hit]) == wanted[hit]
+        low[beyond] = self.n
+        before = x < 0
+        low[before] = 0
+        hit = (low < end) & ~(beyond | before)
+        some = np.flatnonzero(hit)
+        hit[some] = self.lows(low[some]) == wanted[some]
         return low, hit
 
 
@@ -152,7 +165,11 @@ class EliasFano:
 
 def squeeze(a: np.ndarray) -> bytes:
     """Integers as compressed byte planes."""
-    return len(a).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(a.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
+    planes = np.zeros((8, len(a)), dtype=np.uint8)
+    v = a.astype(np.int64).view(np.uint64)
+    for k in range((int(v.max(initial=0)).bit_length() + 7) // 8):
+        planes[k] = v >> U(8 * k)
+    return len(a).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def unsqueeze(data: bytes) -> np.ndarray:
@@ -176,6 +193,26 @@ def tally(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.n
     return a[first], b[first], np.add.reduceat(n, first)
 
 
+def counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (a, b) in order with their numbers: plain values are sorted, not positions."""
+    width = int(b.max(initial=0)) + 1
+    if (int(a.max(initial=0)) + 1) * width >= 1 << 62:
+        return tally(a, b, np.ones(len(a), dtype=np.int64))
+    key = a * width + b
+    key.sort()
+    first = np.flatnonzero(_changes(key))
+    key = key[first]
+    a = key // width
+    return a, key - a * width, np.diff(first, append=len(b))
+
+
+def _changes(a: np.ndarray) -> np.ndarray:
+    """Whether each entry differs from the one before."""
+    out = np.ones(len(a), dtype=bool)
+    np.not_equal(a[1:], a[:-1], out=out[1:])
+    return out
+
+
 def _pieces(shard: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Runs of sorted rows, one per shard (``shard`` rises)."""
     first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else EMPTY
@@ -239,18 +276,22 @@ def word_hashes(words: pa.Array) -> np.ndarray:
 
 
 class Tokens:
-    """Tokens of some texts: ``codes`` index ``hashes``; the end token is the last entry."""
+    """Tokens of some texts: ``codes`` index ``hashes``, which rise, as ids of known words do."""
 
     def __init__(self, texts: pa.Array):
         w = space_words(texts)
         n = len(w.values)
         words = np.append(word_hashes(w.values), word_hashes(pa.array([""], pa.large_string())))
-        self.hashes = (words >> U(64 - HASH_BITS)).astype(np.int64)
+        words >>= U(64 - HASH_BITS)
+        order = np.argsort(words)
+        self.hashes = words[order].view(np.int64)
+        rank = np.empty(n + 1, dtype=np.int64)
+        rank[order] = np.arange(n + 1)
         self.offsets = w.offsets + np.arange(len(w.offsets))
         word = np.ones(len(w.ids) + len(w.offsets) - 1, dtype=bool)
         word[self.offsets[1:] - 1] = False
-        self.codes = np.full(len(word), n, dtype=np.int64)
-        self.codes[word] = w.ids
+        self.codes = np.full(len(word), rank[n], dtype=np.int64)
+        self.codes[word] = rank[w.ids]
         self.start = np.zeros(len(self.codes) + 1, dtype=bool)
         self.start[self.offsets] = True
 
@@ -283,12 +324,10 @@ class Trie:
         return self.files[key]
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(id or -1, count, tokens of smaller ids) of words."""
+        """(id or -1, count, tokens of smaller ids) of words, best in order."""
         ids, count, before = np.full(len(hashes), -1, dtype=np.int64), np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
         parts, first, tokens = self.meta["parts1"], self.meta["first1"], self.meta["tokens1"]
-        order = np.argsort(hashes, kind="stable")
-        shard = word_shard(hashes[order], parts)
-        for s, rows in _by_shard(shard, order):
+        for s, rows in _by_shard(word_shard(hashes, parts), np.arange(len(hashes))):
             if first[s + 1] == first[s]:
                 continue
             f = self.level("l1", s, "hash", "run")
@@ -300,13 +339,12 @@ class Trie:
         return ids, count, before
 
     def pairs(self, ids: np.ndarray, count: np.ndarray, before: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position in level 2 or -1, frequency a2) of word pairs; a and b index the words."""
+        """(position in level 2 or -1, frequency a2) of word pairs, best in order; a and b index the words."""
         at, freq = np.full(len(a), -1, dtype=np.int64), np.zeros(len(a))
         some = np.flatnonzero((ids[a] >= 0) & (ids[b] >= 0))
         shard = pair_shard(before[a[some]], count[a[some]], ids[b[some]], self.V, self.N, self.meta["parts2"])
-        order = _shard_order(shard)
         first = self.meta["first2"]
-        for s, rows in _by_shard(shard[order], some[order]):
+        for s, rows in _by_shard(shard, some):
             if first[s + 1] == first[s]:
                 continue
             f = self.level("l2", s, "ids", "ptr")
@@ -329,8 +367,7 @@ class Trie:
             out = np.zeros(len(ids), dtype=np.int64)
             some = np.flatnonzero(ids >= 0)
             shard = pair_shard(before[some], count[some], np.full(len(some), second), self.V, self.N, self.meta["parts2"])
-            order = _shard_order(shard)
-            for s, rows in _by_shard(shard[order], some[order]):
+            for s, rows in _by_shard(shard, some):
                 n = self.meta["first2"][s + 1] - self.meta["first2"][s]
                 here = np.zeros(len(rows), dtype=np.int64)
                 if n:
@@ -346,30 +383,41 @@ class Trie:
 
     def triples(self, parent: np.ndarray, relative: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(a3, b3) of successors (by position relative to the context) of word pairs (by position in level 2)."""
-        freq, back = np.zeros(len(parent)), np.ones(len(parent))
         first = self.meta["first2"]
-        order = np.argsort(parent)  # neighbours in the trie are looked up together
-        for s, rows in _by_shard(np.searchsorted(first, parent[order], side="right") - 1, order):
+        width = int(relative.max(initial=0)) + 2
+        if (int(parent.max(initial=0)) + 1) * width < 1 << 62:
+            order = np.argsort(parent * width + relative)  # neighbours in the trie are looked up together
+        else:
+            order = np.lexsort((relative, parent))
+        parents, relatives = parent[order], relative[order]
+        once = np.flatnonzero(_changes(parents) | _changes(relatives))
+        freq, back = np.zeros(len(once)), np.ones(len(once))  # of distinct triples
+        shard = np.searchsorted(first, parents[once], side="right") - 1
+        for s, rows in _by_shard(shard, np.arange(len(once))):
             f, p = self.level("l3", s, "ids", "ptr"), self.level("p3", s)
-            for k in range(0, len(rows), PART):
-                r = rows[k : k + PART]
-                j = parent[r] - first[s]
-                new = np.concatenate([[True], j[1:] != j[:-1]])
-                nth = np.cumsum(new) - 1
+            for k in range(int(rows[0]), int(rows[-1]) + 1, PART):
+                part = slice(k, min(k + PART, int(rows[-1]) + 1))
+                j = parents[once[part]] - first[s]
+                new = _changes(j)
+                times = np.diff(np.flatnonzero(new), append=len(j))
                 j = j[new]  # a context's successors are located once for all its tokens
                 a, z = f["ptr"][j], f["ptr"][j + 1]
-                back[r] = self.meta["scale"][p["back"][j]][nth]
-                base = np.zeros(len(j), dtype=np.int64)
-                later = (a > 0) & (z > a)
-                base[later] = f["ids"][a[later] - 1] + 1
-                rel = relative[r]
-                open_ = (z > a)[nth] & (rel >= 0)
-                r, rel, nth = r[open_], rel[open_], nth[open_]
-                base, z = base[nth], z[nth]
-                i, hit = f["ids"].find(base + rel)
-                hit &= i < z
-                freq[r[hit]] = self.meta["scale"][p["freq"][i[hit]]]
-        return freq, back
+                back[part] = np.repeat(self.meta["scale"][p["back"][j]], times)
+                base = np.full(len(j), -1, dtype=np.int64)
+                some = np.flatnonzero(z > a)
+                base[some] = 0
+                some = some[a[some] > 0]
+                base[some] = f["ids"][a[some] - 1] + 1
+                base, z = np.repeat(base, times), np.repeat(z, times)
+                rel = relatives[once[part]]
+                open_ = np.flatnonzero((base >= 0) & (rel >= 0))
+                i, hit = f["ids"].find(base[open_] + rel[open_])
+                hit &= i < z[open_]
+                freq[k + open_[hit]] = self.meta["scale"][p["freq"][i[hit]]]
+        times = np.diff(once, append=len(order))
+        out = np.empty(len(order)), np.empty(len(order))
+        out[0][order], out[1][order] = np.repeat(freq, times), np.repeat(back, times)
+        return out
 
 
 def _shard_order(shard: np.ndarray) -> np.ndarray:
@@ -378,6 +426,9 @@ def _shard_order(shard: np.ndarray) -> np.ndarray:
 
 
 def _by_shard(shard: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if (shard[1:] < shard[:-1]).any():
+        order = _shard_order(shard)
+        shard, rows = shard[order], rows[order]
     first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else EMPTY
     for a, z in zip(first.tolist(), [*first[1:].tolist(), len(shard)]):
         yield int(shard[a]), rows[a:z]
@@ -464,8 +515,7 @@ def _level2(training: DataFrame, meta: dict) -> list:
 
         def send() -> Iterator[pa.RecordBatch]:
             a, b, n, shard = held.take()
-            order = _shard_order(shard)
-            for s, rows in _by_shard(shard[order], order):
+            for s, rows in _by_shard(shard, np.arange(len(shard))):
                 x, y, m = tally(a[rows], b[rows], n[rows])
                 yield from _pieces(np.full(len(x), s), x, y, m)
 
@@ -473,7 +523,7 @@ def _level2(training: DataFrame, meta: dict) -> list:
             t = Tokens(batch.column("text"))
             ids, count, before = trie.words(t.hashes)
             two = np.flatnonzero(~t.start[1:-1]) + 1
-            a, b, n = tally(t.codes[two - 1], t.codes[two], np.ones(len(two), dtype=np.int64))
+            a, b, n = counted(t.codes[two - 1], t.codes[two])
             held.add(ids[a], ids[b], n, pair_shard(before[a], count[a], ids[b], vocabulary, tokens, parts))
             if held.size > HELD:
                 yield from send()
@@ -504,8 +554,7 @@ def _level3(training: DataFrame, meta: dict) -> list:
             t = Tokens(batch.column("text"))
             pair, relative, _ = _contexts(trie, t)
             three = np.flatnonzero(~t.start[1:-1] & ~t.start[:-2]) + 1
-            g, r, n = tally(pair[three - 1], relative[three], np.ones(len(three), dtype=np.int64))
-            held.add(g, r, n)
+            held.add(*counted(pair[three - 1], relative[three]))
             if held.size > HELD:
                 yield from send()
         yield from send()
@@ -526,13 +575,13 @@ def _level3(training: DataFrame, meta: dict) -> list:
 
 
 def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values in order and the position of each value among them: only the distinct ones are sorted."""
-    coded = pa.array(values).dictionary_encode()
-    found = coded.dictionary.to_numpy()
-    order = np.argsort(found)
-    rank = np.empty(len(found), dtype=np.int64)
-    rank[order] = np.arange(len(found))
-    return found[order], rank[coded.indices.to_numpy()]
+    """Distinct values in order and the position of each value among them."""
+    order = np.argsort(values)
+    found = values[order]
+    new = _changes(found)
+    rank = np.empty(len(values), dtype=np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return found[new], rank
 
 
 def _contexts(trie: Trie, t: Tokens) -> tuple[np.ndarray, np.ndarray, dict]:
@@ -541,7 +590,8 @@ def _contexts(trie: Trie, t: Tokens) -> tuple[np.ndarray, np.ndarray, dict]:
     ids, count, before = trie.words(t.hashes)
     two = np.flatnonzero(~t.start[1:-1]) + 1
     key, inverse = distinct(t.codes[two - 1] * len(t.hashes) + t.codes[two])
-    a, b = key // len(t.hashes), key % len(t.hashes)
+    a = key // len(t.hashes)
+    b = key - a * len(t.hashes)
     at, freq = trie.pairs(ids, count, before, a, b)
     head, degree = trie.successors(ids, count, before)
     pair, relative, a2 = (np.full(len(t.codes), -1, dtype=np.int64) for _ in range(3))

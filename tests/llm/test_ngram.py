@@ -159,3 +159,44 @@ def test_a_context_is_located_once_for_all_its_tokens(monkeypatch):
     assert sum(read) <= 8
     assert (freq * 256).tolist() == [3, 1, 0, 2, 3, 0, 0, 0] * 125
     assert (back * 256).tolist() == [5, 4] * 500
+
+
+def test_sequence_far_from_zero_has_small_buckets():
+    """The last shard of hashes is as cheap to search as the first: entries are kept relative to the first."""
+    rng = np.random.default_rng(3)
+    v = np.sort(rng.integers(0, 1 << 50, 5000))
+    near, far = (ngram.EliasFano(ngram.EliasFano.pack(x, "x"), "x") for x in (v, v + (1 << 60)))
+    assert far.bits == near.bits and len(far.high) == len(near.high)
+    q = np.concatenate([v, v - 1, v + 1, np.array([0, 1 << 51])]) + (1 << 60)
+    q = np.concatenate([q, [0, 5, (1 << 61) + 7]])
+    at, hit = far.find(q)
+    assert (at == np.searchsorted(v + (1 << 60), q)).all() and (hit == np.isin(q, v + (1 << 60))).all()
+
+
+def test_long_runs_in_one_bucket():
+    v = np.concatenate([np.arange(0, 70), np.arange(1000, 1700), [1 << 20], np.arange((1 << 24), (1 << 24) + 64)])
+    e = ngram.EliasFano(ngram.EliasFano.pack(v, "x"), "x")
+    q = np.concatenate([v, v + 1, np.arange(0, 3000, 7), [1 << 23, 1 << 30]])
+    at, hit = e.find(q)
+    assert (at == np.searchsorted(v, q)).all() and (hit == np.isin(q, v)).all() and (e[np.arange(len(v))] == v).all()
+
+
+def test_lookups_go_through_the_trie_in_order(spark, documents, monkeypatch):
+    """Words, pairs and triples of a slice are each looked up once and in the order of the trie."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.4, 200) % 500) for _ in range(30)]
+    meta = ngram.build(documents(texts))
+    asked = []
+    find = ngram.EliasFano.find
+    monkeypatch.setattr(ngram.EliasFano, "find", lambda self, x: asked.append(x) or find(self, x))
+    ngram.score_texts(meta, pa.array(texts + texts))
+    assert len(asked) >= 3 and all((np.diff(x) > 0).all() for x in asked)
+
+
+def test_counted_equals_tally():
+    rng = np.random.default_rng(6)
+    for top in (1, 50, 1 << 40):
+        a, b = rng.integers(0, 30, 500) * top, rng.integers(0, 30, 500) * top
+        for x, y in zip(ngram.counted(a, b), ngram.tally(a, b, np.ones(500, dtype=np.int64))):
+            assert (x == y).all()
+    assert [len(x) for x in ngram.counted(a[:0], b[:0])] == [0, 0, 0]
