@@ -18,7 +18,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +33,12 @@ MAX_BITS = 16
 BLOCK = 1024
 RUN = 128
 FILE_IDS = 2 << 20
-#: pieces in each half of the per-process cache, and the longest kept (in characters)
-CACHE = 150_000
-SHORT = 40
+#: pieces in each half of the per-process cache, the longest kept (bytes) and the most ids of a kept one
+CACHE = 400_000
+SHORT = 32
+MOST = 12
+#: new pieces that go to the tokenizer's model at once
+TOGETHER = 256
 #: bytes of text tokenised at once
 SLICE = 3 << 20
 
@@ -194,14 +196,84 @@ def cuts(raw: np.ndarray) -> np.ndarray:
     return out[:-1]
 
 
+def _keys(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether kept, bytes and size as a row of integers, a hash) of each piece."""
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64)[values.offset : values.offset + len(values) + 1]
+    raw = np.zeros(int(at[-1] - at[0]) + SHORT, dtype=np.uint8)
+    if data is not None:
+        raw[:-SHORT] = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]]
+    size = np.diff(at)
+    table = np.lib.stride_tricks.sliding_window_view(raw, SHORT)[at[:-1] - at[0]]
+    table[np.arange(SHORT) >= size[:, None]] = 0
+    keys = np.empty((len(size), SHORT // 8 + 1), dtype=np.uint64)
+    keys[:, :-1] = table.view(np.uint64)
+    keys[:, -1] = size
+    h = np.zeros(len(size), dtype=np.uint64)
+    for lane in range(keys.shape[1]):
+        h = (h ^ keys[:, lane]) * np.uint64(0x9E3779B185EBCA87)
+        h ^= h >> np.uint64(29)
+    return size <= SHORT, keys, h
+
+
+class Kept:
+    """Ids of pieces, found by the pieces' bytes: the entry is in one of two slots for the hash (a later one may take both)."""
+
+    def __init__(self, kind: type):
+        self.slots = np.zeros(1 << (2 * CACHE).bit_length(), dtype=np.int32)
+        self.keys = np.zeros((0, SHORT // 8 + 1), dtype=np.uint64)
+        self.ids = np.zeros((0, MOST), dtype=kind)
+        self.sizes = np.zeros(0, dtype=np.int8)
+        self.n = 0
+
+    def __len__(self) -> int:
+        return self.n
+
+    def find(self, keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Entry of each piece, -1 where there is none."""
+        out = np.full(len(keys), -1, dtype=np.int32)
+        rows = np.arange(len(keys))
+        for slot in self.places(hashes):
+            entry = self.slots[slot[rows]] - 1
+            some = np.flatnonzero(entry >= 0)
+            some = some[(self.keys[entry[some]] == keys[rows[some]]).all(axis=1)]
+            out[rows[some]] = entry[some]
+            rows = np.flatnonzero(out < 0)
+        return out
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mask = np.uint64(len(self.slots) - 1)
+        return hashes & mask, (hashes >> np.uint64(32)) & mask
+
+    def add(self, keys: np.ndarray, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Keep pieces; returns their entries."""
+        end = self.n + len(keys)
+        if end > len(self.keys):
+            room = max(end, min(2 * len(self.keys), CACHE + end - self.n))
+            for name in ("keys", "ids", "sizes"):
+                old = getattr(self, name)
+                new = np.empty((room, *old.shape[1:]), dtype=old.dtype)
+                new[: self.n] = old[: self.n]
+                setattr(self, name, new)
+        entries = np.arange(self.n, end, dtype=np.int32)
+        self.keys[self.n : end], self.ids[self.n : end], self.sizes[self.n : end] = keys, ids, sizes
+        one, two = self.places(hashes)
+        free = np.flatnonzero(self.slots[one] == 0)
+        self.slots[one[free]] = entries[free] + 1
+        rest = np.flatnonzero(self.slots[one] != entries + 1)
+        self.slots[two[rest]] = entries[rest] + 1
+        self.n = end
+        return entries
+
+
 class Pieces:
     """Ids of pieces of texts, the recent ones kept between slices of a worker process.
 
     Texts are cut where a byte-level BPE's pre-tokenizer always begins a new unit (see ``cuts``), so a piece's ids do not
-    depend on what stands around it. A piece that is one unit goes straight to the tokenizer's model, any other through
-    the whole tokenizer. Up to ``CACHE`` short pieces are kept twice over: when the newer half is full it becomes the older,
-    and what the older half still serves moves to the newer. A text with the literal of an added token (which is that
-    token's id) is encoded whole.
+    depend on what stands around it. New pieces that are one unit go straight to the tokenizer's model, many at once with a
+    byte between them that no text holds and no merge takes in; any other goes through the whole tokenizer. Up to ``CACHE``
+    short pieces are kept twice over: when the newer half is full it becomes the older, and what the older half still serves
+    moves to the newer. A text with the literal of an added token (which is that token's id) is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -213,52 +285,79 @@ class Pieces:
         split, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
         if self.tokenizer.normalizer is not None or type(split).__name__ != "ByteLevel" or split.add_prefix_space or type(model).__name__ != "BPE":
             raise ValueError(f"not a plain byte-level BPE: {path}")
-        self.model = model
+        self.model = Tokenizer(model)  # the merges alone
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
-        self.alphabet = {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.space = self.alphabet[32]
-        assert array("I").itemsize == 4
+        self.alphabet = np.arange(256, dtype="<u4")
+        self.alphabet[hidden] = 256 + np.arange(len(hidden))
+        self.between = self.divider(model)
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() < 1 << 16 else np.uint32
         self.clear()
 
+    def divider(self, model) -> int | None:
+        """Id of the byte 0xFF, which UTF-8 never holds, if no merge can take it in and units do not change beside it."""
+        if model.dropout or model.continuing_subword_prefix or model.end_of_word_suffix or model.ignore_merges:
+            return None
+        vocabulary, mark = self.tokenizer.get_vocab(with_added_tokens=False), chr(self.alphabet[0xFF])
+        return vocabulary.get(mark) if sum(mark in token for token in vocabulary) == 1 else None
+
     def clear(self) -> None:
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.new, self.old = Kept(self.kind), Kept(self.kind)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def unit(self, piece: str) -> bytes:
-        if piece.isascii():  # marks, letters and digits stand for themselves, only the space does not
-            spelt = self.space + piece[1:] if piece[0] == " " else piece
-        else:
-            spelt = piece.encode().decode("latin-1").translate(self.alphabet)
-        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
-
-    def blobs(self, values: list[str]) -> list[bytes]:
-        """The ids of each piece, as bytes of 32-bit integers."""
-        new, old = self.new, self.old
-        out = [new.get(v) for v in values]
-        odd = []
-        for i, blob in enumerate(out):
-            if blob is None:
-                v = values[i]
-                blob = old.get(v)
-                if blob is None:
-                    if _UNIT(v) is None:
-                        odd.append(i)
-                        continue
-                    blob = self.unit(v)
-                out[i] = blob
-                if len(v) <= SHORT:
-                    new[v] = blob
-        for i, ids in zip(odd, self.whole([values[i] for i in odd])):
-            out[i] = np.array(ids, dtype=np.uint32).tobytes()
-            if len(values[i]) <= SHORT:
-                new[values[i]] = out[i]
-        if len(new) > CACHE:
-            self.new, self.old = {}, new
-        return out
+    def units(self, pieces: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(ids one piece after another, ids of each piece), in parts."""
+        ids, sizes = [], []
+        for k in range(0, len(pieces), TOGETHER):
+            raw = "\n".join(pieces[k : k + TOGETHER]).encode().replace(b"\n", b"\xff")  # a unit holds no line break
+            spelt = self.alphabet[np.frombuffer(raw, dtype=np.uint8)].tobytes().decode("utf-32-le")
+            part = np.array(self.model.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, dtype=self.kind)
+            mark = part == self.between
+            sizes.append(np.diff(np.flatnonzero(mark), prepend=-1, append=len(part)) - 1)
+            ids.append(part[~mark])
+        return ids, sizes
+
+    def fresh(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pool of ids, where each piece's begin, how many it has)."""
+        unit = np.fromiter((_UNIT(v) is not None for v in pieces), dtype=bool, count=len(pieces))
+        if self.between is None:
+            unit[:] = False
+        rows = [np.flatnonzero(unit), np.flatnonzero(~unit)]
+        ids, sizes = self.units([pieces[i] for i in rows[0].tolist()])
+        found = self.whole([pieces[i] for i in rows[1].tolist()])
+        ids += [np.array(x, dtype=self.kind) for x in found]
+        sizes.append(np.array([len(x) for x in found], dtype=np.int64))
+        size = np.concatenate(sizes)
+        out = np.empty((2, len(pieces)), dtype=np.int64)
+        out[:, np.concatenate(rows)] = np.cumsum(size) - size, size
+        return np.concatenate(ids) if ids else np.zeros(0, dtype=self.kind), out[0], out[1]
+
+    def pool(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pool of ids, where each piece's begin, how many it has) of distinct pieces."""
+        short, keys, hashes = _keys(values)
+        entry = np.full(len(values), -1, dtype=np.int32)
+        rows = np.flatnonzero(short)
+        entry[rows] = self.new.find(keys[rows], hashes[rows])
+        rows = rows[entry[rows] < 0]
+        had = self.old.find(keys[rows], hashes[rows])
+        again, had = rows[had >= 0], had[had >= 0]
+        entry[again] = self.new.add(keys[again], hashes[again], self.old.ids[had], self.old.sizes[had])
+        known, lost = np.flatnonzero(entry >= 0), np.flatnonzero(entry < 0)
+        ids = self.new.ids[entry[known]]
+        begin, size = np.empty((2, len(values)), dtype=np.int32)
+        begin[known], size[known] = np.arange(len(known)) * MOST, self.new.sizes[entry[known]]
+        extra, first, n = self.fresh(values.take(pa.array(lost)).to_pylist())
+        begin[lost], size[lost] = ids.size + first, n
+        keep = np.flatnonzero(short[lost] & (n <= MOST))
+        table = np.zeros((len(keep), MOST), dtype=self.kind)
+        inside = np.arange(MOST) < n[keep][:, None]
+        table[inside] = extra[(first[keep][:, None] + np.arange(MOST))[inside]]
+        self.new.add(keys[lost[keep]], hashes[lost[keep]], table, n[keep])
+        if len(self.new) > CACHE:
+            self.new, self.old = Kept(self.kind), self.new
+        return np.concatenate([ids.ravel(), extra]), begin, size
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets); each text closed by ``end``."""
@@ -277,10 +376,8 @@ class Pieces:
         parts = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, len(raw)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw)))
         coded = parts.dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False)
-        blobs = self.blobs(coded.dictionary.to_pylist())
-        pool = np.frombuffer(b"".join(blobs), dtype=np.uint32)
-        sizes = np.fromiter(map(len, blobs), dtype=np.int32, count=len(blobs)) >> 2
-        size, begin = sizes[code], (np.cumsum(sizes, dtype=np.int32) - sizes)[code]
+        pool, begin, size = self.pool(coded.dictionary)
+        size, begin = size[code], begin[code]
         bounds = np.concatenate([[0], np.cumsum(per_text)])
         if odd.any():
             size[np.repeat(odd, per_text)] = 0

@@ -125,3 +125,38 @@ def test_long_documents_make_several_files(spark, documents, tokenizer, monkeypa
     files, _ = huffman.encode_documents(documents(texts), PATH)
     assert files.count() >= 2
     assert sorted(tuple(r) for r in huffman.decode_documents(files).collect()) == expected(tokenizer, enumerate(texts))
+
+
+def test_new_pieces_go_to_the_model_many_at_once(tokenizer):
+    p = huffman.Pieces(PATH)
+    text = " ".join(f"wo{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}rt{chr(97 + i // 676)}" for i in range(3000))
+    asked, model = [], p.model
+
+    class Counting:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            asked.append(len(texts))
+            return model.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    p.model = Counting()
+    for _ in range(2):  # the second time all are known
+        assert p.encode(pa.array([text]), 2)[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [2]
+        assert 1 <= sum(asked) <= 3000 // huffman.TOGETHER + 1
+
+
+def test_pieces_that_share_a_slot(tokenizer, monkeypatch):
+    """Pieces are told apart by all their bytes and their length, however few the slots."""
+    monkeypatch.setattr(huffman, "CACHE", 2)
+    p, rng = huffman.Pieces(PATH), np.random.default_rng(8)
+    words = ["a", "a\x00", "\x00", "b" * 31, "b" * 32, "b" * 33, "ß" * 16, "ß" * 17, "ÿ", "aÿ", "x" * 90, "!" * 40, "'s", "it's", "1" * 13, "Ġ", "日本", "﻿", "😀" * 8]
+    for n in (1, 2, 5, 40):
+        for _ in range(30):
+            text = "".join(rng.choice([*words, " ", "\n", "  "], n))
+            assert p.encode(pa.array([text]), 2)[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [2], text
+
+
+def test_tokenizer_without_a_dividing_byte(tokenizer):
+    p = huffman.Pieces(PATH)
+    assert p.between == tokenizer.token_to_id("ÿ")
+    p.between = None
+    for text in ("some words, some été 12 words' end", "one", "x\n\ny  z"):
+        assert p.encode(pa.array([text, None]), 2)[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [2, 2]
